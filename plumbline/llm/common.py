@@ -14,6 +14,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Bytes of text that one call of the vectorised kernels works on; a longer text is taken alone.
 SLICE_BYTES = 2 << 20
@@ -23,6 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plus(df: DataFrame, **columns: str) -> StructType:
+    """The frame's schema with columns added; a name that is taken is refused, not overwritten."""
+    if clash := columns.keys() & set(df.columns):
+        raise ValueError(f"columns {sorted(clash)} are taken")
+    out = StructType(list(df.schema.fields))
+    for name, kind in columns.items():
+        out = out.add(name, _parse_datatype_string(kind))
+    return out
+
+
 def ship(spark: SparkSession) -> None:
     """Gives this package to the executors through Spark's own file server, once per context."""
     sc = spark.sparkContext
