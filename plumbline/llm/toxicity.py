@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, plus, ship, text_slices
+from .common import Words, plus, ship, span_hashes, text_slices
 
 MAX_TOXIC, MAX_CLEAN, MAX_UNLABELLED = 8_000, 8_000, 12_000
 BUCKET_BITS, FEATURES, LEAST_TOXIC = 20, 2048, 3
+#: Bytes of the beginnings of words that count as words themselves.
+BEGINNINGS = (5, 6, 7, 8)
 THRESHOLD = 0.3
 
 
@@ -46,8 +48,16 @@ class Model:
     shift: float
 
 
-def _buckets(w: Words) -> np.ndarray:
-    return (w.hash >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def _buckets(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of every word and of the beginnings of longer words, which stand for its inflections."""
+    h, every = [w.hash], np.arange(len(w))
+    at = [every]
+    size = w.end - w.start
+    for n in BEGINNINGS:
+        long = np.flatnonzero(size > n)
+        h.append(span_hashes(w.low, w.start[long], w.start[long] + n) ^ np.uint64(n))
+        at.append(long)
+    return np.concatenate(at), (np.concatenate(h) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -139,8 +149,11 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
             out = []
             for _, n, raw, off in text_slices(b[text]):
                 w = Words(raw, off)
-                h = _buckets(w).astype(np.int32)
-                out += [np.unique(h[w.first[k] : w.first[k + 1]]) for k in range(n)]
+                at, h = _buckets(w)
+                held = np.unique((np.searchsorted(w.first, at, side="right") - 1) << BUCKET_BITS | h)
+                edge = np.searchsorted(held, np.arange(n + 1) << BUCKET_BITS)
+                held = (held & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
+                out += [held[a:z] for a, z in zip(edge, edge[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b["__kinds"], pa.array(out, pa.list_(pa.int32()))], names=["kinds", "words"])
 
     got = rows.mapInArrow(run, "kinds array<int>, words array<int>").toArrow()
@@ -168,9 +181,9 @@ def score(documents: DataFrame, model: Model, text: str = "text", out: str = "sc
             parts = []
             for _, n, raw, off in text_slices(b[text]):
                 w = Words(raw, off)
-                h = _buckets(w)
-                at = np.flatnonzero(weight[h])
-                held = np.unique((np.searchsorted(w.first, at, side="right") - 1) << BUCKET_BITS | h[at])
+                at, h = _buckets(w)
+                used = np.flatnonzero(weight[h])
+                held = np.unique((np.searchsorted(w.first, at[used], side="right") - 1) << BUCKET_BITS | h[used])
                 z = bias + np.bincount(held >> BUCKET_BITS, weights=weight[held & ((1 << BUCKET_BITS) - 1)], minlength=n)
                 parts.append(_sigmoid(scale * z + shift) if np.isfinite(shift) else np.zeros(n))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(parts) if parts else [], pa.float64())], names=[f.name for f in schema])
