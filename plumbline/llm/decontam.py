@@ -18,10 +18,8 @@ but is no item. Rows that repeat, also with the same id, are each answered alike
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
