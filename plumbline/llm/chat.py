@@ -172,7 +172,7 @@ def digest(conversations: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, sha = tokenizer(path), hashlib.sha256
         out: list[tuple] = []
-        fresh = lambda: [0, sha(), 0, sha(), 0, 0, 0]
+        fresh = lambda: [0, sha(), 0, sha(), 0]
         now, waiting = fresh(), []
 
         def encode(pieces: list) -> Iterator[tuple]:
@@ -191,10 +191,8 @@ def digest(conversations: DataFrame, path: str | None = None) -> DataFrame:
                     now[2] += len(text)
                     now[3].update(text.encode())
                 now[4] += len(formatted)
-                now[5] += len(offsets)
-                now[6] += int(under.sum())
                 if last:
-                    yield conv_id, now[0], now[1].hexdigest(), now[2], now[3].hexdigest(), *now[4:]
+                    yield conv_id, now[0], now[1].hexdigest(), now[2], now[3].hexdigest(), now[4]
                     now = fresh()
 
         size = 0
@@ -212,8 +210,26 @@ def digest(conversations: DataFrame, path: str | None = None) -> DataFrame:
             yield _batch(out)
 
     def _batch(out: list[tuple]) -> pa.RecordBatch:
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "n_loss_tokens"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long")
+    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def _oracle() -> str:
+    escaped = "replace(coalesce({0}, ''), '␛', '␛e')"
+    for c in CONTROL:
+        escaped = f"replace({escaped}, '{c}', '{c[0]}␛{c[1:]}')"
+    marks = len(TURN) + len(TEXT) + len(END)
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}')),
+t AS (SELECT *, length({escaped.format("role")}) + length({escaped.format("text")}) + {marks} AS n FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, sum(n) AS formatted_chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
+"""
+
+
+ORACLE = _oracle()

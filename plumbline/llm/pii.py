@@ -255,7 +255,8 @@ def model(spark: SparkSession) -> Boosted:
     """The trees, fitted on the first call in a process."""
     if "model" not in _fitted:
         rows = training(spark).repartition(4, "id")  # made once: the text is no expression to be copied below
-        got = sorted((r["id"], f["f"], r["y"]) for r in _propose(rows, F.col("text")).select("id", "y", "base", "__found").collect() for f in r["__found"])
+        made = _propose(rows, F.col("text")).select("id", "y", "base", F.transform("__found", lambda x: x["f"]).alias("fs")).toArrow()
+        got = sorted((i, f, y) for i, y, fs in zip(*(made[c].to_pylist() for c in ("id", "y", "fs")), strict=True) for f in fs)
         ids, x, y = (np.array(c, float) for c in zip(*got, strict=True))
         _fitted["model"] = Boosted(x, y, ids % HELD == 0)
     return _fitted["model"]
