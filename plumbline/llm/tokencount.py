@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import plus, ship, text_slices
-from .pretokens import CACHED, Cache, Vocabulary, vocabulary, word_bpe
+from .pretokens import SCAN_BYTES, Cache, Encoded, Units, Vocabulary, vocabulary, word_bpe
 
 TOKEN_LIMIT = 2048
 _NONE = np.int64(2**62)
@@ -97,29 +97,43 @@ class RankMerger:
 
 
 class Counter:
-    """Numbers of tokens of fragments."""
+    """Ids of the pre-tokens of slices of texts."""
 
     def __init__(self, path: str) -> None:
         self.v = vocabulary(path)
         self.merger = RankMerger(self.v)
-        self.known = Cache(self.count)
+        self.known = Cache(self.odd_ids)
 
-    def count(self, pieces: list[str]) -> list[int]:
+    def merge(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat = self.v.inner[data]
+        last = np.r_[starts[1:], len(data)] - 1
+        flat[last] = self.v.last[data[last]]
+        return self.merger.merge(flat, starts)
+
+    def odd_ids(self, fragments: list[bytes]) -> list[list[int]]:
+        """Ids of fragments that need the library's normaliser."""
+        split = [self.v.pieces(f.decode("utf-8")) for f in fragments]
+        todo = list({p for x in split for p in x if not isinstance(p, int)})
         flat: list[int] = []
         starts = []
-        for p in pieces:
+        for p in todo:
             starts.append(len(flat))
             flat += self.merger.symbols(p)
-        _, seq = self.merger.merge(np.array(flat, np.int64), np.array(starts))
-        return np.bincount(seq, minlength=len(pieces)).tolist()
+        ids, seq = self.merger.merge(np.array(flat, np.int64), np.array(starts, np.int64))
+        edge, ids = np.searchsorted(seq, np.arange(len(todo) + 1)).tolist(), ids.tolist()
+        known = {p: ids[x:y] for p, x, y in zip(todo, edge, edge[1:], strict=False)}
+        return [[i for p in x for i in ((p,) if isinstance(p, int) else known[p])] for x in split]
 
-    def __call__(self, fragments: list[bytes]) -> list[int]:
-        split = [self.v.pieces(f.decode("utf-8")) for f in fragments]
-        known = self.known.learn(p for x in split for p in x if not isinstance(p, int))
-        return [sum(1 if isinstance(p, int) else known[p] for p in x) for x in split]
+    def odd(self, fragments: list[bytes]) -> list[list[int]]:
+        known = self.known.learn(fragments)
+        return [known[f] for f in fragments]
+
+    def __call__(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """How many tokens each text has."""
+        return Encoded(Units(raw, off), self.v, self.merge, self.odd).per_text
 
 
-_counters: dict[str, Cache] = {}
+_counters: dict[str, Counter] = {}
 
 
 def count_tokens(documents: DataFrame, text: str = "text", path: str | None = None, limit: int = TOKEN_LIMIT) -> DataFrame:
@@ -131,17 +145,11 @@ def count_tokens(documents: DataFrame, text: str = "text", path: str | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _counters:
-            _counters[path] = Cache(Counter(path), 2 * CACHED)
-        cache = _counters[path]
+            _counters[path] = Counter(path)
+        counter = _counters[path]
         for b in batches:
-            out: list[int] = []
-            for _, n, raw, off in text_slices(b[text]):
-                data = raw.tobytes()
-                texts = [data[off[i] : off[i + 1]].split() for i in range(n)]
-                known = cache.learn(f for words in texts for f in words)
-                get = known.__getitem__
-                out += [sum(map(get, words)) for words in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "n_tokens"])
+            out = [counter(raw, off) for _, _, raw, off in text_slices(b[text], SCAN_BYTES)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else [], pa.int64())], names=[*b.schema.names, "n_tokens"])
 
     counted = documents.mapInArrow(run, schema)
     return counted.select(*documents.columns, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
