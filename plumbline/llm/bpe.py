@@ -27,88 +27,108 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import plus, ship, text_slices
-from .pretokens import CACHED, Cache, Vocabulary, vocabulary, word_bpe
-from .tokencount import RankMerger
-
-class Encoder:
-    """Ids of fragments by cutting at forced boundaries and merging the parts."""
-
-    def __init__(self, v: Vocabulary) -> None:
-        self.v, self.end = v, v.end
-        self.merger = RankMerger(v)
-        self.known = Cache(self.piece_ids, CACHED // 2)
-        self.inner: set[str] = set()
-        self.closing: set[str] = set()
+from .pretokens import _SYMBOLS, SCAN_BYTES, Encoded, Units, ragged, word_bpe
+from .tokencount import Counter
+
+
+class Encoder(Counter):
+    """Ids of texts by cutting pre-tokens at forced boundaries and merging the parts by themselves."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        v = self.v
+        byte = {c: b for b, c in _SYMBOLS.items()}
+        #: Whether two bytes occur as neighbours inside some token, before its end and as its last two.
+        self.joined, self.closing = np.zeros((256, 256), bool), np.zeros((256, 256), bool)
         for token in v.ids:
             closed = bool(v.end) and token.endswith(v.end)
-            body = token[: -len(v.end)] if closed else token
+            body = [byte[c] for c in (token[: -len(v.end)] if closed else token) if c in byte]
             for k in range(len(body) - 1):
-                last = closed and k == len(body) - 2
-                (self.closing if last else self.inner).add(body[k : k + 2])
-
-    def parts(self, piece: str) -> list[str]:
-        """The piece cut wherever two neighbours occur together inside no token."""
-        out, begin = [], 0
-        inner = self.inner
-        for k in range(1, len(piece) - 1):
-            if piece[k - 1 : k + 1] not in inner:
-                out.append(piece[begin:k])
-                begin = k
-        if len(piece) > 1 and piece[-2:] not in self.closing:
-            out.append(piece[begin:-1])
-            begin = len(piece) - 1
-        out.append(piece[begin:])
-        return [x for x in out if x]
-
-    def part_ids(self, parts: list[tuple[str, bool]]) -> list[list[int]]:
-        """Ids of parts, each by itself; the flag says whether the pre-token ends there."""
-        flat: list[int] = []
-        starts = []
-        for text, closed in parts:
-            starts.append(len(flat))
-            flat += self.merger.symbols(text, closed)
-        ids, seq = self.merger.merge(np.array(flat, np.int64), np.array(starts))
-        edge = np.searchsorted(seq, np.arange(len(parts) + 1)).tolist()
-        ids = ids.tolist()
-        return [ids[a:b] for a, b in zip(edge, edge[1:], strict=False)]
-
-    def piece_ids(self, pieces: list[str]) -> list[list[int]]:
-        cut = [self.parts(p) for p in pieces]
-        closed = [[(x, k == len(parts) - 1) for k, x in enumerate(parts)] for parts in cut]
-        todo = list({x for parts in closed for x in parts})
-        known = dict(zip(todo, self.part_ids(todo), strict=True))
-        return [[i for x in parts for i in known[x]] for parts in closed]
-
-    def encode(self, fragments: list[bytes]) -> list[list[int]]:
+                (self.closing if closed and k == len(body) - 2 else self.joined)[body[k], body[k + 1]] = True
+        n = max(v.tokens) + 1
+        self.digits = _Table([b"%d " % k for k in range(n)])
+        self.words = _Table([v.tokens.get(k, "").encode() + b" " for k in range(n)])
+
+    def merge(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(data)
+        last = np.zeros(n, bool)
+        last[np.r_[starts[1:], n][: len(starts)] - 1] = True
+        flat = np.where(last, self.v.last[data], self.v.inner[data])
+        cut = np.zeros(n, bool)
+        cut[1:] = ~np.where(last[1:], self.closing[data[:-1], data[1:]], self.joined[data[:-1], data[1:]])
+        cut[starts] = True
+        begin = np.flatnonzero(cut)
+        ids, part = self.merger.merge(flat, begin)
+        # parts keep their order, so their ids concatenate to those of their pre-token
+        return ids, np.searchsorted(starts, begin, side="right")[part] - 1 if n else part
+
+    def odd_ids(self, fragments: list[bytes]) -> list[list[int]]:
         split = [self.v.pieces(f.decode("utf-8")) for f in fragments]
-        known = self.known.learn(p for x in split for p in x if not isinstance(p, int))
+        byte = {c: b for b, c in _SYMBOLS.items()}
+        todo = list({p for x in split for p in x if not isinstance(p, int)})
+        data = [bytes(byte[c] for c in p) for p in todo]
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        ids, seq = self.merge(np.frombuffer(b"".join(data), np.uint8), np.cumsum(np.r_[0, size[:-1]])[: len(data)])
+        edge, ids = np.searchsorted(seq, np.arange(len(todo) + 1)).tolist(), ids.tolist()
+        known = {p: ids[x:y] for p, x, y in zip(todo, edge, edge[1:], strict=False)}
         return [[i for p in x for i in ((p,) if isinstance(p, int) else known[p])] for x in split]
 
-    def answers(self, fragments: list[bytes]) -> list[tuple[str, str]]:
-        """The ids as text and the tokens as text of each fragment."""
-        return [(" ".join(map(str, ids)), self.decode(ids)) for ids in self.encode(fragments)]
+    def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has."""
+        e = Encoded(Units(raw, off), self.v, self.merge, self.odd)
+        return e.ids(), e.per_text
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.v.tokens[i] for i in ids)
 
 
-_encoders: dict[str, tuple[Encoder, Cache]] = {}
+class _Table:
+    """Byte strings by number, written one after another for an array of numbers."""
+
+    def __init__(self, strings: list[bytes]) -> None:
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+        self.size = np.array([len(x) for x in strings], np.int64)
+        self.start = np.cumsum(np.r_[0, self.size[:-1]])
+
+    def write(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The strings of the ids, and the place after each."""
+        size = self.size[ids]
+        return self.data[ragged(self.start[ids], size)].tobytes(), np.cumsum(size)
+
+
+_encoders: dict[str, Encoder] = {}
 
 
-def _encoder(path: str) -> tuple[Encoder, Cache]:
+def _encoder(path: str) -> Encoder:
     if path not in _encoders:
-        e = Encoder(vocabulary(path))
-        _encoders[path] = e, Cache(e.answers)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
-def _texts(col: pa.Array, cache: Cache) -> Iterator[list[tuple[str, str]]]:
-    for _, n, raw, off in text_slices(col):
-        data = raw.tobytes()
-        texts = [data[off[i] : off[i + 1]].split() for i in range(n)]
-        known = cache.learn(f for words in texts for f in words)
-        for words in texts:
-            yield [known[w] for w in words]
+#: Ids that are written out at once, so the texts made of them have a bounded size.
+WRITTEN = 1 << 18
+
+
+def _digests(table: _Table, ids: np.ndarray, per_text: np.ndarray) -> list[str]:
+    """SHA-256 of each text's strings joined by spaces."""
+    out, begin = [], 0
+    edge = np.r_[0, np.cumsum(per_text)]
+    while begin < len(per_text):
+        end = max(begin + 1, int(np.searchsorted(edge, edge[begin] + WRITTEN, side="right")) - 1)
+        end = min(end, len(per_text))
+        if edge[end] - edge[begin] > WRITTEN:  # one long text: in steps, less the last space
+            h, stop = hashlib.sha256(), edge[end]
+            for s in range(edge[begin], stop, WRITTEN):
+                part = table.write(ids[s : min(s + WRITTEN, stop)])[0]
+                h.update(part if s + WRITTEN < stop else part[:-1])
+            out.append(h.hexdigest())
+        else:
+            data, after = table.write(ids[edge[begin] : edge[end]])
+            at = np.r_[0, after][edge[begin : end + 1] - edge[begin]].tolist()
+            view = memoryview(data)
+            out += [hashlib.sha256(view[x : max(x, y - 1)]).hexdigest() for x, y in zip(at, at[1:], strict=False)]
+        begin = end
+    return out
 
 
 def encode(documents: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
@@ -118,11 +138,12 @@ def encode(documents: DataFrame, text: str = "text", out: str = "ids", path: str
     path = path or word_bpe()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, cache = _encoder(path)
+        e = _encoder(path)
         for b in batches:
-            ids = [np.array(" ".join(x[0] for x in parts).split(), np.int32) for parts in _texts(b[text], cache)]
-            off = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            col = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+            found = [e.encode(raw, o) for _, _, raw, o in text_slices(b[text], SCAN_BYTES)]
+            ids = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
+            off = np.r_[0, np.cumsum(np.concatenate([n for _, n in found]))] if found else np.zeros(1, np.int64)
+            col = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, col], names=[*b.schema.names, out])
 
     return documents.mapInArrow(run, schema)
@@ -135,7 +156,7 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str |
     path = path or word_bpe()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, _ = _encoder(path)
+        e = _encoder(path)
         for b in batches:
             texts = [e.decode(x or []) for x in b[ids].to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
@@ -152,17 +173,15 @@ def round_trip(documents: DataFrame, text: str = "text", path: str | None = None
     schema = plus(documents.select(*keep), n_tokens="long", ids_sha256="string", decoded_sha256="string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, cache = _encoder(path)
-        sha = hashlib.sha256
+        e = _encoder(path)
         for b in batches:
             n, ids, back = [], [], []
-            for parts in _texts(b[text], cache):
-                parts = [x for x in parts if x[0]]
-                text_ids = " ".join([x[0] for x in parts])
-                n.append(text_ids.count(" ") + 1 if text_ids else 0)
-                ids.append(sha(text_ids.encode()).hexdigest())
-                back.append(sha(" ".join([x[1] for x in parts]).encode()).hexdigest())
-            cols = [b[c] for c in keep] + [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
+            for _, _, raw, off in text_slices(b[text], SCAN_BYTES):
+                found, per_text = e.encode(raw, off)
+                n.append(per_text)
+                ids += _digests(e.digits, found, per_text)
+                back += _digests(e.words, found, per_text)
+            cols = [b[c] for c in keep] + [pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
     return documents.mapInArrow(run, schema)
