@@ -1,3 +1,4 @@
 """plumbline: dataset audits and training-data operators on Spark."""
 
-__version__ = "0.1.0"
+NAME = "plumbline"
+VERSION = __version__ = "0.1.0"
