@@ -1,0 +1,112 @@
+"""op1 against a plain scan, op9 on held-out rows, op7 by cases."""
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from plumbline.llm import htmltext, pii, queries, toxicity
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * 2, 10)) if k % 2 else int(c) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def plain(text):
+    out = []
+    for k, (kind, p) in enumerate(BASE.items()):
+        for m in re.finditer(p, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append((m.start(), k, m.end(), kind))
+    return sorted(out)
+
+
+def holds(rows, texts):
+    for r in rows:
+        want = plain(texts[r["doc_id"]])
+        written = ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in want)
+        assert r["base_sha256"] == hashlib.sha256(written.encode()).hexdigest(), (r["doc_id"], texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in BASE] == [sum(x[3] == k for x in want) for k in BASE]
+        spans = [x for x in r["spans"].split(",") if x]
+        assert set(written.split(",")) - {""} <= set(spans)
+        key = [(int(s.split(":")[1]), list(BASE).index(s.split(":")[0])) for s in spans]
+        assert key == sorted(key)
+
+
+def test_base_spans_are_a_plain_scan(spark, small):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = queries.op1_pii(spark, small).collect()
+    assert len(got) == len(texts)
+    holds(got, texts)
+
+
+CASES = [
+    None, "", "a@b.c", "x..y@-.-.z@w.q", "a@b@c.d", "@a.b a@ b@.c a@b. a@b.c.", "1.2.3.4.5.6.7.8", "256.1.1.1 1.1.1.256 0001.2.3.255", "1.2.3", "4111 1111 1111 1111", "4111-1111-1111-1111-1", "4111  1111 1111 1111", "+1 (555) 123-4567 +49.30.1234567890123456",
+    "++1 234 567 890 1", "+1 234567890 +2 34567890", "🙂 a@b.c 🙂 1.1.1.1", "joe at example dot com", "email me: joe [at] mail [dot] org please", "call (555) 123-4567 now", "server ip 10[.]0[.]0[.]1 down", "9" * 5000, "a" * 5000 + "@", "1." * 3000, "+" + "1 " * 4000, "é@é.é a@bé.c", "٣.٤.٥.٦", "a@b.c," * 900,
+]
+
+
+def test_cases(spark):
+    df = spark.createDataFrame(list(enumerate(CASES)), "doc_id long, text string").withColumn("tag", F.lit("t"))
+    got = pii.digest(df).collect()
+    holds(got, dict(enumerate(CASES)))
+    by = {r["doc_id"]: r["spans"] for r in got}
+    assert "email:10:34" in by[CASES.index("email me: joe [at] mail [dot] org please")] or "email:" in by[CASES.index("email me: joe [at] mail [dot] org please")]
+    assert "phone:5:19" in by[CASES.index("call (555) 123-4567 now")] and "ip:" in by[CASES.index("server ip 10[.]0[.]0[.]1 down")]
+    out = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert out[2] == "[email]" and out[0] is None and out[CASES.index("call (555) 123-4567 now")] == "call [phone] now"
+    assert pii.digest(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="taken"):
+        pii.find(df.withColumnRenamed("tag", "spans"))
+
+
+def test_pii_is_native(spark, small):
+    plan = queries.op1_pii(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and "Exchange" not in plan
+
+
+def auc(pairs):
+    pos, neg = [s for s, y in pairs if y == 1], [s for s, y in pairs if y == 0]
+    return sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+
+
+def test_toxicity_on_held_out_rows(spark):
+    at = "/root/testdata/sf0.01"
+    rows = queries.op9_toxicity(spark, at).join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").where("held_out and toxic is not null").collect()
+    pairs = [(r["score"], r["toxic"]) for r in rows]
+    right = sum(r["predicted"] == r["toxic"] for r in rows) / len(rows)
+    assert auc(pairs) > 0.9 and right > 0.9 and all(0 <= s <= 1 for s, _ in pairs)
+
+
+def test_held_out_labels_are_never_read(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (sorted((r["doc_id"], r["score"]) for r in toxicity.digest(docs, x).collect()) for x in (labels, turned))
+    assert a == b
+    moved = sorted((r["doc_id"], r["score"]) for r in toxicity.digest(docs.withColumns({"lang": F.lit("zz"), "source": F.lit("s")}), labels).collect())
+    assert moved == a
+
+
+def test_toxicity_cases(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (None, "x"), (-3, "x y " * 20000)], "doc_id long, text string")
+    m = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(odd.unionByName(odd), m).collect()}
+    assert got[-1] == got[-2] and all(0 <= s <= 1 for s in got.values())
+    none = toxicity.train(docs, labels.where("toxic = 0"))
+    assert {r["score"] for r in toxicity.score(odd, none).collect()} == {0.0}
+    assert toxicity.digest(docs.limit(0), labels).count() == 0 and toxicity.digest(docs, labels.limit(0)).count() == docs.count()
+    with pytest.raises(ValueError, match="taken"):
+        toxicity.score(odd.withColumn("score", F.lit(1)), m)
+
+
+def test_text_of_pages(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    got = queries.op7_html_text(spark, small).collect()
+    assert len(got) == pages.count() and all("<script" not in (r["text"] or "") for r in got)
+    assert htmltext.digest(pages.limit(0)).count() == 0
