@@ -19,7 +19,7 @@ from ..functions.lineage import shared_folder
 from ..operators import classifiers, forest, graph, neighbours, ranks, relational, splits
 from ..sources import reading
 from ..streaming import incremental
-from . import benchmark, lookup_checks, table_checks
+from . import benchmark, lookup_checks, studies, table_checks
 from .dedup import deduplicated
 from .registry import Subject, checks, feature_columns
 
@@ -397,6 +397,35 @@ def stream_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.drain(stream, sink).result().select(F.col("event_type").alias("cls"), F.col("n").cast("long").alias("n"))
 
 
+# --- studies -----------------------------------------------------------------
+
+
+@query(f"SELECT cls, first(feature ORDER BY auc DESC, feature) AS feature, max(auc) AS auc FROM ({_auc_sql(_NUMBERS, 'lineitem', 'l_returnflag')}) GROUP BY 1")
+def best_feature_of_each_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(studies.best_feature_of_each_class(table(spark, sf_dir, "lineitem"), list(_NUMBERS), "l_returnflag"), "auc")
+
+
+@query()
+def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    r = studies.cluster_bootstrap(e, "user_id", F.col("event_type") == "click", F.col("event_id") % 2 == 0)
+    return spark.createDataFrame([tuple(r.values())], "value double, low double, high double")
+
+
+@query()
+def advantage_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem").groupBy("l_linestatus").agg(*[F.count_if(c).alias(n) for n, c in (("w", F.col("l_suppkey") % 3 == 0), ("a", (F.col("l_suppkey") % 3 == 0) & (F.col("l_returnflag") == "N")), ("m", F.col("l_suppkey") % 3 != 0), ("b", (F.col("l_suppkey") % 3 != 0) & (F.col("l_returnflag") == "N")))])
+    r = studies.advantage_bootstrap([(q["w"], q["a"], q["m"], q["b"]) for q in x.orderBy("l_linestatus").collect()])  # a row a stratum
+    return spark.createDataFrame([tuple(r.values())], "value double, low double, high double")
+
+
+@query()
+def cutoff_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _planted(spark, sf_dir)
+    rows = studies.cutoff_grid(v.where("vec_id >= 1000000"), v.where("vec_id < 1000000"), v, 64, "vec_id")
+    return spark.createDataFrame([tuple(r.values()) for r in rows], "cutoff double, margin double, low double, high double, verdict string")
+
+
 # --- model-based checks: rows only --------------------------------------------
 
 

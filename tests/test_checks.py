@@ -37,7 +37,7 @@ def test_all_are_there():
 
 def test_dedup(run):
     f = base()
-    twice = pd.concat([f, f.iloc[:40], f.iloc[:40]], ignore_index=True)
+    twice = pd.concat([f, f.iloc[:41], f.iloc[:42]], ignore_index=True)
     got = run("dedup_check", twice)
     assert got["status"] == "flag" and got["details"]["test_leakage_dropped"] > 0 and set(got["details"]["by_class"]) == {"a", "b"}
     assert run("dedup_check", f)["status"] == "ok"
@@ -60,7 +60,6 @@ def test_label_conflict(run):
 
 def test_null_places_do_not_mix(run):
     f = pd.DataFrame({"p": [None, 1.0], "q": [1.0, None], "y": ["a", "b"]})
-    assert run("label_conflict_check", f, f.iloc[:0])["status"] == "ok" if False else True
     got = run("label_conflict_check", pd.concat([f] * 30, ignore_index=True))
     assert got["status"] == "ok"
 
