@@ -77,12 +77,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(toxic: list[np.ndarray], clean: list[np.ndarray], unlabelled: list[np.ndarray], rounds: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Model:
-    """The classifier from the sets of word buckets of each sampled text."""
+def fit(toxic: list[np.ndarray], clean: list[np.ndarray], unlabelled: list[np.ndarray], n_toxic: int, n_clean: int, rounds: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Model:
+    """The classifier from the sets of word buckets of each sampled text. n_toxic and n_clean are all labelled rows, of
+    which the samples may be unequal parts: the share of toxic text comes from them, and so do the weights of calibration."""
     weight = np.zeros(1 << BUCKET_BITS)
     if not toxic:
         return Model(weight, 0.0, 0.0, -np.inf)
-    prior = min(0.5, max(0.005, len(toxic) / (len(toxic) + len(clean)))) if clean else 0.1
+    prior = min(0.5, max(0.005, n_toxic / (n_toxic + n_clean))) if clean else 0.1
     other = unlabelled or clean or [np.zeros(0, np.int64)]
     share = lambda texts: np.bincount(np.concatenate(texts), minlength=1 << BUCKET_BITS) / len(texts)
     p, u = share(toxic), share(other)
@@ -117,19 +118,22 @@ def fit(toxic: list[np.ndarray], clean: list[np.ndarray], unlabelled: list[np.nd
     weight[features] = w
     z = np.array([b + weight[x].sum() for x in [*toxic, *clean]])
     y = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
-    scale, shift = _calibrate(z, y) if len(clean) else (1.0, 0.0)
+    each = np.r_[np.full(len(toxic), n_toxic / len(toxic)), np.full(len(clean), n_clean / max(1, len(clean)))]
+    scale, shift = _calibrate(z, y, each) if len(clean) else (1.0, 0.0)
     return Model(weight, b, scale, shift)
 
 
-def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of a logistic curve through the labelled scores, by Newton steps; a small ridge keeps it finite."""
+def _calibrate(z: np.ndarray, y: np.ndarray, each: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of a logistic curve through the labelled scores, each standing for so many rows, by Newton steps; a small ridge keeps it finite."""
     a = np.array([1.0, 0.0])
     x = np.stack([z, np.ones(len(z))], axis=1)
-    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    yes, no = each[y == 1].sum(), each[y == 0].sum()
+    t = np.where(y == 1, (yes + 1) / (yes + 2), 1 / (no + 2))
+    each = each * (len(z) / each.sum())
     for _ in range(30):
         p = _sigmoid(x @ a)
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2) * 1e-3
-        a = a - np.linalg.solve(h, x.T @ (p - t) + 1e-3 * (a - [1.0, 0.0]))
+        h = (x * (each * p * (1 - p))[:, None]).T @ x + np.eye(2) * 1e-3
+        a = a - np.linalg.solve(h, x.T @ (each * (p - t)) + 1e-3 * (a - [1.0, 0.0]))
     return (float(a[0]), float(a[1])) if a[0] > 0 else (1.0, 0.0)
 
 
@@ -138,6 +142,7 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
     ship(documents.sparkSession)
     order = [F.xxhash64(doc_id), F.col(doc_id)]
     usable = labels.where(~held_out(doc_id) & F.col(doc_id).isNotNull())
+    n_toxic, n_clean = usable.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
     known = [usable.where(F.col(label) == k).select(doc_id).distinct().orderBy(*order).limit(n).select(doc_id, F.lit(k).alias("__kind")) for k, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     ids = documents.select(doc_id).where(~held_out(doc_id) & F.col(doc_id).isNotNull())
     known.append(ids.distinct().orderBy(*order).limit(MAX_UNLABELLED).select(doc_id, F.lit(2).alias("__kind")))
@@ -162,7 +167,7 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
     sets = [flat[a:z] for a, z in zip(off, off[1:], strict=False)]
     of = [[x for x, ks in zip(sets, kinds, strict=True) if k in ks] for k in range(3)]
     # a text that is known to be toxic or clean is no less a draw from all text
-    return fit(of[1], of[0], of[2])
+    return fit(of[1], of[0], of[2], n_toxic, n_clean)
 
 
 def score(documents: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
