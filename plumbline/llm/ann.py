@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, tidy
 
 SAMPLE, MAX_LISTS, EXHAUSTIVE = 16_384, 4096, 2048
 TARGET, EPSILON, COLUMNS, BLOCK = 0.985, 2.1, 16, 8192
@@ -225,8 +225,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
         yield from answer(asks)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.mapInArrow(deal, "list int, block long, asked boolean, id long, v array<float>")
-    found = dealt.repartition(n, "list", "block").sortWithinPartitions("list", "block", "asked").mapInArrow(meet, "query_id long, vec_id long, score double")
+    dealt = rows.mapInArrow(tidy(deal), "list int, block long, asked boolean, id long, v array<float>")
+    found = dealt.repartition(n, "list", "block").sortWithinPartitions("list", "block", "asked").mapInArrow(tidy(meet), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plus, ship, text_slices
+from .common import plus, ship, text_slices, tidy
 from .pretokens import _SYMBOLS, SCAN_BYTES, Encoded, Units, ragged, word_bpe
 from .tokencount import Counter
 
@@ -146,7 +146,7 @@ def encode(documents: DataFrame, text: str = "text", out: str = "ids", path: str
             col = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, col], names=[*b.schema.names, out])
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(tidy(run), schema)
 
 
 def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -161,7 +161,7 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str |
             texts = [e.decode(x or []) for x in b[ids].to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def round_trip(documents: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
@@ -184,7 +184,7 @@ def round_trip(documents: DataFrame, text: str = "text", path: str | None = None
             cols = [b[c] for c in keep] + [pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(tidy(run), schema)
 
 
 def digest(documents: DataFrame) -> DataFrame:

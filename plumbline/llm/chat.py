@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, tidy
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -154,7 +154,7 @@ def format_conversations(conversations: DataFrame, conv: str = "conv_id", turn:
             yield pa.RecordBatch.from_pydict({"conv_id": [conv_id], "piece": pa.array([number], pa.int32()), "formatted": [formatted], "ids": pa.array([e.ids], pa.list_(pa.int32())), "loss_mask": pa.array([under.tolist()], pa.list_(pa.bool_()))})
             number = 0 if last else number + 1
 
-    return rows.mapInArrow(run, f"conv_id {kind}, piece int, formatted string, ids array<int>, loss_mask array<boolean>")
+    return rows.mapInArrow(tidy(run), f"conv_id {kind}, piece int, formatted string, ids array<int>, loss_mask array<boolean>")
 
 
 #: The conversation that the contract adds.
@@ -214,7 +214,7 @@ def digest(conversations: DataFrame, path: str | None = None) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _oracle() -> str:

@@ -3,12 +3,14 @@ vectorised word scanner over Arrow string batches."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import io
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -16,6 +18,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over Arrow batches whose worker gives freed memory back to the system when its task ends: workers
+    live through many stages, and what their allocators keep would add up."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    _pow[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 #: Bytes of text that one call of the vectorised kernels works on; a longer text is taken alone.
 SLICE_BYTES = 2 << 20
 
@@ -54,14 +76,6 @@ def ship(spark: SparkSession) -> None:
     sc._plumbline_shipped = True
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder the session names; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="plumbline-ckpt-"))
-    return df.checkpoint()
-
-
 def text_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, bytes, offsets) pieces of a string column of at most `limit` bytes each,
     or of one longer text; nulls are empty."""

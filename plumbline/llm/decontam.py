@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, gram_hashes, ship, text_slices
+from .common import Words, gram_hashes, ship, text_slices, tidy
 
 WINDOW, GRAM = 8, 5
 BLOCK_BYTES = 4 << 20
@@ -145,7 +145,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     for block in _blocks(benchmark, item, item_text):
         rows = block.collect()
         index = spark.sparkContext.broadcast(Index([(r["item"], r["text"].encode()) for r in rows]))
-        out = out.mapInArrow(_pass(index, text), out.schema)
+        out = out.mapInArrow(tidy(_pass(index, text)), out.schema)
     spans = F.col("__spans")
     n_hit = F.aggregate(F.sequence(F.lit(0), F.floor(F.size(spans) / 2).cast("int") - 1), F.lit(0).cast("long"), lambda a, i: a + F.get(spans, 2 * i + 1) - F.get(spans, 2 * i))
     return out.withColumn("n_hit", F.when(F.size(spans) == 0, F.lit(0).cast("long")).otherwise(n_hit)).drop("__spans").select(*documents.columns, "n_words", "n_hit", "items")

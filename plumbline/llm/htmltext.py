@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plus, ship
+from .common import plus, ship, tidy
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template datalist object audio video canvas iframe noembed noframes svg math".split())
+UNSEEN = frozenset("head title script style template datalist object audio video canvas iframe noembed noframes svg math".split())
 RAW = {n: re.compile(f"</{n}(?=[\\s/>])", re.I) for n in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 #: Blank lines around a block: 0 starts a line, 1 leaves one line free.
 BLOCKS = dict.fromkeys("address article aside body center details dialog dd div dt fieldset figcaption footer form header hgroup html legend li main nav optgroup option search section select summary caption tr tbody thead tfoot td th".split(), 0) | dict.fromkeys("blockquote dl figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul xmp".split(), 1)
@@ -372,7 +372,7 @@ def extract(pages: DataFrame, source: str = "html", out: str = "text") -> DataFr
             texts = [render(x) for x in b[source].to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[f.name for f in schema])
 
-    return pages.mapInArrow(run, schema)
+    return pages.mapInArrow(tidy(run), schema)
 
 
 def digest(pages: DataFrame) -> DataFrame:

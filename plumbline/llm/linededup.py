@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix, plus, ship, span_hashes, text_slices
+from ..functions.lineage import checkpoint
+from .common import mix, plus, ship, span_hashes, text_slices, tidy
 
 MIN_WORDS, LONE_WORDS = 10, 20
 BITMAP_BITS = 27
@@ -196,7 +197,7 @@ def repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = documents.select(F.col(doc_id), F.xxhash64(text).alias("__th"), text)
-    counts = checkpoint(texts.select(text).mapInArrow(_hashes(text), "h long").groupBy("h").count().where("count > 1"))
+    counts = checkpoint(texts.select(text).mapInArrow(tidy(_hashes(text)), "h long").groupBy("h").count().where("count > 1"))
     mask = (1 << BITMAP_BITS) - 1
     words = counts.select(F.expr(f"cast(shiftright(h & {mask}L, 6) as int)").alias("w"), F.expr("shiftleft(1L, cast(h & 63L as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bits = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
@@ -207,10 +208,10 @@ def repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     kind = texts.schema[doc_id].dataType.simpleString()
     out = f"id {kind}, th long, lo int, hi int, h long, chunk binary, before array<long>, after array<long>"
     place = ["h", "salt", "id", "th", "line"]
-    rows = texts.mapInArrow(_candidates(bitmap, spread, text, doc_id), _FOUND.format(id=kind))
-    met = checkpoint(rows.repartition(n, "h", "salt").sortWithinPartitions(*place).mapInArrow(_repeats(spread), out))
+    rows = texts.mapInArrow(tidy(_candidates(bitmap, spread, text, doc_id)), _FOUND.format(id=kind))
+    met = checkpoint(rows.repartition(n, "h", "salt").sortWithinPartitions(*place).mapInArrow(tidy(_repeats(spread)), out))
     again = met.where("h is not null").select("h", F.lit(0).alias("salt"), "id", "th", F.col("lo").alias("line"), F.col("hi").alias("n"), "chunk", "before", "after")
-    again = again.repartition(n, "h").sortWithinPartitions(*place).mapInArrow(_repeats(None), out)
+    again = again.repartition(n, "h").sortWithinPartitions(*place).mapInArrow(tidy(_repeats(None)), out)
     found = met.where("h is null").select("id", "th", "lo", "hi").unionByName(again.select("id", "th", "lo", "hi"))
     return found.distinct().groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
@@ -243,7 +244,7 @@ def deduplicate(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
             names = [f.name for f in schema]
             yield pa.RecordBatch.from_arrays([new[c] if c in new else b[c] for c in names], names=names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def digest(documents: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer
 
 #: Answers that one generation of a worker's cache holds, and the longest fragment it keeps.
-CACHED, KEPT_LENGTH = 250_000, 256
+CACHED, KEPT_LENGTH = 50_000, 256
 #: Letters for which lower-casing and normal form are the same wherever they stand: ASCII and precomposed Latin-1.
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")

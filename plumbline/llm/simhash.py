@@ -19,7 +19,7 @@ key are compared in numpy and only a spanning forest of the links is kept, so a
 group of m fingerprints gives at most m - 1 edges, not all pairs. A key with more
 than BLOCK fingerprints is dealt out again as pairs of blocks, each compared by
 itself: nothing is capped and no task holds such a group. The edges then go through
-star contraction (components.py).
+star contraction (operators/graph.py).
 
 Nulls and texts without words have fingerprint zero and are linked like any other; a
 null doc_id names no component, but its row is kept and answered. Rows that repeat are
@@ -37,8 +37,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, checkpoint, plus, ship, text_slices
-from .components import components
+from ..functions.lineage import checkpoint
+from ..operators.graph import components
+from .common import LOWER, Words, plus, ship, text_slices, tidy
 
 BITS, SHINGLE, BLOCK = 3, 3, 4096
 _SPACE = np.ones(256, bool)
@@ -240,9 +241,9 @@ def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(at), side, np.int32)), pa.array(part[at].view(np.int64))], names=["key", "side", "fp"])
 
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = prints.select(fp).mapInArrow(spread, "key long, side int, fp long")
-    met = checkpoint(rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet, "kind int, a long, b long, side int, i int, j int"))
-    again = met.where("kind = 1").select("a", "i", "j", "side", "b").repartition(n, "a", "i", "j").sortWithinPartitions("a", "i", "j").mapInArrow(_meet_blocks, "a long, b long")
+    rows = prints.select(fp).mapInArrow(tidy(spread), "key long, side int, fp long")
+    met = checkpoint(rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(tidy(_meet), "kind int, a long, b long, side int, i int, j int"))
+    again = met.where("kind = 1").select("a", "i", "j", "side", "b").repartition(n, "a", "i", "j").sortWithinPartitions("a", "i", "j").mapInArrow(tidy(_meet_blocks), "a long, b long")
     return met.where("kind = 0").select("a", "b").unionByName(again)
 
 
@@ -258,7 +259,7 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
             fp = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(fp)], names=[f.name for f in schema])
 
-    rows = checkpoint(documents.select(*keep, text).mapInArrow(run, schema))
+    rows = checkpoint(documents.select(*keep, text).mapInArrow(tidy(run), schema))
     prints = checkpoint(rows.groupBy("fp").agg(F.min(doc_id).alias("least")))
     roots = components(links(prints))
     # a root is the smallest fingerprint of its component; the component takes the smallest doc_id there

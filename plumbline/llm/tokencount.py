@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plus, ship, text_slices
+from .common import plus, ship, text_slices, tidy
 from .pretokens import SCAN_BYTES, Cache, Encoded, Units, Vocabulary, vocabulary, word_bpe
 
 TOKEN_LIMIT = 2048
@@ -151,7 +151,7 @@ def count_tokens(documents: DataFrame, text: str = "text", path: str | None = No
             out = [counter(raw, off) for _, _, raw, off in text_slices(b[text], SCAN_BYTES)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else [], pa.int64())], names=[*b.schema.names, "n_tokens"])
 
-    counted = documents.mapInArrow(run, schema)
+    counted = documents.mapInArrow(tidy(run), schema)
     return counted.select(*documents.columns, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, plus, ship, span_hashes, text_slices
+from .common import Words, plus, ship, span_hashes, text_slices, tidy
 
 MAX_TOXIC, MAX_CLEAN, MAX_UNLABELLED = 8_000, 8_000, 12_000
 BUCKET_BITS, FEATURES, LEAST_TOXIC = 20, 2048, 3
@@ -161,7 +161,7 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
                 out += [held[a:z] for a, z in zip(edge, edge[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b["__kinds"], pa.array(out, pa.list_(pa.int32()))], names=["kinds", "words"])
 
-    got = rows.mapInArrow(run, "kinds array<int>, words array<int>").toArrow()
+    got = rows.mapInArrow(tidy(run), "kinds array<int>, words array<int>").toArrow()
     kinds, words = got["kinds"].to_pylist(), got["words"].combine_chunks()
     off, flat = words.offsets.to_numpy(), words.values.to_numpy()
     sets = [flat[a:z] for a, z in zip(off, off[1:], strict=False)]
@@ -193,7 +193,7 @@ def score(documents: DataFrame, model: Model, text: str = "text", out: str = "sc
                 parts.append(_sigmoid(scale * z + shift) if np.isfinite(shift) else np.zeros(n))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(parts) if parts else [], pa.float64())], names=[f.name for f in schema])
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(tidy(run), schema)
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
