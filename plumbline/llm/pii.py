@@ -128,7 +128,7 @@ def candidates(text: Column, base: dict[str, Column]) -> dict[str, Column]:
 
 
 def training(spark: SparkSession, n: int = TRAINING) -> DataFrame:
-    """(id, y, text): templated sentences with one candidate each, personal (y = 1) or merely alike."""
+    """(id, kind, y, text): templated sentences with one candidate of their kind each, personal (y = 1) or merely alike."""
     i = F.col("id")
     r = lambda salt, m: F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(m)).cast("int")
     pick = lambda salt, *xs: F.get(F.array(*[F.lit(x) for x in xs]), r(salt, len(xs)))
@@ -139,6 +139,7 @@ def training(spark: SparkSession, n: int = TRAINING) -> DataFrame:
     at, dot = pick("at", " at ", " (at) ", " [at] ", "(at)", "[at]", " @ "), pick("dot", " dot ", " (dot) ", "[dot]", " . ", ".")
     host = pick("h", "mail", "example", "corp", "uni", "post")
     sep = pick("sep", "-", ".", " ", "/")
+    part = lambda k: r(f"i{k}", 256) % F.get(F.array(F.lit(10), F.lit(100), F.lit(256)), r(f"j{k}", 3))
     four = F.call_function("concat_ws", pick("s4", ".", "/", "_", "  ", "-"), num("c1", 4), num("c2", 4), num("c3", 4), num("c4", 4))
     context = {
         "email": pick("ce", "email me: ", "contact ", "reach me via mail ", "e-mail = ", "write to "), "ip": pick("ci", "server ip ", "host address ", "client ip: ", "gateway "),
@@ -146,7 +147,7 @@ def training(spark: SparkSession, n: int = TRAINING) -> DataFrame:
     }
     yes = {
         "email": F.concat(name, at, host, dot, pick("tld", "com", "org", "net", "de", "fr")),
-        "ip": F.when(r("v", 2) == 0, F.concat_ws("[.]", r("i1", 256), r("i2", 256), r("i3", 256), r("i4", 256))).otherwise(F.concat_ws(":", *[hexa(f"x{k}") for k in range(8)])),
+        "ip": F.when(r("v", 2) == 0, F.concat_ws("[.]", *[part(k) for k in range(4)])).otherwise(F.concat_ws(":", *[hexa(f"x{k}") for k in range(8)])),
         "card": four, "phone": F.concat(F.lit("("), num("p1", 3), F.lit(") "), num("p2", 3), sep, num("p3", 4)),
     }
     no = {
@@ -164,7 +165,7 @@ def training(spark: SparkSession, n: int = TRAINING) -> DataFrame:
         alike = F.when(r("m", 4) == 0, F.concat(neutral, yes[x], F.lit(" "), word("l3"))).when(r("m", 4) == 1, F.concat(neutral, plain, yes[x], F.lit(" "), word("l3"))).when(r("m", 4) == 2, F.concat(neutral, plain, no[x], F.lit(" "), word("l3"))).otherwise(F.concat(neutral, no[x], F.lit(" "), word("l3")))
         mine = F.when(y, personal).otherwise(alike)
         text = F.when(kind == k, mine) if text is None else text.when(kind == k, mine)
-    return spark.range(0, n, 1, 4).select("id", y.cast("int").alias("y"), text.alias("text"))
+    return spark.range(0, n, 1, 4).select("id", kind.alias("kind"), y.cast("int").alias("y"), text.alias("text"))
 
 
 class Boosted:
@@ -194,9 +195,11 @@ class Boosted:
         for k in range(len(KINDS)):
             q, t = ph[kind == k], yh[kind == k]
             order = np.argsort(-q)
+            s = np.r_[q[order], 0.0]
             good = np.cumsum(t[order]) / np.arange(1, len(q) + 1)
-            ok = np.flatnonzero((good >= precision) & (q[order] >= 0.5))
-            self.threshold.append(float(max(0.5, q[order][ok[-1]])) if len(ok) else 2.0)
+            # equal scores stand or fall together; the threshold lies half-way to the next score below
+            ok = np.flatnonzero((good >= precision) & (s[:-1] >= 0.5) & (s[:-1] > s[1:]))
+            self.threshold.append(float(max(0.5, (s[ok[-1]] + s[ok[-1] + 1]) / 2)) if len(ok) else 2.0)
 
     def _grow(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, at: np.ndarray, depth: int) -> tuple:
         leaf = (float(g[at].sum() / (h[at].sum() + 1.0)),)
@@ -255,8 +258,9 @@ def model(spark: SparkSession) -> Boosted:
     """The trees, fitted on the first call in a process."""
     if "model" not in _fitted:
         rows = training(spark).repartition(4, "id")  # made once: the text is no expression to be copied below
-        made = _propose(rows, F.col("text")).select("id", "y", "base", F.transform("__found", lambda x: x["f"]).alias("fs")).toArrow()
-        got = sorted((i, f, y) for i, y, fs in zip(*(made[c].to_pylist() for c in ("id", "y", "fs")), strict=True) for f in fs)
+        made = _propose(rows, F.col("text")).select("id", "kind", "y", F.transform("__found", lambda x: x["f"]).alias("fs")).toArrow()
+        # a candidate of another kind than its sentence's is nothing personal
+        got = sorted((i, f, y * (f[0] == kind)) for i, kind, y, fs in zip(*(made[c].to_pylist() for c in ("id", "kind", "y", "fs")), strict=True) for f in fs)
         ids, x, y = (np.array(c, float) for c in zip(*got, strict=True))
         _fitted["model"] = Boosted(x, y, ids % HELD == 0)
     return _fitted["model"]
