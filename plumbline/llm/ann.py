@@ -10,12 +10,15 @@ Within a list the vectors are turned by one random rotation and scanned in block
 COLUMNS columns. After each block a pair is abandoned if the distance so far, scaled to
 all columns, exceeds the query's bound by more than the test allows: (1 + EPSILON /
 sqrt(m))^2 after m columns, which a pair within the bound fails with small probability.
-Pairs that survive are scored exactly, in double precision on the original vectors.
+Pairs that survive are scored exactly, in double precision on the original vectors. A
+query's bound starts at its k-th best score among the sampled vectors, which are rows
+too, so the k nearest can only be at least as good, and each list abandons pairs from
+its first row on.
 
 Lists are dealt out in blocks of about BLOCK rows by a hash of the id, by their share of
 the sample, so a list with a third of all rows is many tasks' work; each block answers
 its queries' best k, and those meet in one window a query. What is broadcast is the
-rotation and at most MAX_LISTS centroids. Up to EXHAUSTIVE rows there is one list and
+rotation, at most MAX_LISTS centroids and the SAMPLE vectors. Up to EXHAUSTIVE rows there is one list and
 nothing is missed.
 
 Vectors that are null, zero, hold null or non-finite numbers, have no id, or have not
@@ -48,6 +51,8 @@ class Index:
     share: np.ndarray  # rows of each list, as the sample has it
     norm: float
     probes: int
+    sample: np.ndarray
+    ids: np.ndarray  # of the sample, each once
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         """Vectors with the column that makes their norms equal, turned."""
@@ -61,6 +66,18 @@ class Index:
         q = q * (self.norm / np.sqrt((q**2).sum(axis=1)))[:, None]
         return (np.c_[q, np.zeros(len(q))] @ self.rotation).astype(np.float32)
 
+    def floor(self, q: np.ndarray, q_ids: np.ndarray, k: int) -> np.ndarray:
+        """The k-th best score of each query among the sampled vectors but its own."""
+        out = np.full(len(q), -np.inf)
+        if len(self.sample) <= k:
+            return out
+        x = self.sample.astype(np.float64)
+        for s in range(0, len(q), 256):
+            score = q[s : s + 256].astype(np.float64) @ x.T
+            score[q_ids[s : s + 256, None] == self.ids[None, :]] = -np.inf
+            out[s : s + 256] = np.partition(score, -k, axis=1)[:, -k]
+        return out
+
     def far(self, x: np.ndarray) -> np.ndarray:
         return (self.centroids**2).sum(axis=1)[None, :] - 2 * x @ self.centroids.T
 
@@ -89,7 +106,8 @@ def fit(sample: np.ndarray, ids: np.ndarray, rows: int, norm: float, k: int, see
     rng = np.random.default_rng(seed)
     d = sample.shape[1] + 1
     rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
-    index = Index(np.zeros((1, d), np.float32), rotation, np.ones(1, np.int64), np.full(1, rows), norm, 1)
+    ids, once = np.unique(ids, return_index=True)
+    index = Index(np.zeros((1, d), np.float32), rotation, np.ones(1, np.int64), np.full(1, rows), norm, 1, sample[once], ids)
     if rows <= EXHAUSTIVE:
         index.blocks = np.array([-(-rows // BLOCK)])
         return index
@@ -108,15 +126,15 @@ def fit(sample: np.ndarray, ids: np.ndarray, rows: int, norm: float, k: int, see
     return index
 
 
-def scan(index: Index, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in q, id, score) of the best k of x for each query, found with early abandonment."""
+def scan(index: Index, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in q, id, score) of the best k of x for each query, found with early abandonment; what scores below a query's floor may be left out."""
     xr, qr = index.lift(x), index.aim(q)
     x, q = x.astype(np.float64), q.astype(np.float64)
     d, m2 = xr.shape[1], index.norm**2
     scale = index.norm / np.sqrt((q**2).sum(axis=1))
-    bound = np.full(len(q), np.inf)
+    bound = 2 * m2 - 2 * scale * floor
     kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    begin, tile = 0, 128
+    begin, tile = 0, 128 if np.isinf(bound).any() else 1024
     cuts = [*range(0, d, COLUMNS), d]
     while begin < len(x):
         here = np.arange(begin, min(begin + tile, len(x)))
@@ -140,7 +158,7 @@ def scan(index: Index, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.
         first = np.searchsorted(kept[0], np.arange(len(q)))
         rank = np.arange(len(order)) - first[kept[0]]
         last = rank == k - 1
-        bound[kept[0][last]] = 2 * m2 - 2 * scale[kept[0][last]] * kept[2][last]
+        bound[kept[0][last]] = np.minimum(bound[kept[0][last]], 2 * m2 - 2 * scale[kept[0][last]] * kept[2][last])
         kept = tuple(z[rank < k] for z in kept)
     return kept
 
@@ -171,7 +189,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
             block = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % ix.blocks[at]
             asks = np.flatnonzero(b["asks"].to_numpy(zero_copy_only=False))
             place, lists, where = [np.arange(len(x))], [at], [block]
+            floor = np.zeros(len(x))
             if len(asks):
+                floor[asks] = ix.floor(x[asks], ids[asks], k)
                 order = ix.far(ix.aim(x[asks])).argsort(axis=1)
                 enough = np.maximum(ix.probes, 1 + (np.cumsum(ix.share[order], axis=1) < 20 * k).sum(axis=1))
                 for i, o, n in zip(asks.tolist(), order, np.minimum(enough, order.shape[1]).tolist(), strict=True):
@@ -182,7 +202,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
             place, lists, where = map(np.concatenate, (place, lists, where))
             asked = np.arange(len(place)) >= len(x)
             take = pa.array(place)
-            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(where.astype(np.int64)), pa.array(asked), b["id"].take(take), b["v"].take(take)], names=["list", "block", "asked", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(where.astype(np.int64)), pa.array(asked), pa.array(floor[place]), b["id"].take(take), b["v"].take(take)], names=["list", "block", "asked", "floor", "id", "v"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
@@ -198,9 +218,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
                 x, ids = x[order], ids[order]
                 new = np.r_[True, (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(axis=1)]
                 base = (x[new], ids[new])
-            q, q_ids = np.concatenate([_matrix(p["v"]) for p in asks]), np.concatenate([p["id"].to_numpy() for p in asks])
+            q, q_ids, floor = np.concatenate([_matrix(p["v"]) for p in asks]), np.concatenate([p["id"].to_numpy() for p in asks]), np.concatenate([p["floor"].to_numpy() for p in asks])
             for s in range(0, len(q), 256):
-                i, found, score = scan(ix, *base, q[s : s + 256], q_ids[s : s + 256], k)
+                i, found, score = scan(ix, *base, q[s : s + 256], q_ids[s : s + 256], floor[s : s + 256], k)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[s : s + 256][i]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
 
         for b in batches:
@@ -225,7 +245,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
         yield from answer(asks)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.mapInArrow(tidy(deal), "list int, block long, asked boolean, id long, v array<float>")
+    dealt = rows.mapInArrow(tidy(deal), "list int, block long, asked boolean, floor double, id long, v array<float>")
     found = dealt.repartition(n, "list", "block").sortWithinPartitions("list", "block", "asked").mapInArrow(tidy(meet), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
