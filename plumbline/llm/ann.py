@@ -66,16 +66,24 @@ class Index:
         q = q * (self.norm / np.sqrt((q**2).sum(axis=1)))[:, None]
         return (np.c_[q, np.zeros(len(q))] @ self.rotation).astype(np.float32)
 
+    def best(self, q: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in q, id, score) of each query's k best sampled vectors but its own, all of them if there are fewer."""
+        x, parts = self.sample.astype(np.float64), []
+        k = min(k, len(x) - 1)
+        for s in range(0, len(q) if k > 0 else 0, 256):
+            part = q[s : s + 256].astype(np.float64)
+            score = part @ x.T
+            score[q_ids[s : s + 256, None] == self.ids[None, :]] = -np.inf
+            at = np.argpartition(-score, k - 1, axis=1)[:, :k].ravel()
+            of = np.repeat(np.arange(len(part)), k)
+            parts.append((s + of, self.ids[at], _exact(part, x, of, at)))
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
     def floor(self, q: np.ndarray, q_ids: np.ndarray, k: int) -> np.ndarray:
         """The k-th best score of each query among the sampled vectors but its own."""
         out = np.full(len(q), -np.inf)
-        if len(self.sample) <= k:
-            return out
-        x = self.sample.astype(np.float64)
-        for s in range(0, len(q), 256):
-            score = q[s : s + 256].astype(np.float64) @ x.T
-            score[q_ids[s : s + 256, None] == self.ids[None, :]] = -np.inf
-            out[s : s + 256] = np.partition(score, -k, axis=1)[:, -k]
+        if len(self.sample) > k:
+            out[:] = self.best(q, q_ids, k)[2].reshape(len(q), k).min(axis=1)
         return out
 
     def far(self, x: np.ndarray) -> np.ndarray:
@@ -95,6 +103,11 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return c
 
 
+def _exact(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray) -> np.ndarray:
+    """Inner products of pairs in double precision, always by the same sums, so that equal vectors score the same."""
+    return np.concatenate([np.einsum("ij,ij->i", q[qi[s : s + 65536]], x[xi[s : s + 65536]]) for s in range(0, max(1, len(qi)), 65536)])
+
+
 def _matrix(col: pa.Array) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
@@ -151,7 +164,7 @@ def scan(index: Index, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.
             qi, ci, seen = qi[ok], ci[ok], seen[ok]
         ok = q_ids[qi] != ids[ci]
         qi, ci = qi[ok], ci[ok]
-        score = np.concatenate([np.einsum("ij,ij->i", q[qi[s : s + 65536]], x[ci[s : s + 65536]]) for s in range(0, max(1, len(qi)), 65536)])
+        score = _exact(q, x, qi, ci)
         kept = tuple(np.concatenate(z) for z in zip(kept, (qi, ids[ci], score), strict=True))
         order = np.lexsort((kept[1], -kept[2], kept[0]))
         kept = tuple(z[order] for z in kept)
@@ -244,9 +257,18 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
                     base.append(part)
         yield from answer(asks)
 
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ids = b["id"].to_numpy()
+                i, found, score = index.value.best(_matrix(b["v"]), ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
+
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.mapInArrow(tidy(deal), "list int, block long, asked boolean, floor double, id long, v array<float>")
     found = dealt.repartition(n, "list", "block").sortWithinPartitions("list", "block", "asked").mapInArrow(tidy(meet), "query_id long, vec_id long, score double")
+    # the sample's best, which gave the bounds, are among the answers
+    found = found.unionByName(rows.where("asks").select("id", "v").mapInArrow(tidy(seeds), "query_id long, vec_id long, score double"))
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
