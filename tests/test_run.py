@@ -25,10 +25,13 @@ def files(tmp_path_factory):
     return at
 
 
+FEW = {c: c in ("dedup_check", "class_distribution_report", "low_cardinality_warning", "known_issue_lookup") for c in CHECKS}
+
+
 def write(files, name, **more):
     cfg = {
         "dataset": {"name": "Demo set", "raw_files": [str(files / "d.csv")], "group_columns": ["host"]}, "schema": {"label_column": "y", "attack_category_column": "cat", "id_like_columns": ["host"], "flow_id_columns": ["host"]},
-        "label_grouping": {"attack_type_mapping": {"ddos": "dos"}}, "audit": {"forest_trees": 5, "forest_depth": 4, "checkpoint": True}, "classifiers": {"list": ["DecisionTree", "LDA"]}, "output": {"dir": str(files / f"out-{name}"), "write_scorecard_plot": True},
+        "label_grouping": {"attack_type_mapping": {"ddos": "dos"}}, "audit": {"forest_trees": 3, "forest_depth": 3, "checkpoint": True}, "classifiers": {"list": ["DecisionTree", "LDA"]}, "output": {"dir": str(files / f"out-{name}"), "write_scorecard_plot": True},
     }
     from plumbline.config import merge
 
@@ -73,7 +76,8 @@ def test_cite_and_recommend(done, capsys, files, spark):
 
 
 def test_second_run_uses_the_cache_and_compares(done, files, spark):
-    run.main(["run", "--config", str(files / "a.yaml"), "--skip-benchmark"], spark)
+    few = write(files, "a", audit=FEW)
+    run.main(["run", "--config", str(few), "--skip-benchmark"], spark)
     last = sorted((files / "out-a" / "runs").iterdir())[-1]
     drift = json.loads((last / "scorecard.json").read_text())["previous_run_comparison"]
     assert drift["previous_run"] == done.name and drift["changed_checks"] == [] and not drift["fingerprint_changed"]
@@ -89,7 +93,7 @@ def test_compare(files, spark, capsys):
 
 
 def test_failure_is_noted(files, spark):
-    p = write(files, "bad", classifiers={"list": ["DecisionTree"]}, output={"keep_runs": 1})
+    p = write(files, "bad", audit=FEW, output={"keep_runs": 1})
     old = checks()["class_distribution_report"]
     from plumbline.plans import registry
 
@@ -111,7 +115,7 @@ def test_parallel_is_sequential(spark, files):
     from plumbline.config import load_config, merge
     from plumbline.plans import loading
 
-    cfg = merge(load_config(str(write(files, "p"))), {"audit": {"checkpoint": False}})
+    cfg = merge(load_config(str(write(files, "p"))), {"audit": {"checkpoint": False, **FEW}})
     train, test = loading.load_split(spark, cfg)
     a = audit.run_audit(spark, train, test, cfg)
     b = audit.run_audit(spark, train, test, merge(cfg, {"audit": {"parallel_checks": True}}))
