@@ -207,9 +207,10 @@ v AS (SELECT cls, s, sum(y_n) AS pos, sum(n - y_n) AS neg FROM z GROUP BY 1, 2),
 SELECT cls, CAST(sum(pos) AS BIGINT) AS support, round((sum(k * pos) - sum(pos) * (sum(pos) + 1) / 2) / (sum(pos) * sum(neg)), 6) AS auc FROM w GROUP BY 1"""
 
 
-@query(f"WITH src AS (SELECT *, event_id AS k FROM events), {_lookup_ctes(['user_id'], 'event_type', 'src')} SELECT user_id, cls, n, y_n, round(p, 6) AS p, seen FROM scores")
+@query(f"WITH src AS (SELECT *, event_id AS k FROM events), {_lookup_ctes(['user_id'], 'event_type', 'src')} SELECT user_id, cls, n, y_n, round(p + 1e-9, 6) AS p, seen FROM scores")
 def identity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(relational.lookup_scores(*halves(table(spark, sf_dir, "events"), "event_id"), ["user_id"], "event_type"), "p")
+    # off the exact halves, which the two sides round differently
+    return rounded(relational.lookup_scores(*halves(table(spark, sf_dir, "events"), "event_id"), ["user_id"], "event_type").withColumn("p", F.col("p") + 1e-9), "p")
 
 
 def _class_auc(scores: DataFrame) -> DataFrame:
