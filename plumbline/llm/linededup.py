@@ -8,20 +8,28 @@ elsewhere shifts nothing. Two such chunkings with unrelated hashes are used, whi
 leaves few passages without a whole chunk inside. A chunk counts if it has two lines
 and MIN_WORDS words, or LONE_WORDS words in one line.
 
-1. Hashes of all chunks are counted. Those that occur twice set bits in a bitmap of
-   fixed size (BITMAP_BITS, so the broadcast is bounded; a full bitmap filters less
+Chunks of lines may miss a passage, so runs of words have keys too, whatever the lines:
+of each WINDOW neighbouring runs of GRAM words the one with the least hash is a key. The
+choice depends on those words only, so two texts that share GRAM + WINDOW - 1 = 51 words
+in a row always share a key inside them. Keys overlap or touch, as WINDOW <= GRAM.
+
+1. Hashes of all chunks and keys are counted. Those that occur twice set bits in a bitmap
+   of fixed size (BITMAP_BITS, so the broadcast is bounded; a full bitmap filters less
    and loses nothing). Hashes with more than a hundred-thousandth of all chunks, and
    5,000 at least, are listed as hot; there can be at most 100,000 of them.
-2. Chunks that pass the bitmap travel with their bytes to their hash, hot ones salted.
-   There they are compared byte by byte with the first, in order of doc_id and place.
-   Every later one is a repeat; it grows over the lines before and after it that equal
-   those of the first (compared by 64-bit hash). The firsts of salted groups meet again.
-3. The repeated line ranges go back to their documents, which are cut.
+2. Chunks and keys that pass the bitmap travel with their bytes to their hash, hot ones
+   salted. There they are compared byte by byte with the first, in order of doc_id and
+   place (words joined by one space). Every later one is a repeat; one of lines grows
+   over the lines before and after it that equal those of the first (compared by 64-bit
+   hash). The firsts of salted groups meet again.
+3. The repeated ranges of lines and words go back to their documents, which are cut; a
+   document without any does not travel. A word goes with the space after it. Of a run
+   of words that overlaps its first occurrence only the part beyond that goes.
 
 The first occurrence of a passage stays, so a document that copies another whole is
 left empty, not dropped. A document is its doc_id and text: rows that repeat both are
 one document and fare alike. A null text has no lines and stays null; null ids come
-first in the order.
+first in the order. n_cut counts the lines that lost text.
 """
 
 from __future__ import annotations
@@ -30,13 +38,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import checkpoint
-from .common import mix, plus, ship, span_hashes, text_slices, tidy
+from .common import _powers, mix, plus, ship, span_hashes, text_slices, tidy
 
 MIN_WORDS, LONE_WORDS = 10, 20
+GRAM, WINDOW = 26, 26
 BITMAP_BITS = 27
 HOT_ROWS, HOT_SHARE, SALTS = 5_000, 100_000, 32
 _R = np.uint64(0xD6E8FEB86659FD93)
@@ -44,7 +55,7 @@ _RINV = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
 
 
 class Lines:
-    """Lines of a slice of texts: ranges with their ends, content hashes and words."""
+    """Lines and words of a slice of texts: ranges (of lines, with their ends) and content hashes."""
 
     def __init__(self, raw: np.ndarray, off: np.ndarray) -> None:
         self.raw = raw
@@ -62,12 +73,16 @@ class Lines:
         self.start = np.r_[0, self.end[:-1]] if len(self.end) else self.end
         self.stop = self.end - bare[self.end]
         self.first = np.searchsorted(self.start, off) if len(self.start) else np.zeros(len(off), np.int64)
-        self.hash = span_hashes(raw, self.start, self.stop)
         space = (raw == 32) | ((raw >= 9) & (raw <= 13))
         begins = ~space
         begins[1:] &= space[:-1] | ends[1:-1]
         words = np.cumsum(np.r_[0, begins])
         self.words = words[self.end] - words[self.start]
+        self.word_start = np.flatnonzero(begins)
+        self.word_end = np.flatnonzero(~space & np.r_[(space | begins)[1:], True]) + 1 if len(raw) else self.word_start
+        self.word_first = np.searchsorted(self.word_start, off)
+        both = span_hashes(raw, np.r_[self.start, self.word_start], np.r_[self.stop, self.word_end])
+        self.hash, self.word_hash = both[: len(self.start)], both[len(self.start) :]
 
     def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(first line, line after the last, hash) of the chunks that count, for each chunking."""
@@ -94,77 +109,182 @@ class Lines:
             a, b = a[ok], b[ok]
             yield a, b, mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
 
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of the runs of GRAM words that are the least of some WINDOW neighbouring ones."""
+        n = len(self.word_start) - GRAM + 1
+        if n < WINDOW:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        p, q = _powers(len(self.word_start))
+        sums = np.zeros(len(self.word_start) + 1, np.uint64)
+        np.cumsum(self.word_hash * p, out=sums[1:])
+        h = mix((sums[GRAM:] - sums[:-GRAM]) * q[:n] + np.uint64(0x2545F4914F6CDD1D))
+        last = np.repeat(self.word_first[1:], np.diff(self.word_first))[:n]
+        whole = np.arange(n) + GRAM <= last
+        low = _slide(np.where(whole, h, np.uint64(2**64 - 1)), np.minimum)
+        low[np.arange(len(low)) + GRAM + WINDOW - 1 > last[: len(low)]] = 0
+        ends = np.zeros(WINDOW - 1, np.uint64)
+        at = np.flatnonzero(whole & (_slide(np.r_[ends, low, ends], np.maximum) == h))
+        return at, h[at]
+
+    def run(self, at: int, n: int = GRAM) -> bytes:
+        """The n words from a place, joined by single spaces."""
+        return b" ".join(self.raw[self.word_start[at] : self.word_end[at + n - 1]].tobytes().split()) if n else b""
+
+    def bytes_of(self, doc: int, lo: int, hi: int) -> tuple[int, int]:
+        """The bytes of words lo to hi of a text, with the spaces after them; the first word has those before it."""
+        a, z = self.word_first[doc], self.word_first[doc + 1]
+        begin, end = self.start[self.first[doc]], self.end[self.first[doc + 1] - 1]
+        return int(self.word_start[a + lo] if lo else begin), int(self.word_start[a + hi] if a + hi < z else end)
+
     def text(self, a: int, b: int) -> bytes:
         raw = self.raw
         return b"\n".join(raw[self.start[k] : self.stop[k]].tobytes() for k in range(a, b))
 
 
+def _slide(v: np.ndarray, f: np.ufunc) -> np.ndarray:
+    """f over every WINDOW neighbouring values."""
+    width = 1
+    while 2 * width <= WINDOW:
+        v, width = f(v[:-width], v[width:]), 2 * width
+    return f(v[: width - WINDOW], v[WINDOW - width :]) if width < WINDOW else v
+
+
+def _set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the bits of the hashes are set."""
+    low = h & np.uint64((1 << BITMAP_BITS) - 1)
+    return ((bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def _bitmap(hashes: DataFrame):
+    """A broadcast bitmap of BITMAP_BITS bits from a column h of longs."""
+    mask = (1 << BITMAP_BITS) - 1
+    words = hashes.select(F.expr(f"cast(shiftright(h & {mask}L, 6) as int)").alias("w"), F.expr("shiftleft(1L, cast(h & 63L as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    bits[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(bits)
+
+
 def _hashes(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, raw, off in text_slices(b[text]):
-                for _, _, h in Lines(raw, off).chunks():
+                lines = Lines(raw, off)
+                for h in (*(h for _, _, h in lines.chunks()), lines.grams()[1]):
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
     return run
 
 
-_FOUND = "h long, salt int, id {id}, th long, line int, n int, chunk binary, before array<long>, after array<long>"
+_FOUND = "unit int, h long, salt int, id {id}, th long, line int, n int, chunk binary, before binary, after binary"
+_MET = "unit int, id {id}, th long, lo int, hi int, h long, fth long, first boolean, chunk binary, before binary, after binary"
+#: What a range counts.
+LINES, WORDS = 0, 1
+
+
+def _salts(spread: np.ndarray, key: np.ndarray, th: np.ndarray) -> np.ndarray:
+    if not len(spread):
+        return np.zeros(len(key), np.int32)
+    k = np.minimum(np.searchsorted(spread, key), len(spread) - 1)
+    return np.where(spread[k] == key, th % SALTS, 0).astype(np.int32)
 
 
 def _candidates(bitmap, hot, text: str, doc_id: str):
-    """Chunks whose hash is set in the bitmap, with their bytes and the hashes of the lines around them."""
+    """Chunks and keys whose hash is set in the bitmap, with their bytes; chunks with the hashes of the lines around them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, spread = bitmap.value, hot.value
         for b in batches:
             ids, th = b[doc_id], b["__th"].to_numpy()
-            for row, n_rows, raw, off in text_slices(b[text]):
+            for row, _, raw, off in text_slices(b[text]):
                 lines = Lines(raw, off)
-                lh = lines.hash.view(np.int64)
                 for a, e, h in lines.chunks():
-                    low = h & np.uint64((1 << BITMAP_BITS) - 1)
-                    ok = np.flatnonzero((bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1))
+                    ok = np.flatnonzero(_set(bits, h))
                     if not len(ok):
                         continue
-                    a, e, h = a[ok], e[ok], h[ok]
+                    a, e, key = a[ok], e[ok], h[ok].view(np.int64)
                     doc = np.searchsorted(lines.first, a, side="right") - 1
                     begin, end = lines.first[doc], lines.first[doc + 1]
-                    key = h.view(np.int64)
-                    k = np.minimum(np.searchsorted(spread, key), max(0, len(spread) - 1))
-                    salt = np.where(spread[k] == key, th[row + doc] % SALTS, 0) if len(spread) else np.zeros(len(key), np.int64)
-                    # a chunk is followed up to the ends of its neighbours: at most as many lines as it is likely to miss
+                    # a chunk is followed over some lines; what runs on in long passages has keys of words
                     lo, hi = np.maximum(begin, a - REACH), np.minimum(end, e + REACH)
-                    cols = [
-                        pa.array(key), pa.array(salt.astype(np.int32)), ids.take(pa.array(row + doc)), pa.array(th[row + doc]),
-                        pa.array((a - begin).astype(np.int32)), pa.array((e - a).astype(np.int32)),
-                        pa.array([lines.text(x, y) for x, y in zip(a.tolist(), e.tolist(), strict=True)], pa.binary()),
-                        pa.array([lh[x:y] for x, y in zip(lo.tolist(), a.tolist(), strict=True)], pa.list_(pa.int64())),
-                        pa.array([lh[x:y] for x, y in zip(e.tolist(), hi.tolist(), strict=True)], pa.list_(pa.int64())),
-                    ]
-                    yield pa.RecordBatch.from_arrays(cols, names=["h", "salt", "id", "th", "line", "n", "chunk", "before", "after"])
+                    yield _found(
+                        LINES, key, _salts(spread, key, th[row + doc]), ids.take(pa.array(row + doc)), th[row + doc], a - begin, e - a,
+                        [lines.text(x, y) for x, y in zip(a.tolist(), e.tolist(), strict=True)],
+                        [lines.hash[x:y].tobytes() for x, y in zip(lo.tolist(), a.tolist(), strict=True)],
+                        [lines.hash[x:y].tobytes() for x, y in zip(e.tolist(), hi.tolist(), strict=True)],
+                    )
+                at, h = lines.grams()
+                ok = np.flatnonzero(_set(bits, h))
+                if len(ok):
+                    at, key = at[ok], h[ok].view(np.int64)
+                    doc = np.searchsorted(lines.word_first, at, side="right") - 1
+                    none = [None] * len(at)
+                    yield _found(WORDS, key, _salts(spread, key, th[row + doc]), ids.take(pa.array(row + doc)), th[row + doc], at - lines.word_first[doc], np.full(len(at), GRAM), [lines.run(x) for x in at.tolist()], none, none)
 
     return run
 
 
+def _found(unit, key, salt, ids, th, line, n, chunk, before, after) -> pa.RecordBatch:
+    cols = [
+        pa.array(np.full(len(key), unit, np.int32)), pa.array(key), pa.array(salt), ids, pa.array(th), pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)),
+        pa.array(chunk, pa.binary()), pa.array(before, pa.binary()), pa.array(after, pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(cols, names=["unit", "h", "salt", "id", "th", "line", "n", "chunk", "before", "after"])
+
+
 #: Lines before and after a repeated chunk that it may grow over.
 REACH = 4
 
 
+def _same(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Null-safe equality."""
+    return pc.or_kleene(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+
+
 def _repeats(spread):
-    """From candidates sorted by hash, salt and place: line ranges of repeats (first set null), and the firsts of hot hashes."""
+    """From candidates sorted by hash, salt and place: ranges of repeats, and the firsts of hot hashes (first set)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = set(spread.value.tolist()) if spread is not None else set()
+        hot = spread.value if spread is not None else np.zeros(0, np.int64)
+        hot_set = set(hot.tolist())
         at, firsts = None, {}
+        head, odd = None, {}  # keys of words: the first row of the last hash; firsts that share a hash with other bytes
         for b in batches:
-            cols = [b[c].to_pylist() for c in ("h", "salt", "id", "th", "line", "n", "chunk", "before", "after")]
-            ids, th, lo, hi, kept = [], [], [], [], []
-            for k, (h, salt, i, t, line, n, chunk, before, after) in enumerate(zip(*cols, strict=True)):
+            gram = b["before"].is_null()
+            if gram.true_count:
+                g = b.filter(gram)
+                if head is not None:
+                    g = pa.Table.from_batches([head, g]).combine_chunks().to_batches()[0]
+                skip = int(head is not None)
+                h, salt, th, line = (g[c].to_numpy() for c in ("h", "salt", "th", "line"))
+                new = np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]
+                first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+                equal = pc.equal(g["chunk"], g["chunk"].take(pa.array(first))).to_numpy(zero_copy_only=False)
+                one = _same(g["id"], g["id"].take(pa.array(first))) & (th == th[first])
+                start, fth = np.where(one & (line < line[first] + GRAM), line[first] + GRAM, line), th[first].copy()
+                later = equal & ~(one & (line == line[first]))
+                own = new.copy()
+                for k in np.flatnonzero(~equal).tolist():  # hashes of different bytes that meet
+                    place, mine = (g["id"][k].as_py(), int(th[k]), int(line[k])), (int(h[k]), int(salt[k]), g["chunk"][k].as_py())
+                    f = odd.setdefault(mine, place)
+                    own[k], later[k], fth[k] = f == place, f != place, f[1]
+                    start[k] = max(line[k], f[2] + GRAM) if f[:2] == place[:2] else line[k]
+                own[:skip] = later[:skip] = False
+                head = g.slice(int(first[-1]), 1)
+                k = np.flatnonzero(later)
+                if len(k):
+                    yield _result(g.take(pa.array(k)), start[k], line[k] + GRAM, fth[k], False)
+                k = np.flatnonzero(own & np.isin(h, hot))
+                if len(k):
+                    yield _result(g.take(pa.array(k)), line[k], np.full(len(k), GRAM), th[k], True)
+            b = b.filter(pc.invert(gram))
+            cols = [b[c].to_pylist() for c in ("h", "salt", "id", "th", "line", "n", "chunk", "before", "after", "unit")]
+            rows, lo, hi, fth, kept = [], [], [], [], []
+            for k, (h, salt, i, t, line, n, chunk, before, after, unit) in enumerate(zip(*cols, strict=True)):
                 if at != (h, salt):
                     at, firsts = (h, salt), {}
+                before, after = _parts(before, unit), _parts(after, unit)
                 first = firsts.get(chunk)
                 if first is None:
                     firsts[chunk] = (i, t, line, before, after)
-                    if h in hot:
+                    if h in hot_set:
                         kept.append(k)
                 elif first[:3] != (i, t, line):
                     up = down = 0
@@ -172,62 +292,84 @@ def _repeats(spread):
                         up += 1
                     while down < min(len(after), len(first[4])) and after[down] == first[4][down]:
                         down += 1
-                    ids.append(i)
-                    th.append(t)
-                    lo.append(line - up)
+                    rows.append(k)
+                    # where words overlap their first occurrence, that stays
+                    lo.append(max(line - up, min(line, first[2]) + n) if unit == WORDS and first[:2] == (i, t) else line - up)
                     hi.append(line + n + down)
-            if ids:
-                yield _result(b, pa.array(ids, b.schema.field("id").type), th, lo, hi, None)
+                    fth.append(first[1])
+            if rows:
+                yield _result(b.take(pa.array(rows)), lo, hi, fth, False)
             if kept:
                 part = b.take(pa.array(kept))
-                yield _result(b, part["id"], part["th"], part["line"], part["n"], part)
+                yield _result(part, part["line"], part["n"], part["th"], True)
 
     return run
 
 
-def _result(b: pa.RecordBatch, ids, th, lo, hi, part) -> pa.RecordBatch:
-    n = len(ids)
-    more = [part[c] if part is not None else pa.nulls(n, b.schema.field(c).type) for c in ("h", "chunk", "before", "after")]
-    return pa.RecordBatch.from_arrays([ids, pa.array(th, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), *more], names=["id", "th", "lo", "hi", "h", "chunk", "before", "after"])
+def _parts(x: bytes, unit: int) -> list[bytes]:
+    return x.split() if unit == WORDS else [x[k : k + 8] for k in range(0, len(x), 8)]
+
+
+def _result(b: pa.RecordBatch, lo, hi, fth, first: bool) -> pa.RecordBatch:
+    n = b.num_rows
+    more = [b[c] if first else pa.nulls(n, pa.binary()) for c in ("chunk", "before", "after")]
+    cols = [b["unit"], b["id"], b["th"], pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), b["h"], pa.array(fth, pa.int64()), pa.array([first] * n), *more]
+    return pa.RecordBatch.from_arrays(cols, names=["unit", "id", "th", "lo", "hi", "h", "fth", "first", "chunk", "before", "after"])
+
+
+def _meet(rows: DataFrame, spread, n: int) -> DataFrame:
+    """(unit, id, th, lo, hi, h, fth) of the repeats among candidates; fth is the first's th."""
+    out = _MET.format(id=rows.schema["id"].dataType.simpleString())
+    place = ["h", "salt", "id", "th", "line"]
+    met = checkpoint(rows.repartition(n, "h", "salt").sortWithinPartitions(*place).mapInArrow(tidy(_repeats(spread)), out))
+    again = met.where("first").select("unit", "h", F.lit(0).alias("salt"), "id", "th", F.col("lo").alias("line"), F.col("hi").alias("n"), "chunk", "before", "after")
+    again = again.repartition(n, "h").sortWithinPartitions(*place).mapInArrow(tidy(_repeats(None)), out)
+    cols = ["unit", "id", "th", "lo", "hi", "h", "fth"]
+    return met.where("not first").select(*cols).unionByName(again.select(*cols))
 
 
 def repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(id, th, ranges): the line ranges of each document (its id and xxhash64 of its text) that repeat earlier ones."""
+    """(id, th, ranges): the ranges of lines and words of each document (its id and xxhash64 of its text) that repeat earlier ones."""
     spark = documents.sparkSession
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = documents.select(F.col(doc_id), F.xxhash64(text).alias("__th"), text)
     counts = checkpoint(texts.select(text).mapInArrow(tidy(_hashes(text)), "h long").groupBy("h").count().where("count > 1"))
-    mask = (1 << BITMAP_BITS) - 1
-    words = counts.select(F.expr(f"cast(shiftright(h & {mask}L, 6) as int)").alias("w"), F.expr("shiftleft(1L, cast(h & 63L as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-    bits[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
     total = counts.agg(F.sum("count")).first()[0] or 0
     hot = counts.where(F.col("count") > max(HOT_ROWS, total // HOT_SHARE)).select("h").toArrow()["h"].to_numpy()
-    bitmap, spread = spark.sparkContext.broadcast(bits), spark.sparkContext.broadcast(np.sort(hot))
-    kind = texts.schema[doc_id].dataType.simpleString()
-    out = f"id {kind}, th long, lo int, hi int, h long, chunk binary, before array<long>, after array<long>"
-    place = ["h", "salt", "id", "th", "line"]
-    rows = texts.mapInArrow(tidy(_candidates(bitmap, spread, text, doc_id)), _FOUND.format(id=kind))
-    met = checkpoint(rows.repartition(n, "h", "salt").sortWithinPartitions(*place).mapInArrow(tidy(_repeats(spread)), out))
-    again = met.where("h is not null").select("h", F.lit(0).alias("salt"), "id", "th", F.col("lo").alias("line"), F.col("hi").alias("n"), "chunk", "before", "after")
-    again = again.repartition(n, "h").sortWithinPartitions(*place).mapInArrow(tidy(_repeats(None)), out)
-    found = met.where("h is null").select("id", "th", "lo", "hi").unionByName(again.select("id", "th", "lo", "hi"))
-    return found.distinct().groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    bitmap, spread = _bitmap(counts.select("h")), spark.sparkContext.broadcast(np.sort(hot))
+    kind = _FOUND.format(id=texts.schema[doc_id].dataType.simpleString())
+    met = _meet(texts.mapInArrow(tidy(_candidates(bitmap, spread, text, doc_id)), kind), spread, n)
+    found = met.where(f"unit = {LINES}").select("unit", "id", "th", "lo", "hi").distinct()
+    # repeated keys of words that touch are one run
+    place = Window.partitionBy("id", "th").orderBy("lo", "hi")
+    runs = met.where(f"unit = {WORDS}").withColumn("gap", F.coalesce(F.lag("hi").over(place) < F.col("lo"), F.lit(True)).cast("int")).withColumn("run", F.sum("gap").over(place))
+    runs = runs.groupBy("id", "th", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = found.unionByName(runs.select(F.lit(WORDS).alias("unit"), "id", "th", "lo", "hi"))
+    return found.groupBy("id", "th").agg(F.collect_list(F.struct("unit", "lo", "hi")).alias("ranges"))
 
 
 def deduplicate(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """documents with repeated passages cut from the text, and n_lines and n_cut (lines) added."""
     schema = plus(documents, n_lines="long", n_cut="long")
     plus(documents, __th="long", __ranges="int")
-    found = repeats(documents, text, doc_id).withColumnsRenamed({"id": "__id", "th": "__t", "ranges": "__ranges"})
+    found = checkpoint(repeats(documents, text, doc_id).withColumnsRenamed({"id": "__id", "th": "__t", "ranges": "__ranges"}))
+    bitmap = _bitmap(found.select(F.col("__t").alias("h")))
     keyed = documents.withColumn("__th", F.xxhash64(text))
-    joined = keyed.join(found, (F.col("__th") == F.col("__t")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left").drop("__id", "__t", "__th")
+
+    def with_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_set(bitmap.value, b["__th"].to_numpy().view(np.uint64))))
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(~_set(bitmap.value, b["__th"].to_numpy().view(np.uint64))))
+            yield from run(iter([b.append_column("__ranges", pa.nulls(b.num_rows))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ranges, texts = b["__ranges"].to_pylist(), b[text].to_pylist()
-            n_lines, n_cut = [], [0] * b.num_rows
+            ranges, texts = b["__ranges"].to_pylist(), b[text]
+            n_lines, n_cut, new = [], [0] * b.num_rows, {}
             for row, n_rows, raw, off in text_slices(b[text]):
                 lines = Lines(raw, off)
                 n_lines.append(np.diff(lines.first))
@@ -235,16 +377,21 @@ def deduplicate(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
                     if not ranges[row + k]:
                         continue
                     a, z = lines.first[k], lines.first[k + 1]
-                    keep = np.ones(z - a, bool)
+                    keep = np.ones(off[k + 1] - off[k], bool)
                     for x in ranges[row + k]:
-                        keep[x["lo"] : x["hi"]] = False
-                    n_cut[row + k] = int((~keep).sum())
-                    texts[row + k] = b"".join(raw[lines.start[j] : lines.end[j]].tobytes() for j in (a + np.flatnonzero(keep)).tolist()).decode()
-            new = {text: pa.array(texts, pa.string()), "n_lines": pa.array(np.concatenate(n_lines) if n_lines else [], pa.int64()), "n_cut": pa.array(n_cut, pa.int64())}
+                        lo, hi = lines.bytes_of(k, x["lo"], x["hi"]) if x["unit"] == WORDS else (lines.start[a + x["lo"]], lines.end[a + x["hi"] - 1])
+                        keep[lo - off[k] : hi - off[k]] = False
+                    n_cut[row + k] = int((np.add.reduceat(~keep, lines.start[a:z] - off[k], dtype=np.int64) > 0).sum())
+                    new[row + k] = raw[off[k] : off[k + 1]][keep].tobytes().decode()
+            if new:
+                texts = pa.array([new.get(k, x) for k, x in enumerate(texts.to_pylist())], pa.string())
+            made = {text: texts.cast(pa.string()), "n_lines": pa.array(np.concatenate(n_lines) if n_lines else [], pa.int64()), "n_cut": pa.array(n_cut, pa.int64())}
             names = [f.name for f in schema]
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else b[c] for c in names], names=names)
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else b[c] for c in names], names=names)
 
-    return joined.mapInArrow(tidy(run), schema)
+    hit = keyed.mapInArrow(tidy(with_repeats), keyed.schema)
+    joined = hit.join(found, (F.col("__th") == F.col("__t")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left").drop("__id", "__t", "__th")
+    return joined.mapInArrow(tidy(run), schema).unionByName(keyed.mapInArrow(tidy(without), schema))
 
 
 def digest(documents: DataFrame) -> DataFrame:

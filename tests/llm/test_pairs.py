@@ -161,6 +161,26 @@ def test_chunk_hashes_do_not_depend_on_place():
     assert len(hashes[0]) > 10 and len(hashes[0] & hashes[1]) >= len(hashes[0]) - 4 and len(hashes[0] & hashes[2]) >= len(hashes[0]) - 4
 
 
+def copied(spark, passages, gap=" ", own=None):
+    """What line dedup leaves of the first and the second of two texts around each passage, with what stands before and after."""
+    rng = random.Random(6)
+    own = own or (lambda: " ".join(sentence(rng) for _ in range(4)))
+    parts = [(own(), p, own()) for p in passages for _ in range(2)]
+    df = spark.createDataFrame([(k, gap.join(x)) for k, x in enumerate(parts)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["text"] for r in linededup.deduplicate(df).collect()}
+    return [(got[k], got[k + 1], parts[k], parts[k + 1]) for k in range(0, len(parts), 2)]
+
+
+@pytest.mark.parametrize("sentences, words", [(3, 18), (4, 13), (5, 11)])
+def test_no_shared_run_of_51_words_is_missed(spark, sentences, words):
+    rng = random.Random(8)
+    passages = [" ".join(sentence(rng, words) for _ in range(sentences)) for _ in range(25)]
+    for first, second, a, (front, passage, back) in copied(spark, passages):
+        assert first == " ".join(a) and second.startswith(front) and second.endswith(back)
+        left = passage.split()
+        assert not any(" ".join(left[k : k + 51]) in second for k in range(len(left) - 50))
+
+
 # --- op8 ---------------------------------------------------------------------
 
 
