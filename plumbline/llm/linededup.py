@@ -22,7 +22,12 @@ in a row always share a key inside them. Keys overlap or touch, as WINDOW <= GRA
    place (words joined by one space). Every later one is a repeat; one of lines grows
    over the lines before and after it that equal those of the first (compared by 64-bit
    hash). The firsts of salted groups meet again.
-3. The repeated ranges of lines and words go back to their documents, which are cut; a
+3. Repeated keys that touch are one run of words. The keys at the ends of runs meet their
+   firsts once more, now with the WINDOW - 1 words on both sides, and grow over those that
+   equal the first's. A run that went on beyond these would have had a further key, so
+   with that it has the full extent it shares with the first, however short its lines.
+   Only keys and documents in two more such bitmaps take part.
+4. The repeated ranges of lines and words go back to their documents, which are cut; a
    document without any does not travel. A word goes with the space after it. Of a run
    of words that overlaps its first occurrence only the part beyond that goes.
 
@@ -222,6 +227,32 @@ def _candidates(bitmap, hot, text: str, doc_id: str):
     return run
 
 
+def _ends(keys, docs, hot, text: str, doc_id: str):
+    """Keys of words set in one bitmap, of documents set in the other, with the words around them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(_set(docs.value, b["__th"].to_numpy().view(np.uint64))))
+            ids, th = b[doc_id], b["__th"].to_numpy()
+            for row, _, raw, off in text_slices(b[text]):
+                lines = Lines(raw, off)
+                at, h = lines.grams()
+                ok = np.flatnonzero(_set(keys.value, h))
+                if not len(ok):
+                    continue
+                at, key = at[ok], h[ok].view(np.int64)
+                doc = np.searchsorted(lines.word_first, at, side="right") - 1
+                begin, end = lines.word_first[doc], lines.word_first[doc + 1]
+                lo, hi = np.maximum(begin, at - WINDOW + 1), np.minimum(end, at + GRAM + WINDOW - 1)
+                yield _found(
+                    WORDS, key, _salts(hot.value, key, th[row + doc]), ids.take(pa.array(row + doc)), th[row + doc], at - begin, np.full(len(at), GRAM),
+                    [lines.run(x) for x in at.tolist()],
+                    [lines.run(x, y - x) for x, y in zip(lo.tolist(), at.tolist(), strict=True)],
+                    [lines.run(x + GRAM, y - x - GRAM) for x, y in zip(at.tolist(), hi.tolist(), strict=True)],
+                )
+
+    return run
+
+
 def _found(unit, key, salt, ids, th, line, n, chunk, before, after) -> pa.RecordBatch:
     cols = [
         pa.array(np.full(len(key), unit, np.int32)), pa.array(key), pa.array(salt), ids, pa.array(th), pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)),
@@ -344,8 +375,14 @@ def repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     # repeated keys of words that touch are one run
     place = Window.partitionBy("id", "th").orderBy("lo", "hi")
     runs = met.where(f"unit = {WORDS}").withColumn("gap", F.coalesce(F.lag("hi").over(place) < F.col("lo"), F.lit(True)).cast("int")).withColumn("run", F.sum("gap").over(place))
-    runs = runs.groupBy("id", "th", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    found = found.unionByName(runs.select(F.lit(WORDS).alias("unit"), "id", "th", "lo", "hi"))
+    ends = [F.array(f"{end}.h", f"{end}.fth").alias(end) for end in ("low", "high")]
+    runs = runs.groupBy("id", "th", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min_by(F.struct("h", "fth"), "lo").alias("low"), F.max_by(F.struct("h", "fth"), "hi").alias("high"))
+    runs = checkpoint(runs.select("id", "th", "lo", "hi", *ends))
+    keys = _bitmap(runs.select(F.explode(F.array(F.expr("low[0]"), F.expr("high[0]"))).alias("h")))
+    docs = _bitmap(runs.select(F.explode(F.array(F.col("th"), F.expr("low[1]"), F.expr("high[1]"))).alias("h")))
+    grown = _meet(texts.mapInArrow(tidy(_ends(keys, docs, spread, text, doc_id)), kind), spread, n)
+    for part in (runs.select(F.lit(WORDS).alias("unit"), "id", "th", "lo", "hi"), grown.select("unit", "id", "th", "lo", "hi").distinct()):
+        found = found.unionByName(part)
     return found.groupBy("id", "th").agg(F.collect_list(F.struct("unit", "lo", "hi")).alias("ranges"))
 
 

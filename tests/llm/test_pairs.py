@@ -181,6 +181,25 @@ def test_no_shared_run_of_51_words_is_missed(spark, sentences, words):
         assert not any(" ".join(left[k : k + 51]) in second for k in range(len(left) - 50))
 
 
+@pytest.mark.parametrize("lines, words", [(26, 2), (52, 1), (18, 3), (30, 3)])
+@pytest.mark.parametrize("hot", [5000, 1])
+def test_short_lines_go_to_their_full_extent(spark, monkeypatch, lines, words, hot):
+    monkeypatch.setattr(linededup, "HOT_ROWS", hot)
+    monkeypatch.setattr(linededup, "HOT_SHARE", 10**9 if hot == 1 else 100_000)
+    rng = random.Random(9)
+    passages = ["\n".join(sentence(rng, words)[:-1] for _ in range(lines)) for _ in range(12)]
+    for first, second, a, (front, _, back) in copied(spark, passages, "\n"):
+        assert first == "\n".join(a) and second == f"{front}\n{back}"
+
+
+def test_the_first_of_words_in_a_loop_stays(spark):
+    rng = random.Random(10)
+    loop = sentence(rng, 7)[:-1].split()
+    got = linededup.deduplicate(spark.createDataFrame([(1, " ".join(loop * 30))], "doc_id long, text string")).first()
+    left = got["text"].split()
+    assert left == (loop * 30)[: len(left)] and linededup.GRAM <= len(left) < linededup.GRAM + 7
+
+
 # --- op8 ---------------------------------------------------------------------
 
 
