@@ -11,7 +11,10 @@ and MIN_WORDS words, or LONE_WORDS words in one line.
 Chunks of lines may miss a passage, so runs of words have keys too, whatever the lines:
 of each WINDOW neighbouring runs of GRAM words the one with the least hash is a key. The
 choice depends on those words only, so two texts that share GRAM + WINDOW - 1 = 51 words
-in a row always share a key inside them. Keys overlap or touch, as WINDOW <= GRAM.
+in a row always share a key inside them, also where a passage stands in the middle of a
+sentence or has no full stop. A word ends at white space; a character from U+3000 to
+U+9FFF (Chinese, Japanese) is a word by itself. Scripts such as Thai that set no spaces
+between words have phrases for words, and 51 of those are needed. Keys overlap or touch, as WINDOW <= GRAM.
 
 1. Hashes of all chunks and keys are counted. Those that occur twice set bits in a bitmap
    of fixed size (BITMAP_BITS, so the broadcast is bounded; a full bitmap filters less
@@ -81,6 +84,11 @@ class Lines:
         space = (raw == 32) | ((raw >= 9) & (raw <= 13))
         begins = ~space
         begins[1:] &= space[:-1] | ends[1:-1]
+        lead = np.flatnonzero((raw >= 0xE3) & (raw <= 0xE9))
+        begins[lead] = True
+        self.spaced = not len(lead)
+        lead = lead[lead + 3 < len(raw)] + 3
+        begins[lead] |= ~space[lead]
         words = np.cumsum(np.r_[0, begins])
         self.words = words[self.end] - words[self.start]
         self.word_start = np.flatnonzero(begins)
@@ -133,7 +141,11 @@ class Lines:
 
     def run(self, at: int, n: int = GRAM) -> bytes:
         """The n words from a place, joined by single spaces."""
-        return b" ".join(self.raw[self.word_start[at] : self.word_end[at + n - 1]].tobytes().split()) if n else b""
+        if not n:
+            return b""
+        if self.spaced:
+            return b" ".join(self.raw[self.word_start[at] : self.word_end[at + n - 1]].tobytes().split())
+        return b" ".join(self.raw[self.word_start[k] : self.word_end[k]].tobytes() for k in range(at, at + n))
 
     def bytes_of(self, doc: int, lo: int, hi: int) -> tuple[int, int]:
         """The bytes of words lo to hi of a text, with the spaces after them; the first word has those before it."""

@@ -200,6 +200,18 @@ def test_the_first_of_words_in_a_loop_stays(spark):
     assert left == (loop * 30)[: len(left)] and linededup.GRAM <= len(left) < linededup.GRAM + 7
 
 
+def test_passages_without_ascii_full_stops(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join(sentence(rng, n)[:-1].lower().split())
+    for make, own, gap in (
+        (lambda: words(60), lambda: words(40), " "),
+        (lambda: "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(60)), lambda: "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(40)), ""),
+        (lambda: " ".join("".join(chr(rng.randint(0x905, 0x939)) for _ in range(5)) + "\u0964" * (k % 9 == 8) for k in range(60)), lambda: words(40), " "),
+    ):
+        for first, second, a, (front, _, back) in copied(spark, [make() for _ in range(12)], gap, own):
+            assert first == gap.join(a) and second == f"{front}{gap}{back}"
+
+
 # --- op8 ---------------------------------------------------------------------
 
 
