@@ -247,10 +247,10 @@ def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
     return met.where("kind = 0").select("a", "b").unionByName(again)
 
 
-def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", extra: list[str] | None = None) -> DataFrame:
-    """doc_id, fp (long) and component_id of every row, with the extra columns asked for."""
+def _placed(documents: DataFrame, text: str, doc_id: str, extra: list[str]) -> tuple[DataFrame, DataFrame]:
+    """doc_id, fp and the extra columns of every row; and of every fp its smallest doc_id and its component's root."""
     ship(documents.sparkSession)
-    keep = [doc_id, *(extra or [])]
+    keep = [doc_id, *extra]
     schema = plus(documents.select(*keep), fp="long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,18 +262,28 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     rows = checkpoint(documents.select(*keep, text).mapInArrow(tidy(run), schema))
     prints = checkpoint(rows.groupBy("fp").agg(F.min(doc_id).alias("least")))
     roots = components(links(prints))
-    # a root is the smallest fingerprint of its component; the component takes the smallest doc_id there
-    placed = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    # a root is the smallest fingerprint of its component
+    return rows, prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", extra: list[str] | None = None) -> DataFrame:
+    """doc_id, fp (long) and component_id of every row, with the extra columns asked for."""
+    rows, placed = _placed(documents, text, doc_id, extra or [])
+    # the component takes the smallest doc_id in it
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     known = placed.select("fp", "root").join(names, "root").select("fp", "component_id")
-    return rows.join(known, "fp").select(*keep, "fp", "component_id")
+    return rows.join(known, "fp").select(doc_id, *(extra or []), "fp", "component_id")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents, one of each component: the row with its smallest doc_id (rows that repeat it are one)."""
-    found = near_duplicates(documents)
-    keepers = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return documents.join(keepers, "doc_id", "left_semi").select(*documents.columns)
+    """The documents, one of each component: the row with its smallest doc_id, nulls last, and of these the one with
+    the smallest hash of its text (rows that repeat both are one)."""
+    plus(documents, __th="long", fp="long")
+    keyed = documents.withColumn("__th", F.xxhash64("text"))
+    rows, placed = _placed(keyed, "text", "doc_id", ["__th"])
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__th").alias("th"))
+    keepers = rows.join(placed, "fp").groupBy("root").agg(F.min(row).alias("row")).select("row.id", "row.th")
+    return keyed.join(keepers, (F.col("__th") == F.col("th")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(*documents.columns)
 
 
 def digest(documents: DataFrame) -> DataFrame:

@@ -100,6 +100,15 @@ def test_simhash_cases(spark):
         simhash.near_duplicates(df.withColumnRenamed("tag", "fp"), extra=["fp"])
 
 
+def test_one_of_each_component_without_ids_and_with_one_id_on_two_texts(spark):
+    rng = random.Random(13)
+    a, b, c, d = (sentence(rng, 200) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (None, c), (4, c), (1, d), (2, a.upper() + " "), (2, d), (None, None)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # b has no other row; the rows that repeat are one row; d keeps 1 only, though 2 is kept for another text
+    assert sorted(map(tuple, kept), key=repr) == sorted([(2, a.upper() + " "), (None, b), (None, b), (4, c), (1, d), (None, None)], key=repr)
+
+
 # --- op3 ---------------------------------------------------------------------
 
 
