@@ -57,6 +57,8 @@ from .common import _powers, mix, plus, ship, span_hashes, text_slices, tidy
 MIN_WORDS, LONE_WORDS = 10, 20
 GRAM, WINDOW = 26, 26
 BITMAP_BITS = 27
+#: Bytes of text worked on at a time; arrays over bytes and words take some 50 times that.
+SLICE = 1 << 18
 HOT_ROWS, HOT_SHARE, SALTS = 5_000, 100_000, 32
 _R = np.uint64(0xD6E8FEB86659FD93)
 _RINV = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
@@ -65,7 +67,8 @@ _RINV = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
 class Lines:
     """Lines and words of a slice of texts: ranges (of lines, with their ends) and content hashes."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray) -> None:
+    def __init__(self, raw: np.ndarray, off: np.ndarray, bare: bool = False) -> None:
+        """bare: only where lines are, no hashes and words."""
         self.raw = raw
         newline, stop = raw == 10, np.isin(raw, (33, 46, 63))
         stop[:-1] &= raw[1:] == 32
@@ -75,12 +78,14 @@ class Lines:
         ends = np.zeros(len(raw) + 1, bool)
         ends[1:] |= newline
         ends[2:] |= stop[:-1]
-        bare = ends.copy()
+        unended = ends.copy()
         ends[off[1:][filled]] = True
         self.end = np.flatnonzero(ends)
         self.start = np.r_[0, self.end[:-1]] if len(self.end) else self.end
-        self.stop = self.end - bare[self.end]
+        self.stop = self.end - unended[self.end]
         self.first = np.searchsorted(self.start, off) if len(self.start) else np.zeros(len(off), np.int64)
+        if bare:
+            return
         space = (raw == 32) | ((raw >= 9) & (raw <= 13))
         begins = ~space
         begins[1:] &= space[:-1] | ends[1:-1]
@@ -184,7 +189,7 @@ def _bitmap(hashes: DataFrame):
 def _hashes(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, raw, off in text_slices(b[text]):
+            for _, _, raw, off in text_slices(b[text], SLICE):
                 lines = Lines(raw, off)
                 for h in (*(h for _, _, h in lines.chunks()), lines.grams()[1]):
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
@@ -211,7 +216,7 @@ def _candidates(bitmap, hot, text: str, doc_id: str):
         bits, spread = bitmap.value, hot.value
         for b in batches:
             ids, th = b[doc_id], b["__th"].to_numpy()
-            for row, _, raw, off in text_slices(b[text]):
+            for row, _, raw, off in text_slices(b[text], SLICE):
                 lines = Lines(raw, off)
                 for a, e, h in lines.chunks():
                     ok = np.flatnonzero(_set(bits, h))
@@ -245,7 +250,7 @@ def _ends(keys, docs, hot, text: str, doc_id: str):
         for b in batches:
             b = b.filter(pa.array(_set(docs.value, b["__th"].to_numpy().view(np.uint64))))
             ids, th = b[doc_id], b["__th"].to_numpy()
-            for row, _, raw, off in text_slices(b[text]):
+            for row, _, raw, off in text_slices(b[text], SLICE):
                 lines = Lines(raw, off)
                 at, h = lines.grams()
                 ok = np.flatnonzero(_set(keys.value, h))
@@ -383,6 +388,7 @@ def repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     bitmap, spread = _bitmap(counts.select("h")), spark.sparkContext.broadcast(np.sort(hot))
     kind = _FOUND.format(id=texts.schema[doc_id].dataType.simpleString())
     met = _meet(texts.mapInArrow(tidy(_candidates(bitmap, spread, text, doc_id)), kind), spread, n)
+    bitmap.unpersist()  # its only reader is checkpointed
     found = met.where(f"unit = {LINES}").select("unit", "id", "th", "lo", "hi").distinct()
     # repeated keys of words that touch are one run
     place = Window.partitionBy("id", "th").orderBy("lo", "hi")
@@ -393,6 +399,8 @@ def repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     keys = _bitmap(runs.select(F.explode(F.array(F.expr("low[0]"), F.expr("high[0]"))).alias("h")))
     docs = _bitmap(runs.select(F.explode(F.array(F.col("th"), F.expr("low[1]"), F.expr("high[1]"))).alias("h")))
     grown = _meet(texts.mapInArrow(tidy(_ends(keys, docs, spread, text, doc_id)), kind), spread, n)
+    keys.unpersist()
+    docs.unpersist()
     for part in (runs.select(F.lit(WORDS).alias("unit"), "id", "th", "lo", "hi"), grown.select("unit", "id", "th", "lo", "hi").distinct()):
         found = found.unionByName(part)
     return found.groupBy("id", "th").agg(F.collect_list(F.struct("unit", "lo", "hi")).alias("ranges"))
@@ -419,8 +427,8 @@ def deduplicate(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
         for b in batches:
             ranges, texts = b["__ranges"].to_pylist(), b[text]
             n_lines, n_cut, new = [], [0] * b.num_rows, {}
-            for row, n_rows, raw, off in text_slices(b[text]):
-                lines = Lines(raw, off)
+            for row, n_rows, raw, off in text_slices(b[text], SLICE):
+                lines = Lines(raw, off, not any(ranges[row : row + n_rows]))
                 n_lines.append(np.diff(lines.first))
                 for k in range(n_rows):
                     if not ranges[row + k]:
