@@ -2,27 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Ranges that the values of one group are cut into; each is one window partition.
-RANGES = 64
+#: Least and most ranges that the values of one group are cut into; each is one window partition.
+RANGES, MOST_RANGES = 64, 4096
 
 
-def cumulative(df: DataFrame, group: list[str], value: str, weight: str, out: str = "before", ranges: int = RANGES) -> DataFrame:
-    """df with the sum of weight over the smaller values of the same group.
+def range_count(spark: SparkSession) -> int:
+    """Ranges for one group: some for each shuffle partition, so that all tasks have a share of even a single column."""
+    return min(MOST_RANGES, max(RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _cuts(value: Column, ranges: int) -> Column:
+    return F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 10 * ranges)
+
+
+def _range_of(cuts: Column, value: Column, ranges: int) -> Column:
+    """How many of the sorted cuts lie below the value, found in two steps of about 64 comparisons."""
+    if ranges <= RANGES:
+        return F.size(F.filter(cuts, lambda c: c < value))
+    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(RANGES - 1), F.lit(ranges - 2), F.lit(RANGES)), lambda k: F.get(cuts, k)), lambda c: c < value))
+    return coarse * RANGES + F.size(F.filter(F.slice(cuts, coarse * RANGES + 1, F.lit(RANGES - 1)), lambda c: c < value))
+
+
+def cumulative(df: DataFrame, group: list[str], value: str, weights: dict[str, str], ranges: int | None = None) -> DataFrame:
+    """df with sums over the smaller values of the same group: of each weight column, under the name given for it.
 
     Values must be unique in a group. Approximate quantiles, a bounded table of at most
-    `ranges` numbers a group, cut each group into ranges; the running sum is taken
-    inside a range, and what lies below the range comes from a window over the ranges'
-    totals. No task sorts a whole column.
+    MOST_RANGES numbers a group, cut each group into ranges; the running sums are taken
+    inside a range, all in one window, and what lies below the range comes from a window
+    over the ranges' totals. No task sorts a whole column.
     """
-    cuts = df.groupBy(*group).agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 10 * ranges).alias("__cuts"))
-    x = df.join(cuts, group).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
-    below = x.groupBy(*group, "__range").agg(F.sum(weight).alias("__w"))
-    below = below.withColumn("__below", F.coalesce(F.sum("__w").over(Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__w")
-    inside = F.coalesce(F.sum(weight).over(Window.partitionBy(*group, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return x.withColumn("__inside", inside).join(below, [*group, "__range"]).withColumn(out, F.col("__inside") + F.col("__below")).drop("__inside", "__below", "__range")
+    ranges = ranges or range_count(df.sparkSession)
+    cuts = df.groupBy(*group).agg(_cuts(F.col(value), ranges).alias("__cuts"))
+    x = df.join(cuts, group).withColumn("__range", _range_of(F.col("__cuts"), F.col(value), ranges)).drop("__cuts")
+    total = x.groupBy(*group, "__range").agg(*[F.sum(w).alias(f"__w{k}") for k, w in enumerate(weights)])
+    lower = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    below = total.select(*group, "__range", *[F.coalesce(F.sum(f"__w{k}").over(lower), F.lit(0)).alias(f"__below{k}") for k in range(len(weights))])
+    smaller = Window.partitionBy(*group, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumns({f"__inside{k}": F.coalesce(F.sum(w).over(smaller), F.lit(0)) for k, w in enumerate(weights)}).join(below, [*group, "__range"])
+    return x.select(*df.columns, *[(F.col(f"__inside{k}") + F.col(f"__below{k}")).alias(out) for k, out in enumerate(weights.values())])
 
 
 def unpivoted(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
@@ -36,7 +56,7 @@ def feature_auc(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """(feature, cls, n, n_class, auc): Mann-Whitney AUC of every numeric feature for every class against the rest, ties at half."""
     counts = unpivoted(df.where(F.col(label).isNotNull()), features, [label]).groupBy("feature", "value", F.col(label).alias("cls")).count()
     by_value = counts.groupBy("feature", "value").agg(F.sum("count").alias("n"), F.collect_list(F.struct("cls", "count")).alias("classes"))
-    ranked = cumulative(by_value, ["feature"], "value", "n").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
+    ranked = cumulative(by_value, ["feature"], "value", {"n": "before"}).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     rows = ranked.select("feature", "rank", F.inline("classes")).groupBy("feature", "cls").agg(F.sum(F.col("rank") * F.col("count")).alias("r"), F.sum("count").alias("n_class"))
     total = by_value.groupBy("feature").agg(F.sum("n").alias("n"), F.max(F.abs("value")).alias("top"))
     auc = (F.col("r") - F.col("n_class") * (F.col("n_class") + 1) / 2) / (F.col("n_class") * (F.col("n") - F.col("n_class")))
@@ -47,7 +67,7 @@ def feature_auc(df: DataFrame, features: list[str], label: str) -> DataFrame:
 def score_auc(counts: DataFrame, group: str = "cls") -> DataFrame:
     """(group, auc) from rows (group, score, pos, neg) of counts: the chance that a positive scores above a negative."""
     by = counts.groupBy(group, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).withColumn("n", F.col("pos") + F.col("neg"))
-    ranked = cumulative(by, [group], "score", "n").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
+    ranked = cumulative(by, [group], "score", {"n": "before"}).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     s = ranked.groupBy(group).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     return s.where("p > 0 and q > 0").select(group, F.col("p").alias("support"), ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
 
@@ -57,7 +77,7 @@ def two_sample_ks(left: DataFrame, right: DataFrame, features: list[str]) -> Dat
     both = left.select(*features, F.lit(1).alias("__side")).unionByName(right.select(*features, F.lit(0).alias("__side")))
     by = unpivoted(both, features, ["__side"]).groupBy("feature", "value").agg(F.sum("__side").alias("a"), F.count_if(F.col("__side") == 0).alias("b"))
     total = by.groupBy("feature").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    x = cumulative(cumulative(by, ["feature"], "value", "a", "ba"), ["feature"], "value", "b", "bb").join(F.broadcast(total), "feature")
+    x = cumulative(by, ["feature"], "value", {"a": "ba", "b": "bb"}).join(F.broadcast(total), "feature")
     gap = F.abs((F.col("ba") + F.col("a")) / F.col("na") - (F.col("bb") + F.col("b")) / F.col("nb"))
     return x.where("na > 0 and nb > 0").groupBy("feature").agg(F.max(gap).alias("ks"))
 
@@ -73,11 +93,7 @@ def best_stump(df: DataFrame, features: list[str], label: str) -> DataFrame:
     c = [f"c{k}" for k in range(len(known))]
     by = counts.groupBy("feature", "value").agg(*[F.count_if(F.col(label) == v).alias(n) for n, v in zip(c, known, strict=True)])
     total = by.groupBy("feature").agg(*[F.sum(n).alias(f"t{n}") for n in c])
-    x = by
-    for n in c:
-        x = cumulative(x, ["feature"], "value", n, f"b{n}")
-    nxt = F.lead("value").over(Window.partitionBy("feature").orderBy("value"))
-    x = x.join(F.broadcast(total), "feature")
+    x = cumulative(by, ["feature"], "value", {n: f"b{n}" for n in c}).join(F.broadcast(total), "feature")  # a row a feature
     left = [F.col(f"b{n}") + F.col(n) for n in c]
     right = [F.col(f"t{n}") - a for n, a in zip(c, left, strict=True)]
     plus = lambda xs: sum(xs[1:], xs[0])
@@ -95,17 +111,18 @@ def best_stump(df: DataFrame, features: list[str], label: str) -> DataFrame:
 def average_rank(df: DataFrame, value: str) -> DataFrame:
     """(value, n, rank) of one column, equal values sharing the mean of their ranks."""
     by = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n")).withColumn("feature", F.lit(value))
-    return cumulative(by, ["feature"], "value", "n").select("value", "n", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
+    return cumulative(by, ["feature"], "value", {"n": "before"}).select("value", "n", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def transitions(df: DataFrame, order: str, label: str, ranges: int = RANGES) -> DataFrame:
+def transitions(df: DataFrame, order: str, label: str, ranges: int | None = None) -> DataFrame:
     """One row (rows, changes): how often the label differs from the row before, in the given order.
 
     Rows are compared inside ranges of the order; the last label of a range meets the first of the next in a window over the ranges.
     """
-    x = df.select(F.col(order).cast("double").alias("o"), F.col(label).alias("y"))
-    cuts = x.agg(F.percentile_approx("o", [k / ranges for k in range(1, ranges)], 10 * ranges).alias("cuts"))
-    x = x.crossJoin(F.broadcast(cuts)).withColumn("r", F.size(F.filter("cuts", lambda c: c < F.col("o"))))  # cuts is one row
+    ranges = ranges or range_count(df.sparkSession)
+    x = df.select(F.col(order).alias("o"), F.col(label).alias("y"))
+    cuts = x.agg(_cuts(F.col("o"), ranges).alias("cuts"))
+    x = x.crossJoin(F.broadcast(cuts)).withColumn("r", _range_of(F.col("cuts"), F.col("o"), ranges)).drop("cuts")  # cuts is one row
     w = Window.partitionBy("r").orderBy("o")
     differ: Column = ~F.col("y").eqNullSafe(F.col("before")) | (F.col("y").isNull() & F.col("before").isNull())
     inner = x.withColumn("before", F.lag("y").over(w)).withColumn("k", F.row_number().over(w))

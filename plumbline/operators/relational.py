@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import is_infinite, null_safe
+from .splits import sample_rows
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -178,7 +179,7 @@ def reuse_advantage(df: DataFrame, stratum: str, reused: Column, correct: Column
 
 def reservoir(df: DataFrame, k: int, seed: int, row_id: str) -> DataFrame:
     """Exactly min(n, k) rows, uniform, the same for any partitioning: the least by a hash of the row's id."""
-    return df.orderBy(F.xxhash64(F.lit(seed), row_id), row_id).limit(k)
+    return sample_rows(df, k, seed, row_id)
 
 
 def content_hash(df: DataFrame, columns: list[str]) -> str:

@@ -2,44 +2,48 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpoint
 from ..functions.stats import mean_interval, newcombe
 from ..operators import classifiers, forest, neighbours, ranks, splits
 from . import benchmark
 from .registry import Subject
 
-REPLICATES = 400
+REPLICATES, REPLICATE_BLOCK = 4000, 500
 
 
 def _poisson(cluster: Column, replicate: Column, seed: int) -> Column:
     """How often a cluster is drawn in a replicate: Poisson with mean 1, from a hash, so that no draw is stored."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), cluster, replicate), F.lit(1 << 40)) / float(1 << 40)).cast("double")
-    out, total, p = F.lit(0), 0.0, float(np.exp(-1))
-    for k in range(8):
-        total += p
-        out = out + F.when(u >= total, 1).otherwise(0)
-        p /= k + 1
-    return out
+    u = F.pmod(F.xxhash64(F.lit(seed), cluster, replicate), F.lit(1 << 40)) / float(1 << 40)
+    bounds = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(12)]).tolist()
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda p: p <= u)).cast("long")
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, hit: Column, arm: Column | None = None, replicates: int = REPLICATES, seed: int = 0) -> dict[str, float]:
     """Rate of hits and its 95 % percentile interval when whole clusters are resampled; with an arm, the rate where it holds less that where it does not.
 
-    Clusters are summed first and each replicate is a weighted sum over them, made where they lie.
+    Clusters are summed first. A cluster's row meets REPLICATE_BLOCK replicates at a time
+    and is summed with the other rows of its task at once, so what is shuffled is a row a
+    replicate from each task, however many clusters there are.
     """
     a = arm if arm is not None else F.lit(True)
-    by = df.groupBy(F.col(cluster).alias("c")).agg(*[F.sum(F.when(x, y).otherwise(0)).alias(n) for n, x, y in (("k1", a, hit.cast("int")), ("n1", a, F.lit(1)), ("k0", ~a, hit.cast("int")), ("n0", ~a, F.lit(1)))])
-    drawn = by.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("b"))
-    w = F.when(F.col("b") == 0, 1).otherwise(_poisson(F.col("c"), F.col("b"), seed))  # replicate 0 is the data as it is
-    rows = drawn.groupBy("b").agg(*[F.sum(w * F.col(c)).alias(c) for c in ("k1", "n1", "k0", "n0")]).collect()  # a row a replicate
-    rate = {r["b"]: (r["k1"] / r["n1"] if r["n1"] else np.nan) - ((r["k0"] / r["n0"] if r["n0"] else np.nan) if arm is not None else 0.0) for r in rows}
-    lo, hi = np.nanpercentile([v for b, v in rate.items() if b], [2.5, 97.5])
-    return {"value": float(rate[0]), "low": float(lo), "high": float(hi)}
+    names = ("k1", "n1", "k0", "n0")
+    by = df.groupBy(F.col(cluster).alias("c")).agg(*[F.sum(F.when(x, y).otherwise(0)).alias(n) for n, x, y in zip(names, (a, a, ~a, ~a), (hit.cast("int"), F.lit(1)) * 2, strict=True)])
+    by = checkpoint(by)
+    whole = by.agg(*[F.sum(n).alias(n) for n in names]).first()
+    rate = lambda r: (r["k1"] / r["n1"] if r["n1"] else np.nan) - ((r["k0"] / r["n0"] if r["n0"] else np.nan) if arm is not None else 0.0)
+    drawn = []
+    for start in range(0, replicates, REPLICATE_BLOCK):
+        x = by.select("*", F.explode(F.sequence(F.lit(start), F.lit(min(replicates, start + REPLICATE_BLOCK) - 1))).alias("b")).withColumn("w", _poisson(F.col("c"), F.col("b"), seed)).where("w > 0")
+        drawn += [rate(r) for r in x.groupBy("b").agg(*[F.sum(F.col("w") * F.col(n)).alias(n) for n in names]).collect()]  # a row a replicate
+    lo, hi = np.nanpercentile(drawn, [2.5, 97.5])
+    return {"value": float(rate(whole)), "low": float(lo), "high": float(hi)}
 
 
 def advantage_bootstrap(strata: Iterable[tuple[int, int, int, int]], replicates: int = 2000, seed: int = 0) -> dict[str, float]:

@@ -58,6 +58,55 @@ def test_other_encoding(spark, tmp_path):
     assert table(spark, [tmp_path / "t.csv"]).first()["b"] == "café"
 
 
+def test_encoding_is_told_by_bytes(spark, tmp_path):
+    (tmp_path / "t.csv").write_bytes("a,b\n1,\ufffd é\n".encode())
+    assert table(spark, [tmp_path / "t.csv"]).first()["b"] == "\ufffd é"
+    raw = b"a,b\n1,\x80 \x93q\x94 \x81\n"
+    (tmp_path / "w.csv").write_bytes(raw)
+    with zipfile.ZipFile(tmp_path / "w.zip", "w") as z:
+        z.writestr("w.csv", raw)
+    assert [table(spark, [tmp_path / f]).first()["b"] for f in ("w.csv", "w.zip")] == ["€ “q” \ufffd"] * 2
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    text = 'a,b\n1,"x\ny"\n2,"says ""hi"""\n'
+    (tmp_path / "t.csv").write_text(text)
+    with zipfile.ZipFile(tmp_path / "t.zip", "w") as z:
+        z.writestr("t.csv", text)
+    for f in ("t.csv", "t.zip"):
+        assert [tuple(r) for r in table(spark, [tmp_path / f]).collect()] == [(1.0, "x\ny"), (2.0, 'says "hi"')]
+
+
+@pytest.mark.parametrize("kind", ["csv", "parquet"])
+@pytest.mark.parametrize("blocks", [0, 1 << 20])
+def test_row_numbers_of_folders(spark, tmp_path, kind, blocks, monkeypatch):
+    from plumbline.operators import splits
+    from plumbline.sources import reading
+
+    monkeypatch.setattr(reading, "MAX_BLOCKS", blocks)
+    for folder, lo in (("one", 0), ("two", 300)):
+        (tmp_path / folder).mkdir()
+        for k in range(3):
+            f = pd.DataFrame({"a": range(lo + 100 * k, lo + 100 * k + 100), "y": ["p", "q"] * 50})
+            f.to_csv(tmp_path / folder / f"part-{k}.csv", index=False) if kind == "csv" else f.to_parquet(tmp_path / folder / f"part-{k}.parquet")
+    paths = [str(tmp_path / x) + ("/*.parquet" if kind == "parquet" else "") for x in ("one", "two")]
+    got = read_files(spark, paths).orderBy(ROW_ID).collect()
+    assert [r[ROW_ID] for r in got] == list(range(600)) and [r["a"] for r in got] == list(range(600))
+    # a split of the folders is that of one file with the same rows
+    pd.DataFrame({"a": range(600), "y": ["p", "q"] * 300}).to_parquet(tmp_path / "all.parquet")
+    tests = [sorted(r["a"] for r in splits.stratified_split(read_files(spark, p), "y", 0.8, 3, ROW_ID)[1].collect()) for p in (paths, [str(tmp_path / "all.parquet")])]
+    assert tests[0] == tests[1] and len(tests[0]) == 120
+
+
+def test_row_numbers_do_not_depend_on_partitions(spark):
+    from plumbline.sources import reading
+
+    # places as 100,000 partitions would give them, in two files
+    x = spark.range(200_000).selectExpr("concat('f', id div 100000) AS __file", "(id % 100000) * 134217728 AS __block", "(id % 100000) * 8589934592 AS __at", "id AS want")
+    out, end = reading._numbered(x.unionByName(x.selectExpr("__file", "__block", "__at + 1 AS __at", "-1 AS want")), 10)
+    assert end == 400_010 and out.where("want >= 0").selectExpr(f"count_if({ROW_ID} <> 10 + 2 * want)", f"count(distinct {ROW_ID})").first()[0] == 0 and out.select(F.countDistinct(ROW_ID)).first()[0] == 400_000
+
+
 def test_files_are_aligned_to_the_first(spark, tmp_path):
     (tmp_path / "1.csv").write_text("a,b\n1,x\n")
     (tmp_path / "2.csv").write_text("b,c,a\n7,9,oops\n8,9,2\n")

@@ -17,7 +17,13 @@ def test_cluster_bootstrap_is_wider_than_rows_alone(spark):
     r = studies.cluster_bootstrap(spark.createDataFrame(f), "c", F.col("hit"))
     assert r["value"] == pytest.approx(f.hit.mean()) and r["low"] < r["value"] < r["high"] and r["high"] - r["low"] > 0.15
     d = studies.cluster_bootstrap(spark.createDataFrame(f), "c", F.col("hit"), F.col("arm"))
-    assert d["value"] == pytest.approx(f.hit[f.arm].mean() - f.hit[~f.arm].mean()) and d["low"] < 0 < d["high"]
+    assert d["value"] == pytest.approx(f.hit[f.arm].mean() - f.hit[~f.arm].mean())
+    # whole clusters drawn by a multinomial, as a brute force would
+    sums = np.array([[(g.hit & g.arm).sum(), g.arm.sum(), (g.hit & ~g.arm).sum(), (~g.arm).sum()] for _, g in f.groupby("c")])
+    k1, n1, k0, n0 = (rng.multinomial(len(sums), np.full(len(sums), 1 / len(sums)), 20_000) @ sums).T
+    for got, rates in ((r, (k1 + k0) / (n1 + n0)), (d, k1 / n1 - k0 / n0)):
+        low, high = np.percentile(rates, [2.5, 97.5])
+        assert got["low"] == pytest.approx(low, abs=0.08 * (high - low)) and got["high"] == pytest.approx(high, abs=0.08 * (high - low))
 
 
 def test_advantage_bootstrap():
