@@ -1,35 +1,42 @@
 """Approximate nearest neighbours by largest inner product: inverted lists scanned with adaptive dimension tests.
 
 A vector x becomes (x, sqrt(M^2 - |x|^2)), M the largest norm, and a query is scaled to
-norm M, which turns the largest inner product into the smallest distance. Lists come
-from k-means on a sample (the SAMPLE vectors first by a hash of their id); every row
-is put on its nearest list. The number of lists probed is measured on that sample:
-the least for which sampled queries find TARGET of their true neighbours there.
+norm M, which turns the largest inner product into the smallest distance. There are
+about 2 sqrt(n) lists (MAX_LISTS at most) by k-means on a sample of PER_LIST vectors a
+list (524,288 at most, 4,096 at least), drawn by a hash; every row
+is put on a list. The number of lists probed is measured on the quarter of the sample
+that k-means does not see: the least for which its vectors find TARGET of their true
+neighbours in it. Beyond FLAT lists the
+centroids are made in two levels, so that neither the fit nor placing a row looks at all.
 
 Within a list the vectors are turned by one random rotation and scanned in blocks of
 COLUMNS columns. After each block a pair is abandoned if the distance so far, scaled to
 all columns, exceeds the query's bound by more than the test allows: (1 + EPSILON /
 sqrt(m))^2 after m columns, which a pair within the bound fails with small probability.
 Pairs that survive are scored exactly, in double precision on the original vectors. A
-query's bound starts at its k-th best score among the sampled vectors, which are rows
-too, so the k nearest can only be at least as good, and each list abandons pairs from
-its first row on.
-
-Lists are dealt out in blocks of about BLOCK rows by a hash of the id, by their share of
-the sample, so a list with a third of all rows is many tasks' work; each block answers
-its queries' best k, and those meet in one window a query. What is broadcast is the
-rotation, at most MAX_LISTS centroids and the SAMPLE vectors. Up to EXHAUSTIVE rows there is one list and
-nothing is missed.
-
-Vectors that are null, zero, hold null or non-finite numbers, have no id, or have not
-the most common length take no part. Rows that repeat are one candidate; an id with
-several vectors counts with its best. Ties go to the smaller id.
+query's bound starts at its (k+1)-th best score among a small part of the sample (an
+eighth, BOUND vectors at most), which no answer can fall below; those vectors are
+answers only where the lists lead to them.
+
+Equal vectors are one before anything is searched: a vector asks once however many rows
+ask with it, and of its rows only those with the k + 1 smallest ids can be among
+anyone's k nearest, since ties go to the smaller id. So a vector that a third of all rows
+hold is k + 1 candidates and one query. Lists are dealt out in blocks of about BLOCK rows
+by a hash of the id, by their share of the sample, so a long list is many tasks' work;
+each block answers its queries' best, and those meet in one aggregate a query. What is
+broadcast is the rotation, at most MAX_LISTS centroids and BOUND vectors.
+
+Vectors that are null, zero, hold null or non-finite numbers, or have no id take no part;
+vectors of different lengths are searched apart, as they have no inner product. Rows
+that repeat are one candidate; an id with several vectors counts with its best. Other
+columns, whatever their names, are not looked at and do not come back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,21 +45,22 @@ from pyspark.sql import functions as F
 
 from .common import ship, tidy
 
-SAMPLE, MAX_LISTS, EXHAUSTIVE = 16_384, 4096, 2048
-TARGET, EPSILON, COLUMNS, BLOCK = 0.985, 2.1, 16, 8192
+MAX_LISTS, PER_LIST, LEAST_SAMPLE, FLAT, BOUND = 32_768, 16, 4096, 2048, 2048
+TARGET, EPSILON, COLUMNS, BLOCK = 0.96, 2.1, 16, 8192
 _SLACK = 1e-5
 
 
 @dataclass
 class Index:
-    centroids: np.ndarray
     rotation: np.ndarray
+    norm: float
+    coarse: np.ndarray  # centroids of groups of lists
+    first: np.ndarray  # the first list of each group, and the number of lists
+    centroids: np.ndarray  # of the lists, by group
     blocks: np.ndarray  # of each list
     share: np.ndarray  # rows of each list, as the sample has it
-    norm: float
     probes: int
-    sample: np.ndarray
-    ids: np.ndarray  # of the sample, each once
+    bound: np.ndarray  # sampled vectors that bounds are made from
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         """Vectors with the column that makes their norms equal, turned."""
@@ -66,35 +74,42 @@ class Index:
         q = q * (self.norm / np.sqrt((q**2).sum(axis=1)))[:, None]
         return (np.c_[q, np.zeros(len(q))] @ self.rotation).astype(np.float32)
 
-    def best(self, q: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in q, id, score) of each query's k best sampled vectors but its own, all of them if there are fewer."""
-        x, parts = self.sample.astype(np.float64), []
-        k = min(k, len(x) - 1)
-        for s in range(0, len(q) if k > 0 else 0, 256):
-            part = q[s : s + 256].astype(np.float64)
-            score = part @ x.T
-            score[q_ids[s : s + 256, None] == self.ids[None, :]] = -np.inf
-            at = np.argpartition(-score, k - 1, axis=1)[:, :k].ravel()
-            of = np.repeat(np.arange(len(part)), k)
-            parts.append((s + of, self.ids[at], _exact(part, x, of, at)))
-        return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-
-    def floor(self, q: np.ndarray, q_ids: np.ndarray, k: int) -> np.ndarray:
-        """The k-th best score of each query among the sampled vectors but its own."""
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The list of each lifted vector."""
+        group = _nearest(x, self.coarse)
+        out = np.zeros(len(x), np.int64)
+        for g in np.unique(group).tolist():
+            here = np.flatnonzero(group == g)
+            out[here] = self.first[g] + _nearest(x[here], self.centroids[self.first[g] : self.first[g + 1]])
+        return out
+
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """All lists for each aimed query, nearest first."""
+        return ((self.centroids**2).sum(axis=1)[None, :] - 2 * q @ self.centroids.T).argsort(axis=1)
+
+    def floor(self, q: np.ndarray, k: int) -> np.ndarray:
+        """A score that the k best of each query reach: the k-th best in a part of the sample."""
         out = np.full(len(q), -np.inf)
-        if len(self.sample) > k:
-            out[:] = self.best(q, q_ids, k)[2].reshape(len(q), k).min(axis=1)
+        x = self.bound.astype(np.float64)
+        if len(x) >= k:
+            for s in range(0, len(q), 256):
+                part = q[s : s + 256].astype(np.float64)
+                at = np.argpartition(-(part @ x.T), k - 1, axis=1)[:, :k]
+                of = np.repeat(np.arange(len(part)), k)
+                out[s : s + 256] = _exact(part, x, of, at.ravel()).reshape(len(part), k).min(axis=1)
         return out
 
-    def far(self, x: np.ndarray) -> np.ndarray:
-        return (self.centroids**2).sum(axis=1)[None, :] - 2 * x @ self.centroids.T
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    norm = (c**2).sum(axis=1)[None, :]
+    return np.concatenate([(norm - 2 * part @ c.T).argmin(axis=1) for part in np.array_split(x, max(1, len(x) // 2048))]) if len(c) > 1 else np.zeros(len(x), np.int64)
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     c = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        at = np.concatenate([((c**2).sum(axis=1)[None, :] - 2 * part @ c.T).argmin(axis=1) for part in np.array_split(x, max(1, len(x) // 2048))])
-        n = np.bincount(at, minlength=k)
+        at = _nearest(x, c)
+        n = np.bincount(at, minlength=len(c))
         order = np.argsort(at, kind="stable")
         filled = np.flatnonzero(n)
         c[filled] = np.add.reduceat(x[order], np.cumsum(np.r_[0, n[filled][:-1]]), axis=0) / n[filled][:, None]
@@ -115,37 +130,47 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0), np.float32)
 
 
-def fit(sample: np.ndarray, ids: np.ndarray, rows: int, norm: float, k: int, seed: int = 7) -> Index:
+def lists_for(rows: int) -> int:
+    return min(MAX_LISTS, max(1, round(2 * rows**0.5)))
+
+
+def fit(sample: np.ndarray, rows: int, norm: float, k: int, seed: int = 7) -> Index:
     rng = np.random.default_rng(seed)
     d = sample.shape[1] + 1
-    rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
-    ids, once = np.unique(ids, return_index=True)
-    index = Index(np.zeros((1, d), np.float32), rotation, np.ones(1, np.int64), np.full(1, rows), norm, 1, sample[once], ids)
-    if rows <= EXHAUSTIVE:
-        index.blocks = np.array([-(-rows // BLOCK)])
-        return index
-    x = index.lift(sample)
-    index.centroids = _kmeans(x, int(min(MAX_LISTS, max(1, len(x) // 16), round(rows**0.5))), rng)
-    at = np.concatenate([index.far(p).argmin(axis=1) for p in np.array_split(x, max(1, len(x) // 2048))])
-    index.share = np.bincount(at, minlength=len(index.centroids)) * rows / len(x)
+    sample = np.unique(sample, axis=0)
+    sample = sample[rng.permutation(len(sample))]
+    index = Index(np.linalg.qr(rng.standard_normal((d, d)))[0], norm, *[np.zeros(0)] * 5, 1, sample[: min(BOUND, max(k, len(sample) // 8))])
+    held = len(sample) // 4
+    x, seen = index.lift(sample[:held]), index.lift(sample[held:])
+    n = min(lists_for(rows), max(1, len(seen) // (PER_LIST // 2)))
+    index.coarse = _kmeans(seen, 1 if n <= FLAT else round(n**0.5), rng)
+    group = _nearest(seen, index.coarse)
+    parts = [_kmeans(seen[group == g], min(m, max(1, round(n * m / len(seen)))), rng) if (m := int((group == g).sum())) else index.coarse[g : g + 1] for g in range(len(index.coarse))]
+    index.first, index.centroids = np.cumsum([0, *map(len, parts)]), np.concatenate(parts)
+    at = index.place(x)
+    index.share = np.bincount(np.r_[at, index.place(seen)], minlength=len(index.centroids)) * rows / len(sample)
     index.blocks = np.maximum(1, np.ceil(index.share / BLOCK)).astype(np.int64)
-    ask = rng.permutation(len(sample))[:256]
-    score = sample[ask].astype(np.float64) @ sample.astype(np.float64).T
-    score[np.arange(len(ask)), ask] = -np.inf
-    best = np.argpartition(-score, min(k, score.shape[1] - 1), axis=1)[:, :k]
-    place = index.far(index.aim(sample[ask])).argsort(axis=1).argsort(axis=1)
-    reached = np.sort(np.take_along_axis(place, at[best], axis=1).ravel())
-    index.probes = int(reached[min(len(reached) - 1, int(np.ceil(TARGET * len(reached))))]) + 1
+    # as many neighbours in the part held out as it has of a query's k nearest rows
+    near = min(held - 1, max(1, -(-k * held // rows)))
+    if near > 0:
+        ask, part = np.arange(min(held, 1024)), sample[:held].astype(np.float64)
+        score = part[ask] @ part.T
+        score[ask, ask] = -np.inf
+        best = np.argpartition(-score, near - 1, axis=1)[:, :near]
+        place = index.order(index.aim(part[ask])).argsort(axis=1)
+        reached = np.sort(np.take_along_axis(place, at[best], axis=1).ravel())
+        index.probes = int(reached[min(len(reached) - 1, int(np.ceil(TARGET * len(reached))))]) + 1
     return index
 
 
-def scan(index: Index, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan(index: Index, x: np.ndarray, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place in q, id, score) of the best k of x for each query, found with early abandonment; what scores below a query's floor may be left out."""
     xr, qr = index.lift(x), index.aim(q)
     x, q = x.astype(np.float64), q.astype(np.float64)
     d, m2 = xr.shape[1], index.norm**2
     scale = index.norm / np.sqrt((q**2).sum(axis=1))
     bound = 2 * m2 - 2 * scale * floor
+    repeated = len(np.unique(ids)) < len(ids)
     kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     begin, tile = 0, 128 if np.isinf(bound).any() else 1024
     cuts = [*range(0, d, COLUMNS), d]
@@ -162,14 +187,15 @@ def scan(index: Index, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.
             seen = seen + ((qr[qi, s:e] - xr[ci, s:e]) ** 2).sum(axis=1)
             ok = test(seen, e, qi)
             qi, ci, seen = qi[ok], ci[ok], seen[ok]
-        ok = q_ids[qi] != ids[ci]
-        qi, ci = qi[ok], ci[ok]
         score = _exact(q, x, qi, ci)
         kept = tuple(np.concatenate(z) for z in zip(kept, (qi, ids[ci], score), strict=True))
         order = np.lexsort((kept[1], -kept[2], kept[0]))
         kept = tuple(z[order] for z in kept)
+        if repeated:  # an id counts with its best vector
+            once = np.sort(np.unique(np.stack(kept[:2]), axis=1, return_index=True)[1])
+            kept = tuple(z[once] for z in kept)
         first = np.searchsorted(kept[0], np.arange(len(q)))
-        rank = np.arange(len(order)) - first[kept[0]]
+        rank = np.arange(len(kept[0])) - first[kept[0]]
         last = rank == k - 1
         bound[kept[0][last]] = np.minimum(bound[kept[0][last]], 2 * m2 - 2 * scale[kept[0][last]] * kept[2][last])
         kept = tuple(z[rank < k] for z in kept)
@@ -180,42 +206,60 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
     """query_id, rank, vec_id, score: the k nearest rows to each row for which the condition is_query holds."""
     spark = vectors.sparkSession
     ship(spark)
+    kind = "array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>"
     e = F.col("v")
     sound = F.col("id").isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(sound)
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast(kind).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(sound)
     norm2 = F.aggregate(e, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    shape = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm2).alias("m2")).orderBy(F.desc("n"), "d").first()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if shape is None:
-        return rows.limit(0).selectExpr("id AS query_id", "1 AS rank", "id AS vec_id", "0D AS score").to(spark.createDataFrame([], empty).schema)
-    rows = rows.where(F.size("v") == shape["d"])
-    got = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
-    index = spark.sparkContext.broadcast(fit(_matrix(got["v"]), got["id"].to_numpy(), shape["n"], float(np.sqrt(shape["m2"])) * (1 + 1e-9), k))
+    shapes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm2).alias("m2")).orderBy("d").collect()  # a row a length
+    parts = [_search(rows.where(F.size("v") == s["d"]), s["n"], float(np.sqrt(s["m2"])) * (1 + 1e-9), k, kind) for s in shapes]
+    if not parts:
+        return rows.limit(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
+    found = reduce(DataFrame.unionByName, parts)
+    if len(parts) > 1:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(rows: DataFrame, n_rows: int, norm: float, k: int, kind: str) -> DataFrame:
+    """(query_id, vec_id, score) of vectors of one length: at least the k best found for each row that asks."""
+    spark = rows.sparkSession
+    # k + 1 candidates, as the best one may be the asking row itself
+    want = k + 1
+    size = min(n_rows, max(LEAST_SAMPLE, lists_for(n_rows) * PER_LIST))
+    drawn = rows.select("v") if size == n_rows else rows.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 40)) < int((1 << 40) * size / n_rows)).select("v")
+    index = spark.sparkContext.broadcast(fit(_matrix(drawn.limit(2 * size).toArrow()["v"]), n_rows, norm, want))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
         for b in batches:
             if not b.num_rows:
                 continue
-            x, ids = _matrix(b["v"]), b["id"].to_numpy()
-            at = ix.far(ix.lift(x)).argmin(axis=1)
+            ids = b["id"].to_numpy()
+            at = ix.place(ix.lift(_matrix(b["v"])))
             block = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % ix.blocks[at]
-            asks = np.flatnonzero(b["asks"].to_numpy(zero_copy_only=False))
-            place, lists, where = [np.arange(len(x))], [at], [block]
-            floor = np.zeros(len(x))
-            if len(asks):
-                floor[asks] = ix.floor(x[asks], ids[asks], k)
-                order = ix.far(ix.aim(x[asks])).argsort(axis=1)
-                enough = np.maximum(ix.probes, 1 + (np.cumsum(ix.share[order], axis=1) < 20 * k).sum(axis=1))
-                for i, o, n in zip(asks.tolist(), order, np.minimum(enough, order.shape[1]).tolist(), strict=True):
-                    blocks = ix.blocks[o[:n]]
-                    lists.append(np.repeat(o[:n], blocks))
-                    where.append(np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-                    place.append(np.full(blocks.sum(), i))
-            place, lists, where = map(np.concatenate, (place, lists, where))
-            asked = np.arange(len(place)) >= len(x)
-            take = pa.array(place)
-            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(where.astype(np.int64)), pa.array(asked), pa.array(floor[place]), b["id"].take(take), b["v"].take(take)], names=["list", "block", "asked", "floor", "id", "v"])
+            yield dealt(b, np.arange(len(ids)), at, block, np.zeros(len(ids)), False)
+
+    def deal_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix: Index = index.value
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 512):
+                b = whole.slice(begin, 512)
+                q = _matrix(b["v"])
+                floor, order = ix.floor(q, want), ix.order(ix.aim(q))
+                enough = np.minimum(np.maximum(ix.probes, 1 + (np.cumsum(ix.share[order], axis=1) < 20 * want).sum(axis=1)), order.shape[1])
+                probed = order[np.arange(order.shape[1])[None, :] < enough[:, None]]
+                place = np.repeat(np.arange(len(q)), enough)
+                blocks = ix.blocks[probed]
+                where = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                place = np.repeat(place, blocks)
+                yield dealt(b, place, np.repeat(probed, blocks), where, floor[place], True)
+
+    def dealt(b: pa.RecordBatch, place, lists, block, floor, asked: bool) -> pa.RecordBatch:
+        take = pa.array(place)
+        cols = [pa.array(lists.astype(np.int32)), pa.array(block.astype(np.int64)), pa.array(np.full(len(place), asked)), pa.array(floor), b["id"].take(take), b["h"].take(take), b["v"].take(take)]
+        return pa.RecordBatch.from_arrays(cols, names=["list", "block", "asked", "floor", "id", "h", "v"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
@@ -226,15 +270,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
             if not base or not asks:
                 return
             if isinstance(base, list):
-                x, ids = np.concatenate([_matrix(p["v"]) for p in base]), np.concatenate([p["id"].to_numpy() for p in base])
-                order = np.lexsort((*x.T[:3], ids))
-                x, ids = x[order], ids[order]
-                new = np.r_[True, (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(axis=1)]
-                base = (x[new], ids[new])
-            q, q_ids, floor = np.concatenate([_matrix(p["v"]) for p in asks]), np.concatenate([p["id"].to_numpy() for p in asks]), np.concatenate([p["floor"].to_numpy() for p in asks])
+                base = (np.concatenate([_matrix(p["v"]) for p in base]), np.concatenate([p["id"].to_numpy() for p in base]))
+            q, floor = np.concatenate([_matrix(p["v"]) for p in asks]), np.concatenate([p["floor"].to_numpy() for p in asks])
+            name = [np.concatenate([p[c].to_numpy() for p in asks]) for c in ("id", "h")]
             for s in range(0, len(q), 256):
-                i, found, score = scan(ix, *base, q[s : s + 256], q_ids[s : s + 256], floor[s : s + 256], k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[s : s + 256][i]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
+                i, found, score = scan(ix, *base, q[s : s + 256], floor[s : s + 256], want)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[s : s + 256][i]) for c in name), pa.array(found), pa.array(score)], names=["id", "h", "vec_id", "score"])
 
         for b in batches:
             if not b.num_rows:
@@ -257,21 +298,20 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
                     base.append(part)
         yield from answer(asks)
 
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                ids = b["id"].to_numpy()
-                i, found, score = index.value.best(_matrix(b["v"]), ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
-
+    # of the rows of one vector those with the smallest ids; map tasks pass on `want` of a vector at most
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    candidates = rows.select("id", "v").distinct().withColumn("nth", nth).where(F.col("nth") <= want).select("id", F.lit(0).cast("long").alias("h"), "v")
+    queries = rows.where("asks").groupBy("v").agg(F.min("id").alias("id")).select("id", F.xxhash64("v").alias("h"), "v")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.mapInArrow(tidy(deal), "list int, block long, asked boolean, floor double, id long, v array<float>")
-    found = dealt.repartition(n, "list", "block").sortWithinPartitions("list", "block", "asked").mapInArrow(tidy(meet), "query_id long, vec_id long, score double")
-    # the sample's best, which gave the bounds, are among the answers
-    found = found.unionByName(rows.where("asks").select("id", "v").mapInArrow(tidy(seeds), "query_id long, vec_id long, score double"))
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    kinds = f"list int, block long, asked boolean, floor double, id long, h long, v {kind}"
+    both = candidates.mapInArrow(tidy(deal), kinds).unionByName(queries.mapInArrow(tidy(deal_queries), kinds))
+    found = both.repartition(n, "list", "block").sortWithinPartitions("list", "block", "asked").mapInArrow(tidy(meet), "id long, h long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("id", "h").orderBy(F.desc("score"), "vec_id"))
+    best = found.groupBy("id", "h", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= want)
+    best = best.groupBy("id", "h").agg(F.collect_list(F.struct("vec_id", "score")).alias("found"))  # `want` at most
+    asking = rows.where("asks").select(F.col("id").alias("query_id"), "v").distinct().join(queries, "v").select("query_id", "id", "h")
+    answers = asking.join(best, ["id", "h"]).select("query_id", F.inline("found")).where("query_id <> vec_id")
+    return answers.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
 
 def digest(embeddings: DataFrame) -> DataFrame:
