@@ -21,10 +21,14 @@ answers only where the lists lead to them.
 Equal vectors are one before anything is searched: a vector asks once however many rows
 ask with it, and of its rows only those with the k + 1 smallest ids can be among
 anyone's k nearest, since ties go to the smaller id. So a vector that a third of all rows
-hold is k + 1 candidates and one query. Lists are dealt out in blocks of about BLOCK rows
-by a hash of the id, by their share of the sample, so a long list is many tasks' work;
-each block answers its queries' best, and those meet in one aggregate a query. What is
-broadcast is the rotation, at most MAX_LISTS centroids and BOUND vectors.
+hold is k + 1 candidates and one query. Lists longer than BLOCK are cut into units by a
+hash of the id, by their share of the sample, and units that lie near one another are
+packed into shards of even size: LEAST_SHARDS of them, or as many as hold SHARD rows each.
+A shard's rows are one task's; a query goes once to each shard that holds a list it
+probes, with the numbers of those units. It scans them one after another, its bound
+tightening from list to list, and leaves the shard with its k + 1 best, which meet those
+of other shards in one aggregate. What is broadcast is the rotation, at most MAX_LISTS
+centroids and BOUND vectors.
 
 Vectors that are null, zero, hold null or non-finite numbers, or have no id take no part;
 vectors of different lengths are searched apart, as they have no inner product. Rows
@@ -47,6 +51,7 @@ from .common import ship, tidy
 
 MAX_LISTS, PER_LIST, LEAST_SAMPLE, FLAT, BOUND = 32_768, 16, 4096, 2048, 2048
 TARGET, EPSILON, COLUMNS, BLOCK = 0.96, 2.1, 16, 8192
+SHARD, LEAST_SHARDS, QUERIES = 65_536, 16, 1024
 _SLACK = 1e-5
 
 
@@ -57,8 +62,9 @@ class Index:
     coarse: np.ndarray  # centroids of groups of lists
     first: np.ndarray  # the first list of each group, and the number of lists
     centroids: np.ndarray  # of the lists, by group
-    blocks: np.ndarray  # of each list
     share: np.ndarray  # rows of each list, as the sample has it
+    unit: np.ndarray  # the first unit of each list, and the number of units
+    shard: np.ndarray  # of each unit
     probes: int
     bound: np.ndarray  # sampled vectors that bounds are made from
 
@@ -139,7 +145,7 @@ def fit(sample: np.ndarray, rows: int, norm: float, k: int, seed: int = 7) -> In
     d = sample.shape[1] + 1
     sample = np.unique(sample, axis=0)
     sample = sample[rng.permutation(len(sample))]
-    index = Index(np.linalg.qr(rng.standard_normal((d, d)))[0], norm, *[np.zeros(0)] * 5, 1, sample[: min(BOUND, max(k, len(sample) // 8))])
+    index = Index(np.linalg.qr(rng.standard_normal((d, d)))[0], norm, *[np.zeros(0)] * 6, 1, sample[: min(BOUND, max(k, len(sample) // 8))])
     held = len(sample) // 4
     x, seen = index.lift(sample[:held]), index.lift(sample[held:])
     n = min(lists_for(rows), max(1, len(seen) // (PER_LIST // 2)))
@@ -149,7 +155,16 @@ def fit(sample: np.ndarray, rows: int, norm: float, k: int, seed: int = 7) -> In
     index.first, index.centroids = np.cumsum([0, *map(len, parts)]), np.concatenate(parts)
     at = index.place(x)
     index.share = np.bincount(np.r_[at, index.place(seen)], minlength=len(index.centroids)) * rows / len(sample)
-    index.blocks = np.maximum(1, np.ceil(index.share / BLOCK)).astype(np.int64)
+    blocks = np.maximum(1, np.ceil(index.share / BLOCK)).astype(np.int64)
+    index.unit = np.r_[0, np.cumsum(blocks)]
+    # lists by group, and in a group along the line between its ends
+    group = np.repeat(np.arange(len(parts)), np.diff(index.first))
+    along = index.centroids @ (index.centroids[0] - index.centroids[-1])
+    order = np.repeat(np.lexsort((along, group)), blocks[np.lexsort((along, group))])
+    nth = np.concatenate([np.arange(n) for n in blocks[np.lexsort((along, group))]])
+    size = 1 + index.share[order] / blocks[order]
+    index.shard = np.zeros(len(order), np.int64)
+    index.shard[index.unit[order] + nth] = (np.cumsum(size) - size) * max(LEAST_SHARDS, -(-rows // SHARD)) // size.sum()
     # as many neighbours in the part held out as it has of a query's k nearest rows
     near = min(held - 1, max(1, -(-k * held // rows)))
     if near > 0:
@@ -163,43 +178,57 @@ def fit(sample: np.ndarray, rows: int, norm: float, k: int, seed: int = 7) -> In
     return index
 
 
-def scan(index: Index, x: np.ndarray, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in q, id, score) of the best k of x for each query, found with early abandonment; what scores below a query's floor may be left out."""
-    xr, qr = index.lift(x), index.aim(q)
-    x, q = x.astype(np.float64), q.astype(np.float64)
-    d, m2 = xr.shape[1], index.norm**2
-    scale = index.norm / np.sqrt((q**2).sum(axis=1))
-    bound = 2 * m2 - 2 * scale * floor
-    repeated = len(np.unique(ids)) < len(ids)
-    kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    begin, tile = 0, 128 if np.isinf(bound).any() else 1024
-    cuts = [*range(0, d, COLUMNS), d]
-    while begin < len(x):
-        here = np.arange(begin, min(begin + tile, len(x)))
-        begin, tile = begin + tile, 1024
-        a, b = qr[:, : cuts[1]], xr[here, : cuts[1]]
-        part = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T
-        test = lambda seen, m, at: seen * (d / m) <= bound[at] * ((1 + EPSILON / m**0.5) ** 2 if m < d else 1) * (1 + _SLACK) + _SLACK * m2
-        qi, ci = np.nonzero(test(part, cuts[1], np.arange(len(q))[:, None]))
-        seen = part[qi, ci]
-        ci = here[ci]
-        for s, e in zip(cuts[1:], cuts[2:], strict=False):
-            seen = seen + ((qr[qi, s:e] - xr[ci, s:e]) ** 2).sum(axis=1)
-            ok = test(seen, e, qi)
-            qi, ci, seen = qi[ok], ci[ok], seen[ok]
-        score = _exact(q, x, qi, ci)
-        kept = tuple(np.concatenate(z) for z in zip(kept, (qi, ids[ci], score), strict=True))
-        order = np.lexsort((kept[1], -kept[2], kept[0]))
-        kept = tuple(z[order] for z in kept)
-        if repeated:  # an id counts with its best vector
-            once = np.sort(np.unique(np.stack(kept[:2]), axis=1, return_index=True)[1])
-            kept = tuple(z[once] for z in kept)
-        first = np.searchsorted(kept[0], np.arange(len(q)))
-        rank = np.arange(len(kept[0])) - first[kept[0]]
-        last = rank == k - 1
-        bound[kept[0][last]] = np.minimum(bound[kept[0][last]], 2 * m2 - 2 * scale[kept[0][last]] * kept[2][last])
-        kept = tuple(z[rank < k] for z in kept)
-    return kept
+class Scan:
+    """Queries on their way through the units of a shard, with the best k that each has met and the bound these give.
+
+    What scores below a query's floor may be left out.
+    """
+
+    def __init__(self, index: Index, q: np.ndarray, floor: np.ndarray, k: int) -> None:
+        self.index, self.k, self.turned, self.q = index, k, index.aim(q), q.astype(np.float64)
+        self.scale = index.norm / np.sqrt((self.q**2).sum(axis=1))
+        self.bound = 2 * index.norm**2 - 2 * self.scale * floor
+        self.kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.new: list[tuple] = []
+        self.waiting = 0
+
+    def meet(self, at: np.ndarray, x: np.ndarray, xr: np.ndarray, ids: np.ndarray) -> None:
+        """Scans the rows (their vectors, the same lifted, their ids) for the queries at some places."""
+        d, m2 = xr.shape[1], self.index.norm**2
+        cuts = [*range(0, d, COLUMNS), d]
+        tile = min(1024, max(64, (1 << 20) // max(1, len(at))))
+        for begin in range(0, len(x), tile):
+            b, bound = xr[begin : begin + tile], self.bound[at]
+            test = lambda seen, m, limit: seen * (d / m) <= limit * ((1 + EPSILON / m**0.5) ** 2 if m < d else 1) * (1 + _SLACK) + _SLACK * m2
+            first, rest = self.turned[at, : cuts[1]], b[:, : cuts[1]]
+            part = (first**2).sum(axis=1)[:, None] + (rest**2).sum(axis=1)[None, :] - 2 * first @ rest.T
+            qi, ci = np.nonzero(test(part, cuts[1], bound[:, None]))
+            seen, qi = part[qi, ci], at[qi]
+            for s, e in zip(cuts[1:], cuts[2:], strict=False):
+                seen = seen + ((self.turned[qi, s:e] - b[ci, s:e]) ** 2).sum(axis=1)
+                ok = test(seen, e, self.bound[qi])
+                qi, ci, seen = qi[ok], ci[ok], seen[ok]
+            if len(qi):
+                self.new.append((qi, ids[begin + ci], _exact(self.q, x, qi, begin + ci)))
+                self.waiting += len(qi)
+            if self.waiting > 2 * len(self.q):
+                self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, id, score) of the best k so far, an id once with its best; bounds follow."""
+        if self.new:
+            q, i, score = (np.concatenate(z) for z in zip(self.kept, *self.new, strict=True))
+            order = np.lexsort((i, -score, q))
+            q, i, score = q[order], i[order], score[order]
+            again = np.zeros(len(q), bool)
+            pair = np.lexsort((i, q))  # stable: an id's best comes first
+            again[pair[1:]] = (q[pair[1:]] == q[pair[:-1]]) & (i[pair[1:]] == i[pair[:-1]])
+            q, i, score = q[~again], i[~again], score[~again]
+            rank = np.arange(len(q)) - np.searchsorted(q, np.arange(len(self.q)))[q]
+            last = rank == self.k - 1
+            self.bound[q[last]] = np.minimum(self.bound[q[last]], 2 * self.index.norm**2 - 2 * self.scale[q[last]] * score[last])
+            self.kept, self.new, self.waiting = (q[rank < self.k], i[rank < self.k], score[rank < self.k]), [], 0
+        return self.kept
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -234,32 +263,36 @@ def _search(rows: DataFrame, n_rows: int, norm: float, k: int, kind: str) -> Dat
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids = b["id"].to_numpy()
-            at = ix.place(ix.lift(_matrix(b["v"])))
-            block = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % ix.blocks[at]
-            yield dealt(b, np.arange(len(ids)), at, block, np.zeros(len(ids)), False)
+            if b.num_rows:
+                ids = b["id"].to_numpy()
+                at = ix.place(ix.lift(_matrix(b["v"])))
+                block = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % np.diff(ix.unit)[at]
+                unit = ix.unit[at] + block
+                yield dealt(b, np.arange(len(ids)), ix.shard[unit], np.zeros(len(ids)), unit[:, None], np.ones(len(ids), np.int64), False)
 
     def deal_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
         for whole in batches:
-            for begin in range(0, whole.num_rows, 512):
-                b = whole.slice(begin, 512)
+            for begin in range(0, whole.num_rows, 256):
+                b = whole.slice(begin, 256)
                 q = _matrix(b["v"])
                 floor, order = ix.floor(q, want), ix.order(ix.aim(q))
                 enough = np.minimum(np.maximum(ix.probes, 1 + (np.cumsum(ix.share[order], axis=1) < 20 * want).sum(axis=1)), order.shape[1])
-                probed = order[np.arange(order.shape[1])[None, :] < enough[:, None]]
-                place = np.repeat(np.arange(len(q)), enough)
-                blocks = ix.blocks[probed]
-                where = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                lists = order[np.arange(order.shape[1])[None, :] < enough[:, None]]
+                place, blocks = np.repeat(np.arange(len(q)), enough), np.diff(ix.unit)[lists]
+                unit = np.repeat(ix.unit[lists], blocks) + np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                 place = np.repeat(place, blocks)
-                yield dealt(b, place, np.repeat(probed, blocks), where, floor[place], True)
+                # one row for each query and shard, its units nearest first
+                by = np.lexsort((np.arange(len(unit)), ix.shard[unit], place))
+                place, unit = place[by], unit[by]
+                new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (ix.shard[unit[1:]] != ix.shard[unit[:-1]])])
+                yield dealt(b, place[new], ix.shard[unit[new]], floor[place[new]], unit, np.diff(np.r_[new, len(unit)]), True)
 
-    def dealt(b: pa.RecordBatch, place, lists, block, floor, asked: bool) -> pa.RecordBatch:
+    def dealt(b: pa.RecordBatch, place, shard, floor, units, n_units, asked: bool) -> pa.RecordBatch:
         take = pa.array(place)
-        cols = [pa.array(lists.astype(np.int32)), pa.array(block.astype(np.int64)), pa.array(np.full(len(place), asked)), pa.array(floor), b["id"].take(take), b["h"].take(take), b["v"].take(take)]
-        return pa.RecordBatch.from_arrays(cols, names=["list", "block", "asked", "floor", "id", "h", "v"])
+        off = pa.array(np.r_[0, np.cumsum(n_units)].astype(np.int32))
+        cols = [pa.array(shard), pa.array(np.full(len(place), asked)), pa.array(floor), pa.ListArray.from_arrays(off, pa.array(units.ravel().astype(np.int32))), b["id"].take(take), b["h"].take(take), b["v"].take(take)]
+        return pa.RecordBatch.from_arrays(cols, names=["shard", "asked", "floor", "units", "id", "h", "v"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
@@ -270,32 +303,47 @@ def _search(rows: DataFrame, n_rows: int, norm: float, k: int, kind: str) -> Dat
             if not base or not asks:
                 return
             if isinstance(base, list):
-                base = (np.concatenate([_matrix(p["v"]) for p in base]), np.concatenate([p["id"].to_numpy() for p in base]))
-            q, floor = np.concatenate([_matrix(p["v"]) for p in asks]), np.concatenate([p["floor"].to_numpy() for p in asks])
-            name = [np.concatenate([p[c].to_numpy() for p in asks]) for c in ("id", "h")]
-            for s in range(0, len(q), 256):
-                i, found, score = scan(ix, *base, q[s : s + 256], floor[s : s + 256], want)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[s : s + 256][i]) for c in name), pa.array(found), pa.array(score)], names=["id", "h", "vec_id", "score"])
+                x, ids = np.concatenate([_matrix(p["v"]) for p in base]).astype(np.float64), np.concatenate([p["id"].to_numpy() for p in base])
+                unit = np.concatenate([p["units"].flatten().to_numpy() for p in base])
+                order = np.argsort(unit, kind="stable")
+                x, unit = x[order], unit[order]
+                base = (x, ix.lift(x), ids[order], unit)
+            x, xr, ids, unit = base
+            b = pa.Table.from_batches(asks).combine_chunks()
+            units, n_units = b["units"].combine_chunks().flatten().to_numpy(), np.diff(b["units"].combine_chunks().offsets.to_numpy())
+            scan = Scan(ix, _matrix(b["v"]), b["floor"].to_numpy(), want)
+            place = np.repeat(np.arange(b.num_rows), n_units)
+            by = np.argsort(units, kind="stable")
+            edge = np.flatnonzero(np.r_[True, np.diff(units[by]) > 0, True])
+            # units that are near to many of the queries come first
+            near = np.arange(len(units)) - np.repeat(np.cumsum(n_units) - n_units, n_units)
+            for k in np.argsort(np.add.reduceat(near[by], edge[:-1]) / np.diff(edge), kind="stable").tolist():
+                u = units[by[edge[k]]]
+                lo, hi = np.searchsorted(unit, (u, u + 1))
+                scan.meet(place[by[edge[k] : edge[k + 1]]], x[lo:hi], xr[lo:hi], ids[lo:hi])
+            i, found, score = scan.settle()
+            take = pa.array(i)
+            yield pa.RecordBatch.from_arrays([b["id"].combine_chunks().take(take), b["h"].combine_chunks().take(take), pa.array(found), pa.array(score)], names=["id", "h", "vec_id", "score"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b["list"].to_numpy(), b["block"].to_numpy(), b["asked"].to_numpy(zero_copy_only=False)]
-            edge = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in cols], axis=0), True]).tolist()
+            cols = [b["shard"].to_numpy(), b["asked"].to_numpy(zero_copy_only=False)]
+            edge = np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]), True]).tolist()
             for s, e in zip(edge, edge[1:], strict=False):
-                here = (int(cols[0][s]), int(cols[1][s]))
-                if here != at:
+                if cols[0][s] != at:
                     yield from answer(asks)
-                    at, base, asks, n_asks = here, [], [], 0
-                part = b.slice(s, e - s)
-                if cols[2][s]:
+                    at, base, asks, n_asks = cols[0][s], [], [], 0
+                if not cols[1][s]:
+                    base.append(b.slice(s, e - s))
+                    continue
+                while s < e:
+                    part = b.slice(s, min(e - s, QUERIES - n_asks))
                     asks.append(part)
-                    n_asks += e - s
-                    if n_asks > 4096:
+                    s, n_asks = s + part.num_rows, n_asks + part.num_rows
+                    if n_asks == QUERIES:
                         yield from answer(asks)
                         asks, n_asks = [], 0
-                else:
-                    base.append(part)
         yield from answer(asks)
 
     # of the rows of one vector those with the smallest ids; map tasks pass on `want` of a vector at most
@@ -303,9 +351,9 @@ def _search(rows: DataFrame, n_rows: int, norm: float, k: int, kind: str) -> Dat
     candidates = rows.select("id", "v").distinct().withColumn("nth", nth).where(F.col("nth") <= want).select("id", F.lit(0).cast("long").alias("h"), "v")
     queries = rows.where("asks").groupBy("v").agg(F.min("id").alias("id")).select("id", F.xxhash64("v").alias("h"), "v")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kinds = f"list int, block long, asked boolean, floor double, id long, h long, v {kind}"
+    kinds = f"shard long, asked boolean, floor double, units array<int>, id long, h long, v {kind}"
     both = candidates.mapInArrow(tidy(deal), kinds).unionByName(queries.mapInArrow(tidy(deal_queries), kinds))
-    found = both.repartition(n, "list", "block").sortWithinPartitions("list", "block", "asked").mapInArrow(tidy(meet), "id long, h long, vec_id long, score double")
+    found = both.repartition(n, "shard").sortWithinPartitions("shard", "asked").mapInArrow(tidy(meet), "id long, h long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("id", "h").orderBy(F.desc("score"), "vec_id"))
     best = found.groupBy("id", "h", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= want)
     best = best.groupBy("id", "h").agg(F.collect_list(F.struct("vec_id", "score")).alias("found"))  # `want` at most
