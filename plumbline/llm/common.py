@@ -56,6 +56,14 @@ def plus(df: DataFrame, **columns: str) -> StructType:
     return out
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or the first with underscores added that no column has; case does not tell names apart, as in Spark."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Gives this package to the executors through Spark's own file server, once per context."""
     sc = spark.sparkContext

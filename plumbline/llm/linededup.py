@@ -1,43 +1,46 @@
 """Removal of globally repeated passages, by content-defined chunks of lines.
 
-A line ends at a newline, or at a full stop, question or exclamation mark before a
-space, so passages inside long paragraphs count too; its content leaves out that end.
-A chunk boundary lies before a line whose rolling hash is below that of the line
-before it: the choice depends on two neighbouring lines only, so text inserted
-elsewhere shifts nothing. Two such chunkings with unrelated hashes are used, which
-leaves few passages without a whole chunk inside. A chunk counts if it has two lines
-and MIN_WORDS words, or LONE_WORDS words in one line.
+A word ends at white space; a character from U+3000 to U+9FFF (Chinese, Japanese) is a
+word by itself. A line ends at a newline, or at a full stop, question or exclamation mark
+before a space, so passages inside long paragraphs count too; its content is its words.
+A chunk boundary lies before a line whose rolling hash is below that of the line before
+it: the choice depends on two neighbouring lines only, so text inserted elsewhere shifts
+nothing. Two such chunkings with unrelated hashes are used, which leaves few passages
+without a whole chunk inside. A chunk counts if it has two lines and MIN_WORDS words, or
+LONE_WORDS words in one line.
 
 Chunks of lines may miss a passage, so runs of words have keys too, whatever the lines:
 of each WINDOW neighbouring runs of GRAM words the one with the least hash is a key. The
 choice depends on those words only, so two texts that share GRAM + WINDOW - 1 = 51 words
 in a row always share a key inside them, also where a passage stands in the middle of a
-sentence or has no full stop. A word ends at white space; a character from U+3000 to
-U+9FFF (Chinese, Japanese) is a word by itself. Scripts such as Thai that set no spaces
-between words have phrases for words, and 51 of those are needed. Keys overlap or touch, as WINDOW <= GRAM.
+sentence or has no full stop. Scripts such as Thai that set no spaces between words have
+phrases for words, and 51 of those are needed. Keys overlap or touch, as WINDOW <= GRAM.
 
 1. Hashes of all chunks and keys are counted. Those that occur twice set bits in a bitmap
    of fixed size (BITMAP_BITS, so the broadcast is bounded; a full bitmap filters less
-   and loses nothing). Hashes with more than a hundred-thousandth of all chunks, and
-   5,000 at least, are listed as hot; there can be at most 100,000 of them.
-2. Chunks and keys that pass the bitmap travel with their bytes to their hash, hot ones
-   salted. There they are compared byte by byte with the first, in order of doc_id and
-   place (words joined by one space). Every later one is a repeat; one of lines grows
-   over the lines before and after it that equal those of the first (compared by 64-bit
-   hash). The firsts of salted groups meet again.
-3. Repeated keys that touch are one run of words. The keys at the ends of runs meet their
-   firsts once more, now with the WINDOW - 1 words on both sides, and grow over those that
-   equal the first's. A run that went on beyond these would have had a further key, so
-   with that it has the full extent it shares with the first, however short its lines.
-   Only keys and documents in two more such bitmaps take part.
-4. The repeated ranges of lines and words go back to their documents, which are cut; a
-   document without any does not travel. A word goes with the space after it. Of a run
-   of words that overlaps its first occurrence only the part beyond that goes.
+   and loses nothing). Hashes with more rows than HOT_ROWS and a HOT_SHARE-th of a task's
+   even share are listed with the number of parts they are cut into; there can be at most
+   HOT_SHARE of them a task.
+2. Chunks and keys that pass the bitmap travel with their bytes to their hash, hot ones to
+   a part of it by their document's hash. A key that the next key overlaps brings only
+   the words before that one. There they are compared byte by byte with the first, in
+   order of doc_id and place (words joined by one space). Every later one is a repeat of
+   as many words as both brought. The firsts of the parts of hot hashes meet again.
+3. Repeats that touch are one run of words. What stands around the firsts of the ends of
+   runs, CONTEXT words on either side, is fetched from their documents and sent to the
+   runs, which grow over all words that equal it byte by byte. A shared stretch that went
+   on for 26 words beyond a run would have had a further key, so with that it has the full
+   extent it shares with the first, however short its lines.
+4. The runs go to their documents, which are cut; a document without any does not travel.
+   A word goes with the space after it, a line with its end. Of a run that overlaps its
+   first occurrence only the part beyond that goes.
 
 The first occurrence of a passage stays, so a document that copies another whole is
 left empty, not dropped. A document is its doc_id and text: rows that repeat both are
 one document and fare alike. A null text has no lines and stays null; null ids come
-first in the order. n_cut counts the lines that lost text.
+first in the order. n_cut counts the lines that lost text. Columns of the input that are
+named as those added keep their values under their names, and the added ones get an
+underscore more (deduplicate's n_lines and n_cut); other names are free.
 """
 
 from __future__ import annotations
@@ -47,30 +50,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.lineage import checkpoint
-from .common import _powers, mix, plus, ship, span_hashes, text_slices, tidy
+from .common import _powers, free_name, mix, ship, span_hashes, text_slices, tidy
 
 MIN_WORDS, LONE_WORDS = 10, 20
-GRAM, WINDOW = 26, 26
+GRAM, WINDOW, CONTEXT = 26, 26, 50
 BITMAP_BITS = 27
 #: Bytes of text worked on at a time; arrays over bytes and words take some 50 times that.
 SLICE = 1 << 18
-HOT_ROWS, HOT_SHARE, SALTS = 5_000, 100_000, 32
-_R = np.uint64(0xD6E8FEB86659FD93)
-_RINV = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
+HOT_ROWS, HOT_SHARE = 256, 16
+_KEY, _CHUNK = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 
 
 class Lines:
-    """Lines and words of a slice of texts: ranges (of lines, with their ends) and content hashes."""
+    """Lines and words of a slice of texts: where they are, and hashes of runs of words."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray, bare: bool = False) -> None:
-        """bare: only where lines are, no hashes and words."""
-        self.raw = raw
-        newline, stop = raw == 10, np.isin(raw, (33, 46, 63))
+    def __init__(self, raw: np.ndarray, off: np.ndarray) -> None:
+        self.raw, self.off = raw, off
+        newline, stop = raw == 10, (raw == 33) | (raw == 46) | (raw == 63)
         stop[:-1] &= raw[1:] == 32
         stop[-1:] = False
         filled = off[:-1] < off[1:]
@@ -78,64 +80,61 @@ class Lines:
         ends = np.zeros(len(raw) + 1, bool)
         ends[1:] |= newline
         ends[2:] |= stop[:-1]
-        unended = ends.copy()
         ends[off[1:][filled]] = True
         self.end = np.flatnonzero(ends)
         self.start = np.r_[0, self.end[:-1]] if len(self.end) else self.end
-        self.stop = self.end - unended[self.end]
         self.first = np.searchsorted(self.start, off) if len(self.start) else np.zeros(len(off), np.int64)
-        if bare:
-            return
         space = (raw == 32) | ((raw >= 9) & (raw <= 13))
         begins = ~space
         begins[1:] &= space[:-1] | ends[1:-1]
         lead = np.flatnonzero((raw >= 0xE3) & (raw <= 0xE9))
         begins[lead] = True
-        self.spaced = not len(lead)
         lead = lead[lead + 3 < len(raw)] + 3
         begins[lead] |= ~space[lead]
-        words = np.cumsum(np.r_[0, begins])
-        self.words = words[self.end] - words[self.start]
         self.word_start = np.flatnonzero(begins)
         self.word_end = np.flatnonzero(~space & np.r_[(space | begins)[1:], True]) + 1 if len(raw) else self.word_start
         self.word_first = np.searchsorted(self.word_start, off)
-        both = span_hashes(raw, np.r_[self.start, self.word_start], np.r_[self.stop, self.word_end])
-        self.hash, self.word_hash = both[: len(self.start)], both[len(self.start) :]
+        self.line_word = np.searchsorted(self.word_start, np.r_[self.start, len(raw)])  # the first word of each line
 
-    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(first line, line after the last, hash) of the chunks that count, for each chunking."""
+    def hashed(self) -> Lines:
+        n = len(self.word_start)
+        p, self.inverse = _powers(n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(span_hashes(self.raw, self.word_start, self.word_end) * p[:n], out=self.sums[1:])
+        return self
+
+    def _hash(self, a: np.ndarray, b: np.ndarray, tag: np.ndarray | np.uint64) -> np.ndarray:
+        """Hashes of the words from a to b."""
+        return mix((self.sums[b] - self.sums[a]) * self.inverse[a] + tag)
+
+    def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, word after the last, hash) of the chunks that count, of both chunkings."""
         n = len(self.start)
         if not n:
-            return
-        total = np.r_[0, np.cumsum(self.words)]
-        power, inverse = np.full(n, _R), np.full(n, _RINV)
-        power[0] = inverse[0] = 1
-        power, inverse = np.cumprod(power), np.cumprod(inverse)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hash * power, out=sums[1:])
+            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+        line = self._hash(self.line_word[:-1], self.line_word[1:], np.uint64(0))
         edge = np.zeros(n + 1, bool)
         edge[self.first] = True
+        found = []
         for seed in (np.uint64(0x51ED270B0A1F39C1), np.uint64(0xB5297A4D2C8E6F3B)):
-            r = mix(self.hash ^ seed)
+            r = mix(line ^ seed)
             cut = edge.copy()
             cut[1:-1] |= r[1:] < r[:-1]
             cut[-1] = True
             at = np.flatnonzero(cut)
             a, b = at[:-1], at[1:]
-            words = total[b] - total[a]
+            words = self.line_word[b] - self.line_word[a]
             ok = ((b - a >= 2) & (words >= MIN_WORDS)) | (words >= LONE_WORDS)
-            a, b = a[ok], b[ok]
-            yield a, b, mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
+            found.append(self.line_word[a[ok]] * (len(self.word_start) + 1) + self.line_word[b[ok]])
+        a, b = np.divmod(np.unique(np.concatenate(found)), len(self.word_start) + 1)
+        return a, b, self._hash(a, b, (b - a).astype(np.uint64) * _CHUNK)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of the runs of GRAM words that are the least of some WINDOW neighbouring ones."""
         n = len(self.word_start) - GRAM + 1
         if n < WINDOW:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        p, q = _powers(len(self.word_start))
-        sums = np.zeros(len(self.word_start) + 1, np.uint64)
-        np.cumsum(self.word_hash * p, out=sums[1:])
-        h = mix((sums[GRAM:] - sums[:-GRAM]) * q[:n] + np.uint64(0x2545F4914F6CDD1D))
+        h = mix((self.sums[GRAM:] - self.sums[:-GRAM]) * self.inverse[:n] + _KEY)
         last = np.repeat(self.word_first[1:], np.diff(self.word_first))[:n]
         whole = np.arange(n) + GRAM <= last
         low = _slide(np.where(whole, h, np.uint64(2**64 - 1)), np.minimum)
@@ -144,23 +143,34 @@ class Lines:
         at = np.flatnonzero(whole & (_slide(np.r_[ends, low, ends], np.maximum) == h))
         return at, h[at]
 
-    def run(self, at: int, n: int = GRAM) -> bytes:
-        """The n words from a place, joined by single spaces."""
-        if not n:
-            return b""
-        if self.spaced:
-            return b" ".join(self.raw[self.word_start[at] : self.word_end[at + n - 1]].tobytes().split())
-        return b" ".join(self.raw[self.word_start[k] : self.word_end[k]].tobytes() for k in range(at, at + n))
-
-    def bytes_of(self, doc: int, lo: int, hi: int) -> tuple[int, int]:
-        """The bytes of words lo to hi of a text, with the spaces after them; the first word has those before it."""
+    def joined(self, a: np.ndarray, b: np.ndarray) -> pa.Array:
+        """For each pair the words from a to b, joined by single spaces."""
+        size = self.word_end - self.word_start + 1
+        place = np.r_[0, np.cumsum(size)]
+        length = np.maximum(0, place[b] - place[a] - 1)
+        # first the words of all pairs, then their bytes
+        n = b - a
+        word = np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)
+        out = np.full(int((place[b] - place[a]).sum()), 32, np.uint8)
+        to = np.cumsum(size[word]) - size[word]
+        inner = size[word] - 1
+        step = np.arange(inner.sum()) - np.repeat(np.cumsum(inner) - inner, inner)
+        out[np.repeat(to, inner) + step] = self.raw[np.repeat(self.word_start[word], inner) + step]
+        # the space after the last word of each pair goes
+        keep = np.ones(len(out), bool)
+        keep[np.cumsum(place[b] - place[a])[n > 0] - 1] = False
+        off = np.r_[0, np.cumsum(length)].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(off), pa.py_buffer(out[keep])])
+
+    def cut_at(self, word: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The byte at which text is cut before a word: the start of its line if it is the first there, and of a text its start and end."""
         a, z = self.word_first[doc], self.word_first[doc + 1]
-        begin, end = self.start[self.first[doc]], self.end[self.first[doc + 1] - 1]
-        return int(self.word_start[a + lo] if lo else begin), int(self.word_start[a + hi] if a + hi < z else end)
-
-    def text(self, a: int, b: int) -> bytes:
-        raw = self.raw
-        return b"\n".join(raw[self.start[k] : self.stop[k]].tobytes() for k in range(a, b))
+        if not len(self.word_start):
+            return np.where(word > 0, self.off[doc + 1], self.off[doc])
+        w = np.minimum(a + word, len(self.word_start) - 1)
+        line = np.searchsorted(self.start, self.word_start[w], side="right") - 1
+        at = np.where(self.line_word[line] == w, self.start[line], self.word_start[w])
+        return np.where(word <= 0, self.off[doc], np.where(a + word >= z, self.off[doc + 1], at))
 
 
 def _slide(v: np.ndarray, f: np.ufunc) -> np.ndarray:
@@ -186,269 +196,304 @@ def _bitmap(hashes: DataFrame):
     return hashes.sparkSession.sparkContext.broadcast(bits)
 
 
+def _marked(documents: DataFrame, key: str, hashes: DataFrame, flag: str) -> DataFrame:
+    """documents with whether the bit of their key is set by some of the hashes (h): a join with at most 4,096 bitmaps of 4 KB."""
+    mask = F.lit((1 << BITMAP_BITS) - 1)
+    bit = lambda c: F.col(c).bitwiseAND(F.lit(32767))
+    bucket = lambda c: F.shiftright(F.col(c).bitwiseAND(mask), 15)
+    names = [f"{flag}_bucket", f"{flag}_bits"]
+    bits = hashes.groupBy(bucket("h").alias(names[0])).agg(F.bitmap_construct_agg(bit("h")).alias(names[1]))
+    byte = F.conv(F.hex(F.substring(F.col(names[1]), (F.shiftright(bit(key), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, bit(key).bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return documents.join(F.broadcast(bits), bucket(key) == F.col(names[0]), "left").withColumn(flag, F.coalesce(is_set, F.lit(False))).drop(*names)
+
+
 def _hashes(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, raw, off in text_slices(b[text], SLICE):
-                lines = Lines(raw, off)
-                for h in (*(h for _, _, h in lines.chunks()), lines.grams()[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+                lines = Lines(raw, off).hashed()
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[lines.chunks()[2], lines.grams()[1]].view(np.int64))], names=["h"])
 
     return run
 
 
-_FOUND = "unit int, h long, salt int, id {id}, th long, line int, n int, chunk binary, before binary, after binary"
-_MET = "unit int, id {id}, th long, lo int, hi int, h long, fth long, first boolean, chunk binary, before binary, after binary"
-#: What a range counts.
-LINES, WORDS = 0, 1
+#: A chunk or key: its hash and the part of it, its document, first word, words it has and brought, words before the text ends.
+_FOUND = "h long, salt int, id {id}, th long, at int, size int, n int, rest int, words binary"
+#: A repeat, or the first of a part of a hot hash: its place and the first's, and whether both are in one document.
+_MET = "id {id}, th long, lo int, hi int, rest int, h long, fth long, fat int, skip int, own boolean, first boolean, size int, words binary"
 
 
-def _salts(spread: np.ndarray, key: np.ndarray, th: np.ndarray) -> np.ndarray:
-    if not len(spread):
+def _parts(hot: tuple[np.ndarray, np.ndarray], key: np.ndarray, th: np.ndarray) -> np.ndarray:
+    """The part of its hash that a row goes to."""
+    h, parts = hot
+    if not len(h):
         return np.zeros(len(key), np.int32)
-    k = np.minimum(np.searchsorted(spread, key), len(spread) - 1)
-    return np.where(spread[k] == key, th % SALTS, 0).astype(np.int32)
+    k = np.minimum(np.searchsorted(h, key), len(h) - 1)
+    return np.where(h[k] == key, (th.view(np.uint64) >> np.uint64(20)).astype(np.int64) % parts[k], 0).astype(np.int32)
 
 
 def _candidates(bitmap, hot, text: str, doc_id: str):
-    """Chunks and keys whose hash is set in the bitmap, with their bytes; chunks with the hashes of the lines around them."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, spread = bitmap.value, hot.value
-        for b in batches:
-            ids, th = b[doc_id], b["__th"].to_numpy()
-            for row, _, raw, off in text_slices(b[text], SLICE):
-                lines = Lines(raw, off)
-                for a, e, h in lines.chunks():
-                    ok = np.flatnonzero(_set(bits, h))
-                    if not len(ok):
-                        continue
-                    a, e, key = a[ok], e[ok], h[ok].view(np.int64)
-                    doc = np.searchsorted(lines.first, a, side="right") - 1
-                    begin, end = lines.first[doc], lines.first[doc + 1]
-                    # a chunk is followed over some lines; what runs on in long passages has keys of words
-                    lo, hi = np.maximum(begin, a - REACH), np.minimum(end, e + REACH)
-                    yield _found(
-                        LINES, key, _salts(spread, key, th[row + doc]), ids.take(pa.array(row + doc)), th[row + doc], a - begin, e - a,
-                        [lines.text(x, y) for x, y in zip(a.tolist(), e.tolist(), strict=True)],
-                        [lines.hash[x:y].tobytes() for x, y in zip(lo.tolist(), a.tolist(), strict=True)],
-                        [lines.hash[x:y].tobytes() for x, y in zip(e.tolist(), hi.tolist(), strict=True)],
-                    )
-                at, h = lines.grams()
-                ok = np.flatnonzero(_set(bits, h))
-                if len(ok):
-                    at, key = at[ok], h[ok].view(np.int64)
-                    doc = np.searchsorted(lines.word_first, at, side="right") - 1
-                    none = [None] * len(at)
-                    yield _found(WORDS, key, _salts(spread, key, th[row + doc]), ids.take(pa.array(row + doc)), th[row + doc], at - lines.word_first[doc], np.full(len(at), GRAM), [lines.run(x) for x in at.tolist()], none, none)
-
-    return run
-
-
-def _ends(keys, docs, hot, text: str, doc_id: str):
-    """Keys of words set in one bitmap, of documents set in the other, with the words around them."""
+    """Chunks and keys whose hash is set in the bitmap, with their words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(_set(docs.value, b["__th"].to_numpy().view(np.uint64))))
-            ids, th = b[doc_id], b["__th"].to_numpy()
+            ids, th = b[doc_id], b["th"].to_numpy()
             for row, _, raw, off in text_slices(b[text], SLICE):
-                lines = Lines(raw, off)
-                at, h = lines.grams()
-                ok = np.flatnonzero(_set(keys.value, h))
-                if not len(ok):
-                    continue
-                at, key = at[ok], h[ok].view(np.int64)
-                doc = np.searchsorted(lines.word_first, at, side="right") - 1
-                begin, end = lines.word_first[doc], lines.word_first[doc + 1]
-                lo, hi = np.maximum(begin, at - WINDOW + 1), np.minimum(end, at + GRAM + WINDOW - 1)
-                yield _found(
-                    WORDS, key, _salts(hot.value, key, th[row + doc]), ids.take(pa.array(row + doc)), th[row + doc], at - begin, np.full(len(at), GRAM),
-                    [lines.run(x) for x in at.tolist()],
-                    [lines.run(x, y - x) for x, y in zip(lo.tolist(), at.tolist(), strict=True)],
-                    [lines.run(x + GRAM, y - x - GRAM) for x, y in zip(at.tolist(), hi.tolist(), strict=True)],
-                )
+                lines = Lines(raw, off).hashed()
+                a, e, h = lines.chunks()
+                ok = _set(bitmap.value, h)
+                a, e, h = a[ok], e[ok], h[ok]
+                at, key = lines.grams()
+                ok = _set(bitmap.value, key)
+                at, key = at[ok], key[ok]
+                # up to the next key, if that begins inside this one
+                brought = np.full(len(at), GRAM)
+                if len(at):
+                    brought[:-1] = np.minimum(GRAM, np.diff(at))
+                every = np.r_[a, at], np.r_[e - a, np.full(len(at), GRAM)], np.r_[e - a, brought], np.r_[h, key].view(np.int64)
+                for s in range(0, len(every[0]), 8192):
+                    first, size, n, hash_ = (c[s : s + 8192] for c in every)
+                    doc = np.searchsorted(lines.word_first, first, side="right") - 1
+                    t = th[row + doc]
+                    cols = [pa.array(hash_), pa.array(_parts(hot.value, hash_, t)), ids.take(pa.array(row + doc)), pa.array(t)]
+                    cols += [pa.array(c.astype(np.int32)) for c in (first - lines.word_first[doc], size, n, lines.word_first[doc + 1] - first - n)]
+                    yield pa.RecordBatch.from_arrays([*cols, lines.joined(first, first + n)], names=["h", "salt", "id", "th", "at", "size", "n", "rest", "words"])
 
     return run
 
 
-def _found(unit, key, salt, ids, th, line, n, chunk, before, after) -> pa.RecordBatch:
-    cols = [
-        pa.array(np.full(len(key), unit, np.int32)), pa.array(key), pa.array(salt), ids, pa.array(th), pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)),
-        pa.array(chunk, pa.binary()), pa.array(before, pa.binary()), pa.array(after, pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(cols, names=["unit", "h", "salt", "id", "th", "line", "n", "chunk", "before", "after"])
+def _same(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Null-safe equality."""
+    return pc.or_kleene(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
 
 
-#: Lines before and after a repeated chunk that it may grow over.
-REACH = 4
+def _bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary column."""
+    off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+    return np.frombuffer(col.buffers()[2] or b"", np.uint8), off.astype(np.int64)
 
 
-def _same(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Null-safe equality."""
-    return pc.or_kleene(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+def _begin_alike(data: np.ndarray, off: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the shorter of the byte strings at places a and b begins the longer one."""
+    n = np.minimum(off[a + 1] - off[a], off[b + 1] - off[b])
+    out = np.ones(len(a), bool)
+    some = np.flatnonzero((n > 0) & (a != b))
+    for s in range(0, len(some), 4096):
+        k = some[s : s + 4096]
+        start = np.cumsum(n[k]) - n[k]
+        step = np.arange(n[k].sum()) - np.repeat(start, n[k])
+        same = data[np.repeat(off[a[k]], n[k]) + step] == data[np.repeat(off[b[k]], n[k]) + step]
+        out[k] = np.logical_and.reduceat(same, start)
+    return out
 
 
 def _repeats(spread):
-    """From candidates sorted by hash, salt and place: ranges of repeats, and the firsts of hot hashes (first set)."""
+    """From candidates sorted by hash, part and place: the repeats, and the firsts of hot hashes (first set)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = spread.value if spread is not None else np.zeros(0, np.int64)
-        hot_set = set(hot.tolist())
-        at, firsts = None, {}
-        head, odd = None, {}  # keys of words: the first row of the last hash; firsts that share a hash with other bytes
+        hot = spread.value[0] if spread is not None else np.zeros(0, np.int64)
+        head = None  # the firsts of the last hash, of which more rows may come
         for b in batches:
-            gram = b["before"].is_null()
-            if gram.true_count:
-                g = b.filter(gram)
-                if head is not None:
-                    g = pa.Table.from_batches([head, g]).combine_chunks().to_batches()[0]
-                skip = int(head is not None)
-                h, salt, th, line = (g[c].to_numpy() for c in ("h", "salt", "th", "line"))
-                new = np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]
-                first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-                equal = pc.equal(g["chunk"], g["chunk"].take(pa.array(first))).to_numpy(zero_copy_only=False)
-                one = _same(g["id"], g["id"].take(pa.array(first))) & (th == th[first])
-                start, fth = np.where(one & (line < line[first] + GRAM), line[first] + GRAM, line), th[first].copy()
-                later = equal & ~(one & (line == line[first]))
-                own = new.copy()
-                for k in np.flatnonzero(~equal).tolist():  # hashes of different bytes that meet
-                    place, mine = (g["id"][k].as_py(), int(th[k]), int(line[k])), (int(h[k]), int(salt[k]), g["chunk"][k].as_py())
-                    f = odd.setdefault(mine, place)
-                    own[k], later[k], fth[k] = f == place, f != place, f[1]
-                    start[k] = max(line[k], f[2] + GRAM) if f[:2] == place[:2] else line[k]
-                own[:skip] = later[:skip] = False
-                head = g.slice(int(first[-1]), 1)
-                k = np.flatnonzero(later)
-                if len(k):
-                    yield _result(g.take(pa.array(k)), start[k], line[k] + GRAM, fth[k], False)
-                k = np.flatnonzero(own & np.isin(h, hot))
-                if len(k):
-                    yield _result(g.take(pa.array(k)), line[k], np.full(len(k), GRAM), th[k], True)
-            b = b.filter(pc.invert(gram))
-            cols = [b[c].to_pylist() for c in ("h", "salt", "id", "th", "line", "n", "chunk", "before", "after", "unit")]
-            rows, lo, hi, fth, kept = [], [], [], [], []
-            for k, (h, salt, i, t, line, n, chunk, before, after, unit) in enumerate(zip(*cols, strict=True)):
-                if at != (h, salt):
-                    at, firsts = (h, salt), {}
-                before, after = _parts(before, unit), _parts(after, unit)
-                first = firsts.get(chunk)
-                if first is None:
-                    firsts[chunk] = (i, t, line, before, after)
-                    if h in hot_set:
-                        kept.append(k)
-                elif first[:3] != (i, t, line):
-                    up = down = 0
-                    while up < min(len(before), len(first[3])) and before[-1 - up] == first[3][-1 - up]:
-                        up += 1
-                    while down < min(len(after), len(first[4])) and after[down] == first[4][down]:
-                        down += 1
-                    rows.append(k)
-                    # where words overlap their first occurrence, that stays
-                    lo.append(max(line - up, min(line, first[2]) + n) if unit == WORDS and first[:2] == (i, t) else line - up)
-                    hi.append(line + n + down)
-                    fth.append(first[1])
-            if rows:
-                yield _result(b.take(pa.array(rows)), lo, hi, fth, False)
-            if kept:
-                part = b.take(pa.array(kept))
-                yield _result(part, part["line"], part["n"], part["th"], True)
+            if not b.num_rows:
+                continue
+            carried = 0
+            if head is not None:
+                carried = head.num_rows
+                b = pa.Table.from_batches([head, b]).combine_chunks().to_batches()[0]
+            h, salt, th, at, size, n, rest = (b[c].to_numpy() for c in ("h", "salt", "th", "at", "size", "n", "rest"))
+            data, off = _bytes_of(b["words"])
+            new = np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            bad = np.flatnonzero(~_begin_alike(data, off, np.arange(len(h)), first) | (size != size[first]))
+            while len(bad):  # words that differ under one hash: the first of them is a first too
+                lead = np.r_[True, first[bad[1:]] != first[bad[:-1]]]
+                chosen = bad[np.maximum.accumulate(np.where(lead, np.arange(len(bad)), 0))]
+                first[bad] = chosen
+                bad = bad[~_begin_alike(data, off, bad, chosen) | (size[bad] != size[chosen])]
+            mine = np.arange(len(h))
+            own = _same(b["id"], b["id"].take(pa.array(first))) & (th == th[first])
+            again = (first != mine) & ~(own & (at == at[first])) & (mine >= carried)
+            both = np.minimum(n, n[first])
+            # where words overlap their first occurrence, that stays
+            start = np.where(own, np.maximum(at, at[first] + size), at)
+            k = np.flatnonzero(again & (start < at + both))
+            if len(k):
+                yield result(b, k, start[k], at[k] + both[k], rest[k] + n[k] - both[k], th[first[k]], at[first[k]], start[k] - at[k], own[k], False)
+            k = np.flatnonzero((first == mine) & (mine >= carried) & np.isin(h, hot))
+            if len(k):
+                yield result(b, k, at[k], at[k] + n[k], rest[k], th[k], at[k], at[k] * 0, at[k] == at[k], True)
+            last = mine[(h == h[-1]) & (salt == salt[-1]) & (first == mine)]
+            head = b.take(pa.array(last))
+
+    def result(b, k, lo, hi, rest, fth, fat, skip, own, is_first: bool) -> pa.RecordBatch:
+        take = pa.array(k)
+        words = b["words"].take(take) if is_first else pa.nulls(len(k), pa.binary())
+        ints = [pa.array(c.astype(np.int32)) for c in (lo, hi, rest)]
+        cols = [b["id"].take(take), b["th"].take(take), *ints, b["h"].take(take), pa.array(fth), pa.array(fat.astype(np.int32)), pa.array(skip.astype(np.int32)), pa.array(own), pa.array(np.full(len(k), is_first)), b["size"].take(take), words]
+        return pa.RecordBatch.from_arrays(cols, names=["id", "th", "lo", "hi", "rest", "h", "fth", "fat", "skip", "own", "first", "size", "words"])
 
     return run
 
 
-def _parts(x: bytes, unit: int) -> list[bytes]:
-    return x.split() if unit == WORDS else [x[k : k + 8] for k in range(0, len(x), 8)]
-
-
-def _result(b: pa.RecordBatch, lo, hi, fth, first: bool) -> pa.RecordBatch:
-    n = b.num_rows
-    more = [b[c] if first else pa.nulls(n, pa.binary()) for c in ("chunk", "before", "after")]
-    cols = [b["unit"], b["id"], b["th"], pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), b["h"], pa.array(fth, pa.int64()), pa.array([first] * n), *more]
-    return pa.RecordBatch.from_arrays(cols, names=["unit", "id", "th", "lo", "hi", "h", "fth", "first", "chunk", "before", "after"])
-
-
 def _meet(rows: DataFrame, spread, n: int) -> DataFrame:
-    """(unit, id, th, lo, hi, h, fth) of the repeats among candidates; fth is the first's th."""
+    """The repeats among candidates."""
     out = _MET.format(id=rows.schema["id"].dataType.simpleString())
-    place = ["h", "salt", "id", "th", "line"]
+    place = ["h", "salt", "id", "th", "at"]
     met = checkpoint(rows.repartition(n, "h", "salt").sortWithinPartitions(*place).mapInArrow(tidy(_repeats(spread)), out))
-    again = met.where("first").select("unit", "h", F.lit(0).alias("salt"), "id", "th", F.col("lo").alias("line"), F.col("hi").alias("n"), "chunk", "before", "after")
+    again = met.where("first").select("h", F.lit(0).alias("salt"), "id", "th", F.col("lo").alias("at"), "size", (F.col("hi") - F.col("lo")).alias("n"), "rest", "words")
     again = again.repartition(n, "h").sortWithinPartitions(*place).mapInArrow(tidy(_repeats(None)), out)
-    cols = ["unit", "id", "th", "lo", "hi", "h", "fth"]
-    return met.where("not first").select(*cols).unionByName(again.select(*cols))
+    return met.where("not first").drop("first", "words").unionByName(again.drop("first", "words"))
+
+
+def _contexts(wanted, docs, text: str):
+    """The words around wanted chunks and keys, from documents set in the other bitmap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(_set(docs.value, b["th"].to_numpy().view(np.uint64))))
+            th = b["th"].to_numpy()
+            for row, _, raw, off in text_slices(b[text], SLICE):
+                lines = Lines(raw, off).hashed()
+                a, e, h = lines.chunks()
+                at, key = lines.grams()
+                first, end, h = np.r_[a, at], np.r_[e, at + GRAM], np.r_[h, key]
+                doc = np.searchsorted(lines.word_first, first, side="right") - 1
+                place = first - lines.word_first[doc]
+                ok = np.flatnonzero(_set(wanted.value, h ^ th[row + doc].view(np.uint64) ^ place.astype(np.uint64)))
+                if len(ok):
+                    first, end, doc, place = first[ok], end[ok], doc[ok], place[ok]
+                    lo, hi = np.maximum(lines.word_first[doc], first - CONTEXT), np.minimum(lines.word_first[doc + 1], end + CONTEXT)
+                    cols = [pa.array(h[ok].view(np.int64)), pa.array(th[row + doc]), pa.array(place.astype(np.int32)), lines.joined(lo, first), lines.joined(first, hi)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["h", "fth", "fat", "before", "after"])
+
+    return run
+
+
+def _texts(documents: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return documents.select(F.col(doc_id).alias("id"), _document(text, doc_id).alias("th"), F.col(text).alias("text"))
+
+
+def _document(text: str, doc_id: str) -> Column:
+    """A hash that tells documents: of the text, and of the id."""
+    return F.xxhash64(F.xxhash64(text), F.xxhash64(doc_id), F.col(doc_id).isNull())
 
 
 def repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(id, th, ranges): the ranges of lines and words of each document (its id and xxhash64 of its text) that repeat earlier ones."""
+    """(id, th, ranges): the runs of words of each document that repeat earlier ones, with the words that stand around the
+    firsts of their ends. th tells the document's text and id."""
     spark = documents.sparkSession
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = documents.select(F.col(doc_id), F.xxhash64(text).alias("__th"), text)
-    counts = checkpoint(texts.select(text).mapInArrow(tidy(_hashes(text)), "h long").groupBy("h").count().where("count > 1"))
+    texts = _texts(documents, text, doc_id)
+    counts = checkpoint(texts.select("text").mapInArrow(tidy(_hashes("text")), "h long").groupBy("h").count().where("count > 1"))
     total = counts.agg(F.sum("count")).first()[0] or 0
-    hot = counts.where(F.col("count") > max(HOT_ROWS, total // HOT_SHARE)).select("h").toArrow()["h"].to_numpy()
-    bitmap, spread = _bitmap(counts.select("h")), spark.sparkContext.broadcast(np.sort(hot))
-    kind = _FOUND.format(id=texts.schema[doc_id].dataType.simpleString())
-    met = _meet(texts.mapInArrow(tidy(_candidates(bitmap, spread, text, doc_id)), kind), spread, n)
-    bitmap.unpersist()  # its only reader is checkpointed
-    found = met.where(f"unit = {LINES}").select("unit", "id", "th", "lo", "hi").distinct()
-    # repeated keys of words that touch are one run
+    limit = max(HOT_ROWS, total // (n * HOT_SHARE))
+    hot = counts.where(F.col("count") > limit).orderBy("h").toArrow()
+    hot = (hot["h"].to_numpy(), -(-hot["count"].to_numpy() // limit))
+    bitmap, spread = _bitmap(counts.select("h")), spark.sparkContext.broadcast(hot)
+    kind = texts.schema["id"].dataType.simpleString()
+    met = _meet(texts.mapInArrow(tidy(_candidates(bitmap, spread, "text", "id")), _FOUND.format(id=kind)), spread, n)
+    # repeats that touch are one run
     place = Window.partitionBy("id", "th").orderBy("lo", "hi")
-    runs = met.where(f"unit = {WORDS}").withColumn("gap", F.coalesce(F.lag("hi").over(place) < F.col("lo"), F.lit(True)).cast("int")).withColumn("run", F.sum("gap").over(place))
-    ends = [F.array(f"{end}.h", f"{end}.fth").alias(end) for end in ("low", "high")]
-    runs = runs.groupBy("id", "th", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min_by(F.struct("h", "fth"), "lo").alias("low"), F.max_by(F.struct("h", "fth"), "hi").alias("high"))
-    runs = checkpoint(runs.select("id", "th", "lo", "hi", *ends))
-    keys = _bitmap(runs.select(F.explode(F.array(F.expr("low[0]"), F.expr("high[0]"))).alias("h")))
-    docs = _bitmap(runs.select(F.explode(F.array(F.col("th"), F.expr("low[1]"), F.expr("high[1]"))).alias("h")))
-    grown = _meet(texts.mapInArrow(tidy(_ends(keys, docs, spread, text, doc_id)), kind), spread, n)
-    keys.unpersist()
+    gap = F.coalesce(F.max("hi").over(place.rowsBetween(Window.unboundedPreceding, -1)) < F.col("lo"), F.lit(True)).cast("int")
+    runs = met.withColumn("gap", gap).withColumn("run", F.sum("gap").over(place))
+    end = F.struct("h", "fth", "fat", "lo", "hi", "rest", "skip", "own", "size")
+    first_end, last_end = F.min_by(end, F.struct("lo", "h", "fth", "fat")), F.max_by(end, F.struct("hi", "h", "fth", "fat"))
+    runs = runs.groupBy("id", "th", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), first_end.alias("low"), last_end.alias("high"))
+    runs = checkpoint(runs.select("id", "th", "lo", "hi", "low", "high"))
+    bitmap.unpersist()  # its only reader is checkpointed
+    # an end at its text's beginning or end has nothing to grow over
+    grows = {"low": (F.col("low.lo") > 0) & (F.col("low.skip") == 0), "high": F.col("high.rest") > 0}
+    ends = [runs.where(grows[e]).select("id", "th", "lo", "hi", F.lit(e == "low").alias("left"), f"{e}.h", f"{e}.fth", f"{e}.fat") for e in grows]
+    ends = ends[0].unionByName(ends[1])
+    asked = ends.select("h", "fth", "fat").distinct()
+    wanted = _bitmap(asked.select(F.col("h").bitwiseXOR(F.col("fth")).bitwiseXOR(F.col("fat").cast("long")).alias("h")))
+    docs = _bitmap(asked.select(F.col("fth").alias("h")))
+    found = texts.select("th", "text").mapInArrow(tidy(_contexts(wanted, docs, "text")), "h long, fth long, fat int, before binary, after binary")
+    # of documents that repeat one is enough
+    around = checkpoint(found.groupBy("h", "fth", "fat").agg(F.any_value("before").alias("before"), F.any_value("after").alias("after")))
+    wanted.unpersist()
     docs.unpersist()
-    for part in (runs.select(F.lit(WORDS).alias("unit"), "id", "th", "lo", "hi"), grown.select("unit", "id", "th", "lo", "hi").distinct()):
-        found = found.unionByName(part)
-    return found.groupBy("id", "th").agg(F.collect_list(F.struct("unit", "lo", "hi")).alias("ranges"))
+    # the firsts of hot hashes are copied to as many parts as their repeats are dealt to
+    parts = counts.where(F.col("count") > limit).select("h", F.ceil(F.col("count") / limit).cast("int").alias("parts"))
+    several = around.join(F.broadcast(parts), "h", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    dealt = ends.join(F.broadcast(parts), "h", "left").withColumn("salt", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("th", "lo"), F.col("parts"))).otherwise(0).cast("int"))
+    text_of = F.when(F.col("left"), F.col("before")).otherwise(F.col("after"))
+    told = dealt.join(several, ["h", "fth", "fat", "salt"]).select("id", "th", "lo", "hi", F.col("left"), text_of.alias("words"))
+    mine = runs.select("id", "th", "lo", "hi", F.when(F.col("low.own"), F.col("low.fat") + F.col("low.size")).otherwise(0).alias("wall"), (F.col("high.hi") - F.col("high.lo") + F.col("high.skip")).alias("into"), F.lit(None).cast("boolean").alias("left"), F.lit(None).cast("binary").alias("words"))
+    every = mine.unionByName(told.withColumns({"wall": F.lit(0), "into": F.lit(0)}))
+    return every.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi", "wall", "into", "left", "words")).alias("ranges"))
+
+
+def _grown(lines: Lines, doc: int, ranges: list[tuple]) -> list[list[int]]:
+    """The runs of a document, grown over the words that equal those around their firsts."""
+    a, z = lines.word_first[doc], lines.word_first[doc + 1]
+    word = lambda k: lines.raw[lines.word_start[k] : lines.word_end[k]].tobytes()
+    runs = {(lo, hi): [lo, hi, wall, into] for lo, hi, wall, into, left, _ in ranges if left is None}
+    for lo, hi, _, _, left, words in ranges:
+        if not words:
+            continue
+        run, around = runs[lo, hi], words.split(b" ")
+        if left:
+            k, least = a + lo, a + run[2]  # a run does not grow into its own first occurrence
+            while around and k > least and word(k - 1) == around.pop():
+                k -= 1
+            run[0] = k - a
+        else:
+            k, i = a + hi, run[3]
+            while k < z and i < len(around) and word(k) == around[i]:
+                k, i = k + 1, i + 1
+            run[1] = k - a
+    return [r[:2] for r in runs.values()]
+
+
+def added(documents: DataFrame) -> tuple[str, str]:
+    """The names of the columns that deduplicate adds to a frame."""
+    return free_name(documents, "n_lines"), free_name(documents, "n_cut")
 
 
 def deduplicate(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """documents with repeated passages cut from the text, and n_lines and n_cut (lines) added."""
-    schema = plus(documents, n_lines="long", n_cut="long")
-    plus(documents, __th="long", __ranges="int")
-    found = checkpoint(repeats(documents, text, doc_id).withColumnsRenamed({"id": "__id", "th": "__t", "ranges": "__ranges"}))
-    bitmap = _bitmap(found.select(F.col("__t").alias("h")))
-    keyed = documents.withColumn("__th", F.xxhash64(text))
-
-    def with_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(_set(bitmap.value, b["__th"].to_numpy().view(np.uint64))))
-
-    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            b = b.filter(pa.array(~_set(bitmap.value, b["__th"].to_numpy().view(np.uint64))))
-            yield from run(iter([b.append_column("__ranges", pa.nulls(b.num_rows))]))
+    n_lines, n_cut = added(documents)
+    th, told, hit, key, its_id = (free_name(documents, c) for c in ("th", "ranges", "hit", "key", "its_id"))
+    found = checkpoint(repeats(documents, text, doc_id)).withColumnsRenamed({"id": its_id, "th": key, "ranges": told})
+    keyed = _marked(documents.withColumn(th, _document(text, doc_id)), th, found.select(F.col(key).alias("h")), hit)
+    schema = StructType(list(documents.schema.fields)).add(n_lines, "long").add(n_cut, "long")
+    names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ranges, texts = b["__ranges"].to_pylist(), b[text]
-            n_lines, n_cut, new = [], [0] * b.num_rows, {}
+            lists = b[told].fill_null([])
+            fields, edges = list(zip(*(c.to_pylist() for c in lists.flatten().flatten()), strict=True)), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())].tolist()
+            made: list[pa.Array] = []
+            counts: list[list[np.ndarray]] = [[], []]
             for row, n_rows, raw, off in text_slices(b[text], SLICE):
-                lines = Lines(raw, off, not any(ranges[row : row + n_rows]))
-                n_lines.append(np.diff(lines.first))
+                lines = Lines(raw, off)
+                doc, lo, hi = [], [], []
                 for k in range(n_rows):
-                    if not ranges[row + k]:
-                        continue
-                    a, z = lines.first[k], lines.first[k + 1]
-                    keep = np.ones(off[k + 1] - off[k], bool)
-                    for x in ranges[row + k]:
-                        lo, hi = lines.bytes_of(k, x["lo"], x["hi"]) if x["unit"] == WORDS else (lines.start[a + x["lo"]], lines.end[a + x["hi"] - 1])
-                        keep[lo - off[k] : hi - off[k]] = False
-                    n_cut[row + k] = int((np.add.reduceat(~keep, lines.start[a:z] - off[k], dtype=np.int64) > 0).sum())
-                    new[row + k] = raw[off[k] : off[k + 1]][keep].tobytes().decode()
-            if new:
-                texts = pa.array([new.get(k, x) for k, x in enumerate(texts.to_pylist())], pa.string())
-            made = {text: texts.cast(pa.string()), "n_lines": pa.array(np.concatenate(n_lines) if n_lines else [], pa.int64()), "n_cut": pa.array(n_cut, pa.int64())}
-            names = [f.name for f in schema]
-            yield pa.RecordBatch.from_arrays([made[c] if c in made else b[c] for c in names], names=names)
-
-    hit = keyed.mapInArrow(tidy(with_repeats), keyed.schema)
-    joined = hit.join(found, (F.col("__th") == F.col("__t")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left").drop("__id", "__t", "__th")
-    return joined.mapInArrow(tidy(run), schema).unionByName(keyed.mapInArrow(tidy(without), schema))
+                    for x, y in _grown(lines, k, fields[edges[row + k] : edges[row + k + 1]]):
+                        doc.append(k)
+                        lo.append(x)
+                        hi.append(y)
+                edge = np.zeros(len(raw) + 1, np.int32)
+                at = np.array(doc, np.int64)
+                np.add.at(edge, lines.cut_at(np.array(lo, np.int64), at), 1)
+                np.add.at(edge, lines.cut_at(np.array(hi, np.int64), at), -1)
+                gone = np.cumsum(edge[:-1]) > 0
+                left = np.r_[0, np.cumsum(~gone)]
+                lost = np.diff(left[np.r_[lines.start, len(raw)]]) < lines.end - lines.start
+                counts[0].append(np.diff(lines.first))
+                counts[1].append(np.diff(np.r_[0, np.cumsum(lost)][lines.first]))
+                made.append(pa.Array.from_buffers(pa.large_string(), n_rows, [None, pa.py_buffer(left[off].astype(np.int64)), pa.py_buffer(raw[~gone])]))
+            texts = pa.concat_arrays(made) if made else pa.array([], pa.large_string())
+            if b[text].null_count:
+                texts = pc.if_else(pc.is_null(b[text]), pa.scalar(None, pa.large_string()), texts)
+            new = {text: texts.cast(pa.string())} | {c: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for c, x in zip((n_lines, n_cut), counts, strict=True)}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else b[c] for c in schema.names], names=schema.names)
+
+    joined = keyed.where(hit).join(found, (F.col(th) == F.col(key)) & F.col(doc_id).eqNullSafe(F.col(its_id)), "left").select(*names, told)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    unended = (whole != "") & (F.right(whole, F.lit(1)) != "\n") & ~F.right(whole, F.lit(2)).isin(". ", "! ", "? ")
+    plain = keyed.where(~F.col(hit)).select(*names, (F.regexp_count(whole, F.lit(r"\n|[.!?] ")) + unended.cast("int")).cast("long").alias(n_lines), F.lit(0).cast("long").alias(n_cut))
+    return joined.mapInArrow(tidy(run), schema).unionByName(plain)
 
 
 def digest(documents: DataFrame) -> DataFrame:
