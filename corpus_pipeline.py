@@ -24,8 +24,10 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = linededup.deduplicate(docs)
-    n_chars = F.when(F.col("n_cut") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
+    if "n_chars" in docs.columns:  # of what was cut, if the documents carry it
+        n_chars = F.when(F.col(linededup.added(docs)[1]) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        cut = cut.withColumn("n_chars", n_chars)
+    return cut.select(*docs.columns)
 
 
 def _simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
