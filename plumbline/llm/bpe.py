@@ -13,7 +13,8 @@ with the word end apart from those without. This vocabulary names no decoder, so
 decoding joins the tokens by single spaces, as the library does.
 
 Nulls are empty texts, which have no ids and decode to nothing. The work is map-only
-and rows that repeat are answered alike.
+and rows that repeat are answered alike. Columns of the input that are named as those
+added, in any case, stay, and the added ones get an underscore more.
 """
 
 from __future__ import annotations
@@ -144,7 +145,7 @@ def encode(documents: DataFrame, text: str = "text", out: str = "ids", path: str
             ids = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
             off = np.r_[0, np.cumsum(np.concatenate([n for _, n in found]))] if found else np.zeros(1, np.int64)
             col = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, col], names=[*b.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*b.columns, col], names=schema.names)
 
     return documents.mapInArrow(tidy(run), schema)
 
@@ -159,7 +160,7 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str |
         e = _encoder(path)
         for b in batches:
             texts = [e.decode(x or []) for x in b[ids].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return rows.mapInArrow(tidy(run), schema)
 

@@ -17,7 +17,7 @@ tokens are those of the whole: a conversation of any length, or one that holds a
 of all rows, needs bounded memory. Its digests need its turns in order, so one
 conversation is one task's stream.
 
-Null texts and roles are empty; null conversation ids are one conversation; turns with
+Columns other than the four asked for are not looked at. Null texts and roles are empty; null conversation ids are one conversation; turns with
 equal numbers are ordered by role and text, null turns first.
 """
 

@@ -16,6 +16,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
@@ -38,6 +39,8 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: Bits of a broadcast bitmap of hashes: its size is fixed, and one that fills up filters less and loses nothing.
+BITMAP_BITS = 27
 #: Bytes of text that one call of the vectorised kernels works on; a longer text is taken alone.
 SLICE_BYTES = 2 << 20
 
@@ -47,12 +50,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def plus(df: DataFrame, **columns: str) -> StructType:
-    """The frame's schema with columns added; a name that is taken is refused, not overwritten."""
-    if clash := columns.keys() & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} are taken")
+    """The frame's schema with columns added, each under its name or, if a column has that, with underscores more."""
     out = StructType(list(df.schema.fields))
     for name, kind in columns.items():
-        out = out.add(name, _parse_datatype_string(kind))
+        out = out.add(free_name(df, name), _parse_datatype_string(kind))
     return out
 
 
@@ -176,6 +177,53 @@ class Words:
         return b" ".join(low[s[k] : e[k]].tobytes() for k in range(at, at + n))
 
 
+def joined(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """For each pair the words from a to b, joined by single spaces."""
+    size = ends - starts + 1
+    place = np.r_[0, np.cumsum(size)]
+    length = np.maximum(0, place[b] - place[a] - 1)
+    # first the words of all pairs, then their bytes
+    n = b - a
+    word = np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)
+    out = np.full(int((place[b] - place[a]).sum()), 32, np.uint8)
+    to = np.cumsum(size[word]) - size[word]
+    inner = size[word] - 1
+    step = np.arange(inner.sum()) - np.repeat(np.cumsum(inner) - inner, inner)
+    out[np.repeat(to, inner) + step] = raw[np.repeat(starts[word], inner) + step]
+    # the space after the last word of each pair goes
+    keep = np.ones(len(out), bool)
+    keep[np.cumsum(place[b] - place[a])[n > 0] - 1] = False
+    off = np.r_[0, np.cumsum(length)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(off), pa.py_buffer(out[keep])])
+
+
+def bit_set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the bits of the hashes are set."""
+    low = h & np.uint64((1 << BITMAP_BITS) - 1)
+    return ((bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def bitmap_of(hashes: DataFrame):
+    """A broadcast bitmap of BITMAP_BITS bits from a column h of longs."""
+    mask = (1 << BITMAP_BITS) - 1
+    words = hashes.select(F.expr(f"cast(shiftright(h & {mask}L, 6) as int)").alias("w"), F.expr("shiftleft(1L, cast(h & 63L as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    bits[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(bits)
+
+
+def marked(documents: DataFrame, key: str, hashes: DataFrame, flag: str) -> DataFrame:
+    """documents with whether the bit of their key is set by some of the hashes (h): a join with at most 4,096 bitmaps of 4 KB."""
+    mask = F.lit((1 << BITMAP_BITS) - 1)
+    bit = lambda c: F.col(c).bitwiseAND(F.lit(32767))
+    bucket = lambda c: F.shiftright(F.col(c).bitwiseAND(mask), 15)
+    names = [f"{flag}_bucket", f"{flag}_bits"]
+    bits = hashes.groupBy(bucket("h").alias(names[0])).agg(F.bitmap_construct_agg(bit("h")).alias(names[1]))
+    byte = F.conv(F.hex(F.substring(F.col(names[1]), (F.shiftright(bit(key), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, bit(key).bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return documents.join(F.broadcast(bits), bucket(key) == F.col(names[0]), "left").withColumn(flag, F.coalesce(is_set, F.lit(False))).drop(*names)
+
+
 def gram_hashes(h: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
     """Hash of the n words from each position (or from those given); positions too near the end are left out."""
     if at is None:

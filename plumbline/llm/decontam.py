@@ -2,23 +2,26 @@
 
 Both sides are cut into k-grams of words (k = 5); of every run of 4 neighbouring
 k-grams the smallest hash is kept, so every shared span of 5 + 4 - 1 = 8 words has
-a fingerprint in common. The fingerprints of documents are joined with those of the
-benchmark and each hit is extended to the 8-word windows around it, which are
-compared byte by byte. A benchmark item shorter than a window is one window itself;
-winnowing promises nothing there, so those lengths are looked up at every position.
-
-The benchmark is indexed in blocks whose text is at most BLOCK_BYTES, so what is
-broadcast has a fixed bound; with more blocks the documents are passed over once
-for each and the hits are united. No row of documents is moved: each answer is made
-where its text is read, so a hot source or a hot passage skews nothing.
+a fingerprint in common. The fingerprints of documents that the benchmark has too are
+extended to the 8-word windows around them, and these are joined with the windows of the
+benchmark, byte by byte. A benchmark item shorter than a window is one window itself;
+winnowing promises nothing there, so those lengths (seven at most) are looked up at every
+position.
+
+Nothing of the benchmark is collected but two bitmaps of fixed size: of its fingerprints
+and of its windows' hashes, which let only windows through that the benchmark holds, or a
+few per cent more if it is very large. Windows meet in an equi-join that Spark broadcasts
+if one side is small and shuffles if not. What a document is found to hold is joined back
+by three hashes of its text; a document without any does not travel.
 
 Nulls: a null text has no words; a benchmark row without id counts for the words hit
-but is no item. Rows that repeat, also with the same id, are each answered alike.
+but is no item. Rows that repeat, also with the same id, are each answered alike, as are
+empty tables. Columns of the input that are named as those added (n_words, n_hit, items)
+keep their names, and the added ones get an underscore more; other names are free.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,43 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, gram_hashes, ship, text_slices, tidy
+from ..functions.lineage import checkpoint
+from .common import Words, bit_set, bitmap_of, free_name, gram_hashes, joined, marked, ship, text_slices, tidy
 
 WINDOW, GRAM = 8, 5
-BLOCK_BYTES = 4 << 20
-_WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-
-
-class Index:
-    """Windows of a bounded block of the benchmark by their bytes, and fingerprints that lead to them."""
-
-    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW, gram: int = GRAM) -> None:
-        self.window, self.gram = window, gram
-        self.names = sorted({i for i, _ in items if i is not None})
-        number = {x: k for k, x in enumerate(self.names)}
-        self.by_length: dict[int, dict[bytes, set[int]]] = {}
-        prints = set()
-        for name, text in items:
-            words = _WORD.findall(text.lower())
-            n = min(window, len(words))
-            known = self.by_length.setdefault(n, {}) if n else {}
-            for k in range(len(words) - n + 1 if n else 0):
-                of = known.setdefault(b" ".join(words[k : k + n]), set())
-                if name is not None:
-                    of.add(number[name])
-            raw = np.frombuffer(text, np.uint8)
-            if n == window:
-                w = Words(raw, np.array([0, len(raw)]))
-                g = gram_hashes(w.hash, gram)
-                prints.update(g[_winnow(g, window - gram + 1, np.full(len(g), len(g)))].tolist())
-        self.prints = np.array(sorted(prints), np.uint64)
-        self.short = {}
-        for n in sorted(self.by_length):
-            if n < window:
-                raw = [np.frombuffer(x, np.uint8) for x in self.by_length[n]]
-                off = np.cumsum([0, *map(len, raw)])
-                w = Words(np.concatenate(raw), off)
-                self.short[n] = np.unique(gram_hashes(w.hash, n, w.first[:-1]))
+#: Upper and lower case are alike here, so the text needs no lower-casing to be counted.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _winnow(g: np.ndarray, run: int, end: np.ndarray) -> np.ndarray:
@@ -79,108 +51,99 @@ def _winnow(g: np.ndarray, run: int, end: np.ndarray) -> np.ndarray:
     return at[np.flatnonzero(np.r_[True, at[1:] != at[:-1]])] if len(at) and (np.diff(at) >= 0).all() else np.unique(at)
 
 
-def _among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Which of x are in the sorted table; a bit map of the top bits drops nearly all first."""
-    if not len(table) or not len(x):
-        return np.zeros(len(x), bool)
-    bits = max(16, min(24, int(len(table)).bit_length() + 6))
-    seen = np.zeros(1 << bits, bool)
-    seen[(table >> np.uint64(64 - bits)).astype(np.int64)] = True
-    out = seen[(x >> np.uint64(64 - bits)).astype(np.int64)]
-    maybe = np.flatnonzero(out)
-    k = np.searchsorted(table, x[maybe])
-    k[k == len(table)] = 0
-    out[maybe] = table[k] == x[maybe]
-    return out
-
-
-def hits(w: Words, index: Index) -> tuple[np.ndarray, dict[int, set[int]]]:
-    """A mask of the words inside windows that occur, and the items found in each text."""
-    hit = np.zeros(len(w) + 1, np.int64)
-    found: dict[int, set[int]] = {}
-    if not len(w):
-        return hit[:0].astype(bool), found
-    last = w.last()
-
-    def settle(at: np.ndarray, n: int) -> None:
-        at = at[at + n <= last[at]]
-        text = np.searchsorted(w.first, at, side="right") - 1
-        known = index.by_length[n]
-        for s, t in zip(at.tolist(), text.tolist(), strict=True):
-            items = known.get(w.joined(s, n))
-            if items is not None:
-                hit[s] += 1
-                hit[s + n] -= 1
-                found.setdefault(t, set()).update(items)
-
-    if len(index.prints):
-        n, k = index.window, index.gram
-        g = gram_hashes(w.hash, k)
-        at = _winnow(g, n - k + 1, last[: len(g)] - k + 1)
-        at = at[_among(g[at], index.prints)]
-        first = w.first[np.searchsorted(w.first, at, side="right") - 1]
-        around = (at[:, None] - np.arange(n - k + 1)[None, :])
-        settle(np.unique(around[around >= first[:, None]]), n)
-    for n, table in index.short.items():
-        settle(np.flatnonzero(_among(gram_hashes(w.hash, n), table)), n)
-    return np.cumsum(hit[:-1]) > 0, found
-
-
-def _blocks(benchmark: DataFrame, item: str, text: str) -> list[DataFrame]:
-    """The benchmark in parts of about BLOCK_BYTES by a hash of the item, each checked when it is collected."""
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.coalesce(text, F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = -(-total * 3 // (BLOCK_BYTES * 2)) if total > BLOCK_BYTES else 1
-    return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
-
-
-def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """documents with n_words, n_hit, items (sorted ids as strings) added; see the module's notes."""
-    spark = documents.sparkSession
-    ship(spark)
-    clash = {"n_words", "n_hit", "items", "__spans"} & set(documents.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are taken")
-    out = documents.withColumns({"n_words": F.lit(None).cast("long"), "__spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
-    for block in _blocks(benchmark, item, item_text):
-        rows = block.collect()
-        index = spark.sparkContext.broadcast(Index([(r["item"], r["text"].encode()) for r in rows]))
-        out = out.mapInArrow(tidy(_pass(index, text)), out.schema)
-    spans = F.col("__spans")
-    n_hit = F.aggregate(F.sequence(F.lit(0), F.floor(F.size(spans) / 2).cast("int") - 1), F.lit(0).cast("long"), lambda a, i: a + F.get(spans, 2 * i + 1) - F.get(spans, 2 * i))
-    return out.withColumn("n_hit", F.when(F.size(spans) == 0, F.lit(0).cast("long")).otherwise(n_hit)).drop("__spans").select(*documents.columns, "n_words", "n_hit", "items")
-
-
-def _unite(spans: list[int]) -> list[int]:
-    out: list[int] = []
-    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
-
-
-def _pass(index, text: str):
+def fingerprints(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the winnowed k-grams of a slice of texts."""
+    g = gram_hashes(w.hash, gram)
+    at = _winnow(g, window - gram + 1, w.last()[: len(g)] - gram + 1)
+    return at, g[at]
+
+
+def _tagged(h: np.ndarray, n: int) -> np.ndarray:
+    return h ^ np.uint64(n * 0x9E3779B97F4A7C15 & 2**64 - 1)
+
+
+def windows(benchmark: DataFrame, item: str, text: str, window: int, gram: int) -> DataFrame:
+    """(item, n, h, words, prints) of every window of the benchmark, with the fingerprints of its item in the first one's row."""
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = b.schema.names
-            n_words, spans, items = [], b["__spans"].to_pylist(), b["items"].to_pylist()
-            for row, _, raw, off in text_slices(b[text]):
+            for row, _, raw, off in text_slices(b["text"]):
                 w = Words(raw, off)
-                mask, found = hits(w, index.value)
-                n_words.append(w.count)
-                for t, more in found.items():
-                    a, z = w.first[t], w.first[t + 1]
-                    edge = np.flatnonzero(np.diff(np.r_[0, mask[a:z].astype(np.int8), 0]))
-                    spans[row + t] = _unite(spans[row + t] + edge.tolist())
-                    items[row + t] = sorted(set(items[row + t]) | {index.value.names[k] for k in more})
-            new = {"n_words": pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), "__spans": pa.array(spans, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([new.get(c, b.column(k)) for k, c in enumerate(names)], names=names)
+                of, prints = fingerprints(w, window, gram)
+                for n in range(1, window + 1):
+                    if n < window:
+                        at = w.first[:-1][w.count == n]
+                    else:
+                        at = np.flatnonzero(np.arange(len(w)) + n <= w.last())
+                    if not len(at):
+                        continue
+                    h = _tagged(gram_hashes(w.hash, n, at), n)
+                    mine = np.searchsorted(of, at), np.searchsorted(of, np.r_[at[1:], len(w)])
+                    for s in range(0, len(at), 8192):
+                        k = slice(s, s + 8192)
+                        lists = [prints[x:y].view(np.int64).tolist() if n == window else [] for x, y in zip(mine[0][k].tolist(), mine[1][k].tolist(), strict=True)]
+                        doc = row + np.searchsorted(w.first, at[k], side="right") - 1
+                        cols = [b["item"].take(pa.array(doc)), pa.array(np.full(len(doc), n, np.int32)), pa.array(h[k].view(np.int64)), joined(w.low, w.start, w.end, at[k], at[k] + n), pa.array(lists, pa.list_(pa.int64()))]
+                        yield pa.RecordBatch.from_arrays(cols, names=["item", "n", "h", "words", "prints"])
+
+    return rows.mapInArrow(tidy(run), "item string, n int, h long, words binary, prints array<long>")
+
+
+def _found(prints, known, short: list[int], window: int, gram: int):
+    """Windows of documents whose hash is set in the bitmap, with their words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, _, raw, off in text_slices(b["text"]):
+                w = Words(raw, off)
+                if not len(w):
+                    continue
+                at, h = fingerprints(w, window, gram)
+                at = at[bit_set(prints.value, h)]
+                first = w.first[np.searchsorted(w.first, at, side="right") - 1]
+                around = at[:, None] - np.arange(window - gram + 1)[None, :]
+                last = w.last()
+                for n, places in [(window, np.unique(around[around >= first[:, None]])), *((n, np.arange(len(w))) for n in short)]:
+                    places = places[places + n <= last[places]]
+                    places = places[bit_set(known.value, _tagged(gram_hashes(w.hash, n, places), n))]
+                    for s in range(0, len(places), 8192):
+                        p = places[s : s + 8192]
+                        doc = np.searchsorted(w.first, p, side="right") - 1
+                        take = pa.array(row + doc)
+                        cols = [*(b[c].take(take) for c in ("t1", "t2", "t3")), pa.array((p - w.first[doc]).astype(np.int32)), pa.array(np.full(len(p), n, np.int32)), joined(w.low, w.start, w.end, p, p + n)]
+                        yield pa.RecordBatch.from_arrays(cols, names=["t1", "t2", "t3", "at", "n", "words"])
 
     return run
 
 
+def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", least: int = 1, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """documents with n_words, n_hit, items (sorted ids as strings) added; see the module's notes. Items of fewer words than `least` are left out."""
+    spark = documents.sparkSession
+    ship(spark)
+    of_benchmark = checkpoint(windows(benchmark, item, item_text, window, gram).where(F.col("n") >= least))
+    short = [r["n"] for r in of_benchmark.where(F.col("n") < window).select("n").distinct().collect()]  # seven at most
+    prints, known = bitmap_of(of_benchmark.select(F.explode("prints").alias("h"))), bitmap_of(of_benchmark.select("h"))
+    by_words = of_benchmark.groupBy("n", "words").agg(F.collect_set("item").alias("items"))
+    hashes = lambda c: (F.xxhash64(c), F.hash(c), F.octet_length(c))
+    rows = documents.select(*[h.alias(f"t{k + 1}") for k, h in enumerate(hashes(text))], F.col(text).alias("text"))
+    found = rows.mapInArrow(tidy(_found(prints, known, short, window, gram)), "t1 long, t2 int, t3 int, at int, n int, words binary").dropDuplicates(["t1", "t2", "t3", "at", "n"])
+    hit = found.join(by_words, ["n", "words"]).groupBy("t1", "t2", "t3").agg(F.collect_list(F.struct("at", "n")).alias("spans"), F.collect_set("items").alias("lists"))
+    end = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("sum")), lambda a, x: F.struct(F.greatest(a["end"], x["at"] + x["n"]).alias("end"), (a["sum"] + F.greatest(F.lit(0), x["at"] + x["n"] - F.greatest(a["end"], x["at"]))).alias("sum")))
+    n_words, n_hit, items = (free_name(documents, c) for c in ("n_words", "n_hit", "items"))
+    keys, flag = [free_name(documents, f"t{k}") for k in (1, 2, 3)], free_name(documents, "hit")
+    theirs = [free_name(documents, f"{k}_of") for k in keys]
+    hit = hit.select(*[F.col(f"t{k + 1}").alias(theirs[k]) for k in range(3)], end["sum"].alias(n_hit), F.array_sort(F.array_distinct(F.flatten("lists"))).alias(items))
+    hit = checkpoint(hit)
+    prints.unpersist()
+    known.unpersist()
+    keyed = marked(documents.withColumns(dict(zip(keys, hashes(text), strict=True))), keys[0], hit.select(F.col(theirs[0]).alias("h")), flag)
+    on = [F.col(a) == F.col(b) for a, b in zip(keys, theirs, strict=True)]
+    none = F.array().cast("array<string>")
+    some = keyed.where(flag).join(hit, on, "left").select(*documents.columns, F.coalesce(n_hit, F.lit(0).cast("long")).alias(n_hit), F.coalesce(items, none).alias(items))
+    plain = keyed.where(~F.col(flag)).select(*documents.columns, F.lit(0).cast("long").alias(n_hit), none.alias(items))
+    return some.unionByName(plain).select(*documents.columns, F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long").alias(n_words), n_hit, items)
+
+
 def digest(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract of op4: counts of words hit and items found, and a digest of the items' ids."""
     out = decontaminate(documents.select("doc_id", "text"), benchmark)

@@ -12,7 +12,9 @@ line up, with cells of several lines side by side.
 
 Nothing recurses and the scanner moves on with each step, so neither deep nesting nor
 unclosed quotes cost more than time in proportion to the page. A null or empty page
-gives an empty text. The work is map-only; rows that repeat are answered alike.
+gives an empty text. The work is map-only; rows that repeat are answered alike. Columns
+of the input that are named as the one added, in any case, stay, and that one gets an
+underscore more.
 """
 
 from __future__ import annotations

@@ -56,11 +56,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.lineage import checkpoint
-from .common import _powers, free_name, mix, ship, span_hashes, text_slices, tidy
+from .common import _powers, bit_set, bitmap_of, free_name, joined, marked, mix, ship, span_hashes, text_slices, tidy
 
 MIN_WORDS, LONE_WORDS = 10, 20
 GRAM, WINDOW, CONTEXT = 26, 26, 50
-BITMAP_BITS = 27
 #: Bytes of text worked on at a time; arrays over bytes and words take some 50 times that.
 SLICE = 1 << 18
 HOT_ROWS, HOT_SHARE = 256, 16
@@ -145,22 +144,7 @@ class Lines:
 
     def joined(self, a: np.ndarray, b: np.ndarray) -> pa.Array:
         """For each pair the words from a to b, joined by single spaces."""
-        size = self.word_end - self.word_start + 1
-        place = np.r_[0, np.cumsum(size)]
-        length = np.maximum(0, place[b] - place[a] - 1)
-        # first the words of all pairs, then their bytes
-        n = b - a
-        word = np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)
-        out = np.full(int((place[b] - place[a]).sum()), 32, np.uint8)
-        to = np.cumsum(size[word]) - size[word]
-        inner = size[word] - 1
-        step = np.arange(inner.sum()) - np.repeat(np.cumsum(inner) - inner, inner)
-        out[np.repeat(to, inner) + step] = self.raw[np.repeat(self.word_start[word], inner) + step]
-        # the space after the last word of each pair goes
-        keep = np.ones(len(out), bool)
-        keep[np.cumsum(place[b] - place[a])[n > 0] - 1] = False
-        off = np.r_[0, np.cumsum(length)].astype(np.int32)
-        return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(off), pa.py_buffer(out[keep])])
+        return joined(self.raw, self.word_start, self.word_end, a, b)
 
     def cut_at(self, word: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """The byte at which text is cut before a word: the start of its line if it is the first there, and of a text its start and end."""
@@ -181,33 +165,6 @@ def _slide(v: np.ndarray, f: np.ufunc) -> np.ndarray:
     return f(v[: width - WINDOW], v[WINDOW - width :]) if width < WINDOW else v
 
 
-def _set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether the bits of the hashes are set."""
-    low = h & np.uint64((1 << BITMAP_BITS) - 1)
-    return ((bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)).astype(bool)
-
-
-def _bitmap(hashes: DataFrame):
-    """A broadcast bitmap of BITMAP_BITS bits from a column h of longs."""
-    mask = (1 << BITMAP_BITS) - 1
-    words = hashes.select(F.expr(f"cast(shiftright(h & {mask}L, 6) as int)").alias("w"), F.expr("shiftleft(1L, cast(h & 63L as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-    bits[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
-    return hashes.sparkSession.sparkContext.broadcast(bits)
-
-
-def _marked(documents: DataFrame, key: str, hashes: DataFrame, flag: str) -> DataFrame:
-    """documents with whether the bit of their key is set by some of the hashes (h): a join with at most 4,096 bitmaps of 4 KB."""
-    mask = F.lit((1 << BITMAP_BITS) - 1)
-    bit = lambda c: F.col(c).bitwiseAND(F.lit(32767))
-    bucket = lambda c: F.shiftright(F.col(c).bitwiseAND(mask), 15)
-    names = [f"{flag}_bucket", f"{flag}_bits"]
-    bits = hashes.groupBy(bucket("h").alias(names[0])).agg(F.bitmap_construct_agg(bit("h")).alias(names[1]))
-    byte = F.conv(F.hex(F.substring(F.col(names[1]), (F.shiftright(bit(key), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    is_set = F.call_function("shiftright", byte, bit(key).bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return documents.join(F.broadcast(bits), bucket(key) == F.col(names[0]), "left").withColumn(flag, F.coalesce(is_set, F.lit(False))).drop(*names)
-
-
 def _hashes(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,10 +198,10 @@ def _candidates(bitmap, hot, text: str, doc_id: str):
             for row, _, raw, off in text_slices(b[text], SLICE):
                 lines = Lines(raw, off).hashed()
                 a, e, h = lines.chunks()
-                ok = _set(bitmap.value, h)
+                ok = bit_set(bitmap.value, h)
                 a, e, h = a[ok], e[ok], h[ok]
                 at, key = lines.grams()
-                ok = _set(bitmap.value, key)
+                ok = bit_set(bitmap.value, key)
                 at, key = at[ok], key[ok]
                 # up to the next key, if that begins inside this one
                 brought = np.full(len(at), GRAM)
@@ -348,7 +305,7 @@ def _contexts(wanted, docs, text: str):
     """The words around wanted chunks and keys, from documents set in the other bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(_set(docs.value, b["th"].to_numpy().view(np.uint64))))
+            b = b.filter(pa.array(bit_set(docs.value, b["th"].to_numpy().view(np.uint64))))
             th = b["th"].to_numpy()
             for row, _, raw, off in text_slices(b[text], SLICE):
                 lines = Lines(raw, off).hashed()
@@ -357,7 +314,7 @@ def _contexts(wanted, docs, text: str):
                 first, end, h = np.r_[a, at], np.r_[e, at + GRAM], np.r_[h, key]
                 doc = np.searchsorted(lines.word_first, first, side="right") - 1
                 place = first - lines.word_first[doc]
-                ok = np.flatnonzero(_set(wanted.value, h ^ th[row + doc].view(np.uint64) ^ place.astype(np.uint64)))
+                ok = np.flatnonzero(bit_set(wanted.value, h ^ th[row + doc].view(np.uint64) ^ place.astype(np.uint64)))
                 if len(ok):
                     first, end, doc, place = first[ok], end[ok], doc[ok], place[ok]
                     lo, hi = np.maximum(lines.word_first[doc], first - CONTEXT), np.minimum(lines.word_first[doc + 1], end + CONTEXT)
@@ -388,7 +345,7 @@ def repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     limit = max(HOT_ROWS, total // (n * HOT_SHARE))
     hot = counts.where(F.col("count") > limit).orderBy("h").toArrow()
     hot = (hot["h"].to_numpy(), -(-hot["count"].to_numpy() // limit))
-    bitmap, spread = _bitmap(counts.select("h")), spark.sparkContext.broadcast(hot)
+    bitmap, spread = bitmap_of(counts.select("h")), spark.sparkContext.broadcast(hot)
     kind = texts.schema["id"].dataType.simpleString()
     met = _meet(texts.mapInArrow(tidy(_candidates(bitmap, spread, "text", "id")), _FOUND.format(id=kind)), spread, n)
     # repeats that touch are one run
@@ -405,8 +362,8 @@ def repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     ends = [runs.where(grows[e]).select("id", "th", "lo", "hi", F.lit(e == "low").alias("left"), f"{e}.h", f"{e}.fth", f"{e}.fat") for e in grows]
     ends = ends[0].unionByName(ends[1])
     asked = ends.select("h", "fth", "fat").distinct()
-    wanted = _bitmap(asked.select(F.col("h").bitwiseXOR(F.col("fth")).bitwiseXOR(F.col("fat").cast("long")).alias("h")))
-    docs = _bitmap(asked.select(F.col("fth").alias("h")))
+    wanted = bitmap_of(asked.select(F.col("h").bitwiseXOR(F.col("fth")).bitwiseXOR(F.col("fat").cast("long")).alias("h")))
+    docs = bitmap_of(asked.select(F.col("fth").alias("h")))
     found = texts.select("th", "text").mapInArrow(tidy(_contexts(wanted, docs, "text")), "h long, fth long, fat int, before binary, after binary")
     # of documents that repeat one is enough
     around = checkpoint(found.groupBy("h", "fth", "fat").agg(F.any_value("before").alias("before"), F.any_value("after").alias("after")))
@@ -455,7 +412,7 @@ def deduplicate(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
     n_lines, n_cut = added(documents)
     th, told, hit, key, its_id = (free_name(documents, c) for c in ("th", "ranges", "hit", "key", "its_id"))
     found = checkpoint(repeats(documents, text, doc_id)).withColumnsRenamed({"id": its_id, "th": key, "ranges": told})
-    keyed = _marked(documents.withColumn(th, _document(text, doc_id)), th, found.select(F.col(key).alias("h")), hit)
+    keyed = marked(documents.withColumn(th, _document(text, doc_id)), th, found.select(F.col(key).alias("h")), hit)
     schema = StructType(list(documents.schema.fields)).add(n_lines, "long").add(n_cut, "long")
     names = documents.columns
 

@@ -19,7 +19,8 @@ read, and no row moves. Positions come from the lengths of the pieces between ma
 summed up in groups so that texts with very many matches stay affordable.
 
 Nulls are empty texts. Offsets count code points; ends are exclusive. Rows that repeat
-are answered alike.
+are answered alike. Columns of the input named base or spans, in any case, stay, and
+those that find adds get an underscore more; other names are free.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -71,11 +74,11 @@ def _positions(text: Column, pattern: str, hint: str | None = None) -> Column:
     def group(acc: Column, k: Column) -> Column:
         part = F.filter(F.slice(acc["all"], k * GROUP + 1, GROUP), lambda x: x["t"].isNotNull())
         inner = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), step)
-        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], inner["out"]).alias("out"), acc["all"].alias("all"))
+        return F.struct(inner["at"].alias("at"), F.array_append(acc["out"], inner["out"]).alias("out"), acc["all"].alias("all"))
 
     groups = F.sequence(F.lit(0), F.floor(F.size(pairs) / GROUP).cast("int"))
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"), pairs.alias("all"))
-    made = F.aggregate(groups, zero, group, lambda acc: acc["out"])
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<s:int,e:int,t:string>>>").alias("out"), pairs.alias("all"))
+    made = F.aggregate(groups, zero, group, lambda acc: F.flatten(acc["out"]))
     seen = text.contains(hint) if hint == "@" else text.rlike(hint or pattern)
     return F.when(F.coalesce(seen, F.lit(False)), made).otherwise(none)
 
@@ -244,21 +247,23 @@ _fitted: dict[str, Boosted] = {}
 
 
 def _propose(rows: DataFrame, whole: Column) -> DataFrame:
-    """rows with base (sorted spans) and __found (candidates with features) added. Base spans are columns of their own,
-    used twice, so the optimiser does not copy them into the candidates' loops."""
-    rows = rows.withColumns({f"__{k}": c for k, c in base_spans(whole).items()})
-    base = {k: F.col(f"__{k}") for k in KINDS}
+    """rows with base (sorted spans) and found (candidates with features) added, under names that are free. Base spans are
+    columns of their own, used twice, so the optimiser does not copy them into the candidates' loops."""
+    named = {k: free_name(rows, f"base_{k}") for k in KINDS}
+    all_base, all_found = added(rows)[0], free_name(rows, "found")
+    rows = rows.withColumns({named[k]: c for k, c in base_spans(whole).items()})
+    base = {k: F.col(named[k]) for k in KINDS}
     found = []
     for number, (_, c) in enumerate(candidates(whole, base).items()):
         found.append(F.transform(c, lambda x: F.struct(x["s"].alias("s"), F.lit(number).alias("k"), x["e"].alias("e"), x["f"].alias("f"))))
-    return rows.withColumns({"base": F.array_sort(F.concat(*base.values())), "__found": F.concat(*found)})
+    return rows.withColumns({all_base: F.array_sort(F.concat(*base.values())), all_found: F.concat(*found)})
 
 
 def model(spark: SparkSession) -> Boosted:
     """The trees, fitted on the first call in a process."""
     if "model" not in _fitted:
         rows = training(spark).repartition(4, "id")  # made once: the text is no expression to be copied below
-        made = _propose(rows, F.col("text")).select("id", "kind", "y", F.transform("__found", lambda x: x["f"]).alias("fs")).toArrow()
+        made = _propose(rows, F.col("text")).select("id", "kind", "y", F.transform("found", lambda x: x["f"]).alias("fs")).toArrow()
         # a candidate of another kind than its sentence's is nothing personal
         got = sorted((i, f, y * (f[0] == kind)) for i, kind, y, fs in zip(*(made[c].to_pylist() for c in ("id", "kind", "y", "fs")), strict=True) for f in fs)
         ids, x, y = (np.array(c, float) for c in zip(*got, strict=True))
@@ -266,20 +271,24 @@ def model(spark: SparkSession) -> Boosted:
     return _fitted["model"]
 
 
+def added(documents: DataFrame) -> tuple[str, str]:
+    """The names of the columns that find adds to a frame."""
+    return free_name(documents, "base"), free_name(documents, "spans")
+
+
 def find(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents with base and spans added: sorted arrays of struct<s, k, e>, the base ones and all of them."""
-    clash = {"base", "spans"} & set(documents.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are taken")
+    base, spans = added(documents)
+    found, last = free_name(documents, "found"), free_name(documents, "kept")
     m = model(documents.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = _propose(documents, whole)
     limits = " ".join(f"when x.k = {k} then {float(np.log(t / (1 - t)) if t < 1 else np.inf) if t < 1 else 1e300:.9g}D" for k, t in enumerate(m.threshold))
-    kept = F.expr(f"filter(__found, x -> {m.scale:.9g}D * ({m.sql('x.f')}) + {m.shift:.9g}D >= case {limits} end and not exists(base, b -> b.s < x.e and x.s < b.e))")
-    rows = rows.withColumn("__kept", F.when(F.size("__found") > 0, F.array_sort(F.transform(kept, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>")))
+    kept = F.expr(f"filter(`{found}`, x -> {m.scale:.9g}D * ({m.sql('x.f')}) + {m.shift:.9g}D >= case {limits} end and not exists(`{base}`, b -> b.s < x.e and x.s < b.e))")
+    rows = rows.withColumn(last, F.when(F.size(found) > 0, F.array_sort(F.transform(kept, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>")))
     # of spans that overlap, the earlier stays
-    apart = F.aggregate("__kept", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int>>").alias("out")), lambda a, x: F.when(x["s"] >= a["at"], F.struct(x["e"].alias("at"), F.array_append(a["out"], x).alias("out"))).otherwise(a), lambda a: a["out"])
-    return rows.withColumn("spans", F.when(F.size("__kept") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", apart)))).select(*documents.columns, "base", "spans")
+    apart = F.aggregate(last, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int>>").alias("out")), lambda a, x: F.when(x["s"] >= a["at"], F.struct(x["e"].alias("at"), F.array_append(a["out"], x).alias("out"))).otherwise(a), lambda a: a["out"])
+    return rows.withColumn(spans, F.when(F.size(last) == 0, F.col(base)).otherwise(F.array_sort(F.concat(base, apart)))).select(*documents.columns, base, spans)
 
 
 def written(spans: Column) -> Column:
@@ -298,8 +307,9 @@ def redact(documents: DataFrame, text: str = "text") -> DataFrame:
         gap = F.substring(t, a["at"] + 1, F.greatest(F.lit(0), x["s"] - a["at"]))
         return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(inside, a["out"]).otherwise(F.concat(a["out"], gap, F.get(names, x["k"]))).alias("out"))
 
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    return rows.withColumn(text, F.when(F.size("spans") > 0, done).otherwise(t)).select(*documents.columns)
+    spans = added(documents)[1]
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
+    return rows.withColumn(text, F.when(F.size(spans) > 0, done).otherwise(t)).select(*documents.columns)
 
 
 def digest(documents: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ star contraction (operators/graph.py).
 
 Nulls and texts without words have fingerprint zero and are linked like any other; a
 null doc_id names no component, but its row is kept and answered. Rows that repeat are
-answered alike.
+answered alike. Columns of the input may have any names.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import checkpoint
 from ..operators.graph import components
-from .common import LOWER, Words, plus, ship, text_slices, tidy
+from .common import LOWER, Words, free_name, plus, ship, text_slices, tidy
 
 BITS, SHINGLE, BLOCK = 3, 3, 4096
 _SPACE = np.ones(256, bool)
@@ -247,43 +247,46 @@ def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
     return met.where("kind = 0").select("a", "b").unionByName(again)
 
 
-def _placed(documents: DataFrame, text: str, doc_id: str, extra: list[str]) -> tuple[DataFrame, DataFrame]:
-    """doc_id, fp and the extra columns of every row; and of every fp its smallest doc_id and its component's root."""
+def _placed(documents: DataFrame, text: str, doc_id: str, extra: list[str]) -> tuple[DataFrame, DataFrame, str, str, str]:
+    """doc_id, fp and the extra columns of every row; of every fp its smallest doc_id and its component's root; and the names of these three."""
     ship(documents.sparkSession)
     keep = [doc_id, *extra]
-    schema = plus(documents.select(*keep), fp="long")
+    fp, least, root, node = (free_name(documents, c) for c in ("fp", "least", "root", "node"))
+    schema = plus(documents.select(*keep), **{fp: "long"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [fingerprints(raw, off) for _, _, raw, off in text_slices(b[text], 1 << 19)]
-            fp = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(fp)], names=[f.name for f in schema])
+            made = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(made)], names=schema.names)
 
     rows = checkpoint(documents.select(*keep, text).mapInArrow(tidy(run), schema))
-    prints = checkpoint(rows.groupBy("fp").agg(F.min(doc_id).alias("least")))
-    roots = components(links(prints))
+    prints = checkpoint(rows.groupBy(fp).agg(F.min(doc_id).alias(least)))
+    roots = components(links(prints, fp)).withColumnsRenamed({"node": node, "root": root})
     # a root is the smallest fingerprint of its component
-    return rows, prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return rows, prints.join(roots, F.col(fp) == F.col(node), "left").select(fp, least, F.coalesce(root, fp).alias(root)), fp, least, root
 
 
 def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", extra: list[str] | None = None) -> DataFrame:
-    """doc_id, fp (long) and component_id of every row, with the extra columns asked for."""
-    rows, placed = _placed(documents, text, doc_id, extra or [])
+    """doc_id, fp (long) and component_id of every row, with the extra columns asked for; fp and component_id get underscores
+    more if the documents have columns of these names."""
+    rows, placed, fp, least, root = _placed(documents, text, doc_id, extra or [])
+    component_id = free_name(documents, "component_id")
     # the component takes the smallest doc_id in it
-    names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = placed.select("fp", "root").join(names, "root").select("fp", "component_id")
-    return rows.join(known, "fp").select(doc_id, *(extra or []), "fp", "component_id")
+    names = placed.groupBy(root).agg(F.min(least).alias(component_id))
+    known = placed.select(fp, root).join(names, root).select(fp, component_id)
+    return rows.join(known, fp).select(doc_id, *(extra or []), fp, component_id)
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """The documents, one of each component: the row with its smallest doc_id, nulls last, and of these the one with
     the smallest hash of its text (rows that repeat both are one)."""
-    plus(documents, __th="long", fp="long")
-    keyed = documents.withColumn("__th", F.xxhash64("text"))
-    rows, placed = _placed(keyed, "text", "doc_id", ["__th"])
-    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__th").alias("th"))
-    keepers = rows.join(placed, "fp").groupBy("root").agg(F.min(row).alias("row")).select("row.id", "row.th")
-    return keyed.join(keepers, (F.col("__th") == F.col("th")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(*documents.columns)
+    th, its_th, its_id = (free_name(documents, c) for c in ("th", "its_th", "its_id"))
+    keyed = documents.withColumn(th, F.xxhash64("text"))
+    rows, placed, fp, _, root = _placed(keyed.select("doc_id", "text", th), "text", "doc_id", [th])
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(th).alias("th"))
+    keepers = rows.join(placed, fp).groupBy(root).agg(F.min(row).alias("row")).select(F.col("row.id").alias(its_id), F.col("row.th").alias(its_th))
+    return keyed.join(keepers, (F.col(th) == F.col(its_th)) & F.col("doc_id").eqNullSafe(F.col(its_id)), "left_semi").select(*documents.columns)
 
 
 def digest(documents: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ occurrences, left to right; sequences with no pair left retire. The symbols that
 survive are the tokens.
 
 Nulls count as empty. The work is map-only: nothing is shuffled, and rows that repeat
-are answered alike.
+are answered alike. Columns of the input that are named as those added, in any case,
+stay, and the added ones get an underscore more.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plus, ship, text_slices, tidy
+from .common import free_name, plus, ship, text_slices, tidy
 from .pretokens import SCAN_BYTES, Cache, Encoded, Units, Vocabulary, vocabulary, word_bpe
 
 TOKEN_LIMIT = 2048
@@ -139,7 +140,7 @@ _counters: dict[str, Counter] = {}
 def count_tokens(documents: DataFrame, text: str = "text", path: str | None = None, limit: int = TOKEN_LIMIT) -> DataFrame:
     """documents with n_bytes (UTF-8), n_tokens and over_limit added."""
     schema = plus(documents, n_tokens="long")
-    plus(documents, n_bytes="long", over_limit="boolean")
+    n_tokens, n_bytes, over_limit = (free_name(documents, c) for c in ("n_tokens", "n_bytes", "over_limit"))
     ship(documents.sparkSession)
     path = path or word_bpe()
 
@@ -149,10 +150,10 @@ def count_tokens(documents: DataFrame, text: str = "text", path: str | None = No
         counter = _counters[path]
         for b in batches:
             out = [counter(raw, off) for _, _, raw, off in text_slices(b[text], SCAN_BYTES)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else [], pa.int64())], names=[*b.schema.names, "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else [], pa.int64())], names=schema.names)
 
     counted = documents.mapInArrow(tidy(run), schema)
-    return counted.select(*documents.columns, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return counted.select(*documents.columns, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias(n_bytes), n_tokens, (F.col(n_tokens) > limit).alias(over_limit))
 
 
 def digest(documents: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ everything else covers every row. Only the texts enter a score.
 
 Nulls are empty texts, which score the same as a text of unknown words. Without any
 confirmed toxic row every score is 0. Rows that repeat are scored alike; a null
-doc_id is in no held-out fold.
+doc_id is in no held-out fold. Columns of the input that are named as the one added, in
+any case, stay, and that one gets an underscore more.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, plus, ship, span_hashes, text_slices, tidy
+from .common import Words, free_name, plus, ship, span_hashes, text_slices, tidy
 
 MAX_TOXIC, MAX_CLEAN, MAX_UNLABELLED = 8_000, 8_000, 12_000
 BUCKET_BITS, FEATURES, LEAST_TOXIC = 20, 2048, 3
@@ -198,7 +199,8 @@ def score(documents: DataFrame, model: Model, text: str = "text", out: str = "sc
 
 def keep_clean(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold."""
-    return score(documents, train(documents, labels), out="__score").where(F.col("__score") < threshold).drop("__score")
+    name = free_name(documents, "score")
+    return score(documents, train(documents, labels), out=name).where(F.col(name) < threshold).drop(name)
 
 
 def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -32,5 +32,5 @@ def test_frames(spark):
     df = spark.createDataFrame([(1, "<p>a"), (2, None), (1, "<p>a")], "page_id long, html string")
     assert sorted((r["page_id"], r["text"].strip()) for r in extract(df).collect()) == [(1, "a"), (1, "a"), (2, "")]
     assert extract(df.limit(0)).count() == 0
-    with pytest.raises(ValueError, match="taken"):
-        extract(df.withColumnRenamed("page_id", "text"))
+    clashing = df.withColumnRenamed("page_id", "Text")
+    assert sorted((r["Text"], r["text_"].strip()) for r in extract(clashing).collect()) == [(1, "a"), (1, "a"), (2, "")]

@@ -61,8 +61,11 @@ def test_cases(spark):
     out = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
     assert out[2] == "[email]" and out[0] is None and out[CASES.index("call (555) 123-4567 now")] == "call [phone] now"
     assert pii.digest(df.limit(0)).count() == 0
-    with pytest.raises(ValueError, match="taken"):
-        pii.find(df.withColumnRenamed("tag", "spans"))
+    clashing = df.withColumnRenamed("tag", "Spans").withColumns({c: F.lit(c) for c in ("__email", "base_email", "found", "kept", "BASE")})
+    again = pii.find(clashing)
+    assert again.columns == [*clashing.columns, "base_", "spans_"]
+    assert {(r["doc_id"], r["Spans"], r["found"], r["written"]) for r in again.select("*", pii.written(F.col("spans_")).alias("written")).collect()} == {(i, "t", "found", s) for i, s in by.items()}
+    assert {r["doc_id"]: r["text"] for r in pii.redact(clashing).collect()} == out
 
 
 def test_pii_is_native(spark, small):
@@ -101,8 +104,9 @@ def test_toxicity_cases(spark, small):
     none = toxicity.train(docs, labels.where("toxic = 0"))
     assert {r["score"] for r in toxicity.score(odd, none).collect()} == {0.0}
     assert toxicity.digest(docs.limit(0), labels).count() == 0 and toxicity.digest(docs, labels.limit(0)).count() == docs.count()
-    with pytest.raises(ValueError, match="taken"):
-        toxicity.score(odd.withColumn("score", F.lit(1)), m)
+    clashing = odd.withColumn("SCORE", F.lit(1))
+    assert {r["doc_id"]: r["score_"] for r in toxicity.score(clashing, m).collect()} == got
+    assert sorted(toxicity.keep_clean(docs.withColumn("score", F.lit(1)), labels).select("doc_id").collect()) == sorted(toxicity.keep_clean(docs, labels).select("doc_id").collect())
 
 
 def test_text_of_pages(spark, small):

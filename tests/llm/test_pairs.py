@@ -97,8 +97,10 @@ def test_simhash_cases(spark):
     kept = simhash.keep_one(df)
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 6, 7, 8] and kept.columns == df.columns
     assert simhash.digest(df.limit(0)).count() == 0
-    with pytest.raises(ValueError, match="taken"):
-        simhash.near_duplicates(df.withColumnRenamed("tag", "fp"), extra=["fp"])
+    clashing = df.withColumnRenamed("tag", "fp").withColumns({c: F.lit(c) for c in ("root", "Least", "node", "component_id", "th", "id")})
+    again = simhash.near_duplicates(clashing, extra=["fp", "root", "Least", "component_id"])
+    assert {(r["doc_id"], r["fp"]): r["component_id_"] for r in again.where("root = 'root' and component_id = 'component_id'").collect()} == got
+    assert sorted(r["doc_id"] for r in simhash.keep_one(clashing).collect()) == [3, 6, 7, 8] and simhash.keep_one(clashing).columns == clashing.columns
 
 
 def test_one_of_each_component_without_ids_and_with_one_id_on_two_texts(spark):

@@ -4,9 +4,10 @@ import hashlib
 
 import pandas as pd
 import pytest
+from compare import same, view
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from compare import same, view
 from plumbline.llm import bpe, chat, decontam, pretokens, queries, tokencount
 
 ODD = [
@@ -73,9 +74,12 @@ def test_counts_are_the_librarys(spark, small, library, odd):
 
 
 def test_taken_names_and_empty_tables(spark, odd):
-    for f in (lambda d: bpe.encode(d, out="lang"), lambda d: tokencount.count_tokens(d.withColumnRenamed("lang", "n_tokens"))):
-        with pytest.raises(ValueError, match="taken"):
-            f(odd)
+    clashing = odd.withColumnRenamed("lang", "N_Tokens").withColumn("ids", F.lit(0))
+    encoded = bpe.decode(bpe.encode(clashing), ids="ids_", out="N_tokens")
+    assert encoded.columns == [*clashing.columns, "ids_", "N_tokens_"] and encoded.where("ids <> 0").isEmpty()
+    counted = tokencount.count_tokens(clashing)
+    assert counted.columns == [*clashing.columns, "n_bytes", "n_tokens_", "over_limit"] and bpe.round_trip(clashing).columns[-3:] == ["n_tokens_", "ids_sha256", "decoded_sha256"]
+    assert {r["doc_id"]: r["n_tokens_"] for r in counted.collect()} == {r["doc_id"]: len(r["ids_"]) for r in encoded.collect()} == {r["doc_id"]: r["n_tokens"] for r in tokencount.digest(odd).collect()}
     none = odd.limit(0)
     assert bpe.digest(none).count() == tokencount.digest(none).count() == bpe.encode(none).count() == 0
     twice = odd.unionByName(odd)
@@ -125,7 +129,8 @@ def test_chat_pieces_of_a_long_conversation(spark, monkeypatch):
 # --- op4 ---------------------------------------------------------------------
 
 
-def test_decontamination_cases(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_decontamination_cases(spark, broadcast):
     words = [f"w{k}" for k in range(40)]
     bench = [("a", " ".join(words[:12])), ("b", "Short ITEM"), ("c", None), ("d", "..."), (None, "w30 w31 w32 w33 w34 w35 w36 w37"), ("a", "w20 w21 w22 w23 w24 w25 w26 w27 w28")]
     docs = [
@@ -134,10 +139,15 @@ def test_decontamination_cases(spark, monkeypatch):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(bench, "item_id string, text string")
     want = {1: (10, 8, ["a"]), 2: (7, 0, []), 3: (6, 4, ["b"]), 4: (0, 0, []), 5: (0, 0, []), 6: (10, 10, ["b"]), 7: (18, 18, ["a"]), 8: (1, 0, []), None: (2, 2, ["b"])}
-    for bytes_ in (decontam.BLOCK_BYTES, 60):
-        monkeypatch.setattr(decontam, "BLOCK_BYTES", bytes_)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
         got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontam.decontaminate(d, b).collect()}
-        assert got == want
+        long = {r["doc_id"]: r["n_hit"] for r in decontam.decontaminate(d, b, least=decontam.WINDOW).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want and long == {k: {3: 0, 6: 8, None: 0}.get(k, v[1]) for k, v in want.items()}
     assert decontam.decontaminate(d, b.limit(0)).where("n_hit > 0").count() == 0 and decontam.decontaminate(d.limit(0), b).count() == 0
-    with pytest.raises(ValueError, match="taken"):
-        decontam.decontaminate(d.withColumnRenamed("doc_id", "items"), b)
+    clashing = d.withColumns({c: F.lit(c) for c in ("Items", "n_words", "t1", "hit", "words")})
+    again = decontam.decontaminate(clashing, b)
+    assert again.columns == [*clashing.columns, "n_words_", "n_hit", "items_"]
+    assert {r["doc_id"]: (r["n_words_"], r["n_hit"], r["items_"]) for r in again.where("Items = 'Items' and n_words = 'n_words'").collect()} == want
