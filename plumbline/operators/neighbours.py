@@ -22,27 +22,33 @@ from ..functions.exprs import finite_or_zero, is_numeric
 NEAR = 1e-6
 
 
-def codes(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
-    """For each column that is no number, its values with dense codes, commonest first; -1 stands for what is not there."""
-    out = {}
+#: Doubles that a value which is no number becomes: 20 bits of its hash each, so two values that differ are apart by far
+#: more than NEAR after scaling, and no two of even many millions share all of them.
+CODES = 3
+
+
+def numeric_view(df: DataFrame, columns: list[str]) -> list[Column]:
+    """The columns as doubles: a number with infinities and gaps as 0, another value as CODES codes that equal values share."""
+    out = []
     for c in columns:
-        if not is_numeric(df, c):
-            by = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count()
-            # a code only has to tell values apart; a hash does that without ranking them in one task
-            out[c] = by.select("v", (F.pmod(F.xxhash64("v"), F.lit(1 << 40))).cast("double").alias("code"))
+        if is_numeric(df, c):
+            out.append(finite_or_zero(F.col(c)))
+        else:
+            part = lambda k, c=c: F.shiftrightunsigned(F.xxhash64(F.col(c).cast("string")), 20 * k).bitwiseAND(F.lit((1 << 20) - 1))
+            out += [F.when(F.col(c).isNull(), -1.0).otherwise(part(k).cast("double")) for k in range(CODES)]
     return out
 
 
-def numeric_view(df: DataFrame, columns: list[str]) -> list[Column]:
-    """Each column as a double: numbers with infinities and gaps as 0, other values as a code that equal values share."""
-    return [finite_or_zero(F.col(c)) if is_numeric(df, c) else F.when(F.col(c).isNull(), -1.0).otherwise(F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(1 << 20)).cast("double")) for c in columns]
+def width(df: DataFrame, columns: list[str]) -> int:
+    """How many doubles the columns become."""
+    return sum(1 if is_numeric(df, c) else CODES for c in columns)
 
 
 def scaler(df: DataFrame, columns: list[str]) -> tuple[list[float], list[float]]:
     """Mean and population deviation of the numeric view, 1 for a deviation of 0."""
     xs = numeric_view(df, columns)
     row = df.agg(*[F.avg(x).alias(f"m{k}") for k, x in enumerate(xs)], *[F.stddev_pop(x).alias(f"s{k}") for k, x in enumerate(xs)]).first()
-    n = range(len(columns))
+    n = range(len(xs))
     return [row[f"m{k}"] or 0.0 for k in n], [row[f"s{k}"] or 1.0 for k in n]
 
 

@@ -23,6 +23,15 @@ def order_of(seed: int, row_id: str) -> Column:
     return F.xxhash64(F.lit(seed), F.col(row_id))
 
 
+def shuffled(seed: int, row_id: str) -> Column:
+    """A number below 2^62 for each number below 2^62, one-to-one, in an order that the seed decides: four rounds that mix one half of the bits with a hash of the other."""
+    half = F.lit((1 << 31) - 1)
+    left, right = F.shiftright(F.col(row_id), 31).cast("long"), F.col(row_id).cast("long").bitwiseAND(half)
+    for k in range(4):
+        left, right = right, left.bitwiseXOR(F.hash(F.lit(seed), F.lit(k), right).cast("long").bitwiseAND(half))
+    return F.shiftleft(left, 31).bitwiseOR(right)
+
+
 def first_of_each(df: DataFrame, group: str | None, count: Column, seed: int, row_id: str, flag: str = "__taken") -> DataFrame:
     """df with a boolean: whether a row is among the first count(n) rows of its group of n rows in the seeded order.
 

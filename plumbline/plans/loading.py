@@ -44,8 +44,8 @@ def split(raw: DataFrame, cfg: dict) -> tuple[DataFrame, DataFrame]:
             raise RuntimeError(f"{n} groups are on both sides of a grouped split")
         return train, test
     train, test = splits.stratified_split(raw, label, d["split_ratio"], cfg["random_seed"], ROW_ID)
-    # the rows of a random split are in random order; the hash of one long is one-to-one, so numbers stay unique
-    return tuple(df.withColumn(ROW_ID, splits.order_of(cfg["random_seed"], ROW_ID)) for df in (train, test))  # type: ignore[return-value]
+    # the rows of a random split are in random order
+    return tuple(df.withColumn(ROW_ID, splits.shuffled(cfg["random_seed"], ROW_ID)) for df in (train, test))  # type: ignore[return-value]
 
 
 def load_split(spark: SparkSession, cfg: dict) -> tuple[DataFrame, DataFrame]:

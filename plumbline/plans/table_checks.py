@@ -55,7 +55,7 @@ def near_duplicate_class(s: Subject) -> dict:
         return finding(name, NOT_APPLICABLE, f"fewer than two classes with {LEAST} rows")
     rows = splits.sample_by_class(s.train.where(F.col(s.cls).isin(sizes)), s.cls, ASKED, s.seed, s.row_id)
     v = neighbours.scaled(rows, s.features, neighbours.scaler(rows, s.features)).select("v", F.col(s.cls).cast("string").alias("__cls"), s.row_id)
-    bad = neighbours.confused_rows(v, len(s.features), "__cls", s.row_id, seed=s.seed).persist()
+    bad = neighbours.confused_rows(v, neighbours.width(rows, s.features), "__cls", s.row_id, seed=s.seed).persist()
     try:
         n = bad.count()
         pairs = bad.groupBy(F.concat_ws(" / ", F.least("__cls", "other"), F.greatest("__cls", "other")).alias("pair")).count().orderBy(F.desc("count"), "pair").limit(5)
@@ -148,12 +148,11 @@ def homogeneity(s: Subject) -> dict:
     if not classes or not s.features:
         return finding(name, NOT_APPLICABLE, f"no class has {LEAST} rows on both sides")
     scale = neighbours.scaler(index, s.features)
-    shape = lambda df, side: neighbours.scaled(df, s.features, scale).select("v", F.col(s.cls).cast("string").alias("__cls"), F.col(s.row_id).alias("__id"), F.lit(side).alias("__side"))
-    asked = lambda df, seed: splits.sample_by_class(df.where(F.col(s.cls).cast("string").isin(sorted(classes))), s.cls, ASKED, seed, s.row_id)
     # a test row is no row of the index, whatever its number
-    test = shape(asked(s.test, s.seed), "test").withColumn("__id", -1 - F.col("__id"))
-    rows = test.unionByName(shape(asked(index, s.seed + 1), "control"))
-    near = neighbours.near_zero(rows, shape(index, "index"), len(s.features), "__id", seed=s.seed)
+    shape = lambda df, side="control": neighbours.scaled(df, s.features, scale).select("v", F.col(s.cls).cast("string").alias("__cls"), F.struct(F.lit(side == "test").alias("t"), F.col(s.row_id).alias("i")).alias("__id"), F.lit(side).alias("__side"))
+    asked = lambda df, seed: splits.sample_by_class(df.where(F.col(s.cls).cast("string").isin(sorted(classes))), s.cls, ASKED, seed, s.row_id)
+    rows = shape(asked(s.test, s.seed), "test").unionByName(shape(asked(index, s.seed + 1)))
+    near = neighbours.near_zero(rows, shape(index), neighbours.width(index, s.features), "__id", seed=s.seed)
     counts = {(r["__cls"], r["__side"]): (r["k"], r["n"]) for r in near.groupBy("__cls", "__side").agg(F.count_if("near").alias("k"), F.count("*").alias("n")).collect()}
     out = {}
     for c in sorted(classes):

@@ -62,3 +62,10 @@ def test_permuted_keeps_rows_and_values(rows):
     assert both.where("g = h").count() < 200
     old = rows.select("id", F.col("y").alias("z"))
     assert out.join(old, "id").where("not (y <=> z)").count() == 0
+
+
+def test_shuffled_numbers_are_unique(spark):
+    n = 200_000
+    x = spark.range(n).union(spark.range((1 << 62) - n, 1 << 62)).select("id", splits.shuffled(3, "id").alias("s"))
+    r = x.agg(F.countDistinct("s").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.corr("id", "s").alias("c")).first()
+    assert r["n"] == 2 * n and r["lo"] >= 0 and r["hi"] < 1 << 62 and abs(r["c"]) < 0.05
