@@ -19,7 +19,7 @@ from ..functions.lineage import shared_folder
 from ..operators import classifiers, forest, graph, neighbours, ranks, relational, splits
 from ..sources import reading
 from ..streaming import incremental
-from . import benchmark, lookup_checks, studies, table_checks
+from . import benchmark, check_queries, lookup_checks, studies, table_checks
 from .dedup import deduplicated
 from .registry import Subject, checks, feature_columns
 
@@ -457,6 +457,8 @@ def _check(name: str) -> Query:
 
 for _name in config.CHECKS:
     QUERIES[f"check_{_name}"] = _check(_name)
+for _name, (_run, _sql) in check_queries.queries().items():
+    QUERIES[_name], ORACLES[_name] = _run, _sql
 
 
 @query()
