@@ -17,9 +17,12 @@ most 6 in all, so two segments at distance 1 share a codeword. The keys have 32
 Exact copies are one fingerprint before any key is made. The fingerprints under one
 key are compared in numpy and only a spanning forest of the links is kept, so a dense
 group of m fingerprints gives at most m - 1 edges, not all pairs. A key with more
-than BLOCK fingerprints is dealt out again as pairs of blocks, each compared by
-itself: nothing is capped and no task holds such a group. The edges then go through
-star contraction (operators/graph.py).
+than BLOCK fingerprints is cut finer: the bits that it leaves open are dealt into four
+parts, and as there are at most 3 errors, one part has none; so the fingerprints meet
+again under four keys, each with one part more. That goes on while groups are large and
+over SMALL bits are open; with fewer a group has at most 2^SMALL fingerprints. Nothing is
+capped and a task holds BLOCK fingerprints of a key, or 2^SMALL at the last. The edges
+then go through star contraction (operators/graph.py).
 
 Nulls and texts without words have fingerprint zero and are linked like any other; a
 null doc_id names no component, but its row is kept and answered. Rows that repeat are
@@ -41,7 +44,7 @@ from ..functions.lineage import checkpoint
 from ..operators.graph import components
 from .common import LOWER, Words, free_name, plus, ship, text_slices, tidy
 
-BITS, SHINGLE, BLOCK = 3, 3, 4096
+BITS, SHINGLE, BLOCK, SMALL = 3, 3, 4096, 14
 _SPACE = np.ones(256, bool)
 _SPACE[[32, *range(9, 14)]] = False
 
@@ -145,89 +148,95 @@ def _forest(left: np.ndarray, right: np.ndarray | None) -> list[tuple[int, int]]
     return found
 
 
+def _open_bits(kind: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The bits of a fingerprint that neither its key nor the mask fixes; kind is the key's number."""
+    fixed = np.array([sum(0xFFFF << 16 * x for x in p) for p in _PAIRS] + [0xFFFF << 16 * k for k in range(4)], np.uint64)
+    return ~(fixed[kind] | mask)
+
+
+def _quarters(bits: int) -> list[int]:
+    """Four masks that share out the set bits."""
+    at = [b for b in range(64) if bits >> b & 1]
+    return [sum(1 << b for b in at[len(at) * q // 4 : len(at) * (q + 1) // 4]) for q in range(4)]
+
+
+def _finer(key: np.ndarray, mask: np.ndarray, side: np.ndarray, fp: np.ndarray) -> list[np.ndarray]:
+    """Rows of a group that meets again: each under its key and one part more of the bits that were open."""
+    bits = int(_open_bits(key[:1] >> 32, mask[:1])[0])
+    masks = np.array([int(mask[0]) | q for q in _quarters(bits)], np.uint64)
+    n = len(fp)
+    return [np.ones(4 * n, np.int32), np.tile(key, 4), np.repeat(masks, n).view(np.int64), (np.tile(fp, 4) & np.repeat(masks, n)).view(np.int64), np.tile(side, 4), np.tile(fp, 4).view(np.int64)]
+
+
+#: Edges (kind 0: a and b in val and fp), and rows of groups that meet again (kind 1).
+_MET = "kind int, key long, mask long, val long, side int, fp long"
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (key, side, fp) sorted by key: edges (kind 0: a, b), and rows of keys that are dealt out again
-    (kind 1: a is the key, b the fp, with side and block numbers)."""
-    names = ["kind", "a", "b", "side", "i", "j"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-
-    def settle(key: np.ndarray, side: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
-        rows: list[list[np.ndarray]] = []
-        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    """From rows (key, mask, val, side, fp) sorted by the first three: edges, and the rows of large groups under finer keys."""
+    names, types = ["kind", "key", "mask", "val", "side", "fp"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+
+    def edges(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        none = np.zeros(len(a), np.int64)
+        return [none, none, none, a.view(np.int64), none, b.view(np.int64)]
+
+    def made(rows: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        cols = [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [[]]
+        if len(cols[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(t.to_pandas_dtype()), t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    def large(key: np.ndarray, mask: np.ndarray, n: int) -> bool:
+        return n > BLOCK and int(_open_bits(key[:1] >> 32, mask[:1])[0]).bit_count() > SMALL
+
+    def settle(key: np.ndarray, mask: np.ndarray, val: np.ndarray, side: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (mask[1:] != mask[:-1]) | (val[1:] != val[:-1]), True])
         size = np.diff(edge)
         # two fingerprints are most often all there is under a key
         pair = edge[:-1][size == 2]
         ok = (np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= BITS) & (fp[pair] != fp[pair + 1]) & ((side[pair] == 0) | (side[pair] != side[pair + 1]))
-        a, b = fp[pair[ok]], fp[pair[ok] + 1]
-        rows.append([np.zeros(len(a)), a.view(np.int64), b.view(np.int64), *[np.zeros(len(a))] * 3])
+        rows = [edges(fp[pair[ok]], fp[pair[ok] + 1])]
         for s, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
             k, f = side[s : s + n], fp[s : s + n]
-            groups = [(f, None)] if not k[0] else [(f[k == 1], f[k == 2])]
-            for left, right in groups:
-                parts = [left] if right is None else [left, right]
-                if not all(map(len, parts)):
-                    continue
-                if max(map(len, parts)) > BLOCK:
-                    blocks = [-(-len(x) // BLOCK) for x in parts]
-                    for p, x in enumerate(parts):
-                        own = np.arange(len(x)) // BLOCK
-                        for o in range(blocks[-1 - p]):
-                            lo, hi = (np.minimum(own, o), np.maximum(own, o)) if right is None else ((own, np.full(len(x), o)) if p == 0 else (np.full(len(x), o), own))
-                            where = (own >= o).astype(int) if right is None else np.full(len(x), p + 1)
-                            rows.append([np.ones(len(x)), np.full(len(x), key[s]), x.view(np.int64), where + (2 if right is None else 0), lo, hi])
-                elif found := _forest(left, right):
-                    e = np.array(found, np.uint64).view(np.int64)
-                    rows.append([np.zeros(len(e)), e[:, 0], e[:, 1], *[np.zeros(len(e))] * 3])
-        cols = [np.concatenate(x) for x in zip(*rows, strict=True)]
-        if not len(cols[0]):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(t.to_pandas_dtype()), t) for c, t in zip(cols, types, strict=True)], names=names)
-
-    rest = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64)]
-    for b in batches:
-        if not b.num_rows:
-            continue
-        new = [b["key"].to_numpy(), b["side"].to_numpy(), b["fp"].to_numpy().view(np.uint64)]
-        key, side, fp = (np.concatenate(x) for x in zip(rest, new, strict=True))
-        cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
-        if cut and (out := settle(key[:cut], side[:cut], fp[:cut])) is not None:
-            yield out
-        rest = [key[cut:], side[cut:], fp[cut:]]
-    if len(rest[0]) and (out := settle(*rest)) is not None:
-        yield out
-
-
-def _meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (a: key, i, j, side, b: fp) sorted by the first three: edges between the two blocks (or inside one)."""
-    def settle(side: np.ndarray, fp: np.ndarray, same: bool) -> pa.RecordBatch | None:
-        if same:
-            found = _forest(fp, None)
-        else:
-            low = side % 2 == side.min() % 2
-            found = _forest(fp[low], fp[~low])
-        e = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"]) if len(e) else None
-
-    at, side, fp = None, [], []
+            if large(key[s:], mask[s:], n):
+                rows.append(_finer(key[s : s + n], mask[s : s + n], k, f))
+                continue
+            left, right = (f, None) if not k[0] else (f[k == 1], f[k == 2])
+            if len(left) and (right is None or len(right)) and (found := _forest(left, right)):
+                e = np.array(found, np.uint64)
+                rows.append(edges(e[:, 0].copy(), e[:, 1].copy()))
+        yield from made(rows)
+
+    held: list[list[np.ndarray]] = []  # of the last group, which may go on
+    at, streams = None, False  # its key, and whether it is known to be large
     for b in batches:
-        cols = [b[c].to_numpy() for c in ("a", "i", "j", "side", "b")]
         if not b.num_rows:
             continue
-        edge = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0), True])
-        for s, e in zip(edge, edge[1:], strict=False):
-            here = tuple(int(c[s]) for c in cols[:3])
-            if at is not None and here != at:
-                k = np.concatenate(side)
-                if (out := settle(k, np.concatenate(fp), bool(k[0] >= 2 and k.min() >= 2 and at[1] == at[2]))) is not None:
-                    yield out
-                side, fp = [], []
-            at = here
-            side.append(cols[3][s:e])
-            fp.append(cols[4][s:e].view(np.uint64))
-    if at is not None:
-        k = np.concatenate(side)
-        if (out := settle(k, np.concatenate(fp), bool(k.min() >= 2 and at[1] == at[2]))) is not None:
-            yield out
+        cols = [b[c].to_numpy() for c in ("key", "mask", "val", "side", "fp")]
+        cols[1], cols[4] = cols[1].view(np.uint64), cols[4].view(np.uint64)
+        if at is not None:
+            more = int((~((cols[0] == at[0]) & (cols[1] == at[1]) & (cols[2] == at[2]))).argmax()) if (cols[0][-1], cols[1][-1], cols[2][-1]) != at else len(cols[0])
+            part, cols = [c[:more] for c in cols], [c[more:] for c in cols]
+            if more and streams:
+                yield from made([_finer(part[0], part[1], part[3], part[4])])
+            elif more:
+                held.append(part)
+                if large(part[0], part[1], sum(len(h[0]) for h in held)):
+                    yield from made([_finer(h[0], h[1], h[3], h[4]) for h in held])
+                    held, streams = [], True
+            if not len(cols[0]):
+                continue
+            if held:
+                yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        at, streams = (cols[0][-1], cols[1][-1], cols[2][-1]), False
+        last = int(((cols[0] == at[0]) & (cols[1] == at[1]) & (cols[2] == at[2])).argmax())
+        if last:
+            yield from settle(*(c[:last] for c in cols))
+        held = [[c[last:] for c in cols]]
+        if large(held[0][0], held[0][1], len(held[0][0])):
+            yield from made([_finer(held[0][0], held[0][1], held[0][3], held[0][4])])
+            held, streams = [], True
+    if held:
+        yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
@@ -241,10 +250,17 @@ def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(at), side, np.int32)), pa.array(part[at].view(np.int64))], names=["key", "side", "fp"])
 
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = prints.select(fp).mapInArrow(tidy(spread), "key long, side int, fp long")
-    met = checkpoint(rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(tidy(_meet), "kind int, a long, b long, side int, i int, j int"))
-    again = met.where("kind = 1").select("a", "i", "j", "side", "b").repartition(n, "a", "i", "j").sortWithinPartitions("a", "i", "j").mapInArrow(tidy(_meet_blocks), "a long, b long")
-    return met.where("kind = 0").select("a", "b").unionByName(again)
+    none = F.lit(0).cast("long")
+    rows = prints.select(fp).mapInArrow(tidy(spread), "key long, side int, fp long").select("key", none.alias("mask"), none.alias("val"), "side", "fp")
+    dealt, found = ["key"], None
+    while True:  # six times at most, as each round fixes a quarter of the open bits
+        met = checkpoint(rows.repartition(n, *dealt).sortWithinPartitions("key", "mask", "val").mapInArrow(tidy(_meet), _MET))
+        edges = met.where("kind = 0").select(F.col("val").alias("a"), F.col("fp").alias("b"))
+        found = edges if found is None else found.unionByName(edges)
+        rows = met.where("kind = 1").drop("kind")
+        if rows.isEmpty():
+            return found
+        dealt = ["key", "mask", "val"]
 
 
 def _placed(documents: DataFrame, text: str, doc_id: str, extra: list[str]) -> tuple[DataFrame, DataFrame, str, str, str]:

@@ -64,8 +64,15 @@ def test_near_prints_share_a_key():
     assert all((k, k + 4000) in met or (k + 4000, k) in met for k in range(4000))
 
 
-@pytest.mark.parametrize("block", [4096, 5])
-def test_links_of_dense_groups(spark, monkeypatch, block):
+@pytest.fixture
+def small_batches(spark, request):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", request.param)
+    yield request.param
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("block, small_batches", [(4096, 10_000), (5, 10_000), (5, 3)], indirect=["small_batches"])
+def test_links_of_dense_groups(spark, monkeypatch, block, small_batches):
     monkeypatch.setattr(simhash, "BLOCK", block)
     rng = random.Random(1)
     centre = rng.getrandbits(64)
