@@ -8,27 +8,44 @@ from pyspark.sql import functions as F
 from ..functions.lineage import checkpoint
 
 
+#: A node with more edges than this, and than a sixteenth of a task's even share, is dealt out in parts.
+HUB_EDGES, HUB_SHARE = 128, 16
+
+
+def _with_least(edges: DataFrame, low: DataFrame, limit: int) -> DataFrame:
+    """edges (a, b) with the m that low (a, m, n) has for a, n being how many edges a has. A hub's row of low is copied to as
+    many parts as its edges are dealt to by b; there are at most HUB_SHARE hubs a task, so their list is small."""
+    parts = F.ceil(F.col("n") / limit).cast("int")
+    hubs = low.where(F.col("n") > limit).select("a", parts.alias("parts"))
+    dealt = edges.join(F.broadcast(hubs), "a", "left").withColumn("s", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    copied = low.withColumn("s", F.explode(F.when(F.col("n") > limit, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copied.drop("n"), ["a", "s"]).drop("s")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable, for every node on an edge (a, b) of longs.
 
     Rounds alternate two contractions: each node sends its larger neighbours, then its
     smaller ones, to the least it knows. The minima combine before the shuffle and are
-    joined back, so the centre of a large group is a join side that can be split, not one
-    task's group. Rounds grow with the logarithm of the longest chain.
+    joined back, the edges of hubs in parts, so no task has all edges of a large group's
+    centre. Rounds grow with the logarithm of the longest chain.
     """
+    state = lambda e: tuple(e.agg(F.count("*"), F.coalesce(F.expr("sum(cast(xxhash64(a, b) as decimal(38,0)))"), F.lit(0))).first())
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
+    before = state(e)
     for _ in range(max_rounds):
+        limit = max(HUB_EDGES, 2 * before[0] // (tasks * HUB_SHARE))
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.where("b > a"), low, limit).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, low, limit).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         e = checkpoint(small.where("a <> b").distinct())
-        state = e.agg(F.count("*"), F.coalesce(F.expr("sum(cast(xxhash64(a, b) as decimal(38,0)))"), F.lit(0))).first()
-        if state == before:
+        now = state(e)
+        if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = state
+        before = now
     raise RuntimeError("components did not settle")
 
 

@@ -46,9 +46,12 @@ def test_models_over_folds_seeds_and_caps(spark):
     assert abs(studies.model_sensitivity(s, ["LogisticRegression"], lambda raw, seed: splits.grouped_split(raw, "y", ["g"], 0.8, seed), {"LogisticRegression": {"max_iter": 10}})["LogisticRegression"]) < 0.1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [128, 1])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(graph, "HUB_EDGES", hub)
+    monkeypatch.setattr(graph, "HUB_SHARE", 16 if hub > 1 else 10**6)
     rng = np.random.default_rng(2)
-    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + k, 1001 + k) for k in range(50)] + [(5, 5)]
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + k, 1001 + k) for k in range(50)] + [(5, 5)] + [(2000, 2001 + k) for k in range(400)]
     root = {}
 
     def find(x):
