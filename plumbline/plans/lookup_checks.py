@@ -46,7 +46,7 @@ def _per_key(scores: DataFrame):
     return Window.partitionBy(*[c for c in scores.columns if c.startswith("__k")])
 
 
-@check("identity_column_flag", "How well each id column's value predicts the label of test rows, by a table made on train. Flags an AUC over 0.8.")
+@check("identity_column_flag", "How well each id column's value predicts the label of test rows, by a table made on train. Flags an AUC over 0.8.", suspects=("suggested_drop",))
 def identity(s: Subject) -> dict:
     name = "identity_column_flag"
     if not s.ids:
@@ -75,7 +75,7 @@ def port_and_protocol(s: Subject) -> tuple[str | None, str | None]:
     return port, protocol
 
 
-@check("port_protocol_shortcut_check", "How well port and protocol together predict the label of test rows. Flags an AUC over 0.8.")
+@check("port_protocol_shortcut_check", "How well port and protocol together predict the label of test rows. Flags an AUC over 0.8.", suspects=("port_column", "protocol_column"))
 def port_protocol(s: Subject) -> dict:
     name = "port_protocol_shortcut_check"
     port, protocol = port_and_protocol(s)

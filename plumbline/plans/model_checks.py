@@ -45,7 +45,7 @@ def leakage_screen(s: Subject) -> dict:
     return screen(s, s.seed)
 
 
-@check("temporal_leakage_check", "How well the time alone predicts the label of test rows. Flags an AUC over 0.8.")
+@check("temporal_leakage_check", "How well the time alone predicts the label of test rows. Flags an AUC over 0.8.", suspects=("column",))
 def temporal_leakage(s: Subject) -> dict:
     name, c = "temporal_leakage_check", s.cfg["schema"]["timestamp_column"]
     if not c or c not in s.train.columns or c not in s.test.columns:
@@ -70,7 +70,7 @@ def _score(s: Subject, pair: tuple[DataFrame, DataFrame], seed: int, columns: li
     return forest.fit_and_score(*pair, columns or s.features, s.label, s.cfg, s.row_id, seed)
 
 
-@check("resplit_falsification", "Accuracy on a random split less that on a split that keeps groups apart. Flags a drop of over a point beyond sampling error, warns within it.", structural=True, evidence="direct-experiment")
+@check("resplit_falsification", "Accuracy on a random split less that on a split that keeps groups apart. Flags a drop of over a point beyond sampling error, warns within it.", structural=True, evidence="direct-experiment", changes="divides the rows again so that no group is in both parts")
 def resplit(s: Subject) -> dict:
     name = "resplit_falsification"
     if s.raw is None or not s.cfg["dataset"]["group_columns"]:
@@ -98,7 +98,7 @@ def _labels(df: DataFrame, label: str) -> int:
     return df.where(F.col(label).isNotNull()).select(label).distinct().limit(2).count()
 
 
-@check("scenario_holdout_falsification", "Accuracy as split less that on the smallest scenario, held out whole. Flags a drop over 10 points, warns over 5.", structural=True, evidence="direct-experiment")
+@check("scenario_holdout_falsification", "Accuracy as split less that on the smallest scenario, held out whole. Flags a drop over 10 points, warns over 5.", structural=True, evidence="direct-experiment", changes="takes the smallest scenario away from the fit and predicts it")
 def scenario_holdout(s: Subject) -> dict:
     name, c = "scenario_holdout_falsification", s.cfg["schema"]["scenario_column"]
     if not c or c not in s.train.columns or c not in s.test.columns:
@@ -137,7 +137,7 @@ def synthetic_realism(s: Subject) -> dict:
     return finding(name, FLAG if auc > 0.9 else OK, f"a forest tells this data from the reference with an AUC of {auc:.3f}; furthest apart: {', '.join(list(ks)[:5])}", domain_auc=auc, ks_by_feature=ks)
 
 
-@check("cross_dataset_drift_check", "Accuracy on test less that on reference data. Flags a drop over 10 points.")
+@check("cross_dataset_drift_check", "Accuracy on test less that on reference data. Flags a drop over 10 points.", changes="predicts the reference table instead of test")
 def cross_dataset_drift(s: Subject) -> dict:
     name = "cross_dataset_drift_check"
     if s.reference is None:
@@ -154,7 +154,7 @@ def cross_dataset_drift(s: Subject) -> dict:
     return finding(name, FLAG if bad else OK, f"accuracy {a:.4f} on test, {b:.4f} on the reference (drop {a - b:+.4f})", in_dataset_accuracy=a, cross_dataset_accuracy=b, drop=a - b)
 
 
-@check("cross_capture_matrix_check", "Accuracy of a forest of each scenario on every other. Flags a spread over 20 points, warns over 10.", structural=True, evidence="direct-experiment")
+@check("cross_capture_matrix_check", "Accuracy of a forest of each scenario on every other. Flags a spread over 20 points, warns over 10.", structural=True, evidence="direct-experiment", changes="learns from one scenario at a time and predicts each of the rest")
 def cross_capture(s: Subject) -> dict:
     name, c = "cross_capture_matrix_check", s.cfg["schema"]["scenario_column"]
     if not c or c not in s.train.columns or c not in s.test.columns:
@@ -178,7 +178,7 @@ def cross_capture(s: Subject) -> dict:
     return finding(name, status, f"accuracy from {cells[worst]:.4f} ({worst}) to {cells[best]:.4f} ({best})", matrix=cells, worst_pair=worst, best_pair=best, spread=spread)
 
 
-@check("feature_category_ablation_check", "Accuracy lost without each declared category of columns. Flags over 30 points, warns over 15.", evidence="direct-experiment")
+@check("feature_category_ablation_check", "Accuracy lost without each declared category of columns. Flags over 30 points, warns over 15.", evidence="direct-experiment", changes="fits again with each declared category of columns left out")
 def ablation(s: Subject) -> dict:
     name = "feature_category_ablation_check"
     groups: dict[str, list[str]] = {}
@@ -196,7 +196,7 @@ def ablation(s: Subject) -> dict:
     return finding(name, status, f"accuracy {base:.4f}; without {worst} {drops[worst]:+.4f} is lost, the most of any category", baseline_accuracy=base, drop_by_category=drops)
 
 
-@check("artifact_sensitivity_check", "Predictions that change when an id or time column's values are dealt out anew. Flags over 30 %, warns over 15 %.", evidence="direct-experiment")
+@check("artifact_sensitivity_check", "Predictions that change when an id or time column's values are dealt out anew. Flags over 30 %, warns over 15 %.", evidence="direct-experiment", changes="deals the values of an id or time column out to other rows and predicts again")
 def artifact_sensitivity(s: Subject) -> dict:
     name = "artifact_sensitivity_check"
     t = s.cfg["schema"]["timestamp_column"]
@@ -214,7 +214,7 @@ def artifact_sensitivity(s: Subject) -> dict:
     return finding(name, FLAG if rates[worst] > 0.30 else WARNING if rates[worst] > 0.15 else OK, f"dealing {worst} out anew changes {rates[worst]:.1%} of predictions", flip_rate_by_column=rates)
 
 
-@check("result_robustness_check", "Spread of accuracy over random, grouped, deduplicated and id-free conditions. Flags over 15 points beyond sampling error, warns over 8.", structural=True, evidence="direct-experiment")
+@check("result_robustness_check", "Spread of accuracy over random, grouped, deduplicated and id-free conditions. Flags over 15 points beyond sampling error, warns over 8.", structural=True, evidence="direct-experiment", changes="fits again on other splits, without repeated rows, and without id columns")
 def robustness(s: Subject) -> dict:
     name = "result_robustness_check"
     if s.raw is None:
@@ -256,7 +256,7 @@ def seed_sensitivity(s: Subject) -> dict:
     return finding("seed_sensitivity_check", WARNING if len(states) > 1 else OK, text, seeds=list(SEEDS), leakage_screen_statuses=states, one_rule_check_statuses=[b["status"]], leakage_screen_top1_share_range=[min(top), max(top)] if top else None, one_rule_check_accuracy_range=[acc, acc] if acc is not None else None)
 
 
-@check("repeated_seed_falsification_check", "The drop from a random to a grouped split over many seeds, with a t interval against one point. Flags if all of it lies above.", structural=True, evidence="direct-experiment")
+@check("repeated_seed_falsification_check", "The drop from a random to a grouped split over many seeds, with a t interval against one point. Flags if all of it lies above.", structural=True, evidence="direct-experiment", changes="divides the rows by groups and at random under one seed after another")
 def repeated_seeds(s: Subject) -> dict:
     name = "repeated_seed_falsification_check"
     n = s.cfg["audit"]["repeated_seed_count"]

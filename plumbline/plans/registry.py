@@ -82,19 +82,38 @@ class Check:
     evidence: str
     #: One sentence on what is measured and when it flags.
     about: str
+    #: Details of a flag or warning that name columns which had better be dropped.
+    suspects: tuple[str, ...] = ()
+    #: What it does to the data to see whether a result holds, if it is such an experiment.
+    changes: str = ""
 
 
 _found: dict[str, Check] = {}
 
 
-def check(name: str, about: str, structural: bool = False, evidence: str = "statistical") -> Callable[[Callable[[Subject], dict]], Callable[[Subject], dict]]:
+def check(name: str, about: str, structural: bool = False, evidence: str = "statistical", **more: Any) -> Callable[[Callable[[Subject], dict]], Callable[[Subject], dict]]:
     def add(run: Callable[[Subject], dict]) -> Callable[[Subject], dict]:
-        _found[name] = Check(name, run, structural, evidence, about)
+        _found[name] = Check(name, run, structural, evidence, about, **more)
         return run
 
     return add
 
 
+def suspected(found: dict) -> list[str]:
+    """Columns that a flag or warning blames, in the order of the details that its check declares."""
+    known = checks().get(found["check"])
+    if known is None or found["status"] not in (FLAG, WARNING):
+        return []
+    named = [found["details"].get(k) or () for k in known.suspects]
+    return [c for x in named for c in ((x,) if isinstance(x, str) else x)]
+
+
+def outcome(found: dict) -> str:
+    """What an experiment says of a result: its own word if it gives one, else what its status amounts to."""
+    matters = found["details"].get("material", {FLAG: True, OK: False}.get(found["status"]))
+    return "inconclusive" if matters is None else "material" if matters else "investigated_not_material"
+
+
 def checks() -> dict[str, Check]:
     """All checks in their fixed order."""
     from . import lookup_checks, model_checks, table_checks  # noqa: F401  they register themselves

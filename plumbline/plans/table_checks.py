@@ -180,7 +180,7 @@ def class_distribution(s: Subject) -> dict:
     return finding("class_distribution_report", WARNING if bad else OK, f"{len(n)} classes; the largest has {ratio or 0:.1f} times the rows of the smallest" + (f"; under 1 %: {', '.join(rare)}" if rare else ""), **sides, imbalance_ratio=ratio, rare_classes=rare)
 
 
-@check("low_cardinality_warning", "Distinct values of each id column. Warns under 50.")
+@check("low_cardinality_warning", "Distinct values of each id column. Warns under 50.", suspects=("flagged",))
 def low_cardinality(s: Subject) -> dict:
     name = "low_cardinality_warning"
     if not s.ids:
@@ -202,7 +202,7 @@ def schema_fingerprint(s: Subject) -> dict:
     return finding("schema_fingerprint_check", WARNING if hits else OK, "; ".join(h["warning"] for h in hits.values()) or "no known extraction tool's columns", **hits)
 
 
-@check("data_integrity_check", "Missing labels, missing or infinite values, and constant columns. Flags missing labels, warns of the rest.")
+@check("data_integrity_check", "Missing labels, missing or infinite values, and constant columns. Flags missing labels, warns of the rest.", suspects=("constant_features", "missing_by_feature", "inf_by_feature"))
 def data_integrity(s: Subject) -> dict:
     rows = {r["feature"]: r for r in relational.integrity(s.train, s.features, s.label).collect()}
     lost = int(rows[s.label]["missing"])
