@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import checkpoint
@@ -12,14 +12,21 @@ from ..functions.lineage import checkpoint
 HUB_EDGES, HUB_SHARE = 128, 16
 
 
-def _with_least(edges: DataFrame, low: DataFrame, limit: int) -> DataFrame:
-    """edges (a, b) with the m that low (a, m, n) has for a, n being how many edges a has. A hub's row of low is copied to as
-    many parts as its edges are dealt to by b; there are at most HUB_SHARE hubs a task, so their list is small."""
-    parts = F.ceil(F.col("n") / limit).cast("int")
-    hubs = low.where(F.col("n") > limit).select("a", parts.alias("parts"))
-    dealt = edges.join(F.broadcast(hubs), "a", "left").withColumn("s", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-    copied = low.withColumn("s", F.explode(F.when(F.col("n") > limit, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))))
-    return dealt.join(copied.drop("n"), ["a", "s"]).drop("s")
+def share_of_a_task(spark: SparkSession, rows: int) -> int:
+    """How many rows of one key may go to one task."""
+    return max(HUB_EDGES, rows // (int(spark.conf.get("spark.sql.shuffle.partitions")) * HUB_SHARE))
+
+
+def join_in_parts(many: DataFrame, one: DataFrame, key: str, by: str, n: str, limit: int) -> DataFrame:
+    """many with the columns of one, which has a row for each key and in n how many rows of many have it. The row of a key
+    with more than limit is copied to as many parts as its rows are dealt to by another column; of such keys there are at
+    most rows / limit, HUB_SHARE a task, so their list is small."""
+    taken = max(len(c) for c in [*many.columns, *one.columns]) * "_"  # longer than any name, so free
+    parts, hub, part = F.ceil(F.col(n) / limit).cast("int"), f"parts{taken}", f"part{taken}"
+    hubs = one.where(F.col(n) > limit).select(key, parts.alias(hub))
+    dealt = many.join(F.broadcast(hubs), key, "left").withColumn(part, F.coalesce(F.pmod(F.xxhash64(by), F.col(hub)), F.lit(0)).cast("int")).drop(hub)
+    copied = one.withColumn(part, F.explode(F.when(F.col(n) > limit, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copied.drop(n), [key, part]).drop(part)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -31,16 +38,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     centre. Rounds grow with the logarithm of the longest chain.
     """
     state = lambda e: tuple(e.agg(F.count("*"), F.coalesce(F.expr("sum(cast(xxhash64(a, b) as decimal(38,0)))"), F.lit(0))).first())
-    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = state(e)
     for _ in range(max_rounds):
-        limit = max(HUB_EDGES, 2 * before[0] // (tasks * HUB_SHARE))
+        limit = share_of_a_task(edges.sparkSession, 2 * before[0])
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both.where("b > a"), low, limit).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
+        large = join_in_parts(both.where("b > a"), low, "a", "b", "n", limit).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, low, limit).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        small = join_in_parts(large, low, "a", "b", "n", limit).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         e = checkpoint(small.where("a <> b").distinct())
         now = state(e)
         if now == before:
