@@ -25,7 +25,8 @@ phrases for words, and 51 of those are needed. Keys overlap or touch, as WINDOW
    a part of it by their document's hash. A key that the next key overlaps brings only
    the words before that one. There they are compared byte by byte with the first, in
    order of doc_id and place (words joined by one space). Every later one is a repeat of
-   as many words as both brought. The firsts of the parts of hot hashes meet again.
+   as many words as both brought. The firsts of the parts of hot hashes meet again, FAN
+   parts at a time, until all have met.
 3. Repeats that touch are one run of words. What stands around the firsts of the ends of
    runs, CONTEXT words on either side, is fetched from their documents and sent to the
    runs, which grow over all words that equal it byte by byte. A shared stretch that went
@@ -62,7 +63,7 @@ MIN_WORDS, LONE_WORDS = 10, 20
 GRAM, WINDOW, CONTEXT = 26, 26, 50
 #: Bytes of text worked on at a time; arrays over bytes and words take some 50 times that.
 SLICE = 1 << 18
-HOT_ROWS, HOT_SHARE = 256, 16
+HOT_ROWS, HOT_SHARE, FAN = 256, 16, 32
 _KEY, _CHUNK = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 
 
@@ -178,7 +179,7 @@ def _hashes(text: str):
 #: A chunk or key: its hash and the part of it, its document, first word, words it has and brought, words before the text ends.
 _FOUND = "h long, salt int, id {id}, th long, at int, size int, n int, rest int, words binary"
 #: A repeat, or the first of a part of a hot hash: its place and the first's, and whether both are in one document.
-_MET = "id {id}, th long, lo int, hi int, rest int, h long, fth long, fat int, skip int, own boolean, first boolean, size int, words binary"
+_MET = "salt int, id {id}, th long, lo int, hi int, rest int, h long, fth long, fat int, skip int, own boolean, first boolean, size int, words binary"
 
 
 def _parts(hot: tuple[np.ndarray, np.ndarray], key: np.ndarray, th: np.ndarray) -> np.ndarray:
@@ -285,20 +286,25 @@ def _repeats(spread):
         take = pa.array(k)
         words = b["words"].take(take) if is_first else pa.nulls(len(k), pa.binary())
         ints = [pa.array(c.astype(np.int32)) for c in (lo, hi, rest)]
-        cols = [b["id"].take(take), b["th"].take(take), *ints, b["h"].take(take), pa.array(fth), pa.array(fat.astype(np.int32)), pa.array(skip.astype(np.int32)), pa.array(own), pa.array(np.full(len(k), is_first)), b["size"].take(take), words]
-        return pa.RecordBatch.from_arrays(cols, names=["id", "th", "lo", "hi", "rest", "h", "fth", "fat", "skip", "own", "first", "size", "words"])
+        cols = [b["salt"].take(take), b["id"].take(take), b["th"].take(take), *ints, b["h"].take(take), pa.array(fth), pa.array(fat.astype(np.int32)), pa.array(skip.astype(np.int32)), pa.array(own), pa.array(np.full(len(k), is_first)), b["size"].take(take), words]
+        return pa.RecordBatch.from_arrays(cols, names=["salt", "id", "th", "lo", "hi", "rest", "h", "fth", "fat", "skip", "own", "first", "size", "words"])
 
     return run
 
 
-def _meet(rows: DataFrame, spread, n: int) -> DataFrame:
-    """The repeats among candidates."""
+def _meet(rows: DataFrame, spread, n: int, most: int) -> DataFrame:
+    """The repeats among candidates; most: the parts of the hottest hash. The firsts of its parts meet FAN parts at a time."""
     out = _MET.format(id=rows.schema["id"].dataType.simpleString())
     place = ["h", "salt", "id", "th", "at"]
-    met = checkpoint(rows.repartition(n, "h", "salt").sortWithinPartitions(*place).mapInArrow(tidy(_repeats(spread)), out))
-    again = met.where("first").select("h", F.lit(0).alias("salt"), "id", "th", F.col("lo").alias("at"), "size", (F.col("hi") - F.col("lo")).alias("n"), "rest", "words")
-    again = again.repartition(n, "h").sortWithinPartitions(*place).mapInArrow(tidy(_repeats(None)), out)
-    return met.where("not first").drop("first", "words").unionByName(again.drop("first", "words"))
+    found = None
+    while True:
+        met = checkpoint(rows.repartition(n, "h", "salt").sortWithinPartitions(*place).mapInArrow(tidy(_repeats(spread if most > 1 else None)), out))
+        later = met.where("not first").drop("salt", "first", "words")
+        found = later if found is None else found.unionByName(later)
+        if most <= 1:
+            return found
+        most = -(-most // FAN)
+        rows = met.where("first").select("h", F.floor(F.col("salt") / FAN).cast("int").alias("salt"), "id", "th", F.col("lo").alias("at"), "size", (F.col("hi") - F.col("lo")).alias("n"), "rest", "words")
 
 
 def _contexts(wanted, docs, text: str):
@@ -347,7 +353,7 @@ def repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     hot = (hot["h"].to_numpy(), -(-hot["count"].to_numpy() // limit))
     bitmap, spread = bitmap_of(counts.select("h")), spark.sparkContext.broadcast(hot)
     kind = texts.schema["id"].dataType.simpleString()
-    met = _meet(texts.mapInArrow(tidy(_candidates(bitmap, spread, "text", "id")), _FOUND.format(id=kind)), spread, n)
+    met = _meet(texts.mapInArrow(tidy(_candidates(bitmap, spread, "text", "id")), _FOUND.format(id=kind)), spread, n, int(hot[1].max(initial=1)))
     # repeats that touch are one run
     place = Window.partitionBy("id", "th").orderBy("lo", "hi")
     gap = F.coalesce(F.max("hi").over(place.rowsBetween(Window.unboundedPreceding, -1)) < F.col("lo"), F.lit(True)).cast("int")

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import checkpoint
-from ..operators.graph import components
+from ..operators.graph import components, join_in_parts, share_of_a_task
 from .common import LOWER, Words, free_name, plus, ship, text_slices, tidy
 
 BITS, SHINGLE, BLOCK, SMALL = 3, 3, 4096, 14
@@ -263,11 +263,11 @@ def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
         dealt = ["key", "mask", "val"]
 
 
-def _placed(documents: DataFrame, text: str, doc_id: str, extra: list[str]) -> tuple[DataFrame, DataFrame, str, str, str]:
-    """doc_id, fp and the extra columns of every row; of every fp its smallest doc_id and its component's root; and the names of these three."""
+def _placed(documents: DataFrame, text: str, doc_id: str, extra: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """doc_id, fp and the extra columns of every row; of every fp its smallest doc_id, its rows and its component's root; and the names of these four."""
     ship(documents.sparkSession)
     keep = [doc_id, *extra]
-    fp, least, root, node = (free_name(documents, c) for c in ("fp", "least", "root", "node"))
+    fp, least, n, root, node = (free_name(documents, c) for c in ("fp", "least", "n", "root", "node"))
     schema = plus(documents.select(*keep), **{fp: "long"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,21 +277,25 @@ def _placed(documents: DataFrame, text: str, doc_id: str, extra: list[str]) -> t
             yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(made)], names=schema.names)
 
     rows = checkpoint(documents.select(*keep, text).mapInArrow(tidy(run), schema))
-    prints = checkpoint(rows.groupBy(fp).agg(F.min(doc_id).alias(least)))
+    prints = checkpoint(rows.groupBy(fp).agg(F.min(doc_id).alias(least), F.count("*").alias(n)))
     roots = components(links(prints, fp)).withColumnsRenamed({"node": node, "root": root})
     # a root is the smallest fingerprint of its component
-    return rows, prints.join(roots, F.col(fp) == F.col(node), "left").select(fp, least, F.coalesce(root, fp).alias(root)), fp, least, root
+    return rows, prints.join(roots, F.col(fp) == F.col(node), "left").select(fp, least, n, F.coalesce(root, fp).alias(root)), [fp, least, n, root]
 
 
 def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", extra: list[str] | None = None) -> DataFrame:
     """doc_id, fp (long) and component_id of every row, with the extra columns asked for; fp and component_id get underscores
     more if the documents have columns of these names."""
-    rows, placed, fp, least, root = _placed(documents, text, doc_id, extra or [])
+    rows, placed, (fp, least, n, root) = _placed(documents, text, doc_id, extra or [])
     component_id = free_name(documents, "component_id")
     # the component takes the smallest doc_id in it
-    names = placed.groupBy(root).agg(F.min(least).alias(component_id))
-    known = placed.select(fp, root).join(names, root).select(fp, component_id)
-    return rows.join(known, fp).select(doc_id, *(extra or []), fp, component_id)
+    size = free_name(documents, "size")
+    sizes = placed.groupBy(root).agg(F.min(least).alias(component_id), F.count("*").alias(size))
+    spark = documents.sparkSession
+    n_rows, n_prints = placed.agg(F.coalesce(F.sum(n), F.lit(0)), F.count("*")).first()
+    known = join_in_parts(placed.select(fp, n, root), sizes, root, fp, size, share_of_a_task(spark, n_prints)).select(fp, n, component_id)
+    # rows of a fingerprint that very many have are dealt out by their id
+    return join_in_parts(rows, known, fp, doc_id, n, share_of_a_task(spark, n_rows)).select(doc_id, *(extra or []), fp, component_id)
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
@@ -299,9 +303,10 @@ def keep_one(documents: DataFrame) -> DataFrame:
     the smallest hash of its text (rows that repeat both are one)."""
     th, its_th, its_id = (free_name(documents, c) for c in ("th", "its_th", "its_id"))
     keyed = documents.withColumn(th, F.xxhash64("text"))
-    rows, placed, fp, _, root = _placed(keyed.select("doc_id", "text", th), "text", "doc_id", [th])
+    rows, placed, (fp, _, _, root) = _placed(keyed.select("doc_id", "text", th), "text", "doc_id", [th])
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(th).alias("th"))
-    keepers = rows.join(placed, fp).groupBy(root).agg(F.min(row).alias("row")).select(F.col("row.id").alias(its_id), F.col("row.th").alias(its_th))
+    least = rows.groupBy(fp).agg(F.min(row).alias("row"))  # so that copies combine before they are joined
+    keepers = least.join(placed, fp).groupBy(root).agg(F.min("row").alias("row")).select(F.col("row.id").alias(its_id), F.col("row.th").alias(its_th))
     return keyed.join(keepers, (F.col(th) == F.col(its_th)) & F.col("doc_id").eqNullSafe(F.col(its_id)), "left_semi").select(*documents.columns)
 
 
