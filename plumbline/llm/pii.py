@@ -7,10 +7,12 @@ characters is entered at its start or where the last match ended, which leaves t
 matches the same.
 
 High-recall generators then propose further, overlapping spans: spelled-out or spaced
-addresses, numbers without a country code, grouped or labelled numbers, and groups of
-hexadecimal digits. Each candidate gets features of its format and of the words around
+addresses, numbers without a country code, grouped or labelled numbers, groups of
+hexadecimal digits, and long runs of letters and digits, which may be secrets (tokens,
+keys, passwords; a kind without base spans). Each candidate gets features of its format and of the words around
 it; boosted trees score it, and it is kept where its calibrated probability reaches the
-threshold of its kind and it overlaps no base span nor an earlier kept span.
+threshold of its kind and it overlaps no base span (a secret may) nor an earlier kept
+span.
 
 The trees are trained once a session on a fixed set of TRAINING templated sentences,
 whose features the same expressions compute, and are compiled to CASE expressions:
@@ -25,6 +27,8 @@ those that find adds get an underscore more; other names are free.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import free_name
 
 KINDS = ("email", "ip", "card", "phone")
+#: With those that have no base spans.
+ALL = (*KINDS, "secret")
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -44,18 +50,20 @@ LOOSE = {
     "card": r"(?<![0-9A-Za-z])[0-9]{4}+(?:[./_\x20-]{1,3}[0-9]{4}+){2,3}+(?:[./_\x20-]{1,3}[0-9]{1,3}+)?+(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])(?:\([0-9]{2,5}+\)|[0-9]{2,5}+)(?:[./\x20-]{1,2}[0-9]{2,4}+){2,4}+(?![0-9A-Za-z])",
 }
+LOOSE["secret"] = r"(?<![0-9A-Za-z+/_-])[0-9A-Za-z+/_-]{16,200}+={0,2}+(?![0-9A-Za-z+/_-])"
 #: What a text must hold for a generator to be worth running.
-HINT = {"email": r"[(\[{]at[)\]}]|\x20@|@\x20|(?:@|\x20at\x20)[A-Za-z0-9-]{1,63}+(?:\x20dot\x20|\x20?[(\[{]dot|\x20\.|\.\x20?[A-Za-z0-9])", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f:]|[0-9]\x20?[(\[](?:\.|dot)", "card": r"[0-9]{4}[./_\x20-]{1,3}[0-9]{4}", "phone": r"[0-9][)./\x20-]{1,2}[0-9]{2}"}
+HINT = {"email": r"[(\[{]at[)\]}]|\x20@|@\x20|(?:@|\x20at\x20)[A-Za-z0-9-]{1,63}+(?:\x20dot\x20|\x20?[(\[{]dot|\x20\.|\.\x20?[A-Za-z0-9])", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f:]|[0-9]\x20?[(\[](?:\.|dot)", "card": r"[0-9]{4}[./_\x20-]{1,3}[0-9]{4}", "phone": r"[0-9][)./\x20-]{1,2}[0-9]{2}", "secret": r"(?<![0-9A-Za-z+/_-])[0-9A-Za-z+/_-]{16}"}
 WORDS = {
     "email": r"(?i)\b(?:e-?mail|mail|correo|courriel|contact|write|reach|kontakt)\b",
     "ip": r"(?i)\b(?:ip|ipv[46]|host|server|address|gateway|client|dns)\b",
     "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|tarjeta|carte|karte|kreditkarte)\b",
     "phone": r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|whatsapp|sms|telefon|telefono|téléphone|handy|movil)\b",
-    "other": r"(?i)\b(?:version|isbn|issn|order|invoice|section|page|pages|date|time|score|serial|ratio|build|chapter|ref|token|key|years?|from)\b",
+    "secret": r"(?i)(?:\b|_)(?:token|secret|pass(?:word|wd|phrase)?|pwd|key|apikey|bearer|auth|authorization|credentials?|passwort|contraseña)\b",
+    "other": r"(?i)\b(?:version|isbn|issn|order|invoice|section|page|pages|date|time|score|serial|ratio|build|chapter|ref|years?|from|commit|sha|sha1|sha256|md5|checksum|hash|uuid|id)\b",
 }
 #: Code points before and after a candidate that count as its context.
 CONTEXT = 28
-TRAINING, HELD = 3000, 3
+TRAINING, HELD = 4000, 3
 GROUP = 256
 
 
@@ -118,7 +126,7 @@ def _features(kind: str, text: Column, x: Column) -> Column:
     nxt = F.substring(tail, 1, 1)
     form = lambda c: F.when(c == "", 0).when(c.rlike(r"[\s]"), 1).when(c.rlike("[0-9]"), 2).when(c.rlike("[A-Za-z]"), 3).when(c.rlike(r"[:=(<\[\"']"), 4).otherwise(5)
     return F.array(*[c.cast("double") for c in (
-        F.lit(KINDS.index(kind)), F.length(t), F.length(digits), F.length(F.regexp_replace(t, "[^A-Za-z]", "")), F.length(F.regexp_replace(t, "[A-Za-z0-9]", "")),
+        F.lit(ALL.index(kind)), F.length(t), F.length(digits), F.length(F.regexp_replace(t, "[^A-Za-z]", "")), F.length(F.regexp_replace(t, "[A-Za-z0-9]", "")),
         F.size(F.split(t, "[^A-Za-z0-9]+")), F.coalesce(F.call_function("luhn_check", digits), F.lit(False)), t.rlike(r"(?i)\bat\b|\bdot\b"), t.rlike(r"[(\[{]"), F.length(F.regexp_replace(t, "[^:]", "")),
         t.rlike(r"(?i)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"), lead.rlike(WORDS[kind]), lead.rlike(WORDS["other"]), tail.rlike(WORDS[kind]), form(last), form(nxt), last == "+",
         F.size(F.filter(F.split(lead, r"\s+"), lambda w: w.rlike("[0-9]"))),
@@ -126,8 +134,9 @@ def _features(kind: str, text: Column, x: Column) -> Column:
 
 
 def candidates(text: Column, base: dict[str, Column]) -> dict[str, Column]:
-    """Proposed spans with features, array<struct<s, e, t, f>> a kind, without those that a base span of the kind equals."""
-    return {k: F.transform(F.filter(_positions(text, p, HINT[k]), lambda x: ~F.exists(base[k], lambda b: (b["s"] == x["s"]) & (b["e"] == x["e"]))), lambda x: F.struct(x["s"], x["e"], x["t"], _features(k, text, x).alias("f"))) for k, p in LOOSE.items()}
+    """Proposed spans with features, array<struct<s, e, t, f>> a kind, without those that a base span of the kind equals, and without secrets of letters or digits alone."""
+    fresh = lambda k, x: ~F.exists(base[k], lambda b: (b["s"] == x["s"]) & (b["e"] == x["e"])) if k in base else x["t"].rlike("[0-9]") & x["t"].rlike("[A-Za-z]")
+    return {k: F.transform(F.filter(_positions(text, p, HINT[k]), lambda x: fresh(k, x)), lambda x: F.struct(x["s"], x["e"], x["t"], _features(k, text, x).alias("f"))) for k, p in LOOSE.items()}
 
 
 def training(spark: SparkSession, n: int = TRAINING) -> DataFrame:
@@ -147,28 +156,32 @@ def training(spark: SparkSession, n: int = TRAINING) -> DataFrame:
     context = {
         "email": pick("ce", "email me: ", "contact ", "reach me via mail ", "e-mail = ", "write to "), "ip": pick("ci", "server ip ", "host address ", "client ip: ", "gateway "),
         "card": pick("cc", "card number ", "visa ", "credit card: ", "my card is "), "phone": pick("cp", "call ", "phone: ", "tel. ", "mobile ", "fax "),
+        "secret": F.concat(pick("cs", "token", "api_key", "password", "secret", "auth", "access key", "TOKEN", "Key"), pick("eq", " = ", "=", ": ", " "), pick("qu", '"', "'", "")),
     }
+    digest = F.sha2(F.concat(i.cast("string"), F.lit("s")), 256)
+    mixed = F.base64(F.unhex(digest))
+    random = F.when(r("form", 3) == 0, F.substring(digest, F.lit(1), r("len", 40) + 24)).when(r("form", 3) == 1, F.upper(F.substring(digest, F.lit(1), r("len", 40) + 24))).otherwise(F.substring(mixed, F.lit(1), r("len", 20) + 20))
     yes = {
         "email": F.concat(name, at, host, dot, pick("tld", "com", "org", "net", "de", "fr")),
         "ip": F.when(r("v", 2) == 0, F.concat_ws("[.]", *[part(k) for k in range(4)])).otherwise(F.concat_ws(":", *[hexa(f"x{k}") for k in range(8)])),
-        "card": four, "phone": F.concat(F.lit("("), num("p1", 3), F.lit(") "), num("p2", 3), sep, num("p3", 4)),
+        "card": four, "phone": F.concat(F.lit("("), num("p1", 3), F.lit(") "), num("p2", 3), sep, num("p3", 4)), "secret": random,
     }
     no = {
         "email": F.concat(word("w1"), F.lit(" at "), word("w2"), F.lit(" dot "), word("w3")),
         "ip": F.concat_ws(":", r("t1", 24), r("t2", 60) + 10, r("t3", 60) + 10),
         "card": four, "phone": F.call_function("concat_ws", sep, r("d1", 20) + 10, r("d2", 20) + 10, r("d3", 90) + 10, num("d4", 2)),
+        "secret": F.concat_ws("-", word("w4"), word("w5"), word("w6"), num("s1", 4), word("w7")),
     }
-    plain = pick("po", "version ", "order ", "ref ", "serial ", "invoice ", "on page ")
+    plain = pick("po", "version ", "order ", "ref ", "serial ", "invoice ", "on page ", "commit ", "sha256 ")
     neutral = F.concat(word("l1"), F.lit(" "), word("l2"), F.lit(" "))
-    kind, y = r("kind", 4), (r("y", 2) == 0)
-    text = None
-    for k, x in enumerate(KINDS):
+    kind, y = r("kind", len(ALL)), (r("y", 2) == 0)
+    parts = []
+    for k, x in enumerate(ALL):  # a frame a kind, which keeps the generated code short
         # a personal form stands by a word of its kind nearly always; without one, or by another word, it proves nothing
         personal = F.concat(neutral, context[x], yes[x], F.lit(" "), word("l3"))
         alike = F.when(r("m", 4) == 0, F.concat(neutral, yes[x], F.lit(" "), word("l3"))).when(r("m", 4) == 1, F.concat(neutral, plain, yes[x], F.lit(" "), word("l3"))).when(r("m", 4) == 2, F.concat(neutral, plain, no[x], F.lit(" "), word("l3"))).otherwise(F.concat(neutral, no[x], F.lit(" "), word("l3")))
-        mine = F.when(y, personal).otherwise(alike)
-        text = F.when(kind == k, mine) if text is None else text.when(kind == k, mine)
-    return spark.range(0, n, 1, 4).select("id", kind.alias("kind"), y.cast("int").alias("y"), text.alias("text"))
+        parts.append(spark.range(0, n, 1, 1).where(kind == k).select("id", kind.alias("kind"), y.cast("int").alias("y"), F.when(y, personal).otherwise(alike).alias("text")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 class Boosted:
@@ -195,7 +208,7 @@ class Boosted:
         self.scale, self.shift = map(float, a)
         ph = 1 / (1 + np.exp(-np.clip(self.scale * zh + self.shift, -30, 30)))
         self.threshold = []
-        for k in range(len(KINDS)):
+        for k in range(len(ALL)):
             q, t = ph[kind == k], yh[kind == k]
             order = np.argsort(-q)
             s = np.r_[q[order], 0.0]
@@ -284,7 +297,7 @@ def find(documents: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = _propose(documents, whole)
     limits = " ".join(f"when x.k = {k} then {float(np.log(t / (1 - t)) if t < 1 else np.inf) if t < 1 else 1e300:.9g}D" for k, t in enumerate(m.threshold))
-    kept = F.expr(f"filter(`{found}`, x -> {m.scale:.9g}D * ({m.sql('x.f')}) + {m.shift:.9g}D >= case {limits} end and not exists(`{base}`, b -> b.s < x.e and x.s < b.e))")
+    kept = F.expr(f"filter(`{found}`, x -> {m.scale:.9g}D * ({m.sql('x.f')}) + {m.shift:.9g}D >= case {limits} end and (x.k >= {len(KINDS)} or not exists(`{base}`, b -> b.s < x.e and x.s < b.e)))")
     rows = rows.withColumn(last, F.when(F.size(found) > 0, F.array_sort(F.transform(kept, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>")))
     # of spans that overlap, the earlier stays
     apart = F.aggregate(last, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int>>").alias("out")), lambda a, x: F.when(x["s"] >= a["at"], F.struct(x["e"].alias("at"), F.array_append(a["out"], x).alias("out"))).otherwise(a), lambda a: a["out"])
@@ -292,14 +305,14 @@ def find(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def written(spans: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in ALL])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"], x["e"])), ",")
 
 
 def redact(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents with every span, overlapping ones united, replaced by its kind in brackets."""
     rows = find(documents, text)
-    names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
+    names = F.array(*[F.lit(f"[{k}]") for k in ALL])
     t = F.col(text)
 
     def step(a: Column, x: Column) -> Column:
@@ -313,7 +326,8 @@ def redact(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def digest(documents: DataFrame) -> DataFrame:
-    """The contract of op1."""
+    """The contract of op1; its spans are of the four kinds. n_found counts all spans, secrets too."""
     rows = find(documents.select("doc_id", "text"))
+    personal = F.filter("spans", lambda x: x["k"] < len(KINDS))
     counts = [F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(len(KINDS))]
-    return rows.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(personal).alias("spans"), written(F.filter("spans", lambda x: x["k"] >= len(KINDS))).alias("secrets"), F.size("spans").cast("long").alias("n_found"))
