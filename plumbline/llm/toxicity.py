@@ -6,13 +6,14 @@ share of toxic text among the labels, the risk p * R+(toxic) + max(0, R-(unlabel
 p * R-(toxic)) is made small; where the inner difference turns negative its gradient
 is reversed, which keeps it from fitting the unlabelled part as if all were clean. The
 words kept are those whose corrected frequency in clean text (that of unlabelled text
-less p times that of toxic text) is far below that of toxic text. Scores are brought
+less p times that of toxic text) is far below that of toxic text; the frequency in
+unlabelled text is counted over all rows of the training folds. Scores are brought
 to probabilities by two numbers fitted on the labelled rows of the training folds.
 
 Labels are read from the rows whose crc32(doc_id as text) mod 4 is not 2 alone, and
-unlabelled text is drawn from the same rows. Training reads at most MAX_TOXIC +
-MAX_CLEAN labelled and MAX_UNLABELLED other documents, the first by a hash of the id;
-everything else covers every row. Only the texts enter a score.
+unlabelled text is drawn from the same rows. The gradient steps and the calibration read
+at most MAX_TOXIC + MAX_CLEAN labelled and MAX_UNLABELLED other documents, the first by a
+hash of the id; the prior, the words' frequencies and the scores cover every row. Only the texts enter a score.
 
 Nulls are empty texts, which score the same as a text of unknown words. Without any
 confirmed toxic row every score is 0. Rows that repeat are scored alike; a null
@@ -61,6 +62,32 @@ def _buckets(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), (np.concatenate(h) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def _sets(text: pa.Array) -> Iterator[np.ndarray]:
+    """Of slices of texts: the texts' numbers and the buckets that each holds, once, as sorted numbers text << BUCKET_BITS | bucket."""
+    for row, _, raw, off in text_slices(text):
+        w = Words(raw, off)
+        at, h = _buckets(w)
+        yield np.unique((row + np.searchsorted(w.first, at, side="right") - 1) << BUCKET_BITS | h)
+
+
+def frequencies(documents: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
+    """How many rows hold a word of each bucket, and how many rows there are. A task passes on one row a bucket at most."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, rows = np.zeros(1 << BUCKET_BITS, np.int64), 0
+        for b in batches:
+            rows += b.num_rows
+            for held in _sets(b[text]):
+                np.add.at(counts, held & ((1 << BUCKET_BITS) - 1), 1)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some].astype(np.int32)), pa.array(np.r_[rows, counts[some]])], names=["bucket", "n"])
+
+    got = documents.select(text).mapInArrow(tidy(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, n = got["bucket"].to_numpy(), got["n"].to_numpy()
+    counts = np.zeros(1 << BUCKET_BITS)
+    counts[bucket[bucket >= 0]] = n[bucket >= 0]
+    return counts, int(n[bucket < 0].sum())
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
@@ -78,18 +105,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(toxic: list[np.ndarray], clean: list[np.ndarray], unlabelled: list[np.ndarray], n_toxic: int, n_clean: int, rounds: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Model:
+def fit(toxic: list[np.ndarray], clean: list[np.ndarray], unlabelled: list[np.ndarray], n_toxic: int, n_clean: int, counts: np.ndarray, n_rows: int, rounds: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Model:
     """The classifier from the sets of word buckets of each sampled text. n_toxic and n_clean are all labelled rows, of
-    which the samples may be unequal parts: the share of toxic text comes from them, and so do the weights of calibration."""
+    which the samples may be unequal parts: the share of toxic text comes from them, and so do the weights of calibration.
+    counts and n_rows are the frequencies in all unlabelled text."""
     weight = np.zeros(1 << BUCKET_BITS)
     if not toxic:
         return Model(weight, 0.0, 0.0, -np.inf)
     prior = min(0.5, max(0.005, n_toxic / (n_toxic + n_clean))) if clean else 0.1
     other = unlabelled or clean or [np.zeros(0, np.int64)]
     share = lambda texts: np.bincount(np.concatenate(texts), minlength=1 << BUCKET_BITS) / len(texts)
-    p, u = share(toxic), share(other)
+    p, u = share(toxic), counts / n_rows if n_rows else share(other)
     n = np.maximum(0, (u - prior * p) / (1 - prior))
-    few = 1 / len(toxic) + 1 / len(other)
+    few = 1 / len(toxic) + 1 / (n_rows or len(other))
     lift = np.log((p + few) / (n + few))
     score = np.where((p * len(toxic) >= LEAST_TOXIC) & (lift > 0.7), p * lift, 0)
     features = np.argsort(-score, kind="stable")[: min(FEATURES, int((score > 0).sum()))]
@@ -152,14 +180,10 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for _, n, raw, off in text_slices(b[text]):
-                w = Words(raw, off)
-                at, h = _buckets(w)
-                held = np.unique((np.searchsorted(w.first, at, side="right") - 1) << BUCKET_BITS | h)
-                edge = np.searchsorted(held, np.arange(n + 1) << BUCKET_BITS)
-                held = (held & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
-                out += [held[a:z] for a, z in zip(edge, edge[1:], strict=False)]
+            held = np.concatenate([*_sets(b[text]), np.zeros(0, np.int64)])
+            edge = np.searchsorted(held, np.arange(b.num_rows + 1) << BUCKET_BITS)
+            held = (held & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
+            out = [held[a:z] for a, z in zip(edge, edge[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b["__kinds"], pa.array(out, pa.list_(pa.int32()))], names=["kinds", "words"])
 
     got = rows.mapInArrow(tidy(run), "kinds array<int>, words array<int>").toArrow()
@@ -168,7 +192,8 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
     sets = [flat[a:z] for a, z in zip(off, off[1:], strict=False)]
     of = [[x for x, ks in zip(sets, kinds, strict=True) if k in ks] for k in range(3)]
     # a text that is known to be toxic or clean is no less a draw from all text
-    return fit(of[1], of[0], of[2], n_toxic, n_clean)
+    counts, n_rows = frequencies(documents.where(~held_out(doc_id) & F.col(doc_id).isNotNull()), text) if of[1] else (np.zeros(0), 0)
+    return fit(of[1], of[0], of[2], n_toxic, n_clean, counts, n_rows)
 
 
 def score(documents: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

@@ -134,6 +134,12 @@ def test_held_out_labels_are_never_read(spark, small):
     assert moved == a
 
 
+def test_frequencies_are_of_all_rows(spark):
+    rows = [("ab cd ab",), ("cd",), (None,), ("CD ef",)] * 50
+    counts, n = toxicity.frequencies(spark.createDataFrame(rows, "text string").repartition(3))
+    assert n == 200 and sorted(counts[counts > 0].tolist()) == [50, 50, 150]
+
+
 def test_toxicity_cases(spark, small):
     docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
     odd = spark.createDataFrame([(-1, None), (-2, ""), (None, "x"), (-3, "x y " * 20000)], "doc_id long, text string")
