@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import queries
@@ -78,3 +79,28 @@ def test_planted_cases(spark, planted):
     # on documents that nothing was cut from, each group keeps one
     alone = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash"](spark, spark.read.parquet(f"{at}/documents.parquet"), at).collect()}
     assert not alone & set(range(100, 106)) and set(range(60)) <= alone
+
+
+def test_stages_on_odd_documents(spark, planted):
+    """Columns of any names pass, no n_chars is needed, and documents without id or text, with one id, or repeated are kept by the rules."""
+    at, rows, _ = planted
+    rng = random.Random(11)
+    fresh = [" ".join(sentence(rng) for _ in range(12)) for _ in range(3)]
+    odd = [(None, fresh[0]), (None, None), (7, fresh[1]), (7, fresh[2]), (8, ""), (9, "word " * 30_000), (0, rows[0]), (0, rows[0])]
+    clashing = ("n_words", "N_hit", "items", "n_lines", "n_cut", "n_tokens", "ids_sha256", "score", "fp", "root", "th", "hit", "ranges", "spans")
+    docs = spark.createDataFrame(odd, "doc_id long, text string").select("doc_id", "text", *[F.lit(c).alias(c) for c in clashing])
+    names, kept = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, at).persist()
+        kept[name] = docs.collect()
+        assert all(r[c] == c for r in kept[name] for c in clashing)
+        assert docs.columns == names or name == "bpe" and set(clashing) <= set(docs.columns)
+    assert len(kept["toxicity"]) == len(kept["line_dedup"]) == len(odd)
+    last = [(r["doc_id"], r["text"]) for r in kept["decontamination"]]
+    assert {(None, fresh[0]), (7, fresh[1]), (7, fresh[2])} <= set(last)
+    # documents without words are one group, and a row that repeats in full is one document
+    assert sum(not (t or "").strip() for _, t in last) == 1 and last.count((0, rows[0])) == 2
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, at)
+        assert empty.count() == 0
