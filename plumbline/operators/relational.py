@@ -182,6 +182,19 @@ def reservoir(df: DataFrame, k: int, seed: int, row_id: str) -> DataFrame:
     return sample_rows(df, k, seed, row_id)
 
 
+def ordered_content_hash(df: DataFrame, columns: list[str], row_id: str) -> str:
+    """Digest of the rows in the order of row_id: each row's hash is taken with its place, which is counted in ranges of the order."""
+    from hashlib import sha256
+
+    from ..functions.exprs import row_hash
+    from .ranks import cumulative
+
+    rows = df.select(row_hash(*columns).alias("h"), F.col(row_id).alias("at"), F.lit(0).alias("g"), F.lit(1).alias("one"))
+    placed = cumulative(rows, ["g"], "at", {"one": "place"})
+    total = placed.agg(F.sum(F.xxhash64("place", "h").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n")).first()
+    return sha256(f"{int(total['s'] or 0) % 2**64}:{total['n']}:{','.join(columns)}".encode()).hexdigest()
+
+
 def content_hash(df: DataFrame, columns: list[str]) -> str:
     """Digest of the rows as a multiset: equal for any order or split, different if a row's count differs."""
     from hashlib import sha256

@@ -19,7 +19,7 @@ from ..functions.lineage import shared_folder
 from ..operators import classifiers, forest, graph, neighbours, ranks, relational, splits
 from ..sources import reading
 from ..streaming import incremental
-from . import benchmark, check_queries, lookup_checks, studies, table_checks
+from . import benchmark, check_queries, lookup_checks, model_checks, studies, table_checks
 from .dedup import deduplicated
 from .registry import Subject, checks, feature_columns
 
@@ -240,8 +240,11 @@ def pair_lookup_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'test' AS side, o_orderstatus AS cls, CAST(least(count(*) - 1, greatest(1, round(count(*) * (1 - 0.8)))) AS BIGINT) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'train', o_orderstatus, count(*) - CAST(least(count(*) - 1, greatest(1, round(count(*) * (1 - 0.8)))) AS BIGINT) FROM orders GROUP BY 2")
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = splits.stratified_split(table(spark, sf_dir, "orders"), "o_orderstatus", 0.8, 7, "o_orderkey")
-    return splits.union_all([df.groupBy(F.lit(s).alias("side"), F.col("o_orderstatus").alias("cls")).agg(F.count("*").alias("n")) for s, df in (("train", train), ("test", test))])
+    """Rows of each side and class, the two sides sharing no row and lacking none."""
+    sides = dict(zip(("train", "test"), splits.stratified_split(table(spark, sf_dir, "orders"), "o_orderstatus", 0.8, 7, "o_orderkey"), strict=True))
+    both = splits.union_all([df.select("o_orderkey", F.lit(s).alias("side")) for s, df in sides.items()])
+    placed = both.groupBy("o_orderkey").agg(F.min("side").alias("side"), F.count("*").alias("times")).where("times = 1").drop("times")
+    return table(spark, sf_dir, "orders").join(placed, "o_orderkey", "left").groupBy("side", F.col("o_orderstatus").alias("cls")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS shared_groups, count(*) AS rows, true AS near_a_fifth FROM lineitem")
@@ -258,24 +261,33 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.stratified_folds(table(spark, sf_dir, "orders"), "o_orderstatus", 5, 3, "o_orderkey").groupBy(F.col("__fold").alias("fold"), F.col("o_orderstatus").alias("cls")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT least(count(*), 1000) AS rows, least(count(*), 1000) AS ids FROM orders")
+def _drawn(draw: Callable[[DataFrame], DataFrame], of: DataFrame, key: str, cls: str | None = None) -> DataFrame:
+    """Of a sample: its rows and ids (of each class), whether all are rows of the table, and whether the same are drawn again from other partitions."""
+    mine, again = draw(of), draw(of.repartition(7, F.xxhash64(key) % 3)).select(F.col(key).alias("__again"))
+    whole = of.select(F.col(key).alias("__of"))
+    x = mine.join(again, mine[key] == again["__again"], "left").join(whole, mine[key] == whole["__of"], "left")
+    groups = [F.col(cls).alias("cls")] if cls else []
+    return x.groupBy(*groups).agg(F.count("*").alias("rows"), F.countDistinct(key).alias("ids"), F.bool_and(F.col("__again").isNotNull()).alias("drawn_again"), F.bool_and(F.col("__of").isNotNull()).alias("of_the_table"))
+
+
+@query("SELECT least(count(*), 1000) AS rows, least(count(*), 1000) AS ids, true AS drawn_again, true AS of_the_table FROM orders")
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.sample_rows(table(spark, sf_dir, "orders"), 1000, 5, "o_orderkey").agg(F.count("*").alias("rows"), F.countDistinct("o_orderkey").alias("ids"))
+    return _drawn(lambda df: splits.sample_rows(df, 1000, 5, "o_orderkey"), table(spark, sf_dir, "orders"), "o_orderkey")
 
 
-@query("SELECT o_orderstatus AS cls, least(count(*), 500) AS n FROM orders GROUP BY 1")
+@query("SELECT o_orderstatus AS cls, least(count(*), 500) AS rows, least(count(*), 500) AS ids, true AS drawn_again, true AS of_the_table FROM orders GROUP BY 1")
 def sample_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.sample_by_class(table(spark, sf_dir, "orders"), "o_orderstatus", 500, 5, "o_orderkey").groupBy(F.col("o_orderstatus").alias("cls")).agg(F.count("*").alias("n"))
+    return _drawn(lambda df: splits.sample_by_class(df, "o_orderstatus", 500, 5, "o_orderkey"), table(spark, sf_dir, "orders"), "o_orderkey", "o_orderstatus")
 
 
-@query("SELECT toxic AS cls, (SELECT min(n) FROM (SELECT count(*) AS n FROM labels WHERE toxic IS NOT NULL GROUP BY toxic)) AS n FROM labels WHERE toxic IS NOT NULL GROUP BY 1")
+@query("WITH m AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM labels WHERE toxic IS NOT NULL GROUP BY toxic)) SELECT DISTINCT toxic AS cls, m.n AS rows, m.n AS ids, true AS drawn_again, true AS of_the_table FROM labels, m WHERE toxic IS NOT NULL")
 def random_undersample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.undersample(table(spark, sf_dir, "labels"), "toxic", 3, "doc_id").groupBy(F.col("toxic").alias("cls")).agg(F.count("*").alias("n"))
+    return _drawn(lambda df: splits.undersample(df, "toxic", 3, "doc_id"), table(spark, sf_dir, "labels"), "doc_id", "toxic")
 
 
-@query("SELECT o_orderkey FROM orders ORDER BY (o_orderkey * 2654435761) % 4294967296, o_orderkey LIMIT 500")
+@query("SELECT least(count(*), 500) AS rows, least(count(*), 500) AS ids, true AS drawn_again, true AS of_the_table FROM orders")
 def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").orderBy((F.col("o_orderkey") * 2654435761) % 4294967296, "o_orderkey").limit(500).select("o_orderkey")
+    return _drawn(lambda df: relational.reservoir(df, 500, 9, "o_orderkey"), table(spark, sf_dir, "orders"), "o_orderkey")
 
 
 @query("SELECT c_mktsegment AS value, count(*) AS n, true AS dealt_out FROM customer GROUP BY 1")
@@ -291,9 +303,10 @@ def label_grouping_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.map_labels(table(spark, sf_dir, "orders"), "o_orderpriority", {"1-URGENT": "soon", "2-HIGH": "soon"}).groupBy(F.col("o_orderpriority").alias("grouped")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_mktsegment AS scenario, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) >= 20 ORDER BY n, scenario LIMIT 1")
+@query("SELECT row_number() OVER (ORDER BY count(*), c_mktsegment) - 1 AS place, c_mktsegment AS scenario FROM customer GROUP BY 2 HAVING count(*) >= 20")
 def scenario_smallest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("scenario")).agg(F.count("*").alias("n")).where("n >= 20").orderBy("n", "scenario").limit(1)
+    """Scenarios of enough rows, the one to be held out first."""
+    return spark.createDataFrame(list(enumerate(model_checks.scenarios(table(spark, sf_dir, "customer"), "c_mktsegment"))), "place long, scenario string")
 
 
 # --- distances, graphs ------------------------------------------------------
@@ -374,20 +387,21 @@ def scalers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources, sinks, streams --------------------------------------------------
 
 
-@query("SELECT CAST(n_nationkey AS DOUBLE) AS n_nationkey, n_name, CAST(n_regionkey AS DOUBLE) AS n_regionkey FROM nation")
+@query("SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, CAST(c_nationkey AS DOUBLE) AS c_nationkey, CAST(c_acctbal AS DOUBLE) AS c_acctbal, c_mktsegment FROM customer")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as CSV and scanned by the library: typed by its values, aligned and cleaned."""
     at = f"{shared_folder(spark).rstrip('/')}/csv_round_trip"
-    table(spark, sf_dir, "nation").write.mode("overwrite").option("header", True).csv(at)
+    table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment").write.mode("overwrite").option("header", True).csv(at)
     return reading.read_files(spark, [at], downcast=False).drop(reading.ROW_ID)
 
 
-@query("SELECT CAST(r_regionkey AS DOUBLE) AS r_regionkey, r_name FROM region UNION ALL SELECT CAST(n_nationkey AS DOUBLE), n_name FROM nation")
+@query("SELECT CAST(s_suppkey AS DOUBLE) AS s_suppkey, s_name FROM supplier UNION ALL SELECT CAST(c_custkey AS DOUBLE), c_name FROM customer")
 def union_with_schema_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second file is brought to the first one's columns."""
     at = f"{shared_folder(spark).rstrip('/')}/union_with_schema_lock"
-    table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("r_regionkey"), F.col("n_name").alias("r_name"), F.lit(1).alias("more")).write.mode("overwrite").parquet(f"{at}.parquet")
-    return reading.read_files(spark, [f"{sf_dir}/region.parquet", f"{at}.parquet"], downcast=False).drop(reading.ROW_ID)
+    table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").write.mode("overwrite").parquet(f"{at}-1.parquet")
+    table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name"), F.lit(1).alias("more")).write.mode("overwrite").parquet(f"{at}-2.parquet")
+    return reading.read_files(spark, [f"{at}-1.parquet", f"{at}-2.parquet"], downcast=False).drop(reading.ROW_ID)
 
 
 @query("SELECT event_type AS cls, count(*) AS n FROM events GROUP BY 1")
@@ -475,8 +489,17 @@ def benchmark_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def content_hash_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation")
-    return spark.createDataFrame([("nation", relational.content_hash(n, n.columns))], "name string, digest string")
+    n = table(spark, sf_dir, "orders")
+    return spark.createDataFrame([("orders", relational.content_hash(n, n.columns))], "name string, digest string")
+
+
+@query("SELECT true AS same_in_other_partitions, true AS other_in_another_order")
+def content_hash_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "orders")
+    digest = lambda df, by: relational.ordered_content_hash(df, n.columns, by)
+    one = digest(n, "o_orderkey")
+    turned = n.withColumn("__turned", -F.col("o_orderkey"))
+    return spark.createDataFrame([(one == digest(n.repartition(7, "o_custkey"), "o_orderkey"), one != digest(turned, "__turned"))], "same_in_other_partitions boolean, other_in_another_order boolean")
 
 
 @query()
