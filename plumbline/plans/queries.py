@@ -441,6 +441,23 @@ def cutoff_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(r.values()) for r in rows], "cutoff double, margin double, low double, high double, verdict string")
 
 
+@query(_auc_sql(("value",), "(SELECT coalesce(value, -2) AS value, event_type FROM (SELECT CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value, event_type FROM events))", "event_type"))
+def filled_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("value", F.when(F.col("event_id") % 3 != 0, F.col("value")))
+    return rounded(studies.filled_auc(e, ["value"], "event_type").withColumns({"n": F.col("n").cast("long"), "n_class": F.col("n_class").cast("long")}), "auc")
+
+
+@query()
+def interval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return studies.interval_coverage(spark, 40)
+
+
+@query()
+def identifier_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = studies.identifier_ablation(_subject(spark, sf_dir), {"ports": ["port", "proto"], "keys": ["l_suppkey", "l_orderkey"]}, [0, 1])
+    return spark.createDataFrame([(k, n, v["mean"], v["low"], v["high"]) for k, by in r.items() for n, v in by.items()], "features string, measure string, mean double, low double, high double")
+
+
 # --- model-based checks: rows only --------------------------------------------
 
 

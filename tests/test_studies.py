@@ -64,3 +64,21 @@ def test_components(spark, monkeypatch, hub):
         root[max(x, y)] = min(x, y)
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: find(n) for n in root if n in got} and all(find(n) == n and sum(find(m) == n for m in root) == 1 for n in root if n not in got)
+
+
+def test_interval_coverage(spark):
+    got = {(r["regime"], r["method"]): r for r in studies.interval_coverage(spark, 60, draws=300).collect()}
+    assert len(got) == 16 and all(0 <= r["coverage"] <= 1 for r in got.values())
+    # rows that are their own vectors never match; copies planted are seen
+    assert got["distinct", "row"]["coverage"] == 1 and got["distinct", "row"]["leakage"] == 0
+    assert got["leak_20", "row"]["truth"] > 0.05 > abs(got["mixed", "row"]["truth"]) and got["leak_20", "row"]["leakage"] > got["leak_05", "row"]["leakage"]
+    assert got["templates", "row"]["coverage"] > 0.9 and studies.interval_coverage(spark, 60, draws=300).where("regime = 'mixed' and method = 'row'").first()["coverage"] == got["mixed", "row"]["coverage"]
+
+
+def test_decision_rules():
+    c = studies.Case
+    cases = [c(True, 0.3, True, False, "material", True), c(False, 0.1, True, False, "not material", True), c(True, 0.2, True, False, "material"), c(False, 0.05, False, True, "material"), c(True, 0.0, False, True, "material"), c(False, 0.4, True, False, "inconclusive")]
+    r = studies.decision_rules(cases)
+    assert r["share of reuse"] == {"correct": 2, "inconclusive": 0, "wrong": 2, "experiments_made": 0, "cutoff": 0.1}
+    assert r["experiments"] == {"correct": 2, "inconclusive": 1, "wrong": 1, "experiments_made": 4}
+    assert r["experiments for cause"] == {"correct": 2, "inconclusive": 1, "wrong": 1, "experiments_made": 2}
