@@ -52,7 +52,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -64,6 +63,8 @@ GRAM, WINDOW, CONTEXT = 26, 26, 50
 #: Bytes of text worked on at a time; arrays over bytes and words take some 50 times that.
 SLICE = 1 << 18
 HOT_ROWS, HOT_SHARE, FAN = 256, 16, 32
+#: Hashes that a task gathers before it sends them, and buckets a task that they are counted in.
+GATHERED, BUCKETS = 1 << 22, 4
 _KEY, _CHUNK = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 
 
@@ -166,16 +167,64 @@ def _slide(v: np.ndarray, f: np.ufunc) -> np.ndarray:
     return f(v[: width - WINDOW], v[WINDOW - width :]) if width < WINDOW else v
 
 
-def _hashes(text: str):
+def _hashes(text: str, buckets: int):
+    """The hashes of chunks and keys in packs: of the hashes gathered so far those of a bucket in one row."""
+    def packs(gathered: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate(gathered)
+        bucket = _bucket(h, buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket, h = bucket[order], h[order]
+        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        for s in range(0, len(edge) - 1, 8192):
+            e = edge[s : s + 8193]
+            packed = pa.Array.from_buffers(pa.binary(), len(e) - 1, [None, pa.py_buffer((8 * (e - e[0])).astype(np.int32)), pa.py_buffer(h[e[0] : e[-1]])])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[e[:-1]]), packed], names=["bucket", "packed"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, n = [], 0
         for b in batches:
             for _, _, raw, off in text_slices(b[text], SLICE):
                 lines = Lines(raw, off).hashed()
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[lines.chunks()[2], lines.grams()[1]].view(np.int64))], names=["h"])
+                gathered.append(np.r_[lines.chunks()[2], lines.grams()[1]])
+                n += len(gathered[-1])
+                if n > GATHERED:
+                    yield from packs(gathered)
+                    gathered, n = [], 0
+        if n:
+            yield from packs(gathered)
 
     return run
 
 
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From packs sorted by bucket: the hashes that occur twice, with their counts. A bucket is held at a time."""
+    def count(packs: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.sort(np.concatenate(packs))
+        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
+        n = np.diff(edge)
+        return pa.RecordBatch.from_arrays([pa.array(h[edge[:-1][n > 1]].view(np.int64)), pa.array(n[n > 1])], names=["h", "count"])
+
+    at, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        bucket = b["bucket"].to_numpy()
+        data, off = _bytes_of(b["packed"])
+        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]).tolist()
+        for s, e in zip(edge, edge[1:], strict=False):
+            if at is not None and bucket[s] != at:
+                yield count(held)
+                held = []
+            at = bucket[s]
+            held.append(np.frombuffer(data[off[s] : off[e]].tobytes(), np.uint64))
+    if held:
+        yield count(held)
+
+
 #: A chunk or key: its hash and the part of it, its document, first word, words it has and brought, words before the text ends.
 _FOUND = "h long, salt int, id {id}, th long, at int, size int, n int, rest int, words binary"
 #: A repeat, or the first of a part of a hot hash: its place and the first's, and whether both are in one document.
@@ -307,6 +356,45 @@ def _meet(rows: DataFrame, spread, n: int, most: int) -> DataFrame:
         rows = met.where("first").select("h", F.floor(F.col("salt") / FAN).cast("int").alias("salt"), "id", "th", F.col("lo").alias("at"), "size", (F.col("hi") - F.col("lo")).alias("n"), "rest", "words")
 
 
+#: A run, the repeats at its ends (where the firsts are) and whether it may grow there: not where its text begins or ends.
+_RUN = "id {id}, th long, lo int, hi int, wall int, into int, low_h long, low_fth long, low_fat int, low_grows boolean, high_h long, high_fth long, high_fat int, high_grows boolean"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From repeats sorted by document and place: those that touch as one run. A document's repeats are held at a time."""
+    def united(b: pa.RecordBatch) -> pa.RecordBatch:
+        th, lo, hi, rest, fat, skip, own, size = (b[c].to_numpy(zero_copy_only=False) for c in ("th", "lo", "hi", "rest", "fat", "skip", "own", "size"))
+        n = len(th)
+        new = np.r_[True, (th[1:] != th[:-1]) | ~_same(b["id"].slice(1), b["id"].slice(0, n - 1))]
+        doc = np.cumsum(new) << 32
+        reach = np.maximum.accumulate(doc + hi)
+        start = np.flatnonzero(new | np.r_[True, (doc + lo)[1:] > reach[:-1]])
+        run = np.repeat(np.arange(len(start)), np.diff(np.r_[start, n]))
+        top = np.maximum.reduceat(hi, start)
+        last = np.minimum.reduceat(np.where(hi == top[run], np.arange(n), n), start)
+        low, high = pa.array(start), pa.array(last)
+        wall = np.where(own[start], fat[start] + size[start], 0)  # a run does not grow into its own first occurrence
+        cols = [b["id"].take(low), b["th"].take(low), b["lo"].take(low), b["hi"].take(high), pa.array(wall.astype(np.int32)), pa.array((hi[last] - lo[last] + skip[last]).astype(np.int32))]
+        cols += [b[c].take(low) for c in ("h", "fth", "fat")] + [pa.array((lo[start] > 0) & (skip[start] == 0))] + [b[c].take(high) for c in ("h", "fth", "fat")] + [pa.array(rest[last] > 0)]
+        return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _RUN.split(", ")])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        th = b["th"].to_numpy()
+        if held and held[-1]["th"][0].as_py() == th[-1]:
+            held.append(b)
+            continue
+        last = int((th == th[-1]).argmax())
+        whole = [*held, *([b.slice(0, last)] if last else [])]
+        if whole:
+            yield united(pa.Table.from_batches(whole).combine_chunks().to_batches()[0])
+        held = [b.slice(last)]
+    if held:
+        yield united(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
 def _contexts(wanted, docs, text: str):
     """The words around wanted chunks and keys, from documents set in the other bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +434,8 @@ def repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _texts(documents, text, doc_id)
-    counts = checkpoint(texts.select("text").mapInArrow(tidy(_hashes("text")), "h long").groupBy("h").count().where("count > 1"))
+    packs = texts.select("text").mapInArrow(tidy(_hashes("text", BUCKETS * n)), "bucket int, packed binary")
+    counts = checkpoint(packs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_repeated), "h long, count long"))
     total = counts.agg(F.sum("count")).first()[0] or 0
     limit = max(HOT_ROWS, total // (n * HOT_SHARE))
     hot = counts.where(F.col("count") > limit).orderBy("h").toArrow()
@@ -354,18 +443,10 @@ def repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     bitmap, spread = bitmap_of(counts.select("h")), spark.sparkContext.broadcast(hot)
     kind = texts.schema["id"].dataType.simpleString()
     met = _meet(texts.mapInArrow(tidy(_candidates(bitmap, spread, "text", "id")), _FOUND.format(id=kind)), spread, n, int(hot[1].max(initial=1)))
-    # repeats that touch are one run
-    place = Window.partitionBy("id", "th").orderBy("lo", "hi")
-    gap = F.coalesce(F.max("hi").over(place.rowsBetween(Window.unboundedPreceding, -1)) < F.col("lo"), F.lit(True)).cast("int")
-    runs = met.withColumn("gap", gap).withColumn("run", F.sum("gap").over(place))
-    end = F.struct("h", "fth", "fat", "lo", "hi", "rest", "skip", "own", "size")
-    first_end, last_end = F.min_by(end, F.struct("lo", "h", "fth", "fat")), F.max_by(end, F.struct("hi", "h", "fth", "fat"))
-    runs = runs.groupBy("id", "th", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), first_end.alias("low"), last_end.alias("high"))
-    runs = checkpoint(runs.select("id", "th", "lo", "hi", "low", "high"))
+    place = ["th", "id", "lo", "hi", "h", "fth", "fat"]
+    runs = checkpoint(met.repartition(n, "th").sortWithinPartitions(*place).mapInArrow(tidy(_runs), _RUN.format(id=kind)))
     bitmap.unpersist()  # its only reader is checkpointed
-    # an end at its text's beginning or end has nothing to grow over
-    grows = {"low": (F.col("low.lo") > 0) & (F.col("low.skip") == 0), "high": F.col("high.rest") > 0}
-    ends = [runs.where(grows[e]).select("id", "th", "lo", "hi", F.lit(e == "low").alias("left"), f"{e}.h", f"{e}.fth", f"{e}.fat") for e in grows]
+    ends = [runs.where(f"{e}_grows").select("id", "th", "lo", "hi", F.lit(e == "low").alias("left"), *[F.col(f"{e}_{c}").alias(c) for c in ("h", "fth", "fat")]) for e in ("low", "high")]
     ends = ends[0].unionByName(ends[1])
     asked = ends.select("h", "fth", "fat").distinct()
     wanted = bitmap_of(asked.select(F.col("h").bitwiseXOR(F.col("fth")).bitwiseXOR(F.col("fat").cast("long")).alias("h")))
@@ -381,7 +462,7 @@ def repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     dealt = ends.join(F.broadcast(parts), "h", "left").withColumn("salt", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("th", "lo"), F.col("parts"))).otherwise(0).cast("int"))
     text_of = F.when(F.col("left"), F.col("before")).otherwise(F.col("after"))
     told = dealt.join(several, ["h", "fth", "fat", "salt"]).select("id", "th", "lo", "hi", F.col("left"), text_of.alias("words"))
-    mine = runs.select("id", "th", "lo", "hi", F.when(F.col("low.own"), F.col("low.fat") + F.col("low.size")).otherwise(0).alias("wall"), (F.col("high.hi") - F.col("high.lo") + F.col("high.skip")).alias("into"), F.lit(None).cast("boolean").alias("left"), F.lit(None).cast("binary").alias("words"))
+    mine = runs.select("id", "th", "lo", "hi", "wall", "into", F.lit(None).cast("boolean").alias("left"), F.lit(None).cast("binary").alias("words"))
     every = mine.unionByName(told.withColumns({"wall": F.lit(0), "into": F.lit(0)}))
     return every.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi", "wall", "into", "left", "words")).alias("ranges"))
 
@@ -455,7 +536,7 @@ def deduplicate(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
     joined = keyed.where(hit).join(found, (F.col(th) == F.col(key)) & F.col(doc_id).eqNullSafe(F.col(its_id)), "left").select(*names, told)
     whole = F.coalesce(F.col(text), F.lit(""))
     unended = (whole != "") & (F.right(whole, F.lit(1)) != "\n") & ~F.right(whole, F.lit(2)).isin(". ", "! ", "? ")
-    plain = keyed.where(~F.col(hit)).select(*names, (F.regexp_count(whole, F.lit(r"\n|[.!?] ")) + unended.cast("int")).cast("long").alias(n_lines), F.lit(0).cast("long").alias(n_cut))
+    plain = keyed.where(~F.col(hit)).select(*names, (F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + F.regexp_count(whole, F.lit("[.!?] ")) + unended.cast("int")).cast("long").alias(n_lines), F.lit(0).cast("long").alias(n_cut))
     return joined.mapInArrow(tidy(run), schema).unionByName(plain)
 
 
