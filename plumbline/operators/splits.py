@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_BITS = 14
-#: Groups that are assigned one by one on the driver; more are assigned by hash, which balances them in expectation.
+#: The largest groups are assigned one by one on the driver, these many; those smaller still go by hash, which evens them out.
 GREEDY_GROUPS = 100_000
 
 
@@ -85,7 +85,7 @@ def assign_groups(sizes: np.ndarray, folds: int, order: np.ndarray) -> np.ndarra
 
 
 def group_folds(df: DataFrame, label: str, groups: list[str], folds: int, seed: int, out: str = "__fold") -> DataFrame:
-    """df with a fold number; all rows of a group share it."""
+    """df with a fold number; all rows of a group share it. Classes are kept even by the groups of most rows."""
     present = [c for c in groups if c in df.columns]
     if not present:
         raise ValueError(f"none of the group columns {groups} is in the data")
@@ -94,10 +94,8 @@ def group_folds(df: DataFrame, label: str, groups: list[str], folds: int, seed:
     key = group_key(present)
     hashed = df.withColumn("__key", F.xxhash64(F.lit(seed), key))
     by = hashed.groupBy("__key", F.col(label).cast("string").alias("y")).agg(F.count("*").alias("n"))
-    n_groups = hashed.select("__key").distinct().limit(GREEDY_GROUPS + 1).count()
-    if n_groups > GREEDY_GROUPS:
-        return hashed.withColumn(out, F.pmod("__key", F.lit(folds)).cast("int")).drop("__key")
-    rows = by.collect()  # GREEDY_GROUPS groups at most, times the classes
+    largest = by.groupBy("__key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "__key").limit(GREEDY_GROUPS).select("__key")
+    rows = by.join(largest, "__key", "left_semi").collect()  # GREEDY_GROUPS groups at most, times the classes
     keys = sorted({r["__key"] for r in rows})
     classes = sorted({r["y"] or "" for r in rows})
     at, col = {k: i for i, k in enumerate(keys)}, {c: i for i, c in enumerate(classes)}
@@ -106,7 +104,8 @@ def group_folds(df: DataFrame, label: str, groups: list[str], folds: int, seed:
         sizes[at[r["__key"]], col[r["y"] or ""]] += r["n"]
     fold = assign_groups(sizes, folds, np.random.default_rng(seed).permutation(len(keys)))
     table = df.sparkSession.createDataFrame([(int(k), int(f)) for k, f in zip(keys, fold, strict=True)] or [(0, 0)], f"__key long, {out} int")
-    return hashed.join(F.broadcast(table), "__key").drop("__key")  # at most GREEDY_GROUPS pairs of numbers
+    placed = hashed.join(F.broadcast(table), "__key", "left")  # at most GREEDY_GROUPS pairs of numbers
+    return placed.withColumn(out, F.coalesce(out, F.pmod("__key", F.lit(folds)).cast("int"))).drop("__key")
 
 
 def grouped_split(df: DataFrame, label: str, groups: list[str], ratio: float, seed: int) -> tuple[DataFrame, DataFrame]:

@@ -526,4 +526,13 @@ def forest_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(f.accuracy(s.test), forest.robust_auc(f.scored(s.test), f.encoder.classes))], "accuracy double, auc double")
 
 
+@query()
+def forest_of_100_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest of the library's default size, 100 trees of depth 10, on as many rows as a fit reads, scored on all test rows."""
+    s = _subject(spark, sf_dir)
+    cfg = config.merge(s.cfg, {"audit": {k: config.DEFAULTS["audit"][k] for k in ("forest_trees", "forest_depth")}})
+    f = forest.fit_forest(s.train, feature_columns(s.train, cfg), s.label, cfg, s.row_id, 0)
+    return spark.createDataFrame([(f.accuracy(s.test),)], "accuracy double")
+
+
 assert table_checks  # its checks are among those registered above

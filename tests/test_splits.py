@@ -69,3 +69,13 @@ def test_shuffled_numbers_are_unique(spark):
     x = spark.range(n).union(spark.range((1 << 62) - n, 1 << 62)).select("id", splits.shuffled(3, "id").alias("s"))
     r = x.agg(F.countDistinct("s").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.corr("id", "s").alias("c")).first()
     assert r["n"] == 2 * n and r["lo"] >= 0 and r["hi"] < 1 << 62 and abs(r["c"]) < 0.05
+
+
+def test_groups_beyond_those_assigned_one_by_one_go_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(splits, "GREEDY_GROUPS", 3)
+    x = spark.range(6000).select("id", F.when(F.col("id") < 3000, F.col("id") % 3).otherwise(F.col("id") % 500 + 10).alias("g"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("y"))
+    got = splits.group_folds(x, "y", ["g"], 3, 5).persist()
+    assert got.count() == 6000 and got.select("g", "__fold").distinct().count() == 503
+    # the three large groups lie apart, and the small ones are dealt out
+    assert got.where("g < 3").select("__fold").distinct().count() == 3
+    assert max(r["count"] for r in got.groupBy("__fold").count().collect()) < 2600
