@@ -226,6 +226,46 @@ i AS (SELECT count(*) FILTER (WHERE n_chars % 7 = 0) AS n FROM d), s AS (SELECT
     ("'constant_features.' || (row_number() OVER (ORDER BY array_position(['lang', 'n_chars', 'one', 'ratio'], f)) - 1)", "NULL", "f", "m WHERE one"),
 )
 
+_CUSTOMERS = {"label_column": "c_mktsegment", "drop_columns": ["c_custkey"]}
+
+
+def _copied(spark: SparkSession, sf_dir: str, other_label: bool) -> Subject:
+    """Customers by two numbers, of which every third of train is also in test, or every seventh is there again under the next segment."""
+    x = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
+    train, test = x.where("c_custkey % 5 <> 0"), x.where("c_custkey % 5 = 0")
+    more = train.where(f"c_custkey % {7 if other_label else 3} = 0").withColumn("c_custkey", F.col("c_custkey") + 10_000_000)
+    if other_label:
+        train = train.unionByName(more.withColumn("c_mktsegment", F.concat("c_mktsegment", F.lit("+"))))
+    else:
+        test = test.unionByName(more)
+    return Subject(train, test, config.merge(config.DEFAULTS, {"schema": _CUSTOMERS}), row_id="c_custkey")
+
+
+# where no class has over 500 rows, the checks look at all of them
+NEAR_DUPLICATE = _sql(
+    """x AS (SELECT c_custkey AS i, c_acctbal AS a, c_nationkey AS b, c_mktsegment AS y FROM customer WHERE c_custkey % 5 <> 0),
+t AS (SELECT * FROM x UNION ALL SELECT i + 10000000, a, b, y || '+' FROM x WHERE i % 7 = 0),
+c AS (SELECT y FROM t GROUP BY 1 HAVING count(*) >= 20), k AS (SELECT t.* FROM t SEMI JOIN c USING (y)),
+n AS (SELECT p.i, any_value(p.y) AS y, min(q.y) FILTER (WHERE q.y <> p.y) AS o FROM k p JOIN k q ON p.a = q.a AND p.b = q.b AND p.i <> q.i GROUP BY p.i HAVING count(*) FILTER (WHERE q.y <> p.y) > 0),
+pairs AS (SELECT least(y, o) || ' / ' || greatest(y, o) AS pair, count(*) AS m FROM n GROUP BY 1 ORDER BY m DESC, pair LIMIT 5), s AS (SELECT (SELECT count(*) FROM c) AS classes, (SELECT count(*) FROM n) AS rows)""",
+    _status("WHEN classes < 2 THEN 'not_applicable' WHEN rows > 0 THEN 'flag' ELSE 'ok'", "s"), *_numbers("s WHERE classes >= 2", classes_tested="classes", affected_rows="rows"), ("'top_pairs.' || pair", "m", "NULL", "pairs"),
+)
+
+_Z = 1.959964
+_wilson = lambda k, n, sign: f"(({k} / {n} + {_Z * _Z} / (2 * {n})) {sign} {_Z} * sqrt({k} / {n} * (1 - {k} / {n}) / {n} + {_Z * _Z} / (4 * {n} * {n}))) / (1 + {_Z * _Z} / {n})"
+HOMOGENEITY = _sql(
+    f"""tr AS (SELECT c_custkey AS i, c_acctbal AS a, c_nationkey AS b, c_mktsegment AS y FROM customer WHERE c_custkey % 5 <> 0),
+te AS (SELECT c_custkey AS i, c_acctbal AS a, c_nationkey AS b, c_mktsegment AS y FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT * FROM tr WHERE i % 3 = 0),
+v AS (SELECT a, b, count(*) AS m FROM tr GROUP BY 1, 2), big AS (SELECT y FROM (SELECT y FROM tr GROUP BY 1 HAVING count(*) >= 20) SEMI JOIN (SELECT y FROM te GROUP BY 1 HAVING count(*) >= 20) USING (y)),
+p AS (SELECT y, count(*) AS n1, count(m) AS k1 FROM te LEFT JOIN v USING (a, b) GROUP BY 1), q AS (SELECT y, count(*) AS n2, count(*) FILTER (WHERE m > 1) AS k2 FROM tr JOIN v USING (a, b) GROUP BY 1),
+r AS (SELECT y, k1 / n1 AS x, k2 / n2 AS z, {_wilson('k1', 'n1', '-')} AS l1, {_wilson('k1', 'n1', '+')} AS u1, {_wilson('k2', 'n2', '-')} AS l2, {_wilson('k2', 'n2', '+')} AS u2 FROM p JOIN q USING (y) SEMI JOIN big USING (y)),
+c AS (SELECT *, x - z - sqrt((x - l1) ** 2 + (u2 - z) ** 2) AS lo, x - z + sqrt((u1 - x) ** 2 + (z - l2) ** 2) AS hi FROM r),
+d AS (SELECT *, CASE WHEN lo > 0.05 THEN 'leakage' WHEN hi < -0.05 THEN 'below_control' WHEN hi < 0.05 THEN 'equivalent' ELSE 'inconclusive' END AS kind FROM c)""",
+    ("'status'", "NULL", "CASE WHEN count(*) = 0 THEN 'not_applicable' WHEN bool_or(kind = 'leakage') THEN 'flag' WHEN bool_or(kind = 'inconclusive') THEN 'warning' ELSE 'ok' END", "d"),
+    *[(f"'per_class.' || y || '.{k}'", v, "NULL", "d") for k, v in (("test_near_zero_rate", "x"), ("control_near_zero_rate", "z"), ("rate_diff_ci_95.0", "lo"), ("rate_diff_ci_95.1", "hi"), ("equivalence_margin", "0.05"))],
+    ("'per_class.' || y || '.classification'", "NULL", "kind", "d"), ("'equivalence_margin'", "0.05", "NULL", "(SELECT 1 FROM d LIMIT 1)"),
+)
+
 #: Of each check its subject, what of its details is left out here, and its SQL.
 HELD: dict[str, tuple[Make, tuple[str, ...], str]] = {
     "dedup_check": (_DOCUMENTS, (), DEDUP),
@@ -235,6 +275,8 @@ HELD: dict[str, tuple[Make, tuple[str, ...], str]] = {
     "identity_column_flag": (_EVENTS, (), IDENTITY),
     "port_protocol_shortcut_check": (_with_ports, (), PORT),
     "temporal_realism_check": (_EVENTS, (), TEMPORAL),
+    "near_duplicate_class_check": (lambda spark, sf_dir: _copied(spark, sf_dir, True), (), NEAR_DUPLICATE),
+    "homogeneity_test": (lambda spark, sf_dir: _copied(spark, sf_dir, False), (), HOMOGENEITY),
     "flow_group_leakage_check": (_FLOWS, (), FLOWS),
     "row_order_leakage_check": (_EVENTS, (), ORDER),
     "class_distribution_report": (_of("orders", "o_orderkey", {"label_column": "o_orderstatus"}, "o_orderkey"), (), CLASSES),
