@@ -1,8 +1,9 @@
-"""The command line: run, cite, validate-config, compare-datasets and recommend."""
+"""The command line: run, cite, validate-config, compare-datasets, recommend and dashboard."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import logging
 import sys
 from pathlib import Path
@@ -12,12 +13,12 @@ from pyspark.sql import SparkSession
 
 from ..config import load_config
 from ..session import session
-from . import advice, audit, benchmark, loading, report
+from . import advice, audit, benchmark, dashboard, loading, report
 from .dedup import dedup
 from .registry import Subject  # noqa: F401  part of the interface
 
 log = logging.getLogger("plumbline")
-COMMANDS = ("run", "cite", "validate-config", "compare-datasets", "recommend")
+COMMANDS = ("run", "cite", "validate-config", "compare-datasets", "recommend", "dashboard")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -34,6 +35,13 @@ def parser() -> argparse.ArgumentParser:
     compare = sub.add_parser("compare-datasets", help="whether two configurations load the same rows")
     compare.add_argument("config_a")
     compare.add_argument("config_b")
+    compare.add_argument("--json", action="store_true", help="the comparison as one line of JSON")
+    dash = sub.add_parser("dashboard", help="a web page over finished runs, on this machine")
+    dash.add_argument("--output", action="append", default=[], help="an output folder whose runs are shown; may be repeated")
+    dash.add_argument("--config", help="what a new run starts from")
+    dash.add_argument("--host", default="127.0.0.1")
+    dash.add_argument("--port", type=int, default=8765)
+    dash.add_argument("--no-browser", action="store_true")
     rec = sub.add_parser("recommend", help="changes to the configuration that a finished run suggests")
     rec.add_argument("run_dir")
     rec.add_argument("--config", help="apply to this file instead of the run's full configuration")
@@ -117,6 +125,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command == "validate-config":
         load_config(a.config)
         print(f"{a.config}: valid")
+    elif a.command == "dashboard":
+        dashboard.serve(a.output, a.config, a.host, a.port, not a.no_browser)
     elif a.command == "recommend":
         found, cfg = advice.for_run(a.run_dir)
         print(advice.text(found))
@@ -127,6 +137,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     else:
         spark = spark or session()
         if a.command == "compare-datasets":
-            print(report.comparison_text(report.compare_datasets(spark, a.config_a, a.config_b)))
+            found = report.compare_datasets(spark, a.config_a, a.config_b)
+            print(json.dumps(found) if a.json else report.comparison_text(found))
         else:
             print(run(spark, load_config(a.config), a.skip_audit, a.skip_benchmark))
