@@ -492,6 +492,36 @@ for _name, (_run, _sql) in check_queries.queries().items():
     QUERIES[_name], ORACLES[_name] = _run, _sql
 
 
+_RICH = """x AS (SELECT c_custkey AS i, CAST(c_acctbal AS DOUBLE) AS a, CAST(c_nationkey AS DOUBLE) AS b, (c_acctbal + 150 * c_nationkey > 5000)::INT AS y FROM customer), tr AS (SELECT * FROM x WHERE i % 5 <> 0), te AS (SELECT * FROM x WHERE i % 5 = 0),
+g AS (SELECT y, count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb FROM tr GROUP BY 1), t AS (SELECT count(*) AS n, 1e-9 * greatest(var_pop(a), var_pop(b)) AS e FROM tr)"""
+
+
+def _told(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(truth, said, n) of a method that is fitted on two numbers of the customers, on all test rows."""
+    x = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("__id"), MF.array_to_vector(F.array(F.col("c_acctbal").cast("double"), F.col("c_nationkey").cast("double"))).alias("features"), (F.col("c_acctbal") + 150 * F.col("c_nationkey") > 5000).cast("double").alias("y"))
+    train, test = halves(x, "__id")
+    said = classifiers.build(name, 2, 2, train.count(), 0)(train)(test)
+    return said.groupBy(F.col("y").cast("int").alias("truth"), F.col("prediction").cast("int").alias("said")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_RICH}, s AS (SELECT i, te.y, g.y AS c, ln(g.n / t.n) - 0.5 * (ln(2 * pi() * (va + e)) + (a - ma) ** 2 / (va + e) + ln(2 * pi() * (vb + e)) + (b - mb) ** 2 / (vb + e)) AS z FROM te, g, t) SELECT truth, said, count(*) AS n FROM (SELECT any_value(y) AS truth, arg_max(c, z) AS said FROM s GROUP BY i) GROUP BY 1, 2")
+def classifier_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told("NaiveBayes", spark, sf_dir)
+
+
+@query(f"""WITH {_RICH}, p AS (SELECT sum((a - ma) ** 2) / (count(*) - 2) AS s, sum((a - ma) * (b - mb)) / (count(*) - 2) AS o, sum((b - mb) ** 2) / (count(*) - 2) AS v FROM tr JOIN g USING (y)),
+w AS (SELECT y AS c, n, ma, mb, (v * ma - o * mb) / (s * v - o * o) AS wa, (s * mb - o * ma) / (s * v - o * o) AS wb FROM g, p),
+z AS (SELECT i, te.y, c, wa * a + wb * b - 0.5 * (wa * ma + wb * mb) + ln(w.n / t.n) AS z FROM te, w, t) SELECT truth, said, count(*) AS n FROM (SELECT any_value(y) AS truth, arg_max(c, z) AS said FROM z GROUP BY i) GROUP BY 1, 2""")
+def classifier_lda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told("LDA", spark, sf_dir)
+
+
+@query(f"""WITH {_RICH}, d AS (SELECT te.i, te.y, tr.y AS c, row_number() OVER (PARTITION BY te.i ORDER BY (te.a - tr.a) ** 2 + (te.b - tr.b) ** 2) AS k FROM te, tr)
+SELECT truth, said, count(*) AS n FROM (SELECT any_value(y) AS truth, (sum(c) >= 3)::INT AS said FROM d WHERE k <= 5 GROUP BY i) GROUP BY 1, 2""")
+def classifier_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told("KNN", spark, sf_dir)
+
+
 @query()
 def benchmark_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven quick methods on the customers, scored on all test rows."""
