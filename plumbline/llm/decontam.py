@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import checkpoint
-from .common import Words, bit_set, bitmap_of, free_name, gram_hashes, joined, marked, ship, text_slices, tidy
+from .common import Words, bit_set, bitmap_of, distinct, free_name, gram_hashes, joined, marked, ship, text_slices, tidy
 
 WINDOW, GRAM = 8, 5
 #: All ASCII characters that are in no word, one by one, which Java matches faster than ranges. Upper and lower case are
@@ -49,7 +49,7 @@ def _winnow(g: np.ndarray, run: int, end: np.ndarray) -> np.ndarray:
         best[less] = g[j : n + j][less]
         at[less] = np.flatnonzero(less) + j
     at = at[np.arange(n) + run <= end[:n]]
-    return at[np.flatnonzero(np.r_[True, at[1:] != at[:-1]])] if len(at) and (np.diff(at) >= 0).all() else np.unique(at)
+    return at[np.flatnonzero(np.r_[True, at[1:] != at[:-1]])] if len(at) and (np.diff(at) >= 0).all() else distinct(at)
 
 
 def fingerprints(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +104,7 @@ def _found(prints, known, short: list[int], window: int, gram: int):
                 first = w.first[np.searchsorted(w.first, at, side="right") - 1]
                 around = at[:, None] - np.arange(window - gram + 1)[None, :]
                 last = w.last()
-                for n, places in [(window, np.unique(around[around >= first[:, None]])), *((n, np.arange(len(w))) for n in short)]:
+                for n, places in [(window, distinct(around[around >= first[:, None]])), *((n, np.arange(len(w))) for n in short)]:
                     places = places[places + n <= last[places]]
                     places = places[bit_set(known.value, _tagged(gram_hashes(w.hash, n, places), n))]
                     for s in range(0, len(places), 8192):

@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.lineage import checkpoint
-from .common import _powers, bit_set, bitmap_of, free_name, joined, marked, mix, ship, span_hashes, text_slices, tidy
+from .common import _powers, bit_set, bitmap_of, distinct, free_name, joined, marked, mix, ship, span_hashes, text_slices, tidy
 
 MIN_WORDS, LONE_WORDS = 10, 20
 GRAM, WINDOW, CONTEXT = 26, 26, 50
@@ -127,7 +127,7 @@ class Lines:
             words = self.line_word[b] - self.line_word[a]
             ok = ((b - a >= 2) & (words >= MIN_WORDS)) | (words >= LONE_WORDS)
             found.append(self.line_word[a[ok]] * (len(self.word_start) + 1) + self.line_word[b[ok]])
-        a, b = np.divmod(np.unique(np.concatenate(found)), len(self.word_start) + 1)
+        a, b = np.divmod(distinct(np.concatenate(found)), len(self.word_start) + 1)
         return a, b, self._hash(a, b, (b - a).astype(np.uint64) * _CHUNK)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:

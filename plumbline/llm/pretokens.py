@@ -213,9 +213,11 @@ class Units:
         stands, place = [], np.zeros(len(plain), np.int64)
         short = np.flatnonzero(size <= 8)
         key = words[self.start[plain[short]]] & mask[size[short]]
-        _, one, back = np.unique(key, return_index=True, return_inverse=True)
+        order = np.argsort(key)
+        fresh = np.r_[True, key[order][1:] != key[order][:-1]][: len(order)]
+        one = order[fresh]
         stands.append(plain[short[one]])
-        place[short] = back
+        place[short[order]] = np.cumsum(fresh) - 1
         middle = np.flatnonzero((size > 8) & (size <= 16))
         a, b = words[self.start[plain[middle]]], words[self.start[plain[middle]] + 8] & mask[size[middle] - 8]
         order = np.lexsort((b, a))

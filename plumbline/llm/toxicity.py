@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, free_name, plus, ship, span_hashes, text_slices, tidy
+from .common import Words, distinct, free_name, plus, ship, span_hashes, text_slices, tidy
 
 MAX_TOXIC, MAX_CLEAN, MAX_UNLABELLED = 8_000, 8_000, 12_000
 BUCKET_BITS, FEATURES, LEAST_TOXIC = 20, 2048, 3
@@ -67,7 +67,7 @@ def _sets(text: pa.Array) -> Iterator[np.ndarray]:
     for row, _, raw, off in text_slices(text):
         w = Words(raw, off)
         at, h = _buckets(w)
-        yield np.unique((row + np.searchsorted(w.first, at, side="right") - 1) << BUCKET_BITS | h)
+        yield distinct((row + np.searchsorted(w.first, at, side="right") - 1) << BUCKET_BITS | h)
 
 
 def frequencies(documents: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
@@ -214,7 +214,7 @@ def score(documents: DataFrame, model: Model, text: str = "text", out: str = "sc
                 w = Words(raw, off)
                 at, h = _buckets(w)
                 used = np.flatnonzero(weight[h])
-                held = np.unique((np.searchsorted(w.first, at[used], side="right") - 1) << BUCKET_BITS | h[used])
+                held = distinct((np.searchsorted(w.first, at[used], side="right") - 1) << BUCKET_BITS | h[used])
                 z = bias + np.bincount(held >> BUCKET_BITS, weights=weight[held & ((1 << BUCKET_BITS) - 1)], minlength=n)
                 parts.append(_sigmoid(scale * z + shift) if np.isfinite(shift) else np.zeros(n))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(parts) if parts else [], pa.float64())], names=[f.name for f in schema])
