@@ -34,7 +34,10 @@ phrases for words, and 51 of those are needed. Keys overlap or touch, as WINDOW
    extent it shares with the first, however short its lines.
 4. The runs go to their documents, which are cut; a document without any does not travel.
    A word goes with the space after it, a line with its end. Of a run that overlaps its
-   first occurrence only the part beyond that goes.
+   first occurrence only the part beyond that goes. If asked to (`whole`), what is left of
+   a document goes too where at least such a share of its words repeats documents whose
+   length is like its own (SIMILAR): then it is a near copy, and not one that holds a
+   passage of a longer text.
 
 The first occurrence of a passage stays, so a document that copies another whole is
 left empty, not dropped. A document is its doc_id and text: rows that repeat both are
@@ -60,6 +63,9 @@ from .common import _powers, bit_set, bitmap_of, distinct, free_name, joined, ma
 
 MIN_WORDS, LONE_WORDS = 10, 20
 GRAM, WINDOW, CONTEXT = 26, 26, 50
+#: Least share that the shorter of two documents has of the longer one's words for a near copy, and the share of words that a
+#: near copy repeats: with 8 of 9 words in common, two texts of one length have a similarity of 0.8.
+SIMILAR, WHOLE = 0.8, 8 / 9
 #: Bytes of text worked on at a time; arrays over bytes and words take some 50 times that.
 SLICE = 1 << 18
 HOT_ROWS, HOT_SHARE, FAN = 256, 16, 32
@@ -228,7 +234,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 #: A chunk or key: its hash and the part of it, its document, first word, words it has and brought, words before the text ends.
 _FOUND = "h long, salt int, id {id}, th long, at int, size int, n int, rest int, words binary"
 #: A repeat, or the first of a part of a hot hash: its place and the first's, and whether both are in one document.
-_MET = "salt int, id {id}, th long, lo int, hi int, rest int, h long, fth long, fat int, skip int, own boolean, first boolean, size int, words binary"
+_MET = "salt int, id {id}, th long, lo int, hi int, rest int, h long, fth long, fat int, skip int, own boolean, alike boolean, first boolean, size int, words binary"
 
 
 def _parts(hot: tuple[np.ndarray, np.ndarray], key: np.ndarray, th: np.ndarray) -> np.ndarray:
@@ -320,23 +326,25 @@ def _repeats(spread):
             own = _same(b["id"], b["id"].take(pa.array(first))) & (th == th[first])
             again = (first != mine) & ~(own & (at == at[first])) & (mine >= carried)
             both = np.minimum(n, n[first])
+            total = at + n + rest  # words of the document
+            alike = ~own & (np.minimum(total, total[first]) >= SIMILAR * np.maximum(total, total[first]))
             # where words overlap their first occurrence, that stays
             start = np.where(own, np.maximum(at, at[first] + size), at)
             k = np.flatnonzero(again & (start < at + both))
             if len(k):
-                yield result(b, k, start[k], at[k] + both[k], rest[k] + n[k] - both[k], th[first[k]], at[first[k]], start[k] - at[k], own[k], False)
+                yield result(b, k, start[k], at[k] + both[k], rest[k] + n[k] - both[k], th[first[k]], at[first[k]], start[k] - at[k], own[k], alike[k], False)
             k = np.flatnonzero((first == mine) & (mine >= carried) & np.isin(h, hot))
             if len(k):
-                yield result(b, k, at[k], at[k] + n[k], rest[k], th[k], at[k], at[k] * 0, at[k] == at[k], True)
+                yield result(b, k, at[k], at[k] + n[k], rest[k], th[k], at[k], at[k] * 0, own[k], alike[k], True)
             last = mine[(h == h[-1]) & (salt == salt[-1]) & (first == mine)]
             head = b.take(pa.array(last))
 
-    def result(b, k, lo, hi, rest, fth, fat, skip, own, is_first: bool) -> pa.RecordBatch:
+    def result(b, k, lo, hi, rest, fth, fat, skip, own, alike, is_first: bool) -> pa.RecordBatch:
         take = pa.array(k)
         words = b["words"].take(take) if is_first else pa.nulls(len(k), pa.binary())
         ints = [pa.array(c.astype(np.int32)) for c in (lo, hi, rest)]
-        cols = [b["salt"].take(take), b["id"].take(take), b["th"].take(take), *ints, b["h"].take(take), pa.array(fth), pa.array(fat.astype(np.int32)), pa.array(skip.astype(np.int32)), pa.array(own), pa.array(np.full(len(k), is_first)), b["size"].take(take), words]
-        return pa.RecordBatch.from_arrays(cols, names=["salt", "id", "th", "lo", "hi", "rest", "h", "fth", "fat", "skip", "own", "first", "size", "words"])
+        cols = [b["salt"].take(take), b["id"].take(take), b["th"].take(take), *ints, b["h"].take(take), pa.array(fth), pa.array(fat.astype(np.int32)), pa.array(skip.astype(np.int32)), pa.array(own), pa.array(alike), pa.array(np.full(len(k), is_first)), b["size"].take(take), words]
+        return pa.RecordBatch.from_arrays(cols, names=["salt", "id", "th", "lo", "hi", "rest", "h", "fth", "fat", "skip", "own", "alike", "first", "size", "words"])
 
     return run
 
@@ -357,7 +365,7 @@ def _meet(rows: DataFrame, spread, n: int, most: int) -> DataFrame:
 
 
 #: A run, the repeats at its ends (where the firsts are) and whether it may grow there: not where its text begins or ends.
-_RUN = "id {id}, th long, lo int, hi int, wall int, into int, low_h long, low_fth long, low_fat int, low_grows boolean, high_h long, high_fth long, high_fat int, high_grows boolean"
+_RUN = "id {id}, th long, lo int, hi int, wall int, into int, alike boolean, low_h long, low_fth long, low_fat int, low_grows boolean, high_h long, high_fth long, high_fat int, high_grows boolean"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,7 +382,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.minimum.reduceat(np.where(hi == top[run], np.arange(n), n), start)
         low, high = pa.array(start), pa.array(last)
         wall = np.where(own[start], fat[start] + size[start], 0)  # a run does not grow into its own first occurrence
-        cols = [b["id"].take(low), b["th"].take(low), b["lo"].take(low), b["hi"].take(high), pa.array(wall.astype(np.int32)), pa.array((hi[last] - lo[last] + skip[last]).astype(np.int32))]
+        cols = [b["id"].take(low), b["th"].take(low), b["lo"].take(low), b["hi"].take(high), pa.array(wall.astype(np.int32)), pa.array((hi[last] - lo[last] + skip[last]).astype(np.int32)), pa.array(np.logical_or.reduceat(b["alike"].to_numpy(zero_copy_only=False), start) & ~np.logical_or.reduceat(own, start))]
         cols += [b[c].take(low) for c in ("h", "fth", "fat")] + [pa.array((lo[start] > 0) & (skip[start] == 0))] + [b[c].take(high) for c in ("h", "fth", "fat")] + [pa.array(rest[last] > 0)]
         return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _RUN.split(", ")])
 
@@ -462,17 +470,17 @@ def repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     dealt = ends.join(F.broadcast(parts), "h", "left").withColumn("salt", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("th", "lo"), F.col("parts"))).otherwise(0).cast("int"))
     text_of = F.when(F.col("left"), F.col("before")).otherwise(F.col("after"))
     told = dealt.join(several, ["h", "fth", "fat", "salt"]).select("id", "th", "lo", "hi", F.col("left"), text_of.alias("words"))
-    mine = runs.select("id", "th", "lo", "hi", "wall", "into", F.lit(None).cast("boolean").alias("left"), F.lit(None).cast("binary").alias("words"))
-    every = mine.unionByName(told.withColumns({"wall": F.lit(0), "into": F.lit(0)}))
-    return every.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi", "wall", "into", "left", "words")).alias("ranges"))
+    mine = runs.select("id", "th", "lo", "hi", "wall", "into", "alike", F.lit(None).cast("boolean").alias("left"), F.lit(None).cast("binary").alias("words"))
+    every = mine.unionByName(told.withColumns({"wall": F.lit(0), "into": F.lit(0), "alike": F.lit(False)}))
+    return every.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi", "wall", "into", "alike", "left", "words")).alias("ranges"))
 
 
-def _grown(lines: Lines, doc: int, ranges: list[tuple]) -> list[list[int]]:
-    """The runs of a document, grown over the words that equal those around their firsts."""
+def _grown(lines: Lines, doc: int, ranges: list[tuple], whole: float | None) -> list[list[int]]:
+    """The runs of a document, grown over the words that equal those around their firsts; all of it if at least a share `whole` of its words is in runs that documents of a like length have too."""
     a, z = lines.word_first[doc], lines.word_first[doc + 1]
     word = lambda k: lines.raw[lines.word_start[k] : lines.word_end[k]].tobytes()
-    runs = {(lo, hi): [lo, hi, wall, into] for lo, hi, wall, into, left, _ in ranges if left is None}
-    for lo, hi, _, _, left, words in ranges:
+    runs = {(lo, hi): [lo, hi, wall, into, alike] for lo, hi, wall, into, alike, left, _ in ranges if left is None}
+    for lo, hi, _, _, _, left, words in ranges:
         if not words:
             continue
         run, around = runs[lo, hi], words.split(b" ")
@@ -486,6 +494,13 @@ def _grown(lines: Lines, doc: int, ranges: list[tuple]) -> list[list[int]]:
             while k < z and i < len(around) and word(k) == around[i]:
                 k, i = k + 1, i + 1
             run[1] = k - a
+    if whole is not None:
+        words, reach = 0, 0
+        for lo, hi, _, _, alike in sorted(runs.values()):
+            if alike and hi > reach:
+                words, reach = words + hi - max(lo, reach), hi
+        if words and words >= whole * (z - a):
+            return [[0, int(z - a)]]
     return [r[:2] for r in runs.values()]
 
 
@@ -494,8 +509,9 @@ def added(documents: DataFrame) -> tuple[str, str]:
     return free_name(documents, "n_lines"), free_name(documents, "n_cut")
 
 
-def deduplicate(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """documents with repeated passages cut from the text, and n_lines and n_cut (lines) added."""
+def deduplicate(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", whole: float | None = None) -> DataFrame:
+    """documents with repeated passages cut from the text, and n_lines and n_cut (lines) added. With a share `whole`, a document
+    that repeats others of a like length in so much of its words is left empty."""
     n_lines, n_cut = added(documents)
     th, told, hit, key, its_id = (free_name(documents, c) for c in ("th", "ranges", "hit", "key", "its_id"))
     found = checkpoint(repeats(documents, text, doc_id)).withColumnsRenamed({"id": its_id, "th": key, "ranges": told})
@@ -513,7 +529,7 @@ def deduplicate(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
                 lines = Lines(raw, off)
                 doc, lo, hi = [], [], []
                 for k in range(n_rows):
-                    for x, y in _grown(lines, k, fields[edges[row + k] : edges[row + k + 1]]):
+                    for x, y in _grown(lines, k, fields[edges[row + k] : edges[row + k + 1]], whole):
                         doc.append(k)
                         lo.append(x)
                         hi.append(y)
@@ -534,9 +550,9 @@ def deduplicate(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
             yield pa.RecordBatch.from_arrays([new[c] if c in new else b[c] for c in schema.names], names=schema.names)
 
     joined = keyed.where(hit).join(found, (F.col(th) == F.col(key)) & F.col(doc_id).eqNullSafe(F.col(its_id)), "left").select(*names, told)
-    whole = F.coalesce(F.col(text), F.lit(""))
-    unended = (whole != "") & (F.right(whole, F.lit(1)) != "\n") & ~F.right(whole, F.lit(2)).isin(". ", "! ", "? ")
-    plain = keyed.where(~F.col(hit)).select(*names, (F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + F.regexp_count(whole, F.lit("[.!?] ")) + unended.cast("int")).cast("long").alias(n_lines), F.lit(0).cast("long").alias(n_cut))
+    content = F.coalesce(F.col(text), F.lit(""))
+    unended = (content != "") & (F.right(content, F.lit(1)) != "\n") & ~F.right(content, F.lit(2)).isin(". ", "! ", "? ")
+    plain = keyed.where(~F.col(hit)).select(*names, (F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit(""))) + F.regexp_count(content, F.lit("[.!?] ")) + unended.cast("int")).cast("long").alias(n_lines), F.lit(0).cast("long").alias(n_cut))
     return joined.mapInArrow(tidy(run), schema).unionByName(plain)
 
 

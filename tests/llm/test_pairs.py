@@ -202,6 +202,25 @@ def test_no_shared_run_of_51_words_is_missed(spark, sentences, words):
         assert not any(" ".join(left[k : k + 51]) in second for k in range(len(left) - 50))
 
 
+@pytest.mark.parametrize("hot", [5000, 1])
+def test_near_copies_are_cut_whole_if_asked(spark, monkeypatch, hot):
+    monkeypatch.setattr(linededup, "HOT_ROWS", hot)
+    monkeypatch.setattr(linededup, "HOT_SHARE", 10**9 if hot == 1 else 16)
+    rng = random.Random(14)
+    base = " ".join(sentence(rng, 9) for _ in range(20)).split()
+    near = [list(base) for _ in range(4)]
+    for k, text in enumerate(near):
+        text[70 + 2 * k] = f"other{k}"
+    passage, tail = " ".join(base[:80]), sentence(rng, 5)
+    rows = [(0, " ".join(base)), *[(k + 1, " ".join(t)) for k, t in enumerate(near)], (5, f"{passage} {tail}"), (6, " ".join(sentence(rng, 9) for _ in range(20)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in linededup.deduplicate(df, whole=linededup.WHOLE).collect()}
+    # a short text with a passage of a longer one is no near copy of it
+    assert got == {0: rows[0][1], 1: "", 2: "", 3: "", 4: "", 5: tail, 6: rows[6][1]}
+    plain = {r["doc_id"]: r["text"] for r in linededup.deduplicate(df).collect()}
+    assert all("other" in plain[k] and len(plain[k]) < len(rows[k][1]) / 4 for k in range(1, 5)) and plain[5] == tail
+
+
 @pytest.mark.parametrize("lines, words", [(26, 2), (52, 1), (18, 3), (30, 3)])
 @pytest.mark.parametrize("hot", [5000, 1])
 def test_short_lines_go_to_their_full_extent(spark, monkeypatch, lines, words, hot):
