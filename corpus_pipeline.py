@@ -1,9 +1,10 @@
 """A training-data pipeline over documents: each stage's result is written as Parquet and read again by the next.
 
 toxicity drops documents that score 0.3 or more; line_dedup cuts passages that repeat
-earlier ones (a document cut empty stays, for the next stage to gather); simhash keeps
-one document of each group of near copies; decontamination drops documents that hold a
-whole window of a benchmark item; bpe encodes what is left and decodes it again.
+earlier ones, and near copies whole (a document cut empty stays, for the next stage to
+gather); simhash keeps one document of each group of near copies; decontamination drops
+documents that hold a whole window of a benchmark item; bpe encodes what is left and
+decodes it again.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = linededup.deduplicate(docs)
+    cut = linededup.deduplicate(docs, whole=linededup.WHOLE)
     if "n_chars" in docs.columns:  # of what was cut, if the documents carry it
         n_chars = F.when(F.col(linededup.added(docs)[1]) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
         cut = cut.withColumn("n_chars", n_chars)
