@@ -49,6 +49,42 @@ _SPACE = np.ones(256, bool)
 _SPACE[[32, *range(9, 14)]] = False
 
 
+# The five primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turn(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def xxh64(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of byte ranges: those under 32 bytes, which are nearly all shingles, step by step for all at once, longer ones by the library."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(padded) - 7,), np.dtype("<u8"), padded.data, strides=(1,))
+    h = np.uint64(seed) + _P5 + size.astype(np.uint64)
+    at = start.copy()
+    for k in range(3):
+        some = np.flatnonzero((size >= 8 * (k + 1)) & (size < 32))
+        h[some] = _turn(h[some] ^ _turn(lanes[at[some]] * _P2, 31) * _P1, 27) * _P1 + _P4
+        at[some] += 8
+    left = size & 7
+    some = np.flatnonzero((left >= 4) & (size < 32))
+    h[some] = _turn(h[some] ^ (lanes[at[some]] & np.uint64(0xFFFFFFFF)) * _P1, 23) * _P2 + _P3
+    at[some] += 4
+    for k in range(3):
+        some = np.flatnonzero(((left & 3) > k) & (size < 32))
+        h[some] = _turn(h[some] ^ padded[at[some]].astype(np.uint64) * _P5, 11) * _P1
+        at[some] += 1
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    h ^= h >> np.uint64(32)
+    long = np.flatnonzero(size >= 32)
+    if len(long):
+        raw = data.tobytes()
+        h[long] = [xxhash.xxh64_intdigest(raw[a : a + n], seed) for a, n in zip(start[long].tolist(), size[long].tolist(), strict=True)]
+    return h
+
+
 def fingerprints(raw: np.ndarray, off: np.ndarray, size: int = SHINGLE, seed: int = 42) -> np.ndarray:
     """Fingerprints of a slice of texts, as uint64."""
     w = Words(raw, off, _SPACE)
@@ -62,15 +98,14 @@ def fingerprints(raw: np.ndarray, off: np.ndarray, size: int = SHINGLE, seed: in
     inside = np.repeat(begin - w.start, length)
     source = np.arange(len(inside)) - np.repeat(np.cumsum(np.r_[0, length[:-1]]), length) + np.repeat(w.start, length)
     flat[source + inside] = w.low[source]
-    data, end = flat.tobytes(), begin + length
+    end = begin + length
     count = w.count
     filled = np.flatnonzero(count)
     n = np.maximum(1, count - size + 1) * (count > 0)
     first = np.cumsum(np.r_[0, n])
     at = np.arange(first[-1]) - np.repeat(first[:-1], n) + np.repeat(w.first[:-1], n)
     stop = np.minimum(at + size, np.repeat(w.first[1:], n)) - 1
-    h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(data[a:b], seed) for a, b in zip(begin[at].tolist(), end[stop].tolist(), strict=True)), np.uint64, len(at))
+    hashes = xxh64(flat, begin[at], end[stop] - begin[at], seed)
     half = n[filled] / 2
     starts = first[:-1][filled]
     for byte in range(8):

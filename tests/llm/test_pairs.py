@@ -46,6 +46,15 @@ def test_simhash_is_brute_force(spark, small):
     assert {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in got} == {i: (prints[i], comps[i]) for i in prints} and len(got) == len(docs)
 
 
+def test_hashes_are_the_librarys():
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 256, 4000, dtype=np.uint8)
+    size = np.r_[np.arange(100), rng.integers(0, 40, 900)]
+    start = np.r_[rng.integers(0, 3900, 999), 4000 - size[-1]]
+    for seed in (0, 42):
+        assert simhash.xxh64(data, start, size, seed).tolist() == [xxhash.xxh64_intdigest(data[a : a + n].tobytes(), seed) for a, n in zip(start, size, strict=True)]
+
+
 def test_near_prints_share_a_key():
     rng = random.Random(0)
     base = [rng.getrandbits(64) for _ in range(4000)]
