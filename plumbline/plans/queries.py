@@ -335,6 +335,16 @@ def host_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.bipartite_components(e, "user_id", "day")
 
 
+@query("""WITH RECURSIVE k AS (SELECT doc_id, 't' || text AS r FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, 's' || source || '|' || n_chars FROM documents WHERE source IS NOT NULL AND n_chars IS NOT NULL),
+h AS (SELECT r, min(doc_id) AS m FROM k GROUP BY 1), e AS (SELECT DISTINCT doc_id AS a, m AS b FROM k JOIN h USING (r) WHERE doc_id <> m), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.a, both_ways.b FROM c JOIN both_ways ON c.b = both_ways.a) SELECT a AS doc_id, min(b) AS component FROM c GROUP BY 1""")
+def document_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by equal texts, or by source and length: chains of several links, in many components."""
+    d = table(spark, sf_dir, "documents")
+    keys = F.array(F.concat(F.lit("t"), "text"), F.concat(F.lit("s"), "source", F.lit("|"), F.col("n_chars").cast("string")))
+    return graph.bipartite_components(d.select("doc_id", F.explode(keys).alias("shared")), "doc_id", "shared")
+
+
 # --- analytics of splits ----------------------------------------------------
 
 
