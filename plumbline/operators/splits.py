@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 BUCKET_BITS = 14
 #: The largest groups are assigned one by one on the driver, these many; those smaller still go by hash, which evens them out.
-GREEDY_GROUPS = 100_000
+GREEDY_GROUPS = 20_000
 
 
 def order_of(seed: int, row_id: str) -> Column:
