@@ -29,9 +29,10 @@ phrases for words, and 51 of those are needed. Keys overlap or touch, as WINDOW
    parts at a time, until all have met.
 3. Repeats that touch are one run of words. What stands around the firsts of the ends of
    runs, CONTEXT words on either side, is fetched from their documents and sent to the
-   runs, which grow over all words that equal it byte by byte. A shared stretch that went
-   on for 26 words beyond a run would have had a further key, so with that it has the full
-   extent it shares with the first, however short its lines.
+   runs, in as many copies as the runs that ask for it fill parts. They grow over all words
+   that equal it byte by byte. A shared stretch that went on for 26 words beyond a run would
+   have had a further key, so with that it has the full extent it shares with the first,
+   however short its lines.
 4. The runs go to their documents, which are cut; a document without any does not travel.
    A word goes with the space after it, a line with its end. Of a run that overlaps its
    first occurrence only the part beyond that goes. If asked to (`whole`), what is left of
@@ -454,22 +455,24 @@ def repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     place = ["th", "id", "lo", "hi", "h", "fth", "fat"]
     runs = checkpoint(met.repartition(n, "th").sortWithinPartitions(*place).mapInArrow(tidy(_runs), _RUN.format(id=kind)))
     bitmap.unpersist()  # its only reader is checkpointed
-    ends = [runs.where(f"{e}_grows").select("id", "th", "lo", "hi", F.lit(e == "low").alias("left"), *[F.col(f"{e}_{c}").alias(c) for c in ("h", "fth", "fat")]) for e in ("low", "high")]
+    first = ["h", "fth", "fat"]
+    ends = [runs.where(f"{e}_grows").select("id", "th", "lo", "hi", F.lit(e == "low").alias("left"), *[F.col(f"{e}_{c}").alias(c) for c in first]) for e in ("low", "high")]
     ends = ends[0].unionByName(ends[1])
-    asked = ends.select("h", "fth", "fat").distinct()
+    asked = checkpoint(ends.groupBy(*first).agg(F.count("*").alias("asks")))
     wanted = bitmap_of(asked.select(F.col("h").bitwiseXOR(F.col("fth")).bitwiseXOR(F.col("fat").cast("long")).alias("h")))
     docs = bitmap_of(asked.select(F.col("fth").alias("h")))
     found = texts.select("th", "text").mapInArrow(tidy(_contexts(wanted, docs, "text")), "h long, fth long, fat int, before binary, after binary")
     # of documents that repeat one is enough
-    around = checkpoint(found.groupBy("h", "fth", "fat").agg(F.any_value("before").alias("before"), F.any_value("after").alias("after")))
+    around = checkpoint(found.groupBy(*first).agg(F.any_value("before").alias("before"), F.any_value("after").alias("after")))
     wanted.unpersist()
     docs.unpersist()
-    # the firsts of hot hashes are copied to as many parts as their repeats are dealt to
-    parts = counts.where(F.col("count") > limit).select("h", F.ceil(F.col("count") / limit).cast("int").alias("parts"))
-    several = around.join(F.broadcast(parts), "h", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    dealt = ends.join(F.broadcast(parts), "h", "left").withColumn("salt", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("th", "lo"), F.col("parts"))).otherwise(0).cast("int"))
+    # each first is copied to as many parts as its own repeats are dealt to, not to those of its hash, which has a first in each
+    most = max(HOT_ROWS, (asked.agg(F.sum("asks")).first()[0] or 0) // (n * HOT_SHARE))
+    parts = asked.where(F.col("asks") > most).select(*first, F.ceil(F.col("asks") / most).cast("int").alias("parts"))
+    several = around.join(F.broadcast(parts), first, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    dealt = ends.join(F.broadcast(parts), first, "left").withColumn("salt", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("th", "lo"), F.col("parts"))).otherwise(0).cast("int"))
     text_of = F.when(F.col("left"), F.col("before")).otherwise(F.col("after"))
-    told = dealt.join(several, ["h", "fth", "fat", "salt"]).select("id", "th", "lo", "hi", F.col("left"), text_of.alias("words"))
+    told = dealt.join(several, [*first, "salt"]).select("id", "th", "lo", "hi", F.col("left"), text_of.alias("words"))
     mine = runs.select("id", "th", "lo", "hi", "wall", "into", "alike", F.lit(None).cast("boolean").alias("left"), F.lit(None).cast("binary").alias("words"))
     every = mine.unionByName(told.withColumns({"wall": F.lit(0), "into": F.lit(0), "alike": F.lit(False)}))
     return every.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi", "wall", "into", "alike", "left", "words")).alias("ranges"))

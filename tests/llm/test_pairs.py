@@ -241,6 +241,42 @@ def test_short_lines_go_to_their_full_extent(spark, monkeypatch, lines, words, h
         assert first == "\n".join(a) and second == f"{front}\n{back}"
 
 
+def generated(spark, monkeypatch, dedup, sizes):
+    """Rows that explode makes while dedup runs on groups of so many documents with one passage in common."""
+    monkeypatch.setattr(linededup, "HOT_ROWS", 2)
+    monkeypatch.setattr(linededup, "HOT_SHARE", 100_000)
+    plain, made = linededup.checkpoint, []
+
+    def counted(df):
+        out, nodes = plain(df), [df._jdf.queryExecution().executedPlan()]
+        while nodes:
+            node = nodes.pop()
+            if node.nodeName() == "Generate":
+                made[-1] += node.metrics().apply("numOutputRows").value()
+            nodes += [node.children().apply(k) for k in range(node.children().size())]
+        return out
+
+    monkeypatch.setattr(linededup, "checkpoint", counted)
+    rng = random.Random(15)
+    passage = sentence(rng, 80)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # plans with metrics that can be walked
+    try:
+        for n in sizes:
+            rows = [(k, f"{sentence(rng, 40)} {passage} {sentence(rng, 40)}") for k in range(n)]
+            made.append(0)
+            got = {r["doc_id"]: r["text"] for r in dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+            assert got[0] == rows[0][1] and not any(passage in got[k] for k in range(1, n))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    return made
+
+
+def test_firsts_are_copied_no_more_often_than_they_are_asked_for(spark, monkeypatch):
+    few, many = generated(spark, monkeypatch, linededup.deduplicate, (40, 160))
+    assert 0 < few and many < 6 * few
+
+
 def test_the_first_of_words_in_a_loop_stays(spark):
     rng = random.Random(10)
     loop = sentence(rng, 7)[:-1].split()
