@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from plumbline.llm import ann, linededup, queries, simhash
 
 
@@ -277,6 +278,11 @@ def test_firsts_are_copied_no_more_often_than_they_are_asked_for(spark, monkeypa
     assert 0 < few and many < 6 * few
 
 
+def test_firsts_are_copied_no_more_often_in_the_pipeline(spark, monkeypatch):
+    few, many = generated(spark, monkeypatch, lambda docs: corpus_pipeline._line_dedup(spark, docs, ""), (40, 160))
+    assert 0 < few and many < 6 * few, f"{few} rows made, {many} of four times the documents"
+
+
 def test_the_first_of_words_in_a_loop_stays(spark):
     rng = random.Random(10)
     loop = sentence(rng, 7)[:-1].split()
