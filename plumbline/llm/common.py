@@ -5,13 +5,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import hashlib
-import io
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..functions.lineage import ship  # noqa: F401  the operators take it from here
+
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A map over Arrow batches whose worker gives freed memory back to the system when its task ends: workers
@@ -65,26 +61,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives this package to the executors through Spark's own file server, once per context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_plumbline_shipped", False):
-        return
-    root = Path(__file__).resolve().parent.parent
-    if not root.is_dir():  # imported from a zip that is already shipped
-        return
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.writestr(zipfile.ZipInfo(str(p.relative_to(root.parent))), p.read_bytes())
-    name = hashlib.sha256(data.getvalue()).hexdigest()[:12]
-    folder = tempfile.mkdtemp(prefix="plumbline-")
-    path = os.path.join(folder, f"plumbline_{name}.zip")
-    Path(path).write_bytes(data.getvalue())
-    sc.addPyFile(path)
-    sc._plumbline_shipped = True
-
-
 def text_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, bytes, offsets) pieces of a string column of at most `limit` bytes each,
     or of one longer text; nulls are empty."""
