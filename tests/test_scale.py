@@ -6,8 +6,11 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from plumbline import config
 from plumbline.operators import classifiers, neighbours
 from plumbline.plans import benchmark
+from plumbline.plans.registry import Subject, checks
+from plumbline.sources.reading import ROW_ID
 
 
 @pytest.mark.parametrize("decimals", [1, 9])
@@ -50,3 +53,28 @@ def test_rows_are_scored_once(spark):
     assert n.value == 60 and m["accuracy"] == 0.5 and m["auc"] == pytest.approx(0.5)
 
 
+def subject(spark, train, test):
+    cfg = config.merge(config.DEFAULTS, {"dataset": {"name": "t"}, "schema": {"label_column": "y"}})
+    frames = [spark.createDataFrame(f.assign(**{ROW_ID: range(len(f))})) for f in (train, test)]
+    return Subject(*frames, cfg)
+
+
+def numbers(n, seed=0):
+    rng = np.random.default_rng(seed)
+    return pd.DataFrame({"x": rng.normal(size=n), "y": rng.choice(["a", "b"], n)})
+
+
+def test_all_rows_under_another_label_are_counted(spark):
+    f = numbers(3000)
+    bad = pd.concat([f, f.assign(y=f.y.map({"a": "b", "b": "a"}))], ignore_index=True)
+    assert checks()["near_duplicate_class_check"].run(subject(spark, bad, f))["details"]["affected_rows"] == 6000
+
+
+def test_all_rows_are_asked_whether_they_lie_on_train(spark):
+    train, test = numbers(4000), numbers(2000, 1)
+    test.loc[test.index % 5 == 0, "x"] = train.x.iloc[: (test.index % 5 == 0).sum()].to_numpy()
+    found = checks()["homogeneity_test"].run(subject(spark, train, test))["details"]["per_class"]
+    near = lambda q: (np.abs(q[:, None] - train.x.to_numpy()[None, :]) / train.x.std(ddof=0) < 1e-6).sum(axis=1)
+    for c in "ab":
+        assert found[c]["test_near_zero_rate"] == pytest.approx((near(test.x[test.y == c].to_numpy()) > 0).mean())
+        assert found[c]["control_near_zero_rate"] == pytest.approx((near(train.x[train.y == c].to_numpy()) > 1).mean())
