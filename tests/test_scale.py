@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from plumbline import config
-from plumbline.operators import classifiers, neighbours
+from plumbline.operators import classifiers, neighbours, ranks
 from plumbline.plans import benchmark
 from plumbline.plans.registry import Subject, checks
 from plumbline.sources.reading import ROW_ID
@@ -78,3 +78,31 @@ def test_all_rows_are_asked_whether_they_lie_on_train(spark):
     for c in "ab":
         assert found[c]["test_near_zero_rate"] == pytest.approx((near(test.x[test.y == c].to_numpy()) > 0).mean())
         assert found[c]["control_near_zero_rate"] == pytest.approx((near(train.x[train.y == c].to_numpy()) > 1).mean())
+
+
+def test_ranks_read_the_table_once_besides_its_classes(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def pass_on(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    rng = np.random.default_rng(0)
+    f = pd.DataFrame({"x": rng.normal(size=900), "z": rng.integers(0, 9, 900) * 1.0, "y": rng.choice(["a", "b", "c"], 900)})
+    df = spark.createDataFrame(f)
+    df = df.mapInPandas(pass_on, df.schema)
+    auc = {(r["feature"], r["cls"]): r["auc"] for r in ranks.feature_auc(df, ["x", "z"], "y").collect()}
+    assert read.value == 2 * len(f)
+    for c, v in (("x", f.x), ("z", f.z)):
+        k = v.rank()
+        for y in "abc":
+            n = (f.y == y).sum()
+            u = (k[f.y == y].sum() - n * (n + 1) / 2) / (n * (len(f) - n))
+            assert auc[c, y] == pytest.approx(max(u, 1 - u))
+    ranks.best_stump(df, ["x", "z"], "y").collect()
+    assert read.value == 4 * len(f)
+    ks = {r["feature"]: r["ks"] for r in ranks.two_sample_ks(df.where("y = 'a'"), df.where("y = 'b'"), ["x"]).collect()}
+    a, b, at = np.sort(f.x[f.y == "a"]), np.sort(f.x[f.y == "b"]), f.x.to_numpy()
+    assert read.value == 6 * len(f)  # one of each side
+    assert ks["x"] == pytest.approx(np.abs(np.searchsorted(a, at, "right") / len(a) - np.searchsorted(b, at, "right") / len(b)).max())
