@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from plumbline import config
-from plumbline.operators import classifiers, neighbours, ranks
+from plumbline.operators import classifiers, neighbours, ranks, splits
 from plumbline.plans import benchmark
 from plumbline.plans.registry import Subject, checks
 from plumbline.sources.reading import ROW_ID
@@ -106,3 +106,26 @@ def test_ranks_read_the_table_once_besides_its_classes(spark):
     a, b, at = np.sort(f.x[f.y == "a"]), np.sort(f.x[f.y == "b"]), f.x.to_numpy()
     assert read.value == 6 * len(f)  # one of each side
     assert ks["x"] == pytest.approx(np.abs(np.searchsorted(a, at, "right") / len(a) - np.searchsorted(b, at, "right") / len(b)).max())
+
+
+def test_a_split_costs_no_shuffle_when_it_is_read(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 10 == 0, None).when(F.col("id") < 900, "a").otherwise("b").alias("y"))
+    for part in (*splits.stratified_split(df, "y", 0.8, 1, "id"), splits.sample_rows(df, 100, 1, "id")):
+        assert "Exchange" not in part._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_a_sample_is_exact_where_ids_repeat(spark, monkeypatch, few):
+    monkeypatch.setattr(splits, "FEW_GROUPS", few)
+    df = spark.range(1000).select((F.col("id") % 7).alias("id"), (F.col("id") % 2).alias("y"))
+    assert splits.sample_rows(df, 100, 1, "id").count() == 100
+    train, test = splits.stratified_split(df, "y", 0.8, 1, "id")
+    assert {r["y"]: r["count"] for r in test.groupBy("y").count().collect()} == {0: 100, 1: 100} and train.count() == 800
+
+
+def test_groups_in_a_table_are_split_as_those_in_the_expression(spark, monkeypatch):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 10 == 0, None).when(F.col("id") < 900, "a").otherwise("b").alias("y"))
+    ids = lambda: {r["id"] for r in splits.stratified_split(df, "y", 0.8, 1, "id")[1].collect()}
+    one = ids()
+    monkeypatch.setattr(splits, "FEW_GROUPS", 0)
+    assert ids() == one and len(one) > 500
